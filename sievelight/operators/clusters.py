@@ -239,12 +239,14 @@ def density_clusters(points: DataFrame, key: str, vector: str = "embedding", nei
     doesn't grow with the table; all pairs are looked at, as the method asks.
     """
     from sievelight.operators.graph import components
+    from sievelight.sources.storage import settled
 
     n = points.count()
     blocks = max(1, -(-n // block))
     rows = points.select(F.col(key).cast("long").alias("id"), vx.unit(vx.doubles(F.col(vector))).alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = rows.select("own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"), "id", "v")
-    right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("own"), F.col("own").alias("other"), "id", "v")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.select("own", every.alias("other"), "id", "v")
+    right = rows.select(F.col("own").alias("other"), F.col("id").alias("id"), F.col("v").alias("v")).select(every.alias("own"), "other", "id", "v")
 
     def distances(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         d = np.maximum(1 - np.array(a["v"].tolist()) @ np.array(b["v"].tolist()).T, 0)
@@ -259,7 +261,7 @@ def density_clusters(points: DataFrame, key: str, vector: str = "embedding", nei
 
     met = left.groupBy("own", "other").cogroup(right.groupBy("own", "other"))
     core = met.applyInPandas(nearest, "id long, d double").groupBy("id").agg(F.get(F.array_sort(F.collect_list("d")), F.lit(neighbours - 1)).alias("core"))
-    core = core.filter("core is not null")
+    core = settled(core.filter("core is not null"))
     limit = core.agg(F.percentile("core", F.lit(share))).first()[0]
     if limit is None:
         return points.select(key, F.lit(NOISE).alias("cluster_id"))
@@ -272,11 +274,11 @@ def density_clusters(points: DataFrame, key: str, vector: str = "embedding", nei
         x, y = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
         return pd.DataFrame({"u": x[x > y], "v": y[x > y]})
 
-    edges = left.join(dense, "id").groupBy("own", "other").cogroup(right.join(dense, "id").groupBy("own", "other")).applyInPandas(linked, "u long, v long")
+    edges = left.join(dense, "id", "left_semi").groupBy("own", "other").cogroup(right.join(dense, "id", "left_semi").groupBy("own", "other")).applyInPandas(linked, "u long, v long")
     found = components(edges)
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least_size)
-    placed = found.join(sizes, "component").select(F.col("node").alias("id"), "component")
-    return points.select(F.col(key), F.col(key).cast("long").alias("id")).join(placed, "id", "left").select(key, F.coalesce("component", F.lit(NOISE).cast("long")).alias("cluster_id"))
+    placed = found.join(sizes, "component").select(F.col("node").alias("_id"), "component")
+    return points.select(F.col(key), F.col(key).cast("long").alias("_id")).join(placed, "_id", "left").select(key, F.coalesce("component", F.lit(NOISE).cast("long")).alias("cluster_id"))
 
 
 def overview(members: DataFrame, cluster: str = "cluster_id", limit: int = 20) -> DataFrame:

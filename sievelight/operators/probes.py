@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import vectors as vx
 from sievelight.operators import metrics as mx
+from sievelight.sources.storage import settled
 
 CELL = ["axis"]
 QUANTILES = 60
@@ -75,10 +76,11 @@ def tune_thresholds(scored: DataFrame, cell: list[str] = CELL, quantiles: int =
     """
     at = [0.02 + 0.96 * k / (quantiles - 1) for k in range(quantiles)]
     cuts = scored.groupBy(*cell).agg(F.array_distinct(F.transform(F.percentile("score", F.array(*map(F.lit, at))), lambda x: F.round(x, 12))).alias("ts"), F.round(F.percentile("score", F.lit(0.5)), 12).alias("median"))
+    cuts = settled(cuts)
     # The place of a score: how many candidates are at or below it.
     place = F.aggregate("ts", F.lit(0), lambda n, t: n + (t <= F.col("score")).cast("int"))
     held = scored.join(F.broadcast(cuts), list(cell)).select(*cell, "grade", place.alias("place"))
-    counts = held.groupBy(*cell, "place").agg(*(F.count_if(F.col("grade") == g).alias(f"n{g}") for g in mx.GRADES))
+    counts = settled(held.groupBy(*cell, "place").agg(*(F.count_if(F.col("grade") == g).alias(f"n{g}") for g in mx.GRADES)))
     below = Window.partitionBy(*cell).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     # Of each candidate, the rows of each grade below it; places of no row take those of the next.
     edges = cuts.select(*cell, F.posexplode("ts").alias("k", "t")).withColumn("place", F.col("k") + 1)
@@ -107,9 +109,9 @@ def evaluate(rows: DataFrame, cell: list[str] = CELL) -> DataFrame:
     All cells in one job: nothing is collected, and only directions and thresholds, a row
     a cell, are broadcast.
     """
-    direction = paired_direction(rows.filter("split = 'train'"), cell)
+    direction = settled(paired_direction(rows.filter("split = 'train'"), cell))
     scored = project(rows, direction, cell)
-    cuts = tune_thresholds(scored.filter("split = 'dev'").select(*cell, "score", "grade"), cell)
+    cuts = settled(tune_thresholds(scored.filter("split = 'dev'").select(*cell, "score", "grade"), cell))
     table = mx.confusion(classify(scored.filter("split = 'test'"), cuts, cell), "grade", "pred", list(cell))
     sizes = rows.groupBy(*cell).agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
     out = sizes.join(cuts, list(cell)).join(table, list(cell))
@@ -195,8 +197,8 @@ def selectivity(rows: DataFrame, key: str = "text_id", shuffles: int = 5, cell:
     for s in range(1, shuffles + 1):
         every = every.unionByName(shuffled_grades(train, s, key, cell).unionByName(rows.filter("split <> 'train'")).withColumn("shuffle", F.lit(s)))
     wide = [*cell, "shuffle"]
-    scored = project(every, extreme_direction(every.filter("split = 'train'"), wide), wide)
-    cuts = tune_thresholds(scored.filter("split = 'dev'").select(*wide, "score", "grade"), wide)
+    scored = project(every, settled(extreme_direction(every.filter("split = 'train'"), wide)), wide)
+    cuts = settled(tune_thresholds(scored.filter("split = 'dev'").select(*wide, "score", "grade"), wide))
     f1 = mx.confusion(classify(scored.filter("split = 'test'"), cuts, wide), "grade", "pred", wide).select(*wide, mx.macro_f1_of().alias("f1"))
     fake = F.when(F.col("shuffle") > 0, F.col("f1"))
     out = f1.groupBy(*cell).agg(F.max(F.when(F.col("shuffle") == 0, F.col("f1"))).alias("real_f1"), F.avg(fake).alias("mean_f1"), F.stddev_pop(fake).alias("std_f1"))

@@ -73,9 +73,7 @@ def numbered(df: DataFrame, group: str, *order: Column, out: str = "id") -> Data
     return df.withColumn(out, F.format_string("%s_%04d", F.col(group), k))
 
 
-def lowest_to_reserve(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The table with bucket: reserve for the first ``n`` rows of the order, core for the rest."""
-    keys = df.columns
-    reserve = df.orderBy(*order).limit(n).withColumn("bucket", F.lit("reserve"))
-    cond = [df[c].eqNullSafe(reserve[c]) for c in keys]
-    return df.join(reserve, cond, "left").select(*(df[c] for c in keys), F.coalesce(reserve["bucket"], F.lit("core")).alias("bucket"))
+def lowest_to_reserve(df: DataFrame, n: int, key: str, *order: Column) -> DataFrame:
+    """The table with bucket: reserve for the first ``n`` rows of the order, core for the rest.  ``key`` is unique."""
+    reserve = df.orderBy(*order, F.col(key)).limit(n).select(key, F.lit("reserve").alias("bucket"))
+    return df.join(reserve, key, "left").withColumn("bucket", F.coalesce("bucket", F.lit("core")))
