@@ -8,10 +8,9 @@ compared with the bucket's centre alone, which bounds the pairs by nodes times b
 are confirmed on the full sets.
 
 A bucket whose nodes do not all come to lie in one component may hold links that its
-centre doesn't show.  Such buckets go on: nodes of other components than the centre's
-are compared with the members of components that they share a bucket with, by their
-sketches in bounded blocks, and what comes near the threshold is again confirmed on the
-full sets.
+centre doesn't show.  Its nodes meet in bounded blocks: those of different components are
+compared in the first bucket that they share, by their sketches and then on their full
+sets, and nothing but links comes out.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ from sievelight.llm.components import components
 BINS = 256
 BAND = 6
 BANDS = BINS // BAND
-#: Part of equal bins under which a pair is not looked at; eight standard deviations below a similarity of 0.8.
-SLACK = 0.2
+#: How far below the threshold the part of equal bins may lie: five standard deviations at a similarity of 0.8.
+SLACK = 0.13
 #: Nodes of a bucket that meet in a block.
 BLOCK = 512
 #: Rows at most that are broadcast to find the texts of candidates.
@@ -182,10 +181,7 @@ def confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
 
     Only the texts of nodes that occur in a pair are read into sets, one a node.
     """
-    wanted = materialise(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "doc_id", "set_key"), "node"), "near-wanted")
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    texts = _pick(rows, wanted, rows["id"].eqNullSafe(wanted["doc_id"])).select("node", "set_key", "text")
-    sets = materialise(texts.mapInArrow(_set_rows(k), "node long, shingles array<long>").dropDuplicates(["node"]), "near-sets")
+    sets = _sets_of(edges.select(F.explode(F.array("u", "v")).alias("node")), nodes, docs, k)
     one = edges.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     two = one.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
@@ -196,25 +192,58 @@ def _meet(percent: int):
     least = BINS * (percent / 100 - SLACK)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a block pair, of different components, whose sketches come near the threshold."""
-        left, right = group[group["side"] == 0], group[group["side"] == 1]
+        """Links between nodes of different components in a pair of blocks of a bucket.
+
+        A pair that shares several buckets is looked at in the first of them alone; were
+        that one not among those that go on, its centre would have settled the pair.
+        """
+        inner = group["i"].iloc[0] == group["j"].iloc[0]
+        left, right = (group, group) if inner else (group[group["own"] == group["i"]], group[group["own"] == group["j"]])
         if not len(left) or not len(right):
             return pd.DataFrame({"u": [], "v": []})
-        a, b = (np.frombuffer(b"".join(g["small"]), np.uint8).reshape(len(g), BINS) for g in (left, right))
-        own, other = right["component"].to_numpy(), right["node"].to_numpy()
-        sizes = right["n_shingles"].to_numpy()
+        band = int(group["band"].iloc[0])
+        small, bands = np.frombuffer(b"".join(right["small"]), np.uint8).reshape(len(right), BINS), np.array(right["bands"].tolist())
+        nodes, components_, sizes, sets = right["node"].to_numpy(), right["component"].to_numpy(), right["n_shingles"].to_numpy(), right["shingles"].tolist()
         us, vs = [], []
-        for row, node, component, n in zip(a, left["node"], left["component"], left["n_shingles"], strict=True):
-            maybe = np.flatnonzero((own != component) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
-            maybe = maybe[(b[maybe] == row).sum(axis=1) >= least]
-            us.append(np.full(len(maybe), node))
-            vs.append(other[maybe])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+        rows = zip(left["small"], left["bands"], left["node"], left["component"], left["n_shingles"], left["shingles"], strict=True)
+        for k, (low, own_bands, node, component, n, own) in enumerate(rows):
+            maybe = np.flatnonzero((components_ != component) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+            maybe = maybe[maybe > k] if inner else maybe
+            maybe = maybe[(bands[maybe] == own_bands).argmax(axis=1) == band] if len(maybe) else maybe
+            maybe = maybe[(small[maybe] == np.frombuffer(low, np.uint8)).sum(axis=1) >= least]
+            for j in maybe:
+                common = len(np.intersect1d(own, sets[j], assume_unique=True))
+                if 100 * common >= percent * (n + sizes[j] - common):
+                    us.append(min(node, nodes[j]))
+                    vs.append(max(node, nodes[j]))
+        return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
     return run
 
 
+def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """node and shingles of the wanted nodes; only their texts are read into sets, one a node."""
+    keyed = materialise(wanted.distinct().join(nodes.select("node", "doc_id", "set_key"), "node"), "near-wanted")
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = _pick(rows, keyed, rows["id"].eqNullSafe(keyed["doc_id"])).select("node", "set_key", "text")
+    return materialise(texts.mapInArrow(_set_rows(k), "node long, shingles array<long>").dropDuplicates(["node"]), "near-sets")
+
+
+def _further_links(members: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links in the buckets (bucket, band, node) whose nodes lie in several components still."""
+    placed = members.join(found, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
+    several = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most and n > 2")
+    several = materialise(several.select("bucket", "n"), "near-several")
+    going = materialise(placed.join(several, "bucket"), "near-going")
+    sets = _sets_of(going.select("node"), nodes, docs, words)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = going.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    held = nodes.select("node", "small", "bands", "n_shingles").join(sets, "node")
+    dealt = dealt.join(materialise(held, "near-held"), "node")
+    dealt = dealt.select("bucket", "band", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "small", "bands", "n_shingles", "shingles")
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(_meet(percent), "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each document: n_shingles, component_id and kept.
 
@@ -230,23 +259,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_colum
     sketched = materialise(rows.mapInArrow(_sketch_rows(words), _SKETCH), "near-sketches")
     first = sketched.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("small").alias("small"))
     nodes = materialise(first.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     centres = materialise(buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "centre"), "near-centres")
-    members = materialise(buckets.join(centres, "bucket").select("bucket", "node", "centre"), "near-members")
+    members = materialise(buckets.join(centres, "bucket").select("bucket", "band", "node", "centre"), "near-members")
     edges = materialise(members.filter("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "near-edges")
     links = materialise(confirmed(edges, nodes, rows, words, percent), "near-links")
     found = materialise(components(links), "near-components")
-    # Buckets whose nodes lie in several components still.
-    placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    several = materialise(placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most and n > 2").select("bucket", "n"), "near-several")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_ = placed.join(several, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_ = open_.join(nodes.select("node", "small", "n_shingles"), "node")
-    dealt = open_.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.explode(F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("own") > F.col("other")).cast("int")))).alias("side"), "node", "component", "small", "n_shingles")
-    more = dealt.groupBy("bucket", "i", "j").applyInPandas(_meet(percent), "u long, v long").distinct()
-    more = materialise(more.join(edges, ["u", "v"], "left_anti"), "near-more")
+    more = materialise(_further_links(members, found, nodes, rows, words, percent), "near-more")
     if more.head(1):
-        links = materialise(links.union(confirmed(more, nodes, rows, words, percent)), "near-links")
+        links = materialise(links.union(more), "near-links")
         found = materialise(components(links), "near-components")
     named = nodes.select("node", "set_key", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = materialise(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-least")
