@@ -205,8 +205,9 @@ def raters_of(wide: DataFrame, axes=("MU", "PU", "ET"), least: int = 150, exclud
 
 def ratings_long(wide: DataFrame, key: str, raters: list[str], axes=("MU", "PU", "ET")) -> DataFrame:
     """key, rater, axis and grade from columns named after both."""
-    cells = F.explode(F.array(*(F.struct(F.lit(r).alias("rater"), F.lit(a).alias("axis"), F.col(f"{r}_{a}").cast("int").alias("grade")) for r in raters for a in axes if f"{r}_{a}" in wide.columns))).alias("e")
-    return wide.select(key, cells).select(key, "e.*")
+    cells = [F.struct(F.lit(r).alias("rater"), F.lit(a).alias("axis"), F.col(f"{r}_{a}").cast("int").alias("grade")) for r in raters for a in axes if f"{r}_{a}" in wide.columns]
+    every = F.array(*cells).cast("array<struct<rater:string,axis:string,grade:int>>")
+    return wide.select(key, F.explode(every).alias("e")).select(key, "e.*")
 
 
 def validated(rows: DataFrame, token: str, axis: str, confidence: str) -> DataFrame:
