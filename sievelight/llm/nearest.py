@@ -5,8 +5,10 @@ query, pairs are traversed in the order of their summed distances with a heap un
 visited cells hold a set share of all vectors, and the entries of these cells are reranked
 by the exact cosine in double precision.
 
-Entries and queries of a cell meet in bounded blocks: a cell with many entries is dealt
-out over several tasks, one with many queries likewise.
+Cells whose first centroids are neighbours in number form a zone.  Entries and queries of
+a zone meet in bounded blocks: a zone with many entries is dealt out over several tasks,
+one with many queries likewise.  Within a block a query is set against the entries of the
+cells that it visits and no others.
 """
 
 from __future__ import annotations
@@ -25,14 +27,16 @@ from sievelight.llm.common import hash_bound, materialise
 
 #: Vectors at most on which the centroids are fitted.
 SAMPLE = 20_000
-CENTROIDS = 32
+CENTROIDS = 96
 ROUNDS = 12
 #: Share of all vectors that the visited cells of a query hold at least, and their number at least.
-SHARE = 0.25
+SHARE = 0.4
 LEAST = 200
+#: First centroids of a zone.
+ZONE = 4
 #: Entries and queries at most, on average, that meet in a task's group.
 BLOCK_ENTRIES = 2048
-BLOCK_QUERIES = 512
+BLOCK_QUERIES = 1024
 
 
 @dataclass
@@ -130,24 +134,30 @@ def _meet(k: int):
         keep = pd.Series(same.reshape(-1)).groupby(same.reshape(-1)).cumcount().to_numpy() <= k
         raw, ids = raw[keep], entries["id"].to_numpy()[keep]
         x, sizes = unit(raw), np.linalg.norm(raw, axis=1)
-        out = []
-        for lo in range(0, len(queries), 256):
-            part = queries.iloc[lo : lo + 256]
-            asked, own = matrix(part["v"].tolist()), part["id"].to_numpy()
-            near = unit(asked) @ x.T
-            near[own[:, None] == ids[None, :]] = -np.inf
-            take = min(len(ids), k)
-            floor = -np.partition(-near, take - 1, axis=1)[:, take - 1] - 1e-9
-            row, col = np.nonzero((near >= floor[:, None]) & np.isfinite(near))
-            score = np.einsum("ij,ij->i", asked[row], raw[col]) / (np.linalg.norm(asked, axis=1)[row] * sizes[col])
-            out.append(_top(pd.DataFrame({"query_id": own[row], "vec_id": ids[col], "score": score}), k))
-        return pd.concat(out)
+        cells = entries["cell"].to_numpy()[keep]
+        members = {c: np.flatnonzero(cells == c) for c in np.unique(cells)}
+        asked, own = matrix(queries["v"].tolist()), queries["id"].to_numpy()
+        visitors: dict[int, list[int]] = {}
+        for row, visited in enumerate(queries["cells"]):
+            for c in visited:
+                visitors.setdefault(int(c), []).append(row)
+        directions, near = unit(asked), np.full((len(asked), len(ids)), -np.inf)
+        for c, rows in visitors.items():
+            if c in members:
+                near[np.ix_(rows, members[c])] = directions[rows] @ x[members[c]].T
+        near[own[:, None] == ids[None, :]] = -np.inf
+        take = min(len(ids), k)
+        floor = -np.partition(-near, take - 1, axis=1)[:, take - 1] - 1e-9
+        row, col = np.nonzero((near >= floor[:, None]) & np.isfinite(near))
+        score = np.einsum("ij,ij->i", asked[row], raw[col]) / (np.linalg.norm(asked, axis=1)[row] * sizes[col])
+        return _top(pd.DataFrame({"query_id": own[row], "vec_id": ids[col], "score": score}), k)
 
     return run
 
 
 def _visits(books: Codebooks, sizes: np.ndarray, parts: np.ndarray, wanted: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each query and each part of each zone that it visits, its cells there."""
         for batch in batches:
             ids, vectors = batch.column(0).to_pylist(), matrix(batch.column(1).to_pylist())
             if not ids:
@@ -156,12 +166,11 @@ def _visits(books: Codebooks, sizes: np.ndarray, parts: np.ndarray, wanted: floa
             half = books.first.shape[1]
             one, two = distances(x[:, :half], books.first), distances(x[:, half:], books.second)
             for lo in range(len(ids)):
-                cells = np.asarray(traverse(one[lo], two[lo], sizes, wanted), np.int64)
-                cell = np.repeat(cells, parts[cells])
-                part = np.concatenate([np.arange(parts[c]) for c in cells]) if len(cells) else cells
-                n = len(cell)
+                cells = np.sort(np.asarray(traverse(one[lo], two[lo], sizes, wanted), np.int64))
+                zones = cells // (ZONE * len(books.second))
+                rows = [(z, p, cells[zones == z]) for z in np.unique(zones) for p in range(parts[z])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, ids[lo], np.int64)), pa.array(cell), pa.array(part.astype(np.int32)), pa.array([vectors[lo].astype(np.float64)] * n, pa.list_(pa.float64()))], names=["id", "cell", "part", "v"]
+                    [pa.array([ids[lo]] * len(rows), pa.int64()), pa.array([z for z, _, _ in rows], pa.int64()), pa.array([p for _, p, _ in rows], pa.int32()), pa.array([c for *_, c in rows], pa.list_(pa.int64())), pa.array([vectors[lo]] * len(rows), pa.list_(pa.float64()))], names=["id", "zone", "part", "cells", "v"]
                 )
 
     return run
@@ -192,17 +201,19 @@ def search(vectors: DataFrame, queries, k: int = 5, id_column: str = "vec_id", v
     sizes = np.zeros(len(books.first) * len(books.second), np.int64)
     for cell, size in coded.groupBy("cell").count().collect():  # a row for each pair of centroids at most
         sizes[cell] = size
-    parts = np.maximum(1, -(-sizes // BLOCK_ENTRIES))
-    asked = coded.filter(queries).select("id", "v")
-    visits = materialise(asked.mapInArrow(_visits(books, sizes, parts, max(LEAST, share * n)), "id long, cell long, part int, v array<double>"), "imi-visits")
-    crowd = np.ones(len(sizes), np.int64)
-    for cell, size in visits.filter("part = 0").groupBy("cell").count().collect():
-        crowd[cell] = -(-size // BLOCK_QUERIES)
-    of_cell = lambda values: F.get(F.lit(values.tolist()), F.col("cell").cast("int"))
-    entries = coded.withColumn("part", F.pmod(F.xxhash64("id"), of_cell(parts)).cast("int"))
-    entries = entries.withColumn("crowd", F.explode(F.sequence(F.lit(0), (of_cell(crowd) - 1).cast("int"))))
-    visits = visits.withColumn("crowd", F.pmod(F.xxhash64("id", F.lit(3)), of_cell(crowd)).cast("int"))
-    key = ["cell", "part", "crowd"]
+    width = ZONE * len(books.second)
+    in_zone = np.add.reduceat(sizes, np.arange(0, len(sizes), width))
+    parts = np.maximum(1, -(-in_zone // BLOCK_ENTRIES))
+    visits = materialise(coded.filter(queries).select("id", "v").mapInArrow(_visits(books, sizes, parts, max(LEAST, share * n)), "id long, zone long, part int, cells array<long>, v array<double>"), "imi-visits")
+    crowd = np.ones(len(parts), np.int64)
+    for zone, size in visits.filter("part = 0").groupBy("zone").count().collect():
+        crowd[zone] = -(-size // BLOCK_QUERIES)
+    of_zone = lambda values: F.get(F.lit(values.tolist()), F.col("zone").cast("int"))
+    entries = coded.withColumn("zone", F.expr(f"cell div {width}"))
+    entries = entries.withColumn("part", F.pmod(F.xxhash64("id"), of_zone(parts)).cast("int"))
+    entries = entries.withColumn("crowd", F.explode(F.sequence(F.lit(0), (of_zone(crowd) - 1).cast("int"))))
+    visits = visits.withColumn("crowd", F.pmod(F.xxhash64("id", F.lit(3)), of_zone(crowd)).cast("int"))
+    key = ["zone", "part", "crowd"]
     best = entries.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(_meet(k), _BEST)
     ranked = best.groupBy("query_id").applyInPandas(lambda g: _top(g, k).assign(rank=np.arange(1, min(len(g), k) + 1)), "query_id long, vec_id long, score double, rank int")
     return ranked.select("query_id", "rank", "vec_id", "score")
