@@ -1,7 +1,8 @@
 """Quality scores from compression with two dictionaries.
 
-One zstandard dictionary is built from labelled good text and one from bad text.  Every
-block of a text is compressed with both; the difference of the sizes, as a part of their
+One zstandard dictionary is built from labelled good text and one from bad text: raw
+content, cut evenly from all sampled documents, so that each holds every language and
+kind of its label in proportion.  Every block of a text is compressed with both; the difference of the sizes, as a part of their
 sum, says which dictionary knows the text better, and a logistic curve fitted on labelled
 documents that neither dictionary has seen turns it into a score.
 """
@@ -23,10 +24,13 @@ from sievelight.llm.common import held_out, whole_text
 SAMPLE_DOCS = 2000
 #: Bytes at most that are learned from for each label.
 SAMPLE_BYTES = 16_000_000
-DICTIONARY_BYTES = 112_640
+DICTIONARY_BYTES = 2 << 20
+#: Cuts of a document in a dictionary.
+CUT_BYTES = 200
 #: A text is compressed in blocks of this many bytes, so that the dictionaries matter as much at its end.
-BLOCK_BYTES = 2048
-LEVEL = 3
+BLOCK_BYTES = 1024
+#: At lower levels the compressor's tables forget most of a large dictionary.
+LEVEL = 9
 THRESHOLD = 0.7
 
 
@@ -48,7 +52,7 @@ class Model:
 
             out = []
             for raw in (self.good, self.bad):
-                dictionary = zstandard.ZstdCompressionDict(raw) if raw else None
+                dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if raw else None
                 if dictionary:
                     dictionary.precompute_compress(level=LEVEL)
                 out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False))
@@ -72,15 +76,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -500, 500)))
 
 
-def dictionary(texts: list[str]) -> bytes:
-    """A dictionary of the texts' blocks; of too few of them, their plain bytes."""
-    import zstandard
-
-    samples = [part for text in texts for part in blocks(text) if len(part) >= 8]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-DICTIONARY_BYTES:]
+def dictionary(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
+    """About ``size`` bytes: as much of each text, in cuts spread evenly over the whole of a longer one."""
+    share = max(CUT_BYTES, size // max(1, len(texts)))
+    out = []
+    for text in texts:
+        data = text.encode("utf-8", "surrogatepass")
+        cuts = max(1, share // CUT_BYTES)
+        step = len(data) // cuts
+        out += [data] if len(data) <= share else [data[k * step : k * step + CUT_BYTES] for k in range(cuts)]
+    return b"".join(out)[:size]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
