@@ -58,7 +58,35 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_language_id, op3_bpe, op4_nearest, op5_packing, op6_near_dedup, op7_quality, op8_warc, op9_exact_dedup, op10_licences)}
 
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _secrets_sql() -> str:
+    """Spans from what lies between matches; DuckDB's own case folding would reach beyond A-Z."""
+    patterns = {r.kind: r.pattern for r in secrets.RULES}
+    words = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    patterns["assign"] = patterns["assign"].replace("(?i:password|passwd|secret|token|api_?key)", words)
+    found = []
+    for place, rule in enumerate(secrets.RULES):
+        pattern = patterns[rule.kind].replace("'", "''")
+        keep = f"length(regexp_extract(m[i], '{pattern}', {rule.group})) >= {rule.least}" if rule.least else "true"
+        found.append(f"""
+            SELECT r, '{rule.kind}' AS kind, {place} AS place, CAST(list_sum([length(x) for x in b[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS BIGINT) AS s, length(m[i]) AS n
+            FROM (SELECT r, regexp_extract_all(text, '{pattern}', 0) AS m, string_split_regex(text, '{pattern}') AS b FROM t), unnest(range(1, len(m) + 1)) u(i) WHERE {keep}""")
+    spans = " UNION ALL ".join(found)
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
+    written = "string_agg(kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(s + n AS VARCHAR), ',' ORDER BY s, place)"
+    return f"""
+        WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), f AS MATERIALIZED ({spans})
+        SELECT doc_id, {counts}, sha256(coalesce({written} FILTER (kind IN ({base})), '')) AS base_sha256, coalesce({written} FILTER (kind IS NOT NULL), '') AS spans
+        FROM t LEFT JOIN f USING (r) GROUP BY r, doc_id"""
+
+
 ORACLE_SQL = {
+    "op1_secrets": _secrets_sql(),
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
