@@ -88,16 +88,23 @@ def dictionary(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
     return b"".join(out)[:size]
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of the logistic curve through labelled differences, slightly drawn to 0."""
+def calibrate(x: np.ndarray, y: np.ndarray, good_share: float | None = None) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve through labelled differences, slightly drawn to 0.
+
+    Each label weighs as much as its share among all labelled documents, as the sample
+    holds another share of it.
+    """
     if not len(x):
         return 0.0, 0.0
+    own = float(y.mean())
+    share = own if good_share is None else good_share
+    weight = np.where(y == 1, share / max(own, 1e-9), (1 - share) / max(1 - own, 1e-9))
     scale = float(np.std(x)) or 1.0
     design, w = np.stack([x / scale, np.ones(len(x))], axis=1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        slope = design.T @ (y - p) - 1e-2 * w
-        curve = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+        slope = design.T @ (weight * (y - p)) - 1e-2 * w
+        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
         step = np.linalg.solve(curve, slope)
         w += step
         if abs(step).max() < 1e-9:
@@ -115,6 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_colu
     marked = labels.filter(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(id_column))
     marked = marked.groupBy(F.col(id_column).cast("long").alias("id")).agg(F.min(label_column).alias("y"), F.max(label_column).alias("top")).filter("y = top")
     marked = marked.select("id", "y", F.xxhash64("id").alias("h"))
+    counts = {row["y"]: row["count"] for row in marked.groupBy("y").count().collect()}
     picked = [row for y in (0, 1) for row in marked.filter(F.col("y") == y).orderBy("h", "id").limit(SAMPLE_DOCS).collect()]
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame([tuple(r) for r in picked], "id long, y int, h long"))  # 2 * SAMPLE_DOCS rows at most
@@ -129,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_colu
     model = Model(dictionary([t for _, t in halves[1][0]]), dictionary([t for _, t in halves[0][0]]), 0.0, 0.0)
     texts = [(t, y) for y in (0, 1) for _, t in halves[y][1]]
     x = np.array([model.difference(t) for t, _ in texts], float)
-    model.slope, model.intercept = calibrate(x, np.array([y for _, y in texts], float))
+    model.slope, model.intercept = calibrate(x, np.array([y for _, y in texts], float), counts.get(1, 0) / max(1, sum(counts.values())))
     return model
 
 
