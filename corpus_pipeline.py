@@ -13,14 +13,12 @@ from sievelight.llm import exact_dedup, language_id, near_dedup, packing, secret
 from sievelight.llm.common import materialise
 
 VOCABULARY = "byte_bpe_50k.json"
-#: A document whose leading language gets less of the evidence than this is rejected.
-LEAST_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; those without letters or of no leading language go."""
+    """Documents in a language that can be told; those without letters, or without an n-gram of any learned language, go."""
     found = language_id.identify(docs, language_id.train(docs), docs.columns)
-    return found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") > 0)).select(*docs.columns)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
