@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import vectors as vx
 from sievelight.operators.ranking import head_per_group
+from sievelight.sources.storage import settled
 
 NOISE = -1
 #: Centroids at most that are broadcast; beyond that, rows and centroids meet in blocks by a join.
@@ -80,7 +81,9 @@ def ctfidf(counts: DataFrame, group: str, n: int = 20, min_groups: int = 1) -> D
     tf is a term's share of its group, f its count over all groups and A the mean number
     of terms in a group.
     """
+    counts = settled(counts)
     kept = counts.join(counts.groupBy("term").agg(F.sum("n").alias("f"), F.count(F.lit(1)).alias("groups")).filter(F.col("groups") >= min_groups), "term")
+    kept = settled(kept)
     sizes = kept.groupBy(group).agg(F.sum("n").alias("size"))
     mean = sizes.agg(F.avg("size").alias("mean"))
     rated = kept.join(sizes, group).crossJoin(F.broadcast(mean))  # one row
@@ -239,7 +242,6 @@ def density_clusters(points: DataFrame, key: str, vector: str = "embedding", nei
     doesn't grow with the table; all pairs are looked at, as the method asks.
     """
     from sievelight.operators.graph import components
-    from sievelight.sources.storage import settled
 
     n = points.count()
     blocks = max(1, -(-n // block))
