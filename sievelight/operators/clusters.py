@@ -22,7 +22,14 @@ def centroids(points: DataFrame, cluster: str = "cluster_id", vector: str = "emb
     return means.select(cluster, vx.unit(F.col("centroid")).alias("centroid"))
 
 
-def nearest_centroid(points: DataFrame, centres: DataFrame, keys: list[str], vector: str = "embedding", cluster: str = "cluster_id", centre_vector: str = "centroid") -> DataFrame:
+def nearest_centroid(
+    points: DataFrame,
+    centres: DataFrame,
+    keys: list[str],
+    vector: str = "embedding",
+    cluster: str = "cluster_id",
+    centre_vector: str = "centroid",
+) -> DataFrame:
     """For each point the centroid of the largest cosine, ties to the smaller id: keys, cluster and cosine.
 
     All centroids travel to every task as one row, behind a check of their number;
@@ -31,11 +38,21 @@ def nearest_centroid(points: DataFrame, centres: DataFrame, keys: list[str], vec
     """
     n = centres.count()
     blocks = max(1, -(-n // BROADCAST_CENTROIDS))
-    held = centres.select(F.pmod(F.xxhash64(cluster), F.lit(blocks)).alias("block"), F.struct(F.col(cluster).alias("id"), vx.doubles(F.col(centre_vector)).alias("c")).alias("s"))
+    held = centres.select(
+        F.pmod(F.xxhash64(cluster), F.lit(blocks)).alias("block"),
+        F.struct(F.col(cluster).alias("id"), vx.doubles(F.col(centre_vector)).alias("c")).alias("s"),
+    )
     held = held.groupBy("block").agg(F.collect_list("s").alias("all"))
-    point = points.select(*keys, vx.doubles(F.col(vector)).alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    point = points.select(*keys, vx.doubles(F.col(vector)).alias("v")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    )
     met = point.join(F.broadcast(held) if blocks == 1 else held, "block")
-    rated = F.transform("all", lambda s: F.struct(vx.cosine(F.col("v"), s["c"]).alias("cosine"), (-s["id"]).alias("minus"), s["id"].alias("id")))
+    rated = F.transform(
+        "all",
+        lambda s: F.struct(
+            vx.cosine(F.col("v"), s["c"]).alias("cosine"), (-s["id"]).alias("minus"), s["id"].alias("id")
+        ),
+    )
     best = met.select(*keys, F.array_max(rated).alias("best"))
     if blocks > 1:
         best = best.groupBy(*keys).agg(F.max("best").alias("best"))
@@ -45,32 +62,59 @@ def nearest_centroid(points: DataFrame, centres: DataFrame, keys: list[str], vec
 def reassign_noise(points: DataFrame, key: str, cluster: str = "cluster_id", vector: str = "embedding") -> DataFrame:
     """Noise at its nearest centroid; other points as they are: key, cluster, reassigned."""
     noise = points.filter(F.col(cluster) == NOISE)
-    moved = nearest_centroid(noise, centroids(points, cluster, vector), [key], vector, cluster).select(key, cluster, F.lit(True).alias("reassigned"))
-    return points.filter(F.col(cluster) != NOISE).select(key, cluster, F.lit(False).alias("reassigned")).unionByName(moved)
+    moved = nearest_centroid(
+        noise, centroids(points, cluster, vector), [key], vector, cluster
+    ).select(key, cluster, F.lit(True).alias("reassigned"))
+    return points.filter(F.col(cluster) != NOISE).select(
+        key, cluster, F.lit(False).alias("reassigned")
+    ).unionByName(moved)
 
 
-def exemplars(points: DataFrame, key: str, n: int = 10, cluster: str = "cluster_id", vector: str = "embedding") -> DataFrame:
+def exemplars(
+    points: DataFrame, key: str, n: int = 10, cluster: str = "cluster_id", vector: str = "embedding"
+) -> DataFrame:
     """The ``n`` members of each cluster nearest to its centroid."""
-    near = points.join(centroids(points, cluster, vector), cluster).withColumn("cosine", vx.cosine(vx.doubles(F.col(vector)), F.col("centroid")))
+    near = points.join(centroids(points, cluster, vector), cluster).withColumn(
+        "cosine", vx.cosine(vx.doubles(F.col(vector)), F.col("centroid"))
+    )
     # The order is of rounded values, so that engines agree on near ties.
-    return head_per_group(near.select(cluster, key, F.round("cosine", 6).alias("cosine")), [cluster], n, F.desc("cosine"), F.asc(key))
+    return head_per_group(
+        near.select(cluster, key, F.round("cosine", 6).alias("cosine")), [cluster], n, F.desc("cosine"), F.asc(key)
+    )
 
 
-def pairwise_distances(centres: DataFrame, cluster: str = "cluster_id", vector: str = "centroid", within: str | None = None) -> DataFrame:
+def pairwise_distances(
+    centres: DataFrame, cluster: str = "cluster_id", vector: str = "centroid", within: str | None = None
+) -> DataFrame:
     """1 - cosine of all pairs of a table of centroids, optionally within a category: a_id < b_id, distance."""
-    side = lambda p: centres.select(F.col(cluster).alias(f"{p}_id"), F.col(vector).alias(f"{p}_v"), *([F.col(within).alias(f"{p}_w")] if within else []))
+    side = lambda p: centres.select(
+        F.col(cluster).alias(f"{p}_id"),
+        F.col(vector).alias(f"{p}_v"),
+        *([F.col(within).alias(f"{p}_w")] if within else []),
+    )
     cond = F.col("a_id") < F.col("b_id")
     if within:
         cond &= F.col("a_w") == F.col("b_w")
     pairs = side("a").join(side("b"), cond)
-    return pairs.select("a_id", "b_id", *([F.col("a_w").alias(within)] if within else []), (1 - vx.cosine(F.col("a_v"), F.col("b_v"))).alias("distance"))
+    return pairs.select(
+        "a_id",
+        "b_id",
+        *([F.col("a_w").alias(within)] if within else []),
+        (1 - vx.cosine(F.col("a_v"), F.col("b_v"))).alias("distance"),
+    )
 
 
 def terms(docs: DataFrame, group: str, text: str, stopwords: list[str] = (), bigrams: bool = True) -> DataFrame:
     """Counts of the words of two letters or more, and pairs of them, in each group: group, term, n."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True))
+    words = F.filter(
+        F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)),
+        lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True),
+    )
     held = docs.select(group, words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    pairs = F.when(
+        F.size("w") > 1,
+        F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b)),
+    ).otherwise(F.array().cast("array<string>"))
     every = F.concat("w", pairs) if bigrams else F.col("w")
     return held.select(group, F.explode(every).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
 
@@ -82,13 +126,20 @@ def ctfidf(counts: DataFrame, group: str, n: int = 20, min_groups: int = 1) -> D
     of terms in a group.
     """
     counts = settled(counts)
-    kept = counts.join(counts.groupBy("term").agg(F.sum("n").alias("f"), F.count(F.lit(1)).alias("groups")).filter(F.col("groups") >= min_groups), "term")
+    kept = counts.join(
+        counts.groupBy("term").agg(
+            F.sum("n").alias("f"), F.count(F.lit(1)).alias("groups")
+        ).filter(F.col("groups") >= min_groups),
+        "term",
+    )
     kept = settled(kept)
     sizes = kept.groupBy(group).agg(F.sum("n").alias("size"))
     mean = sizes.agg(F.avg("size").alias("mean"))
     rated = kept.join(sizes, group).crossJoin(F.broadcast(mean))  # one row
     weight = F.round(F.col("n") / F.col("size") * F.log(1 + F.col("mean") / F.col("f")), 6)
-    return head_per_group(rated.select(group, "term", weight.alias("weight")), [group], n, F.desc("weight"), F.asc("term"))
+    return head_per_group(
+        rated.select(group, "term", weight.alias("weight")), [group], n, F.desc("weight"), F.asc("term")
+    )
 
 
 def upgma(vectors: np.ndarray) -> list[tuple[int, int, float, int]]:
@@ -153,7 +204,9 @@ def cut_tree(n: int, merges: list[tuple[int, int, float, int]], height: float) -
     return [order[v] for v in label]
 
 
-def merge_within(centres: DataFrame, category: str, share: float = 0.25, cluster: str = "cluster_id", vector: str = "centroid") -> DataFrame:
+def merge_within(
+    centres: DataFrame, category: str, share: float = 0.25, cluster: str = "cluster_id", vector: str = "centroid"
+) -> DataFrame:
     """Clusters merged by average linkage, never across categories: category, cluster, group, cut and heights.
 
     The cut lies at ``share`` of the way from the lowest to the highest merge of the
@@ -165,32 +218,53 @@ def merge_within(centres: DataFrame, category: str, share: float = 0.25, cluster
         merges = upgma(np.array(group[vector].tolist(), float))
         heights = [h for _, _, h, _ in merges]
         at = min(heights) + share * (max(heights) - min(heights)) if heights else 0.0
-        return pd.DataFrame({category: group[category], cluster: group[cluster], "merged": cut_tree(len(group), merges, at), "cut": at})
+        return pd.DataFrame(
+            {category: group[category], cluster: group[cluster], "merged": cut_tree(len(group), merges, at), "cut": at}
+        )
 
     kinds = centres.schema
     schema = f"{category} {kinds[category].dataType.simpleString()}, {cluster} {kinds[cluster].dataType.simpleString()}, merged int, cut double"
     return centres.select(category, cluster, vector).groupBy(category).applyInPandas(merge, schema)
 
 
-def merge_heights(centres: DataFrame, category: str, cluster: str = "cluster_id", vector: str = "centroid") -> DataFrame:
+def merge_heights(
+    centres: DataFrame, category: str, cluster: str = "cluster_id", vector: str = "centroid"
+) -> DataFrame:
     """The heights of all merges in each category."""
 
     def heights(group: pd.DataFrame) -> pd.DataFrame:
         merges = upgma(np.array(group.sort_values(cluster)[vector].tolist(), float))
-        return pd.DataFrame({category: [group[category].iloc[0]] * len(merges), "height": [h for _, _, h, _ in merges], "size": [s for *_, s in merges]})
-
-    return centres.select(category, cluster, vector).groupBy(category).applyInPandas(heights, f"{category} {centres.schema[category].dataType.simpleString()}, height double, size int")
+        return pd.DataFrame(
+            {
+                category: [group[category].iloc[0]] * len(merges),
+                "height": [h for _, _, h, _ in merges],
+                "size": [s for *_, s in merges],
+            }
+        )
+
+    return centres.select(category, cluster, vector).groupBy(category).applyInPandas(
+        heights, f"{category} {centres.schema[category].dataType.simpleString()}, height double, size int"
+    )
 
 
 def knee_table(heights: DataFrame, n_clusters: DataFrame, thresholds: list[float], height: str = "height") -> DataFrame:
     """threshold, n_merges, n_clusters and reduction (percent) at each threshold."""
     grid = heights.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    counted = grid.join(heights, F.col(height) <= F.col("threshold"), "left").groupBy("threshold").agg(F.count(height).alias("n_merges"))
+    counted = grid.join(
+        heights, F.col(height) <= F.col("threshold"), "left"
+    ).groupBy("threshold").agg(F.count(height).alias("n_merges"))
     total = F.broadcast(n_clusters.agg(F.count(F.lit(1)).alias("total")))  # one row
-    return counted.crossJoin(total).select("threshold", "n_merges", (F.col("total") - F.col("n_merges")).alias("n_clusters"), F.round(100.0 * F.col("n_merges") / F.col("total"), 6).alias("reduction"))
+    return counted.crossJoin(total).select(
+        "threshold",
+        "n_merges",
+        (F.col("total") - F.col("n_merges")).alias("n_clusters"),
+        F.round(100.0 * F.col("n_merges") / F.col("total"), 6).alias("reduction"),
+    )
 
 
-def super_clusters(members: DataFrame, clusters: DataFrame, category: str = "category", merged: str = "merged", limit: int = 50) -> DataFrame:
+def super_clusters(
+    members: DataFrame, clusters: DataFrame, category: str = "category", merged: str = "merged", limit: int = 50
+) -> DataFrame:
     """A record for each merged group: id, representative, constituents, and its queries, most clicked first.
 
     ``clusters`` has category, merged, cluster_id, label and n_queries; ``members`` has
@@ -205,20 +279,37 @@ def super_clusters(members: DataFrame, clusters: DataFrame, category: str = "cat
     k = F.row_number().over(Window.partitionBy(category).orderBy(F.desc("n_queries"), "first"))
     groups = groups.withColumn("supercluster_id", F.format_string("%s_%04d", F.col(category), k))
     held = members.join(clusters.select("cluster_id", category, merged), "cluster_id")
-    once = held.groupBy(category, merged, "query_key").agg(F.min_by(F.struct("query", "clicks", "cluster_id"), F.struct((-F.col("clicks")).alias("a"), F.col("query").alias("b"), F.col("cluster_id").alias("c"))).alias("q"))
-    top = head_per_group(once.select(category, merged, "query_key", "q.*"), [category, merged], limit, F.desc("clicks"), F.asc("query_key"))
-    queries = top.groupBy(category, merged).agg(F.array_sort(F.collect_list(F.struct("rank", "query_key", "query", "clicks", "cluster_id"))).alias("queries"))
+    once = held.groupBy(category, merged, "query_key").agg(
+        F.min_by(
+            F.struct("query", "clicks", "cluster_id"),
+            F.struct((-F.col("clicks")).alias("a"), F.col("query").alias("b"), F.col("cluster_id").alias("c")),
+        ).alias("q")
+    )
+    top = head_per_group(
+        once.select(category, merged, "query_key", "q.*"),
+        [category, merged],
+        limit,
+        F.desc("clicks"),
+        F.asc("query_key"),
+    )
+    queries = top.groupBy(category, merged).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "query_key", "query", "clicks", "cluster_id"))).alias("queries")
+    )
     return groups.join(queries, [category, merged], "left").drop("first")
 
 
 def exploded_super_clusters(records: DataFrame) -> DataFrame:
     """One row for each query of each record."""
-    return records.select("supercluster_id", "label", F.explode("queries").alias("q")).select("supercluster_id", "label", "q.query_key", "q.query", "q.clicks", "q.cluster_id")
+    return records.select("supercluster_id", "label", F.explode("queries").alias("q")).select(
+        "supercluster_id", "label", "q.query_key", "q.query", "q.clicks", "q.cluster_id"
+    )
 
 
 def merged_words(clusters: DataFrame, keys: list[str], words: str, order: str) -> DataFrame:
     """The words of all clusters of a group, the representative's first, each once."""
-    held = F.array_sort(F.collect_list(F.struct((-F.col(order)).alias("a"), F.col("cluster_id").alias("b"), F.col(words).alias("w"))))
+    held = F.array_sort(
+        F.collect_list(F.struct((-F.col(order)).alias("a"), F.col("cluster_id").alias("b"), F.col(words).alias("w")))
+    )
     return clusters.groupBy(*keys).agg(F.array_distinct(F.flatten(F.transform(held, lambda s: s["w"]))).alias(words))
 
 
@@ -232,7 +323,15 @@ def reduce_dimensions(points: DataFrame, key: str, k: int = 5, vector: str = "em
     return model.transform(rows).select(key, vector_to_array("y").alias("reduced"))
 
 
-def density_clusters(points: DataFrame, key: str, vector: str = "embedding", neighbours: int = 5, least_size: int = 10, share: float = 0.8, block: int = 4096) -> DataFrame:
+def density_clusters(
+    points: DataFrame,
+    key: str,
+    vector: str = "embedding",
+    neighbours: int = 5,
+    least_size: int = 10,
+    share: float = 0.8,
+    block: int = 4096,
+) -> DataFrame:
     """Clusters of dense points: key, cluster_id (-1 for noise).
 
     A point's core distance is that to its ``neighbours``-th neighbour; two points are
@@ -245,10 +344,14 @@ def density_clusters(points: DataFrame, key: str, vector: str = "embedding", nei
 
     n = points.count()
     blocks = max(1, -(-n // block))
-    rows = points.select(F.col(key).cast("long").alias("id"), vx.unit(vx.doubles(F.col(vector))).alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    rows = points.select(
+        F.col(key).cast("long").alias("id"), vx.unit(vx.doubles(F.col(vector))).alias("v")
+    ).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.select("own", every.alias("other"), "id", "v")
-    right = rows.select(F.col("own").alias("other"), F.col("id").alias("id"), F.col("v").alias("v")).select(every.alias("own"), "other", "id", "v")
+    right = rows.select(
+        F.col("own").alias("other"), F.col("id").alias("id"), F.col("v").alias("v")
+    ).select(every.alias("own"), "other", "id", "v")
 
     def distances(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         d = np.maximum(1 - np.array(a["v"].tolist()) @ np.array(b["v"].tolist()).T, 0)
@@ -262,7 +365,9 @@ def density_clusters(points: DataFrame, key: str, vector: str = "embedding", nei
         return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), few.shape[1]), "d": few.ravel()})
 
     met = left.groupBy("own", "other").cogroup(right.groupBy("own", "other"))
-    core = met.applyInPandas(nearest, "id long, d double").groupBy("id").agg(F.get(F.array_sort(F.collect_list("d")), F.lit(neighbours - 1)).alias("core"))
+    core = met.applyInPandas(nearest, "id long, d double").groupBy("id").agg(
+        F.get(F.array_sort(F.collect_list("d")), F.lit(neighbours - 1)).alias("core")
+    )
     core = settled(core.filter("core is not null"))
     limit = core.agg(F.percentile("core", F.lit(share))).first()[0]
     if limit is None:
@@ -276,11 +381,15 @@ def density_clusters(points: DataFrame, key: str, vector: str = "embedding", nei
         x, y = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
         return pd.DataFrame({"u": x[x > y], "v": y[x > y]})
 
-    edges = left.join(dense, "id", "left_semi").groupBy("own", "other").cogroup(right.join(dense, "id", "left_semi").groupBy("own", "other")).applyInPandas(linked, "u long, v long")
+    edges = left.join(dense, "id", "left_semi").groupBy("own", "other").cogroup(
+        right.join(dense, "id", "left_semi").groupBy("own", "other")
+    ).applyInPandas(linked, "u long, v long")
     found = components(edges)
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least_size)
     placed = found.join(sizes, "component").select(F.col("node").alias("_id"), "component")
-    return points.select(F.col(key), F.col(key).cast("long").alias("_id")).join(placed, "_id", "left").select(key, F.coalesce("component", F.lit(NOISE).cast("long")).alias("cluster_id"))
+    return points.select(F.col(key), F.col(key).cast("long").alias("_id")).join(placed, "_id", "left").select(
+        key, F.coalesce("component", F.lit(NOISE).cast("long")).alias("cluster_id")
+    )
 
 
 def overview(members: DataFrame, cluster: str = "cluster_id", limit: int = 20) -> DataFrame:
@@ -288,7 +397,9 @@ def overview(members: DataFrame, cluster: str = "cluster_id", limit: int = 20) -
     kept = members.filter(F.col(cluster) != NOISE)
     top = head_per_group(kept, [cluster], limit, F.desc("clicks"), F.asc("query_key"))
     held = F.transform(F.array_sort(F.collect_list(F.struct("rank", "query_key"))), lambda s: s["query_key"])
-    return kept.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.sum("clicks").alias("total_clicks")).join(top.groupBy(cluster).agg(held.alias("top_keys")), cluster)
+    return kept.groupBy(cluster).agg(
+        F.count(F.lit(1)).alias("size"), F.sum("clicks").alias("total_clicks")
+    ).join(top.groupBy(cluster).agg(held.alias("top_keys")), cluster)
 
 
 def size_stats(members: DataFrame, cluster: str = "cluster_id") -> DataFrame:
@@ -296,4 +407,10 @@ def size_stats(members: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     sizes = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
     real = F.col(cluster) != NOISE
     size = F.when(real, F.col("n"))
-    return sizes.agg(F.count_if(real).alias("n_clusters"), F.min(size).alias("least"), F.percentile(size, F.lit(0.5)).alias("median"), F.max(size).alias("most"), F.coalesce(F.sum(F.when(~real, F.col("n"))), F.lit(0)).alias("n_noise"))
+    return sizes.agg(
+        F.count_if(real).alias("n_clusters"),
+        F.min(size).alias("least"),
+        F.percentile(size, F.lit(0.5)).alias("median"),
+        F.max(size).alias("most"),
+        F.coalesce(F.sum(F.when(~real, F.col("n"))), F.lit(0)).alias("n_noise"),
+    )

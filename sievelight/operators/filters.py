@@ -41,8 +41,22 @@ def split_by(flagged: DataFrame, flag: str = "drop_any") -> tuple[DataFrame, Dat
 def funnel(flagged: DataFrame, flags: list[str], clicks: str = "clicks") -> DataFrame:
     """rule, n_dropped and clicks_dropped for every flag and for what is kept, in one pass."""
     rules = [(f, F.coalesce(F.col(f), F.lit(False))) for f in flags] + [("kept", ~any_flag(flags))]
-    row = flagged.agg(*(F.struct(F.count_if(c).alias("n"), F.coalesce(F.sum(F.when(c, F.col(clicks))), F.lit(0)).alias("clicks")).alias(f) for f, c in rules))
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("rule"), F.col(f)["n"].alias("n_rows"), F.col(f)["clicks"].alias("clicks")) for f, _ in rules)))
+    row = flagged.agg(
+        *(
+            F.struct(
+                F.count_if(c).alias("n"), F.coalesce(F.sum(F.when(c, F.col(clicks))), F.lit(0)).alias("clicks")
+            ).alias(f)
+            for f, c in rules
+        )
+    )
+    each = F.explode(
+        F.array(
+            *(
+                F.struct(F.lit(f).alias("rule"), F.col(f)["n"].alias("n_rows"), F.col(f)["clicks"].alias("clicks"))
+                for f, _ in rules
+            )
+        )
+    )
     return row.select(each.alias("e")).select("e.*")
 
 
@@ -69,7 +83,9 @@ def indel_ratio(a: str, b: str) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(
+        [None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"
+    )
 
 
 def fuzzy_matches(left: DataFrame, right: DataFrame, key: str, name: str, cutoff: float = 88.0) -> DataFrame:
@@ -90,17 +106,43 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, key: str, name: str, cutoff
     n = F.length(name)
     parts = edits(n) + 1
     width = F.floor(n / parts)
-    cut = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.when(k < parts - 1, F.substring(F.col(name), (k * width + 1).cast("int"), width.cast("int"))).otherwise(F.substring(F.col(name), (k * width + 1).cast("int"), n)).alias("part"), (k * width).cast("int").alias("at")))
-    indexed = names.select(name, n.alias("n"), edits(n).alias("d"), F.explode(cut).alias("p")).select(name, "n", "d", "p.*", F.length("p.part").alias("w"))
+    cut = F.transform(
+        F.sequence(F.lit(0), parts - 1),
+        lambda k: F.struct(
+            F.when(
+                k < parts - 1, F.substring(F.col(name), (k * width + 1).cast("int"), width.cast("int"))
+            ).otherwise(F.substring(F.col(name), (k * width + 1).cast("int"), n)).alias("part"),
+            (k * width).cast("int").alias("at"),
+        ),
+    )
+    indexed = names.select(
+        name, n.alias("n"), edits(n).alias("d"), F.explode(cut).alias("p")
+    ).select(name, "n", "d", "p.*", F.length("p.part").alias("w"))
     shapes = indexed.select("n", "d", "at", "w").distinct()
     keys = left.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("m", F.length(key))
     # Every shape of a name meets the key lengths it can reach.
-    reach = shapes.select("n", "d", "at", "w", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - F.col("d")), F.col("n") + F.col("d"))).alias("m"))
-    windows = keys.join(reach, "m").select(key, "n", "at", "w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("d")), F.col("at") + F.col("d"))).alias("from"))
-    windows = windows.select(key, "n", "at", F.substring(F.col(key), F.col("from") + 1, F.col("w")).alias("part")).distinct()
+    reach = shapes.select(
+        "n",
+        "d",
+        "at",
+        "w",
+        F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - F.col("d")), F.col("n") + F.col("d"))).alias("m"),
+    )
+    windows = keys.join(reach, "m").select(
+        key,
+        "n",
+        "at",
+        "w",
+        F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("d")), F.col("at") + F.col("d"))).alias("from"),
+    )
+    windows = windows.select(
+        key, "n", "at", F.substring(F.col(key), F.col("from") + 1, F.col("w")).alias("part")
+    ).distinct()
     pairs = windows.join(indexed, ["n", "at", "part"]).select(key, name).distinct()
     rated = pairs.withColumn("ratio", indel_ratio_udf(key, name)).filter(F.col("ratio") >= cutoff)
-    return rated.groupBy(key).agg(F.min_by(F.struct(name, "ratio"), F.struct((-F.col("ratio")).alias("r"), F.col(name).alias("s"))).alias("b")).select(key, "b.*")
+    return rated.groupBy(key).agg(
+        F.min_by(F.struct(name, "ratio"), F.struct((-F.col("ratio")).alias("r"), F.col(name).alias("s"))).alias("b")
+    ).select(key, "b.*")
 
 
 def person_flags(log: DataFrame, people: DataFrame, text: str = "query", cutoff: float = 88.0) -> DataFrame:
@@ -110,13 +152,21 @@ def person_flags(log: DataFrame, people: DataFrame, text: str = "query", cutoff:
     whole, by a token of four letters or more, or, having three tokens or fewer, by
     similarity.
     """
-    names = people.select(*(F.nullif(tx.normalize_name(F.coalesce(c, F.lit(""))), F.lit("")).alias(c) for c in ("firstname", "lastname")))
+    names = people.select(
+        *(F.nullif(tx.normalize_name(F.coalesce(c, F.lit(""))), F.lit("")).alias(c) for c in ("firstname", "lastname"))
+    )
     both = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.concat_ws(" ", a, b))
-    whole = names.select(F.explode(F.array("firstname", "lastname", both("firstname", "lastname"), both("lastname", "firstname"))).alias("name")).filter("name is not null").distinct()
+    whole = names.select(
+        F.explode(
+            F.array("firstname", "lastname", both("firstname", "lastname"), both("lastname", "firstname"))
+        ).alias("name")
+    ).filter("name is not null").distinct()
     last = whole.select(F.col("name").alias("token")).filter("length(token) >= 4")
     keys = log.select(tx.normalize_name(F.col(text)).alias("key")).filter("length(key) > 0").distinct()
     full = keys.join(whole.withColumnRenamed("name", "key"), "key", "left_semi").withColumn("match", F.lit("full"))
-    token = keys.select("key", F.explode(tx.tokens(F.col("key"))).alias("token")).join(last, "token", "left_semi").select("key").distinct().withColumn("match", F.lit("token"))
+    token = keys.select(
+        "key", F.explode(tx.tokens(F.col("key"))).alias("token")
+    ).join(last, "token", "left_semi").select("key").distinct().withColumn("match", F.lit("token"))
     few = keys.filter(F.size(tx.tokens(F.col("key"))) <= 3)
     fuzzy = fuzzy_matches(few, whole, "key", "name", cutoff).select("key", F.lit("fuzzy").alias("match"))
     order = F.when(F.col("match") == "full", 0).when(F.col("match") == "token", 1).otherwise(2)

@@ -28,7 +28,9 @@ def lookup(c: Column, table: dict, default) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[c], F.lit(default))
 
 
-def by_fraction(clusters: DataFrame, key: str, category: str, fractions: dict[str, float] = CATEGORY_FRACTION) -> DataFrame:
+def by_fraction(
+    clusters: DataFrame, key: str, category: str, fractions: dict[str, float] = CATEGORY_FRACTION
+) -> DataFrame:
     """Clusters kept by the fraction of their category; an unknown category keeps all."""
     return clusters.filter(keep_fraction(F.col(key).cast("string"), lookup(F.col(category), fractions, 1.0)))
 
@@ -46,9 +48,18 @@ def min_confidence() -> Column:
 
 def prepared(picks: DataFrame, weights: dict[str, float] = CATEGORY_WEIGHT) -> DataFrame:
     """One row for each query, of the best category and then the surest, with weight, min_conf and conf_factor."""
-    rows = picks.withColumns({"category_weight": lookup(F.col("clinical_relevance"), weights, 0.0), "min_conf": min_confidence()})
+    rows = picks.withColumns(
+        {"category_weight": lookup(F.col("clinical_relevance"), weights, 0.0), "min_conf": min_confidence()}
+    )
     rows = rows.withColumn("conf_factor", F.when(F.col("min_conf") >= 3, 1.0).otherwise(LOW_CONFIDENCE))
-    return best_row(rows, ["query_key"], -F.col("category_weight"), -F.col("min_conf"), F.col("supercluster_id"), F.col("query_text"))
+    return best_row(
+        rows,
+        ["query_key"],
+        -F.col("category_weight"),
+        -F.col("min_conf"),
+        F.col("supercluster_id"),
+        F.col("query_text"),
+    )
 
 
 def supply(picks: DataFrame) -> DataFrame:
@@ -61,20 +72,30 @@ def shortfall(picks: DataFrame, targets: dict[str, int] = TARGETS) -> DataFrame:
     """cell, target, achieved and shortfall of every quota."""
     wanted = picks.sparkSession.createDataFrame(list(targets.items()), "cell string, target long")
     n = F.coalesce("n", F.lit(0))
-    return F.broadcast(wanted).join(supply(picks), "cell", "left").select("cell", "target", n.alias("achieved"), F.greatest(F.lit(0), F.col("target") - n).alias("shortfall"))
+    return F.broadcast(wanted).join(supply(picks), "cell", "left").select(
+        "cell", "target", n.alias("achieved"), F.greatest(F.lit(0), F.col("target") - n).alias("shortfall")
+    )
 
 
 def confidence_histogram(picks: DataFrame) -> DataFrame:
     """Rows of each confidence from 1 to 5 on each axis: axis, confidence, n."""
-    long = picks.unpivot([], [f"{a}_confidence" for a in AXES], "axis", "confidence").withColumn("axis", F.upper(F.substring_index("axis", "_", 1)))
+    long = picks.unpivot(
+        [], [f"{a}_confidence" for a in AXES], "axis", "confidence"
+    ).withColumn("axis", F.upper(F.substring_index("axis", "_", 1)))
     counts = long.groupBy("axis", "confidence").agg(F.count(F.lit(1)).alias("n"))
-    grid = picks.sparkSession.createDataFrame([(a.upper(), c) for a in AXES for c in range(1, 6)], "axis string, confidence int")
-    return grid.join(counts, ["axis", "confidence"], "left").select("axis", "confidence", F.coalesce("n", F.lit(0)).alias("n"))
+    grid = picks.sparkSession.createDataFrame(
+        [(a.upper(), c) for a in AXES for c in range(1, 6)], "axis string, confidence int"
+    )
+    return grid.join(counts, ["axis", "confidence"], "left").select(
+        "axis", "confidence", F.coalesce("n", F.lit(0)).alias("n")
+    )
 
 
 def histogram_of_counts(picks: DataFrame, cluster: str = "supercluster_id") -> DataFrame:
     """How many clusters have each number of picks."""
-    return picks.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_picks")).groupBy("n_picks").agg(F.count(F.lit(1)).alias("n_clusters"))
+    return picks.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_picks")).groupBy("n_picks").agg(
+        F.count(F.lit(1)).alias("n_clusters")
+    )
 
 
 def _greedy(rows: pd.DataFrame, total: int, buffer: int, targets: dict[str, int], cap: int) -> pd.DataFrame:
@@ -82,10 +103,14 @@ def _greedy(rows: pd.DataFrame, total: int, buffer: int, targets: dict[str, int]
     names = list(targets)
     place = {c: k for k, c in enumerate(names)}
     want = np.array([targets[c] for c in names], float)
-    cells = np.array([[place.get(c, -1) for c in row] for row in rows[[f"{a}_grade" for a in AXES]].to_numpy()]).reshape(len(rows), len(AXES))
+    cells = np.array(
+        [[place.get(c, -1) for c in row] for row in rows[[f"{a}_grade" for a in AXES]].to_numpy()]
+    ).reshape(len(rows), len(AXES))
     known = cells >= 0
     left = want.copy()
-    weight, conf, clusters = rows["category_weight"].to_numpy(float), rows["min_conf"].to_numpy(float), rows["supercluster_id"].to_numpy()
+    weight, conf, clusters = rows[
+        "category_weight"
+    ].to_numpy(float), rows["min_conf"].to_numpy(float), rows["supercluster_id"].to_numpy()
     quality = weight * rows["conf_factor"].to_numpy(float)
     have = np.bincount(cells[known], minlength=len(names))
     scarce = have < want
@@ -118,7 +143,13 @@ def _greedy(rows: pd.DataFrame, total: int, buffer: int, targets: dict[str, int]
     return out
 
 
-def greedy_sample(picks: DataFrame, total: int = N_TOTAL, buffer: int = BUFFER, targets: dict[str, int] = TARGETS, cap: int = CLUSTER_CAP) -> DataFrame:
+def greedy_sample(
+    picks: DataFrame,
+    total: int = N_TOTAL,
+    buffer: int = BUFFER,
+    targets: dict[str, int] = TARGETS,
+    cap: int = CLUSTER_CAP,
+) -> DataFrame:
     """A sample that meets the quotas: query_key, phase (scarce, greedy or buffer) and order.
 
     Each choice depends on all before it, so one task makes them.  What reaches that task
@@ -133,10 +164,14 @@ def greedy_sample(picks: DataFrame, total: int = N_TOTAL, buffer: int = BUFFER,
     few = head_per_group(prepared(picks), kind, total + buffer, F.asc("query_key")).select("query_key", *kind)
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(["category_weight", "min_conf", "query_key"], ascending=[False, False, True]).reset_index(drop=True)
+        ordered = group.sort_values(
+            ["category_weight", "min_conf", "query_key"], ascending=[False, False, True]
+        ).reset_index(drop=True)
         return _greedy(ordered, total, buffer, targets, cap)[["query_key", "phase", "order"]]
 
-    return few.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(choose, "query_key string, phase string, order int")
+    return few.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(
+        choose, "query_key string, phase string, order int"
+    )
 
 
 def agreement(verified: DataFrame, picks: DataFrame) -> DataFrame:
@@ -145,14 +180,25 @@ def agreement(verified: DataFrame, picks: DataFrame) -> DataFrame:
     agree = {a: F.coalesce(F.col(f"{a}_grade") == F.col(f"verifier_{a}_grade"), F.lit(False)) for a in AXES}
     against = [(F.col(f"{a}_grade") != f"{a.upper()}0") & ~F.col(f"verifier_{a}_axis_applicable") for a in AXES]
     total = lambda flags: sum((f.cast("int") for f in flags), F.lit(0))
-    out = joined.select("query_key", *(f.alias(f"{a}_agree") for a, f in agree.items()), total(agree.values()).alias("n_axes_agreement"), total(against).alias("contradiction_count"))
-    return out.withColumn("is_iaa_hard_candidate", (F.col("n_axes_agreement") <= 2) | (F.col("contradiction_count") > 0))
+    out = joined.select(
+        "query_key",
+        *(f.alias(f"{a}_agree") for a, f in agree.items()),
+        total(agree.values()).alias("n_axes_agreement"),
+        total(against).alias("contradiction_count"),
+    )
+    return out.withColumn(
+        "is_iaa_hard_candidate", (F.col("n_axes_agreement") <= 2) | (F.col("contradiction_count") > 0)
+    )
 
 
 def relevant_clusters(picks: DataFrame, axis: str, token: str, most: int) -> DataFrame:
     """Clusters with picks of the token, by the weight of their category and then their number."""
-    own = picks.filter(F.col(f"{axis}_grade") == token).groupBy("supercluster_id").agg(F.count(F.lit(1)).alias("n_anchor"), F.min("clinical_relevance").alias("clinical_relevance"))
-    return own.withColumn("weight", lookup(F.col("clinical_relevance"), CATEGORY_WEIGHT, 0.0)).orderBy(F.desc("weight"), F.desc("n_anchor"), "supercluster_id").limit(most)
+    own = picks.filter(F.col(f"{axis}_grade") == token).groupBy("supercluster_id").agg(
+        F.count(F.lit(1)).alias("n_anchor"), F.min("clinical_relevance").alias("clinical_relevance")
+    )
+    return own.withColumn(
+        "weight", lookup(F.col("clinical_relevance"), CATEGORY_WEIGHT, 0.0)
+    ).orderBy(F.desc("weight"), F.desc("n_anchor"), "supercluster_id").limit(most)
 
 
 def swap_candidates(base: DataFrame, n: int) -> DataFrame:
@@ -167,7 +213,12 @@ def backfilled(base: DataFrame, kept: DataFrame) -> DataFrame:
     from sievelight.operators.sets import swap
 
     n = kept.count()
-    return swap(base.withColumn("origin", F.lit("picked")), swap_candidates(base, n), kept.withColumn("origin", F.lit("synthesized")), "query_key")
+    return swap(
+        base.withColumn("origin", F.lit("picked")),
+        swap_candidates(base, n),
+        kept.withColumn("origin", F.lit("synthesized")),
+        "query_key",
+    )
 
 
 def is_rare() -> Column:
@@ -177,40 +228,71 @@ def is_rare() -> Column:
 def manifest(packed: DataFrame, agreed: DataFrame, prefix: str = "golden-v1:") -> DataFrame:
     """Every item with its package, source key and agreement."""
     extra = agreed.select("query_key", "n_axes_agreement", "is_iaa_hard_candidate")
-    return packed.join(extra, "query_key", "left").withColumns({"source": source_key(prefix, F.col("query_key")), "package": F.when(F.col("in_core"), "core").otherwise("extra")})
+    return packed.join(extra, "query_key", "left").withColumns(
+        {
+            "source": source_key(prefix, F.col("query_key")),
+            "package": F.when(F.col("in_core"), "core").otherwise("extra"),
+        }
+    )
 
 
 def packages(items: DataFrame) -> DataFrame:
     """A JSON document for each package: its queries by source."""
     held = F.array_sort(F.collect_list(F.struct("source", F.col("query_text").alias("text"))))
-    return items.groupBy("package").agg(F.to_json(F.struct(held.alias("queries"))).alias("json"), F.count(F.lit(1)).alias("n"))
+    return items.groupBy("package").agg(
+        F.to_json(F.struct(held.alias("queries"))).alias("json"), F.count(F.lit(1)).alias("n")
+    )
 
 
 def resolved(ratings: DataFrame, item: str, value: str, adjudicated: str) -> DataFrame:
     """The gold of each item: what was adjudicated, else what all raters agree on, else null; and how it came about."""
-    own = ratings.groupBy(item).agg(F.max(adjudicated).alias("a"), F.count_distinct(value).alias("k"), F.min(value).alias("v"))
+    own = ratings.groupBy(item).agg(
+        F.max(adjudicated).alias("a"), F.count_distinct(value).alias("k"), F.min(value).alias("v")
+    )
     gold = F.coalesce("a", F.when(F.col("k") == 1, F.col("v")))
     how = F.when(F.col("a").isNotNull(), "adjudicated").when(F.col("k") == 1, "agreement").otherwise("unresolved")
     return own.select(item, gold.alias("gold"), how.alias("provenance"))
 
 
-def raters_of(wide: DataFrame, axes=("MU", "PU", "ET"), least: int = 150, excluded=("gold", "llm_reference", "admin")) -> list[str]:
+def raters_of(
+    wide: DataFrame, axes=("MU", "PU", "ET"), least: int = 150, excluded=("gold", "llm_reference", "admin")
+) -> list[str]:
     """Names of the raters whose columns hold at least ``least`` values on every axis."""
-    names = sorted({c.rsplit("_", 1)[0] for c in wide.columns if c.rsplit("_", 1)[-1] in axes and not c.startswith(tuple(excluded))})
+    names = sorted(
+        {
+            c.rsplit("_", 1)[0]
+            for c in wide.columns
+            if c.rsplit("_", 1)[-1] in axes and not c.startswith(tuple(excluded))
+        }
+    )
     if not names:
         return []
-    row = wide.agg(*(F.least(*(F.count(f"{n}_{a}") for a in axes if f"{n}_{a}" in wide.columns), F.lit(1 << 60)).alias(n) for n in names)).first()
+    row = wide.agg(
+        *(
+            F.least(*(F.count(f"{n}_{a}") for a in axes if f"{n}_{a}" in wide.columns), F.lit(1 << 60)).alias(n)
+            for n in names
+        )
+    ).first()
     return [n for n in names if row[n] >= least]
 
 
 def ratings_long(wide: DataFrame, key: str, raters: list[str], axes=("MU", "PU", "ET")) -> DataFrame:
     """key, rater, axis and grade from columns named after both."""
-    cells = [F.struct(F.lit(r).alias("rater"), F.lit(a).alias("axis"), F.col(f"{r}_{a}").cast("int").alias("grade")) for r in raters for a in axes if f"{r}_{a}" in wide.columns]
+    cells = [
+        F.struct(F.lit(r).alias("rater"), F.lit(a).alias("axis"), F.col(f"{r}_{a}").cast("int").alias("grade"))
+        for r in raters
+        for a in axes
+        if f"{r}_{a}" in wide.columns
+    ]
     every = F.array(*cells).cast("array<struct<rater:string,axis:string,grade:int>>")
     return wide.select(key, F.explode(every).alias("e")).select(key, "e.*")
 
 
 def validated(rows: DataFrame, token: str, axis: str, confidence: str) -> DataFrame:
     """Rows with reject, the reason why a model's answer can't be used, or null."""
-    reason = F.when(F.col(token).isNull(), "no grade").when(~F.col(token).rlike("^" + axis + "[012]$"), "unknown grade").when(F.col(confidence).isNull() | ~F.col(confidence).between(1, 5), "confidence out of range")
+    reason = F.when(F.col(token).isNull(), "no grade").when(
+        ~F.col(token).rlike("^" + axis + "[012]$"), "unknown grade"
+    ).when(
+        F.col(confidence).isNull() | ~F.col(confidence).between(1, 5), "confidence out of range"
+    )
     return rows.withColumn("reject", reason)

@@ -21,20 +21,33 @@ def _features(rows: DataFrame, v: str = "v") -> DataFrame:
 def _logistic(train: DataFrame, label: str, balanced: bool, family: str, iterations: int = 100):
     """Unit inverse regularisation: the penalty is 1 / n, as Spark's loss is a mean."""
     data = train.withColumn("w", class_weights(train, label) if balanced else F.lit(1.0))
-    return LogisticRegression(family=family, labelCol=label, weightCol="w", regParam=1.0 / max(1, train.count()), standardization=False, maxIter=iterations).fit(data)
+    return LogisticRegression(
+        family=family,
+        labelCol=label,
+        weightCol="w",
+        regParam=1.0 / max(1, train.count()),
+        standardization=False,
+        maxIter=iterations,
+    ).fit(data)
 
 
 def linear_head(train: DataFrame, rows: DataFrame, balanced: bool = True) -> DataFrame:
     """Rows with pred of a multinomial logistic regression."""
     model = _logistic(_features(train), "grade", balanced, "multinomial")
-    return model.transform(_features(rows)).withColumn("pred", F.col("prediction").cast("int")).drop("features", "rawPrediction", "probability", "prediction")
+    return model.transform(_features(rows)).withColumn("pred", F.col("prediction").cast("int")).drop(
+        "features", "rawPrediction", "probability", "prediction"
+    )
 
 
 def mlp_head(train: DataFrame, rows: DataFrame, hidden: int = 256, iterations: int = 100, seed: int = 0) -> DataFrame:
     """Rows with pred of a perceptron with one hidden layer."""
     size = len(train.select("v").first()["v"])
-    model = MultilayerPerceptronClassifier(layers=[size, hidden, 3], labelCol="grade", maxIter=iterations, seed=seed).fit(_features(train))
-    return model.transform(_features(rows)).withColumn("pred", F.col("prediction").cast("int")).drop("features", "rawPrediction", "probability", "prediction")
+    model = MultilayerPerceptronClassifier(
+        layers=[size, hidden, 3], labelCol="grade", maxIter=iterations, seed=seed
+    ).fit(_features(train))
+    return model.transform(_features(rows)).withColumn("pred", F.col("prediction").cast("int")).drop(
+        "features", "rawPrediction", "probability", "prediction"
+    )
 
 
 def ordinal_head(train: DataFrame, rows: DataFrame) -> DataFrame:
@@ -42,7 +55,9 @@ def ordinal_head(train: DataFrame, rows: DataFrame) -> DataFrame:
     out = _features(rows)
     for g in (1, 2):
         model = _logistic(_features(train).withColumn("y", (F.col("grade") >= g).cast("int")), "y", True, "binomial")
-        out = model.transform(out).withColumn(f"p{g}", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+        out = model.transform(out).withColumn(
+            f"p{g}", F.get(vector_to_array("probability"), F.lit(1))
+        ).drop("rawPrediction", "probability", "prediction")
     low, high = F.col("p1"), F.least("p1", "p2")
     return out.withColumn("pred", F.when(high >= 0.5, 2).when(low >= 0.5, 1).otherwise(0)).drop("features", "p1", "p2")
 
@@ -51,11 +66,17 @@ def whitened_head(train: DataFrame, rows: DataFrame, k: int = 256) -> DataFrame:
     """Rows with pred of a logistic regression on principal components of unit variance."""
     size = len(train.select("v").first()["v"])
     model = PCA(k=min(k, size), inputCol="features", outputCol="parts").fit(_features(train))
-    sd = model.transform(_features(train)).select(F.posexplode(vector_to_array("parts")).alias("k", "x")).groupBy("k").agg(F.stddev_pop("x").alias("sd")).orderBy("k").collect()  # a row a component
+    sd = model.transform(_features(train)).select(  # a row a component
+        F.posexplode(vector_to_array("parts")).alias("k", "x")
+    ).groupBy("k").agg(F.stddev_pop("x").alias("sd")).orderBy("k").collect()
     scale = F.array(*(F.lit(1.0 / max(r["sd"] or 0.0, 1e-9)) for r in sd))
-    white = lambda df: model.transform(_features(df)).withColumn("white", F.zip_with(vector_to_array("parts"), scale, lambda a, b: a * b)).drop("features", "parts")
+    white = lambda df: model.transform(_features(df)).withColumn(
+        "white", F.zip_with(vector_to_array("parts"), scale, lambda a, b: a * b)
+    ).drop("features", "parts")
     fitted = _logistic(_features(white(train), "white"), "grade", True, "multinomial")
-    return fitted.transform(_features(white(rows), "white")).withColumn("pred", F.col("prediction").cast("int")).drop("features", "rawPrediction", "probability", "prediction", "white")
+    return fitted.transform(_features(white(rows), "white")).withColumn("pred", F.col("prediction").cast("int")).drop(
+        "features", "rawPrediction", "probability", "prediction", "white"
+    )
 
 
 def score_head(train: DataFrame, rows: DataFrame) -> DataFrame:

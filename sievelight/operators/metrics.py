@@ -32,7 +32,15 @@ def confusion(df: DataFrame, true: str, pred: str, by: list[str] = (), grades=GR
 
 def confusion_long(df: DataFrame, true: str, pred: str, by: list[str] = (), grades=GRADES) -> DataFrame:
     """The dense matrix as rows: true, pred, n."""
-    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("true"), F.lit(j).alias("pred"), F.col(f"c_{i}_{j}").alias("n")) for i in grades for j in grades)))
+    cells = F.explode(
+        F.array(
+            *(
+                F.struct(F.lit(i).alias("true"), F.lit(j).alias("pred"), F.col(f"c_{i}_{j}").alias("n"))
+                for i in grades
+                for j in grades
+            )
+        )
+    )
     return confusion(df, true, pred, by, grades).select(*by, cells.alias("e")).select(*by, "e.*")
 
 
@@ -79,7 +87,9 @@ def midranks(df: DataFrame, value: str, by: list[str] = (), out: str = "r") -> D
     The rows of a cell are first reduced to distinct values, so a window orders those alone.
     """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(
+        F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
     ranks = counts.withColumn(out, before + (F.col("_n") + 1) / 2.0).drop("_n")
     keys = [*by, value]
     return df.join(ranks, keys)
@@ -106,14 +116,20 @@ def krippendorff_alpha(ratings: DataFrame, unit: str, value: str, by: list[str]
 
     Sums of squares of pairs follow from sums and sums of squares, so no pair is formed.
     """
-    own = ratings.filter(F.col(value).isNotNull()).groupBy(*by, unit).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col(value).cast("double")).alias("s"), F.sum(F.col(value).cast("double") * F.col(value)).alias("q")).filter("m > 1")
+    own = ratings.filter(F.col(value).isNotNull()).groupBy(*by, unit).agg(
+        F.count(F.lit(1)).alias("m"),
+        F.sum(F.col(value).cast("double")).alias("s"),
+        F.sum(F.col(value).cast("double") * F.col(value)).alias("q"),
+    ).filter("m > 1")
     within = F.sum((F.col("m") * F.col("q") - F.col("s") * F.col("s")) / (F.col("m") - 1))
     n, s, q = F.sum("m"), F.sum("s"), F.sum("q")
     expected = (n * q - s * s) / (n - 1)
     return group(own, list(by), (1.0 - within / F.nullif(expected, F.lit(0.0))).alias("alpha"))
 
 
-def bootstrap_qwk(df: DataFrame, true: str, pred: str, key: str, resamples: int = 1000, by: list[str] = ()) -> DataFrame:
+def bootstrap_qwk(
+    df: DataFrame, true: str, pred: str, key: str, resamples: int = 1000, by: list[str] = ()
+) -> DataFrame:
     """Median and 95 % interval of the kappa over resamples by hashed draws: by, n_used, low, median, high.
 
     Draw i of resample b takes row md5(b:i) mod n in the order of ``key``.  Rows are
@@ -122,7 +138,9 @@ def bootstrap_qwk(df: DataFrame, true: str, pred: str, key: str, resamples: int
     rows = df.filter(F.col(true).isNotNull() & F.col(pred).isNotNull()).select(*by, key, true, pred)
     placed = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1)
     sizes = group(placed, list(by), F.count(F.lit(1)).alias("_n"))
-    sized = placed.select(*by, F.col("_i").alias("_draw")).join(sizes, list(by)) if by else placed.select(F.col("_i").alias("_draw")).crossJoin(F.broadcast(sizes))
+    sized = placed.select(
+        *by, F.col("_i").alias("_draw")
+    ).join(sizes, list(by)) if by else placed.select(F.col("_i").alias("_draw")).crossJoin(F.broadcast(sizes))
     draws = sized.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     drawn = draws.withColumn("_i", (uniform_long(F.md5(F.concat_ws(":", "_b", "_draw"))) % F.col("_n")).cast("int"))
     labelled = drawn.select(*by, "_b", "_i").join(placed.select(*by, "_i", true, pred), [*by, "_i"])
@@ -130,51 +148,87 @@ def bootstrap_qwk(df: DataFrame, true: str, pred: str, key: str, resamples: int
     labels = _sum((_sum(F.col(f"c_{i}_{j}") for j in GRADES) > 0).cast("int") for i in GRADES)
     values = each.filter(labels > 1).withColumn("_k", qwk_of())
     at = lambda q, name: F.percentile("_k", F.lit(q)).alias(name)
-    return group(values, list(by), F.count("_k").alias("n_used"), at(0.025, "low"), at(0.5, "median"), at(0.975, "high"))
+    return group(
+        values, list(by), F.count("_k").alias("n_used"), at(0.025, "low"), at(0.5, "median"), at(0.975, "high")
+    )
 
 
 def eta_squared(df: DataFrame, value: str, factor: str, by: list[str] = ()) -> DataFrame:
     """Share of the variance that a factor explains: by, eta_squared.  One pass over groups' sums."""
     x = F.col(value).cast("double")
-    own = df.filter(x.isNotNull()).groupBy(*by, factor).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    own = df.filter(x.isNotNull()).groupBy(*by, factor).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q")
+    )
     n, s = F.sum("n"), F.sum("s")
     mean = s * s / n
-    return group(own, list(by), ((F.sum(F.col("s") * F.col("s") / F.col("n")) - mean) / (F.sum("q") - mean + 1e-12)).alias("eta_squared"))
+    return group(
+        own,
+        list(by),
+        ((F.sum(F.col("s") * F.col("s") / F.col("n")) - mean) / (F.sum("q") - mean + 1e-12)).alias("eta_squared"),
+    )
 
 
 def latency(calls: DataFrame, seconds: str = "latency_s", by: list[str] = ()) -> DataFrame:
     """n, mean, median, p95, least and most of the calls that came back."""
     at = lambda q: F.percentile(seconds, F.lit(q))
-    return group(calls.filter(F.col(seconds).isNotNull()), list(by), F.count(F.lit(1)).alias("n"), F.avg(seconds).alias("mean"), at(0.5).alias("median"), at(0.95).alias("p95"), F.min(seconds).alias("least"), F.max(seconds).alias("most"))
+    return group(
+        calls.filter(F.col(seconds).isNotNull()),
+        list(by),
+        F.count(F.lit(1)).alias("n"),
+        F.avg(seconds).alias("mean"),
+        at(0.5).alias("median"),
+        at(0.95).alias("p95"),
+        F.min(seconds).alias("least"),
+        F.max(seconds).alias("most"),
+    )
 
 
 def histogram(df: DataFrame, value: str, bins: int = 31) -> DataFrame:
     """Counts in equal bins between the least and the largest value: bin (from 0), n."""
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))  # one row
-    place = F.least(F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
-    placed = df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).select(F.coalesce(place, F.lit(0)).cast("int").alias("bin"))
+    place = F.least(
+        F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1)
+    )
+    placed = df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).select(
+        F.coalesce(place, F.lit(0)).cast("int").alias("bin")
+    )
     counts = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    return df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    return df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").select(
+        "bin", F.coalesce("n", F.lit(0)).alias("n")
+    )
 
 
 def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     at = lambda q: F.percentile(value, F.lit(q))
-    return df.groupBy(*by).agg(F.min(value).alias("least"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max(value).alias("most"), F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*by).agg(
+        F.min(value).alias("least"),
+        at(0.25).alias("q1"),
+        at(0.5).alias("median"),
+        at(0.75).alias("q3"),
+        F.max(value).alias("most"),
+        F.count(F.lit(1)).alias("n"),
+    )
 
 
 def best_cell(metrics: DataFrame, by: list[str], metric: str, *ties: str) -> DataFrame:
     """The row of the largest metric of each group; ties go to the smaller of the other columns."""
     others = [c for c in metrics.columns if c not in by]
     order = F.struct((-F.col(metric)).alias("m"), *(F.col(t).alias(f"t_{t}") for t in ties))
-    return metrics.filter(F.col(metric).isNotNull()).groupBy(*by).agg(F.min_by(F.struct(*others), order).alias("r")).select(*by, "r.*")
+    return metrics.filter(F.col(metric).isNotNull()).groupBy(*by).agg(
+        F.min_by(F.struct(*others), order).alias("r")
+    ).select(*by, "r.*")
 
 
-def mode_delta(metrics: DataFrame, keys: list[str], mode: str, baseline: str, metric: str, band: float = 0.02) -> DataFrame:
+def mode_delta(
+    metrics: DataFrame, keys: list[str], mode: str, baseline: str, metric: str, band: float = 0.02
+) -> DataFrame:
     """The change of the metric from the baseline mode and its verdict: better, worse or even."""
     base = metrics.filter(F.col(mode) == baseline).select(*keys, F.col(metric).alias("_base"))
     delta = F.col(metric) - F.col("_base")
     verdict = F.when(delta > band, "better").when(delta < -band, "worse").otherwise("even")
-    return metrics.filter(F.col(mode) != baseline).join(base, keys).select(*keys, mode, delta.alias("delta"), verdict.alias("verdict"))
+    return metrics.filter(F.col(mode) != baseline).join(base, keys).select(
+        *keys, mode, delta.alias("delta"), verdict.alias("verdict")
+    )
 
 
 def missed(df: DataFrame, true: str, pred: str, by: list[str] = (), grade: int = 2) -> DataFrame:
@@ -192,5 +246,14 @@ def caught_by_other(a: DataFrame, b: DataFrame, key: str, true: str, pred: str,
 def cost_curves(spark, prices: dict[str, tuple[float, float]], most: int = 15) -> DataFrame:
     """Cost for 1 to ``most`` axes of models with a fixed price and one for each axis."""
     axes = spark.range(1, most + 1).select(F.col("id").cast("int").alias("n_axes"))
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("model"), F.lit(float(a)).alias("fixed"), F.lit(float(b)).alias("each")) for k, (a, b) in prices.items())))
-    return axes.select("n_axes", each.alias("m")).select("n_axes", "m.model", (F.col("m.fixed") + F.col("m.each") * F.col("n_axes")).alias("cost"))
+    each = F.explode(
+        F.array(
+            *(
+                F.struct(F.lit(k).alias("model"), F.lit(float(a)).alias("fixed"), F.lit(float(b)).alias("each"))
+                for k, (a, b) in prices.items()
+            )
+        )
+    )
+    return axes.select("n_axes", each.alias("m")).select(
+        "n_axes", "m.model", (F.col("m.fixed") + F.col("m.each") * F.col("n_axes")).alias("cost")
+    )

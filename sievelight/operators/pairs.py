@@ -41,19 +41,25 @@ def anchor_pool(picks: DataFrame, golden: DataFrame) -> DataFrame:
 
 def sparsity(anchors: DataFrame) -> DataFrame:
     """Distinct queries and clusters of each axis and grade."""
-    return anchors.groupBy("axis", "grade").agg(F.count_distinct("query_key").alias("n_queries"), F.count_distinct("supercluster_id").alias("n_clusters"))
+    return anchors.groupBy("axis", "grade").agg(
+        F.count_distinct("query_key").alias("n_queries"), F.count_distinct("supercluster_id").alias("n_clusters")
+    )
 
 
 def spanning_clusters(anchors: DataFrame) -> DataFrame:
     """Clusters with two grades or more on an axis."""
-    return anchors.groupBy("axis", "supercluster_id").agg(F.count_distinct("grade").alias("n_grades")).filter("n_grades >= 2")
+    return anchors.groupBy("axis", "supercluster_id").agg(
+        F.count_distinct("grade").alias("n_grades")
+    ).filter("n_grades >= 2")
 
 
 def select_mu(wide: DataFrame, most: int = 800, cap: int = PER_CLUSTER) -> DataFrame:
     """Natural queries of MU1, all of them, filled up with MU0 on ET1 topics, some of each cluster."""
     natural = wide.filter(is_natural(F.col("query_text")))
     one = natural.filter("mu = 1").withColumn("part", F.lit(0))
-    zero = head_per_group(natural.filter("mu = 0 and et = 1"), ["supercluster_id"], cap, F.asc("query_key")).drop("rank").withColumn("part", F.lit(1))
+    zero = head_per_group(
+        natural.filter("mu = 0 and et = 1"), ["supercluster_id"], cap, F.asc("query_key")
+    ).drop("rank").withColumn("part", F.lit(1))
     need = max(0, most - one.count())
     return one.unionByName(zero.orderBy("query_key").limit(need))
 
@@ -62,17 +68,29 @@ def select_pu(wide: DataFrame, most: int = 1000, cap: int = PER_CLUSTER, heavy:
     """Natural queries of PU0: a share on ET2 topics and the rest on ET1, some of each cluster."""
     natural = wide.filter("pu = 0").filter(is_natural(F.col("query_text")))
     n2 = int(most * heavy)
-    part = lambda et, n: head_per_group(natural.filter(F.col("et") == et), ["supercluster_id"], cap, F.asc("query_key")).drop("rank").orderBy("query_key").limit(n).withColumn("part", F.lit(2 - et))
+    part = lambda et, n: head_per_group(
+        natural.filter(F.col("et") == et), ["supercluster_id"], cap, F.asc("query_key")
+    ).drop("rank").orderBy("query_key").limit(n).withColumn("part", F.lit(2 - et))
     return part(2, n2).unionByName(part(1, most - n2))
 
 
-def matched_negatives(real: DataFrame, positives: DataFrame, n_two: int, per_cluster: int = NEGATIVES_PER_CLUSTER, ratio: int = NEGATIVE_RATIO) -> DataFrame:
+def matched_negatives(
+    real: DataFrame,
+    positives: DataFrame,
+    n_two: int,
+    per_cluster: int = NEGATIVES_PER_CLUSTER,
+    ratio: int = NEGATIVE_RATIO,
+) -> DataFrame:
     """Grade-0 rows of the positives' clusters, some of each, at most ``ratio`` for each grade-2 positive."""
     near = real.filter("grade = 0").join(positives.select("supercluster_id").distinct(), "supercluster_id", "left_semi")
-    return head_per_group(near, ["supercluster_id"], per_cluster, F.asc("query_key")).drop("rank").orderBy("query_key").limit(ratio * n_two)
+    return head_per_group(
+        near, ["supercluster_id"], per_cluster, F.asc("query_key")
+    ).drop("rank").orderBy("query_key").limit(ratio * n_two)
 
 
-def probe_dataset(real: DataFrame, synthetic: DataFrame, axis: str, one_cap: int = 1000, zero_cap: int = 1000) -> DataFrame:
+def probe_dataset(
+    real: DataFrame, synthetic: DataFrame, axis: str, one_cap: int = 1000, zero_cap: int = 1000
+) -> DataFrame:
     """Rows of one axis with a split by cluster: text, grade, axis, supercluster_id, source, query_key, pair_key, anchor_grade, split.
 
     With confirmed synthetic variants they are the positives, and negatives come from
@@ -81,15 +99,37 @@ def probe_dataset(real: DataFrame, synthetic: DataFrame, axis: str, one_cap: int
     """
     own = real.filter(F.col("axis") == axis)
     variant = synthetic.filter((F.col("axis") == axis) & F.col("verifier_confirmed"))
-    columns = lambda df, source: df.select(F.col("query_text").alias("text"), F.col("grade").cast("int"), F.lit(axis).alias("axis"), "supercluster_id", F.lit(source).alias("source"), "query_key", F.col("query_key").alias("pair_key"), F.col("grade").cast("int").alias("anchor_grade"))
+    columns = lambda df, source: df.select(
+        F.col("query_text").alias("text"),
+        F.col("grade").cast("int"),
+        F.lit(axis).alias("axis"),
+        "supercluster_id",
+        F.lit(source).alias("source"),
+        "query_key",
+        F.col("query_key").alias("pair_key"),
+        F.col("grade").cast("int").alias("anchor_grade"),
+    )
     n_two = variant.filter("target_grade = 2").count()
     if not n_two:
         ranked = head_per_group(own, ["grade"], zero_cap, F.asc("query_key")).drop("rank")
         every = columns(ranked, "real")
     else:
-        made = variant.select("text", F.col("target_grade").cast("int").alias("grade"), F.lit(axis).alias("axis"), "supercluster_id", F.lit("synth").alias("source"), F.concat("anchor_query_key", F.lit(":v"), "target_grade").alias("query_key"), F.col("anchor_query_key").alias("pair_key"), F.col("anchor_grade").cast("int").alias("anchor_grade"))
+        made = variant.select(
+            "text",
+            F.col("target_grade").cast("int").alias("grade"),
+            F.lit(axis).alias("axis"),
+            "supercluster_id",
+            F.lit("synth").alias("source"),
+            F.concat("anchor_query_key", F.lit(":v"), "target_grade").alias("query_key"),
+            F.col("anchor_query_key").alias("pair_key"),
+            F.col("anchor_grade").cast("int").alias("anchor_grade"),
+        )
         ones = made.filter("grade = 1")
-        one = ones.orderBy("query_key").limit(one_cap) if ones.head(1) else columns(own.filter("grade = 1").orderBy("query_key").limit(one_cap), "real")
-        every = made.filter("grade = 2").unionByName(one).unionByName(columns(matched_negatives(own, variant, n_two), "real"))
+        one = ones.orderBy("query_key").limit(one_cap) if ones.head(1) else columns(
+            own.filter("grade = 1").orderBy("query_key").limit(one_cap), "real"
+        )
+        every = made.filter("grade = 2").unionByName(one).unionByName(
+            columns(matched_negatives(own, variant, n_two), "real")
+        )
     once = best_row(every, ["text"], -F.col("grade"), F.col("query_key"))
     return once.withColumn("split", split_of(F.col("supercluster_id")))

@@ -22,7 +22,10 @@ def head_per_group(df: DataFrame, keys: list[str], n: int, *order: Column, rank:
 
 def top_distinct(df: DataFrame, group: str, text: str, n: int, clicks: str, key: str) -> DataFrame:
     """The ``n`` most clicked distinct texts of each group."""
-    once = df.groupBy(group, text).agg(F.max(clicks).alias(clicks), F.min_by(key, F.struct((-F.col(clicks)).alias("a"), F.col(key).alias("b"))).alias(key))
+    once = df.groupBy(group, text).agg(
+        F.max(clicks).alias(clicks),
+        F.min_by(key, F.struct((-F.col(clicks)).alias("a"), F.col(key).alias("b"))).alias(key),
+    )
     return head_per_group(once, [group], n, F.desc(clicks), F.asc(key))
 
 

@@ -27,14 +27,19 @@ def excluding(df: DataFrame, excluded: DataFrame, columns: list[str]) -> DataFra
 
 def excluded_ids(*columns: tuple[DataFrame, str]) -> DataFrame:
     """All distinct ids of some columns of some tables, as id."""
-    return reduce(lambda a, b: a.union(b), (df.select(F.col(c).alias("id")) for df, c in columns)).filter("id is not null").distinct()
+    return reduce(
+        lambda a, b: a.union(b), (df.select(F.col(c).alias("id")) for df, c in columns)
+    ).filter("id is not null").distinct()
 
 
 def patched(df: DataFrame, patches: DataFrame, key: str, column: str, reason: str = "reason") -> DataFrame:
     """The table with ``column`` replaced where a patch has the key, and the patch's reason; patching again changes nothing."""
     new = patches.select(key, F.col(column).alias("_new"), F.col(reason).alias("_why"))
     joined = df.join(new, key, "left")
-    why = F.when(F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col(column)), F.concat(F.lit("[manual] "), F.coalesce("_why", F.lit(""))))
+    why = F.when(
+        F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col(column)),
+        F.concat(F.lit("[manual] "), F.coalesce("_why", F.lit(""))),
+    )
     return joined.withColumn("patch_reason", why).withColumn(column, F.coalesce("_new", column)).drop("_new", "_why")
 
 

@@ -18,7 +18,9 @@ def _number(c: str = "query_key"):
 
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = views.picks(spark, sf_dir)
-    golden_ = picks.filter(_number() % 97 == 0).select("query_key", F.when(_number() % 194 == 0, F.col("supercluster_id")).alias("supercluster_id"))
+    golden_ = picks.filter(_number() % 97 == 0).select(
+        "query_key", F.when(_number() % 194 == 0, F.col("supercluster_id")).alias("supercluster_id")
+    )
     return pairs.anchor_pool(picks, golden_)
 
 
@@ -27,7 +29,9 @@ def axis_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def axis_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.axis_wide(axis_unpivot(spark, sf_dir), "query_key").select("query_key", *(F.col(a).alias(a.lower()) for a in pairs.AXES))
+    return pairs.axis_wide(axis_unpivot(spark, sf_dir), "query_key").select(
+        "query_key", *(F.col(a).alias(a.lower()) for a in pairs.AXES)
+    )
 
 
 def anchor_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +47,9 @@ def spanning_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return axis_pivot(spark, sf_dir).join(views.picks(spark, sf_dir).select("query_key", "query_text", "supercluster_id"), "query_key")
+    return axis_pivot(spark, sf_dir).join(
+        views.picks(spark, sf_dir).select("query_key", "query_text", "supercluster_id"), "query_key"
+    )
 
 
 def mu_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +62,15 @@ def pu_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _anchors(spark, sf_dir).filter("axis = 'MU' and grade = 1")
-    return own.filter(_number() % 2 == 0).select("axis", F.col("query_key").alias("anchor_query_key"), F.col("grade").alias("anchor_grade"), "supercluster_id", F.when(_number() % 3 == 0, 2).otherwise(1).alias("target_grade"), F.concat(F.lit("s"), "query_key").alias("text"), (_number() % 5 != 0).alias("verifier_confirmed"))
+    return own.filter(_number() % 2 == 0).select(
+        "axis",
+        F.col("query_key").alias("anchor_query_key"),
+        F.col("grade").alias("anchor_grade"),
+        "supercluster_id",
+        F.when(_number() % 3 == 0, 2).otherwise(1).alias("target_grade"),
+        F.concat(F.lit("s"), "query_key").alias("text"),
+        (_number() % 5 != 0).alias("verifier_confirmed"),
+    )
 
 
 def matched_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +108,16 @@ def greedy_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = views.picks(spark, sf_dir)
-    verified = picks.select("query_key", *(F.when(_number() % (5 + k) == 0, F.lit(f"{a.upper()}0")).otherwise(F.col(f"{a}_grade")).alias(f"verifier_{a}_grade") for k, a in enumerate(golden.AXES)), *((_number() % (7 + k) != 0).alias(f"verifier_{a}_axis_applicable") for k, a in enumerate(golden.AXES)))
+    verified = picks.select(
+        "query_key",
+        *(
+            F.when(
+                _number() % (5 + k) == 0, F.lit(f"{a.upper()}0")
+            ).otherwise(F.col(f"{a}_grade")).alias(f"verifier_{a}_grade")
+            for k, a in enumerate(golden.AXES)
+        ),
+        *((_number() % (7 + k) != 0).alias(f"verifier_{a}_axis_applicable") for k, a in enumerate(golden.AXES)),
+    )
     return golden.agreement(verified, picks)
 
 
@@ -103,14 +126,20 @@ def relevant_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def swap_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = views.picks(spark, sf_dir).withColumn("category_weight", golden.lookup(F.col("clinical_relevance"), golden.CATEGORY_WEIGHT, 0.0))
-    made = base.filter("mu_grade = 'MU2'").filter(_number() % 2 == 0).withColumn("query_key", F.concat(F.lit("syn"), "query_key"))
+    base = views.picks(spark, sf_dir).withColumn(
+        "category_weight", golden.lookup(F.col("clinical_relevance"), golden.CATEGORY_WEIGHT, 0.0)
+    )
+    made = base.filter("mu_grade = 'MU2'").filter(_number() % 2 == 0).withColumn(
+        "query_key", F.concat(F.lit("syn"), "query_key")
+    )
     return golden.backfilled(base, made).select("query_key", "origin", "mu_grade", "pu_grade", "et_grade")
 
 
 def new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.picks(spark, sf_dir).withColumn("key", F.expr("cast(cast(query_key as long) div 2 as string)"))
-    return sets.new_texts(rows.select("key", "query_key"), rows.filter(_number() % 6 == 0).select("key"), "key", _number()).select("key", "query_key")
+    return sets.new_texts(
+        rows.select("key", "query_key"), rows.filter(_number() % 6 == 0).select("key"), "key", _number()
+    ).select("key", "query_key")
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,11 +151,15 @@ def mandatory_then_random(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return golden.manifest(_packed(spark, sf_dir), agreement(spark, sf_dir)).select("query_key", "source", "package", "n_axes_agreement", "is_iaa_hard_candidate")
+    return golden.manifest(_packed(spark, sf_dir), agreement(spark, sf_dir)).select(
+        "query_key", "source", "package", "n_axes_agreement", "is_iaa_hard_candidate"
+    )
 
 
 def pack_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = golden.manifest(_packed(spark, sf_dir), agreement(spark, sf_dir)).withColumn("query_text", F.concat(F.lit("q"), "query_key"))
+    items = golden.manifest(
+        _packed(spark, sf_dir), agreement(spark, sf_dir)
+    ).withColumn("query_text", F.concat(F.lit("q"), "query_key"))
     return golden.packages(items)
 
 
@@ -136,31 +169,52 @@ def annotation_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def real_vs_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.count_if(F.col("origin") == "synthesized")
-    return swap_in(spark, sf_dir).groupBy("mu_grade").agg(F.count(F.lit(1)).alias("n"), made.alias("n_synthetic"), F.round(100.0 * made / F.count(F.lit(1)), 6).alias("share"))
+    return swap_in(spark, sf_dir).groupBy("mu_grade").agg(
+        F.count(F.lit(1)).alias("n"),
+        made.alias("n_synthetic"),
+        F.round(100.0 * made / F.count(F.lit(1)), 6).alias("share"),
+    )
 
 
 def rater_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long ratings of the raters that enough of the wide sheet's columns name."""
     rated = views.raters(spark, sf_dir)
     axes = ("MU", "PU", "ET")
-    wide = rated.select("doc_id", *(F.col("rater_a").alias(f"ann_{a}") for a in axes), *(F.when(F.col("doc_id") % 50 == 0, F.col("rater_b")).alias(f"ben_{a}") for a in axes), *(F.col("gold_adj").alias(f"gold_{a}") for a in axes))
+    wide = rated.select(
+        "doc_id",
+        *(F.col("rater_a").alias(f"ann_{a}") for a in axes),
+        *(F.when(F.col("doc_id") % 50 == 0, F.col("rater_b")).alias(f"ben_{a}") for a in axes),
+        *(F.col("gold_adj").alias(f"gold_{a}") for a in axes),
+    )
     return golden.ratings_long(wide, "doc_id", golden.raters_of(wide))
 
 
 def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.picks(spark, sf_dir).select("query_key", F.when(_number() % 10 == 0, F.lit("PU9")).when(_number() % 10 == 1, F.lit(None)).otherwise(F.col("pu_grade")).alias("grade"), (F.col("pu_confidence") + F.when(_number() % 4 == 0, 3).otherwise(0)).alias("confidence"))
+    rows = views.picks(spark, sf_dir).select(
+        "query_key",
+        F.when(
+            _number() % 10 == 0, F.lit("PU9")
+        ).when(_number() % 10 == 1, F.lit(None)).otherwise(F.col("pu_grade")).alias("grade"),
+        (F.col("pu_confidence") + F.when(_number() % 4 == 0, 3).otherwise(0)).alias("confidence"),
+    )
     return golden.validated(rows, "grade", "PU", "confidence").select("query_key", "reject")
 
 
 def provider_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Judge: "), F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("prompt"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("Judge: "), F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("prompt")
+    )
     answers = providers.call_model(docs, providers.grade_by_words, "stand-in", "axis_judge", "doc_id")
     return providers.parsed(answers, "axis_judge", ["doc_id"])
 
 
 def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.substring(F.sha1("text"), 1, 16).alias("text_id"), "text")
-    return providers.embed_missing(docs, None, providers.HashedEmbedder()).select("text_id", F.size("embedding").alias("dim"), "error")
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select(
+        F.substring(F.sha1("text"), 1, 16).alias("text_id"), "text"
+    )
+    return providers.embed_missing(docs, None, providers.HashedEmbedder()).select(
+        "text_id", F.size("embedding").alias("dim"), "error"
+    )
 
 
 _LONG = "(SELECT query_key, query_text, supercluster_id, upper(substr(name, 1, 2)) AS axis, token AS grade_token, CAST(right(token, 1) AS INTEGER) AS grade FROM (UNPIVOT v_picks ON mu_grade, pu_grade, et_grade INTO NAME name VALUE token))"
@@ -170,7 +224,10 @@ _W = "SELECT query_key, query_text, supercluster_id, CAST(right(mu_grade, 1) AS
 _WEIGHT = "CASE clinical_relevance WHEN 'oncology-core' THEN 1.0::DOUBLE WHEN 'oncology-adjacent' THEN 0.7 WHEN 'navigational' THEN 0.3 ELSE 0.0 END"
 _CONF = "least(mu_confidence, pu_confidence, et_confidence)"
 _SPLIT = "CASE list_sum([strpos('0123456789abcdef', c) - 1 for c in string_split(sha256(supercluster_id), '')]) % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'dev' ELSE 'train' END"
-_AGREE = ", ".join(f"CASE WHEN k % {5 + i} = 0 THEN {a}_grade = '{a.upper()}0' ELSE true END AS {a}_agree, CAST({a}_grade <> '{a.upper()}0' AND k % {7 + i} = 0 AS INTEGER) AS {a}_against" for i, a in enumerate(golden.AXES))
+_AGREE = ", ".join(
+    f"CASE WHEN k % {5 + i} = 0 THEN {a}_grade = '{a.upper()}0' ELSE true END AS {a}_agree, CAST({a}_grade <> '{a.upper()}0' AND k % {7 + i} = 0 AS INTEGER) AS {a}_against"
+    for i, a in enumerate(golden.AXES)
+)
 _AGREED = f"SELECT query_key, mu_agree, pu_agree, et_agree, mu_agree::INTEGER + pu_agree::INTEGER + et_agree::INTEGER AS n_axes_agreement, mu_against + pu_against + et_against AS contradiction_count, mu_agree::INTEGER + pu_agree::INTEGER + et_agree::INTEGER <= 2 OR mu_against + pu_against + et_against > 0 AS is_iaa_hard_candidate FROM (SELECT query_key, {_AGREE} FROM (SELECT *, CAST(query_key AS BIGINT) AS k FROM v_picks))"
 _MADE = "(SELECT * FROM v_picks WHERE mu_grade = 'MU2' AND CAST(query_key AS BIGINT) % 2 = 0)"
 _SWAP = f"""SELECT query_key, 'picked' AS origin, mu_grade, pu_grade, et_grade FROM (SELECT *, CASE WHEN mu_grade = 'MU0' AND pu_grade = 'PU0' THEN row_number() OVER (PARTITION BY mu_grade = 'MU0' AND pu_grade = 'PU0' ORDER BY CASE et_grade WHEN 'ET2' THEN 0 WHEN 'ET0' THEN 2 ELSE 1 END, {_CONF}, {_WEIGHT}, query_key) END AS k FROM v_picks)
@@ -181,37 +238,76 @@ _SYN = "(SELECT query_key AS a, supercluster_id, CASE WHEN CAST(query_key AS BIG
 
 
 def _sql(query: str) -> str:
-    return with_views(query, "v_picks").replace("\nSELECT", f",\npool AS {_POOL}\nSELECT", 1) if "pool" in query else with_views(query, "v_picks")
+    return with_views(query, "v_picks").replace(
+        "\nSELECT", f",\npool AS {_POOL}\nSELECT", 1
+    ) if "pool" in query else with_views(query, "v_picks")
 
 
 ORACLE = {
     "axis_unpivot": _sql(f"SELECT query_key, axis, grade_token, grade FROM {_LONG}"),
     "axis_pivot": _sql(f"SELECT query_key, mu, pu, et FROM ({_W})"),
     "anchor_pool": _sql("SELECT axis, query_key, supercluster_id, grade FROM pool"),
-    "sparsity": _sql("SELECT axis, grade, count(DISTINCT query_key) AS n_queries, count(DISTINCT supercluster_id) AS n_clusters FROM pool GROUP BY ALL"),
-    "spanning_clusters": _sql("SELECT axis, supercluster_id, count(DISTINCT grade) AS n_grades FROM pool GROUP BY ALL HAVING count(DISTINCT grade) >= 2"),
-    "mu_anchors": _sql(f"SELECT query_key, part FROM (SELECT *, row_number() OVER (ORDER BY part, query_key) AS r FROM (SELECT query_key, 0 AS part FROM w WHERE mu = 1 UNION ALL SELECT query_key, 1 FROM (SELECT *, row_number() OVER (PARTITION BY supercluster_id ORDER BY query_key) AS k FROM w WHERE mu = 0 AND et = 1) WHERE k <= 2)) WHERE part = 0 OR r <= 300").replace("\nSELECT", f",\nw AS (SELECT * FROM ({_W}) WHERE {_NATURAL})\nSELECT", 1),
-    "pu_anchors": _sql("SELECT query_key, part FROM (SELECT query_key, CAST(2 - et AS INTEGER) AS part, row_number() OVER (PARTITION BY et ORDER BY query_key) AS r FROM (SELECT *, row_number() OVER (PARTITION BY et, supercluster_id ORDER BY query_key) AS k FROM w WHERE pu = 0 AND et > 0) WHERE k <= 2) WHERE r <= CASE part WHEN 0 THEN 60 ELSE 40 END").replace("\nSELECT", f",\nw AS (SELECT * FROM ({_W}) WHERE {_NATURAL})\nSELECT", 1),
-    "matched_negatives": _sql("SELECT query_key, supercluster_id FROM (SELECT *, row_number() OVER (ORDER BY query_key) AS r FROM (SELECT *, row_number() OVER (PARTITION BY supercluster_id ORDER BY query_key) AS k FROM pool WHERE axis = 'MU' AND grade = 0 AND supercluster_id IN (SELECT supercluster_id FROM pool WHERE axis = 'MU' AND grade = 2 AND CAST(query_key AS BIGINT) % 5 = 0)) WHERE k <= 6) WHERE r <= 3 * (SELECT count(*) FROM pool WHERE axis = 'MU' AND grade = 2 AND CAST(query_key AS BIGINT) % 5 = 0)"),
+    "sparsity": _sql(
+        "SELECT axis, grade, count(DISTINCT query_key) AS n_queries, count(DISTINCT supercluster_id) AS n_clusters FROM pool GROUP BY ALL"
+    ),
+    "spanning_clusters": _sql(
+        "SELECT axis, supercluster_id, count(DISTINCT grade) AS n_grades FROM pool GROUP BY ALL HAVING count(DISTINCT grade) >= 2"
+    ),
+    "mu_anchors": _sql(
+        f"SELECT query_key, part FROM (SELECT *, row_number() OVER (ORDER BY part, query_key) AS r FROM (SELECT query_key, 0 AS part FROM w WHERE mu = 1 UNION ALL SELECT query_key, 1 FROM (SELECT *, row_number() OVER (PARTITION BY supercluster_id ORDER BY query_key) AS k FROM w WHERE mu = 0 AND et = 1) WHERE k <= 2)) WHERE part = 0 OR r <= 300"
+    ).replace("\nSELECT", f",\nw AS (SELECT * FROM ({_W}) WHERE {_NATURAL})\nSELECT", 1),
+    "pu_anchors": _sql(
+        "SELECT query_key, part FROM (SELECT query_key, CAST(2 - et AS INTEGER) AS part, row_number() OVER (PARTITION BY et ORDER BY query_key) AS r FROM (SELECT *, row_number() OVER (PARTITION BY et, supercluster_id ORDER BY query_key) AS k FROM w WHERE pu = 0 AND et > 0) WHERE k <= 2) WHERE r <= CASE part WHEN 0 THEN 60 ELSE 40 END"
+    ).replace("\nSELECT", f",\nw AS (SELECT * FROM ({_W}) WHERE {_NATURAL})\nSELECT", 1),
+    "matched_negatives": _sql(
+        "SELECT query_key, supercluster_id FROM (SELECT *, row_number() OVER (ORDER BY query_key) AS r FROM (SELECT *, row_number() OVER (PARTITION BY supercluster_id ORDER BY query_key) AS k FROM pool WHERE axis = 'MU' AND grade = 0 AND supercluster_id IN (SELECT supercluster_id FROM pool WHERE axis = 'MU' AND grade = 2 AND CAST(query_key AS BIGINT) % 5 = 0)) WHERE k <= 6) WHERE r <= 3 * (SELECT count(*) FROM pool WHERE axis = 'MU' AND grade = 2 AND CAST(query_key AS BIGINT) % 5 = 0)"
+    ),
     "probe_dataset": _sql(f"""SELECT text, CAST(grade AS INTEGER) AS grade, 'MU' AS axis, supercluster_id, source, query_key, pair_key, CAST(anchor_grade AS INTEGER) AS anchor_grade, {_SPLIT} AS split FROM (
         SELECT 's' || a AS text, g AS grade, supercluster_id, 'synth' AS source, a || ':v' || CAST(g AS VARCHAR) AS query_key, a AS pair_key, 1 AS anchor_grade FROM {_SYN}
         UNION ALL SELECT 'r' || query_key, 1, supercluster_id, 'real', query_key, query_key, 1 FROM pool WHERE axis = 'MU' AND grade = 1 AND NOT EXISTS (SELECT 1 FROM {_SYN} WHERE g = 1)
         UNION ALL SELECT 'r' || query_key, 0, supercluster_id, 'real', query_key, query_key, 0 FROM (SELECT *, row_number() OVER (ORDER BY query_key) AS r FROM (SELECT *, row_number() OVER (PARTITION BY supercluster_id ORDER BY query_key) AS k FROM pool WHERE axis = 'MU' AND grade = 0 AND supercluster_id IN (SELECT supercluster_id FROM {_SYN})) WHERE k <= 6) WHERE r <= 3 * (SELECT count(*) FROM {_SYN} WHERE g = 2))"""),
-    "shortfall": _sql("SELECT cell, target, coalesce(n, 0) AS achieved, greatest(0, target - coalesce(n, 0)) AS shortfall FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in golden.TARGETS) + "]) AS cell, CAST(unnest([" + ", ".join(map(str, golden.TARGETS.values())) + f"]) AS BIGINT) AS target) LEFT JOIN (SELECT grade_token AS cell, count(*) AS n FROM {_LONG} GROUP BY 1) USING (cell)"),
-    "confidence_histogram": _sql("SELECT axis, CAST(c AS INTEGER) AS confidence, count(v) AS n FROM (SELECT unnest(['MU', 'PU', 'ET']) AS axis) CROSS JOIN range(1, 6) r(c) LEFT JOIN (SELECT upper(substr(name, 1, 2)) AS axis, v FROM (UNPIVOT v_picks ON mu_confidence, pu_confidence, et_confidence INTO NAME name VALUE v)) u USING (axis) WHERE u.v = c OR u.v IS NULL GROUP BY ALL"),
-    "hist_of_counts": _sql("SELECT n_picks, count(*) AS n_clusters FROM (SELECT supercluster_id, count(*) AS n_picks FROM v_picks GROUP BY 1) GROUP BY 1"),
-    "prepared_picks": _sql(f"SELECT query_key, supercluster_id, category_weight, min_conf, CASE WHEN min_conf >= 3 THEN 1.0::DOUBLE ELSE 0.6 END AS conf_factor FROM (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY category_weight DESC, min_conf DESC, supercluster_id, query_text) AS k FROM (SELECT CAST(CAST(query_key AS BIGINT) // 3 AS VARCHAR) AS query_key, supercluster_id, query_text, {_WEIGHT} AS category_weight, {_CONF} AS min_conf FROM v_picks)) WHERE k = 1"),
+    "shortfall": _sql(
+        "SELECT cell, target, coalesce(n, 0) AS achieved, greatest(0, target - coalesce(n, 0)) AS shortfall FROM (SELECT unnest([" + ", ".join(
+            f"'{c}'" for c in golden.TARGETS
+        ) + "]) AS cell, CAST(unnest([" + ", ".join(
+            map(str, golden.TARGETS.values())
+        ) + f"]) AS BIGINT) AS target) LEFT JOIN (SELECT grade_token AS cell, count(*) AS n FROM {_LONG} GROUP BY 1) USING (cell)"
+    ),
+    "confidence_histogram": _sql(
+        "SELECT axis, CAST(c AS INTEGER) AS confidence, count(v) AS n FROM (SELECT unnest(['MU', 'PU', 'ET']) AS axis) CROSS JOIN range(1, 6) r(c) LEFT JOIN (SELECT upper(substr(name, 1, 2)) AS axis, v FROM (UNPIVOT v_picks ON mu_confidence, pu_confidence, et_confidence INTO NAME name VALUE v)) u USING (axis) WHERE u.v = c OR u.v IS NULL GROUP BY ALL"
+    ),
+    "hist_of_counts": _sql(
+        "SELECT n_picks, count(*) AS n_clusters FROM (SELECT supercluster_id, count(*) AS n_picks FROM v_picks GROUP BY 1) GROUP BY 1"
+    ),
+    "prepared_picks": _sql(
+        f"SELECT query_key, supercluster_id, category_weight, min_conf, CASE WHEN min_conf >= 3 THEN 1.0::DOUBLE ELSE 0.6 END AS conf_factor FROM (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY category_weight DESC, min_conf DESC, supercluster_id, query_text) AS k FROM (SELECT CAST(CAST(query_key AS BIGINT) // 3 AS VARCHAR) AS query_key, supercluster_id, query_text, {_WEIGHT} AS category_weight, {_CONF} AS min_conf FROM v_picks)) WHERE k = 1"
+    ),
     "agreement": _sql(_AGREED),
-    "relevant_clusters": _sql(f"SELECT supercluster_id, n_anchor, clinical_relevance, {_WEIGHT} AS weight FROM (SELECT supercluster_id, count(*) AS n_anchor, min(clinical_relevance) AS clinical_relevance FROM v_picks WHERE mu_grade = 'MU1' GROUP BY 1) ORDER BY weight DESC, n_anchor DESC, supercluster_id LIMIT 25"),
+    "relevant_clusters": _sql(
+        f"SELECT supercluster_id, n_anchor, clinical_relevance, {_WEIGHT} AS weight FROM (SELECT supercluster_id, count(*) AS n_anchor, min(clinical_relevance) AS clinical_relevance FROM v_picks WHERE mu_grade = 'MU1' GROUP BY 1) ORDER BY weight DESC, n_anchor DESC, supercluster_id LIMIT 25"
+    ),
     "swap_in": _sql(_SWAP),
-    "new_texts": _sql("SELECT key, query_key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CAST(query_key AS BIGINT)) AS k FROM (SELECT CAST(CAST(query_key AS BIGINT) // 2 AS VARCHAR) AS key, query_key FROM v_picks) WHERE key NOT IN (SELECT CAST(CAST(query_key AS BIGINT) // 2 AS VARCHAR) FROM v_picks WHERE CAST(query_key AS BIGINT) % 6 = 0)) WHERE k = 1"),
+    "new_texts": _sql(
+        "SELECT key, query_key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CAST(query_key AS BIGINT)) AS k FROM (SELECT CAST(CAST(query_key AS BIGINT) // 2 AS VARCHAR) AS key, query_key FROM v_picks) WHERE key NOT IN (SELECT CAST(CAST(query_key AS BIGINT) // 2 AS VARCHAR) FROM v_picks WHERE CAST(query_key AS BIGINT) % 6 = 0)) WHERE k = 1"
+    ),
     "mandatory_then_random": _sql(f"SELECT query_key, in_core FROM ({_CORE})"),
-    "pack_manifest": _sql(f"SELECT query_key, 'golden-v1:' || query_key AS source, CASE WHEN in_core THEN 'core' ELSE 'extra' END AS package, n_axes_agreement, is_iaa_hard_candidate FROM ({_CORE}) JOIN ({_AGREED}) USING (query_key)"),
-    "pack_json": _sql(f"""SELECT package, '{{"queries":[' || string_agg('{{"source":"golden-v1:' || query_key || '","text":"q' || query_key || '"}}', ',' ORDER BY 'golden-v1:' || query_key) || ']}}' AS json, count(*) AS n FROM (SELECT query_key, CASE WHEN in_core THEN 'core' ELSE 'extra' END AS package FROM ({_CORE})) GROUP BY package"""),
+    "pack_manifest": _sql(
+        f"SELECT query_key, 'golden-v1:' || query_key AS source, CASE WHEN in_core THEN 'core' ELSE 'extra' END AS package, n_axes_agreement, is_iaa_hard_candidate FROM ({_CORE}) JOIN ({_AGREED}) USING (query_key)"
+    ),
+    "pack_json": _sql(
+        f"""SELECT package, '{{"queries":[' || string_agg('{{"source":"golden-v1:' || query_key || '","text":"q' || query_key || '"}}', ',' ORDER BY 'golden-v1:' || query_key) || ']}}' AS json, count(*) AS n FROM (SELECT query_key, CASE WHEN in_core THEN 'core' ELSE 'extra' END AS package FROM ({_CORE})) GROUP BY package"""
+    ),
     "annotation_sheet": _sql("SELECT query_key, '' AS \"one_MU\", '' AS \"one_PU\", '' AS \"one_ET\" FROM v_picks"),
-    "real_vs_synthetic": _sql(f"SELECT mu_grade, count(*) AS n, count(*) FILTER (origin = 'synthesized') AS n_synthetic, round(100.0::DOUBLE * count(*) FILTER (origin = 'synthesized') / count(*), 6) AS share FROM ({_SWAP}) GROUP BY 1"),
-    "rater_detection": with_views("SELECT doc_id, 'ann' AS rater, axis, rater_a AS grade FROM v_raters, (SELECT unnest(['MU', 'PU', 'ET']) AS axis) WHERE (SELECT count(*) FROM v_raters) >= 150", "v_raters"),
-    "answer_checks": _sql("SELECT query_key, CASE WHEN k % 10 = 1 THEN 'no grade' WHEN k % 10 = 0 THEN 'unknown grade' WHEN pu_confidence + CASE WHEN k % 4 = 0 THEN 3 ELSE 0 END > 5 THEN 'confidence out of range' END AS reject FROM (SELECT *, CAST(query_key AS BIGINT) AS k FROM v_picks)"),
+    "real_vs_synthetic": _sql(
+        f"SELECT mu_grade, count(*) AS n, count(*) FILTER (origin = 'synthesized') AS n_synthetic, round(100.0::DOUBLE * count(*) FILTER (origin = 'synthesized') / count(*), 6) AS share FROM ({_SWAP}) GROUP BY 1"
+    ),
+    "rater_detection": with_views(
+        "SELECT doc_id, 'ann' AS rater, axis, rater_a AS grade FROM v_raters, (SELECT unnest(['MU', 'PU', 'ET']) AS axis) WHERE (SELECT count(*) FROM v_raters) >= 150",
+        "v_raters",
+    ),
+    "answer_checks": _sql(
+        "SELECT query_key, CASE WHEN k % 10 = 1 THEN 'no grade' WHEN k % 10 = 0 THEN 'unknown grade' WHEN pu_confidence + CASE WHEN k % 4 = 0 THEN 3 ELSE 0 END > 5 THEN 'confidence out of range' END AS reject FROM (SELECT *, CAST(query_key AS BIGINT) AS k FROM v_picks)"
+    ),
     "embedded_texts": "SELECT DISTINCT substr(sha1(text), 1, 16) AS text_id, 64 AS dim, CAST(NULL AS VARCHAR) AS error FROM documents WHERE text IS NOT NULL",
 }
 QUERIES = {f.__name__: f for f in (

@@ -32,8 +32,12 @@ def cross_source_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_source_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = logs.canonical_files(views.query_log(spark, sf_dir), ["source"], "source_file", "last_searched", "last_searched", "clicks")
-    return best.select("source", "source_file", F.col("start").alias("date_start"), F.col("end").alias("date_end"), "clicks")
+    best = logs.canonical_files(
+        views.query_log(spark, sf_dir), ["source"], "source_file", "last_searched", "last_searched", "clicks"
+    )
+    return best.select(
+        "source", "source_file", F.col("start").alias("date_start"), F.col("end").alias("date_end"), "clicks"
+    )
 
 
 def source_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,27 +69,62 @@ def natural_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = views.query_log(spark, sf_dir)
-    return log.select("doc_id", tx.clean_query(F.col("query")).alias("cleaned"), tx.is_digits(F.col("query")).alias("digits"), tx.normalize_name(F.col("query_key")).alias("name"))
+    return log.select(
+        "doc_id",
+        tx.clean_query(F.col("query")).alias("cleaned"),
+        tx.is_digits(F.col("query")).alias("digits"),
+        tx.normalize_name(F.col("query_key")).alias("name"),
+    )
 
 
 def dates_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("d"))
-    raw = F.concat((F.col("d") % 35).cast("string"), F.lit(". "), (F.col("d") % 14).cast("string"), F.lit(". "), (2000 + F.col("d") % 30).cast("string"), F.lit(" 10:30"))
-    number = F.when(F.col("d") % 3 == 0, F.concat(F.col("d").cast("string"), F.lit(",3 %"))).otherwise(F.concat(F.col("d").cast("string"), F.lit(".5")))
-    head = F.concat(F.lit("# "), (20200101 + F.col("d") % 28).cast("string"), F.when(F.col("d") % 2 == 0, F.concat(F.lit("-"), (20210101 + F.col("d") % 28).cast("string"))).otherwise(""))
+    raw = F.concat(
+        (F.col("d") % 35).cast("string"),
+        F.lit(". "),
+        (F.col("d") % 14).cast("string"),
+        F.lit(". "),
+        (2000 + F.col("d") % 30).cast("string"),
+        F.lit(" 10:30"),
+    )
+    number = F.when(
+        F.col("d") % 3 == 0, F.concat(F.col("d").cast("string"), F.lit(",3 %"))
+    ).otherwise(F.concat(F.col("d").cast("string"), F.lit(".5")))
+    head = F.concat(
+        F.lit("# "),
+        (20200101 + F.col("d") % 28).cast("string"),
+        F.when(F.col("d") % 2 == 0, F.concat(F.lit("-"), (20210101 + F.col("d") % 28).cast("string"))).otherwise(""),
+    )
     dates = tx.header_dates(head)
-    out = ids.select("doc_id", tx.day_month_year(raw).cast("string").alias("day"), tx.number(number).alias("number"), dates.alias("h"))
-    return out.select("doc_id", "day", F.year("day").cast("int").alias("year"), "number", F.col("h.start").alias("date_start"), F.col("h.end").alias("date_end"), F.datediff("h.end", "h.start").alias("span"))
+    out = ids.select(
+        "doc_id",
+        tx.day_month_year(raw).cast("string").alias("day"),
+        tx.number(number).alias("number"),
+        dates.alias("h"),
+    )
+    return out.select(
+        "doc_id",
+        "day",
+        F.year("day").cast("int").alias("year"),
+        "number",
+        F.col("h.start").alias("date_start"),
+        F.col("h.end").alias("date_end"),
+        F.datediff("h.end", "h.start").alias("span"),
+    )
 
 
 def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    return sets.remaining(table(spark, sf_dir, "documents").select("doc_id", "source"), vectors.filter("doc_id % 2 = 0"), ["doc_id"])
+    return sets.remaining(
+        table(spark, sf_dir, "documents").select("doc_id", "source"), vectors.filter("doc_id % 2 = 0"), ["doc_id"]
+    )
 
 
 def patch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    patches = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", F.lit("xx").alias("lang"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("reason"))
+    patches = table(spark, sf_dir, "labels").filter("toxic = 1").select(
+        "doc_id", F.lit("xx").alias("lang"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("reason")
+    )
     return sets.patched(docs, patches, "doc_id", "lang")
 
 
@@ -101,22 +140,35 @@ def cluster_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("text is not null")
-    return docs.select("doc_id", hx.text_id(F.col("text")).alias("text_id"), hx.sha256(F.col("text")).alias("sha256"), hx.source_key("golden-v1:", F.substring("text", 1, 250)).alias("source_key"))
+    return docs.select(
+        "doc_id",
+        hx.text_id(F.col("text")).alias("text_id"),
+        hx.sha256(F.col("text")).alias("sha256"),
+        hx.source_key("golden-v1:", F.substring("text", 1, 250)).alias("source_key"),
+    )
 
 
 def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = views.calls(spark, sf_dir)
-    return calls.groupBy("model").agg(F.round(F.sum(golden.cost(calls, F.col("event_id") % 2 == 0)), 6).alias("usd"), F.count(F.lit(1)).alias("n"))
+    return calls.groupBy("model").agg(
+        F.round(F.sum(golden.cost(calls, F.col("event_id") % 2 == 0)), 6).alias("usd"), F.count(F.lit(1)).alias("n")
+    )
 
 
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_fields(table(spark, sf_dir, "events"), "props", "k long", ["event_id"]).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return json_fields(
+        table(spark, sf_dir, "events"), "props", "k long", ["event_id"]
+    ).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
 def exclusion_disjunctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = views.picks(spark, sf_dir).select("query_key", "supercluster_id")
     golden_ = picks.filter(F.col("query_key").cast("long") % 29 == 0)
-    return sets.excluding(sets.excluding(picks, golden_.select("query_key"), ["query_key"]), golden_.filter(F.col("query_key").cast("long") % 58 == 0).select("supercluster_id"), ["supercluster_id"])
+    return sets.excluding(
+        sets.excluding(picks, golden_.select("query_key"), ["query_key"]),
+        golden_.filter(F.col("query_key").cast("long") % 58 == 0).select("supercluster_id"),
+        ["supercluster_id"],
+    )
 
 
 def union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +179,12 @@ def union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", tx.render("Source {source}, language {lang}.", source=F.col("source"), lang=F.col("lang")).alias("prompt"), tx.instructed(F.col("source"), "Find it").alias("instructed"), tx.slug(F.concat("source", F.lit(" É x"))).alias("slug"))
+    return docs.select(
+        "doc_id",
+        tx.render("Source {source}, language {lang}.", source=F.col("source"), lang=F.col("lang")).alias("prompt"),
+        tx.instructed(F.col("source"), "Find it").alias("instructed"),
+        tx.slug(F.concat("source", F.lit(" É x"))).alias("slug"),
+    )
 
 
 def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +192,9 @@ def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], 2, 7, "doc_id").select("doc_id", "lang", "source", F.col("rank").cast("long").alias("rank"))
+    return ranking.stratified_sample(
+        table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], 2, 7, "doc_id"
+    ).select("doc_id", "lang", "source", F.col("rank").cast("long").alias("rank"))
 
 
 def sample_top_up(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,16 +208,22 @@ def cap_per_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topn_distinct_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = views.query_log(spark, sf_dir).withColumn("key", F.col("doc_id"))
-    return ranking.top_distinct(log, "source_file", "query", 3, "clicks", "key").withColumn("rank", F.col("rank").cast("long"))
+    return ranking.top_distinct(
+        log, "source_file", "query", 3, "clicks", "key"
+    ).withColumn("rank", F.col("rank").cast("long"))
 
 
 def joined_top_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.joined_top(views.query_log(spark, sf_dir), "source_file", "query", 3, " | ", F.desc("clicks"), F.asc("doc_id"))
+    return ranking.joined_top(
+        views.query_log(spark, sf_dir), "source_file", "query", 3, " | ", F.desc("clicks"), F.asc("doc_id")
+    )
 
 
 def diversity_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return ranking.diversity_first(docs, "source", 30, "doc_id", F.desc("n_chars"), F.asc("doc_id")).withColumn("cluster_rank", F.col("cluster_rank").cast("long"))
+    return ranking.diversity_first(
+        docs, "source", 30, "doc_id", F.desc("n_chars"), F.asc("doc_id")
+    ).withColumn("cluster_rank", F.col("cluster_rank").cast("long"))
 
 
 def lowest_to_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,9 +242,13 @@ def numbered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("n_sources"))
+    counts = table(spark, sf_dir, "documents").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("n_sources")
+    )
     total = F.broadcast(counts.agg(F.sum("n").alias("total")))  # one row
-    return counts.crossJoin(total).select("lang", "n", "n_sources", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("share"))
+    return counts.crossJoin(total).select(
+        "lang", "n", "n_sources", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("share")
+    )
 
 
 def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +259,9 @@ def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expected_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources in which more than one language is found: what an invariant would report."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_distinct("lang").alias("n_lang")).filter("n_lang > 1")
+    return table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.count_distinct("lang").alias("n_lang")
+    ).filter("n_lang > 1")
 
 
 def fuzzy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,11 +286,20 @@ ORACLE = {
     "cross_source_agg": with_views(f"SELECT * REPLACE (round(ctr, 6) AS ctr) FROM ({_AGG})", "v_query_log"),
     "canonical_source_pick": with_views("""SELECT source, source_file, date_start, date_end, clicks FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY date_diff('day', CAST(date_start AS DATE), CAST(date_end AS DATE)) DESC, clicks DESC, source_file) AS k
         FROM (SELECT source, source_file, min(last_searched) AS date_start, max(last_searched) AS date_end, CAST(sum(clicks) AS BIGINT) AS clicks FROM v_query_log GROUP BY ALL)) WHERE k = 1""", "v_query_log"),
-    "source_pivot": with_views("""SELECT query_key, CAST(coalesce(sum(clicks) FILTER (source = 'site1_ga4'), 0) AS BIGINT) AS clicks_site1_ga4, CAST(coalesce(sum(clicks) FILTER (source = 'site1_internal'), 0) AS BIGINT) AS clicks_site1_internal FROM v_query_log GROUP BY ALL""", "v_query_log"),
-    "filter_flags": with_views(f"SELECT query_key, drop_clicks, drop_digits, drop_shorthand, drop_title, drop_spam, drop_any FROM ({_SQL_FLAGS})", "v_query_log"),
+    "source_pivot": with_views(
+        """SELECT query_key, CAST(coalesce(sum(clicks) FILTER (source = 'site1_ga4'), 0) AS BIGINT) AS clicks_site1_ga4, CAST(coalesce(sum(clicks) FILTER (source = 'site1_internal'), 0) AS BIGINT) AS clicks_site1_internal FROM v_query_log GROUP BY ALL""",
+        "v_query_log",
+    ),
+    "filter_flags": with_views(
+        f"SELECT query_key, drop_clicks, drop_digits, drop_shorthand, drop_title, drop_spam, drop_any FROM ({_SQL_FLAGS})",
+        "v_query_log",
+    ),
     "filter_funnel": with_views(f"""SELECT rule, count(*) FILTER (flag) AS n_rows, CAST(coalesce(sum(clicks) FILTER (flag), 0) AS BIGINT) AS clicks FROM (
         SELECT unnest(['drop_clicks', 'drop_digits', 'drop_shorthand', 'drop_title', 'drop_spam', 'kept']) AS rule, unnest([drop_clicks, drop_digits, drop_shorthand, drop_title, drop_spam, NOT drop_any]) AS flag, clicks FROM ({_SQL_FLAGS})) GROUP BY rule""", "v_query_log"),
-    "blocklist_anti": with_views("SELECT doc_id, query_key FROM v_query_log WHERE query_key NOT IN (SELECT query_key FROM v_query_log GROUP BY 1 HAVING count(*) > 3)", "v_query_log"),
+    "blocklist_anti": with_views(
+        "SELECT doc_id, query_key FROM v_query_log WHERE query_key NOT IN (SELECT query_key FROM v_query_log GROUP BY 1 HAVING count(*) > 3)",
+        "v_query_log",
+    ),
     "natural_query": r"SELECT doc_id, len(list_filter(string_split_regex(substr(text, 1, 30), '\s+'), lambda t: t <> '')) >= 3 AND len(regexp_extract_all(substr(text, 1, 30), '[a-zA-Zá-žÁ-Ž]{4,}')) >= 2 AS is_natural FROM documents WHERE text IS NOT NULL",
     "clean_text": with_views(rf"""SELECT doc_id, CASE WHEN length(trim(query)) < 3 OR regexp_matches(trim(query), '^\s*$|^\{{.*\}}$|^[^\p{{L}}\p{{N}}\p{{M}}_\s]{{0,3}}$') THEN NULL ELSE trim(query) END AS cleaned, regexp_matches(trim(query), '^\d{{3,}}$') AS digits,
         trim(regexp_replace(strip_accents(regexp_replace(lower(query_key), '{tx.TITLE}', '', 'gi')), '\s+', ' ', 'g')) AS name FROM v_query_log""", "v_query_log"),
@@ -234,18 +314,30 @@ ORACLE = {
     "cost_estimate": with_views("""SELECT model, round(sum((prompt_tokens / 1e6 * CASE model WHEN 'gpt-5.4' THEN 1.25 WHEN 'gpt-5.4-mini' THEN 0.375 ELSE 0 END + completion_tokens / 1e6 * CASE model WHEN 'gpt-5.4' THEN 10.0 WHEN 'gpt-5.4-mini' THEN 3.0 ELSE 0 END)
         * CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 1.0 END), 6)::DOUBLE AS usd, count(*) AS n FROM v_calls GROUP BY model""", "v_calls"),
     "json_props": "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
-    "exclusion_disjunctive": with_views("SELECT query_key, supercluster_id FROM v_picks WHERE CAST(query_key AS BIGINT) % 29 <> 0 AND supercluster_id NOT IN (SELECT supercluster_id FROM v_picks WHERE CAST(query_key AS BIGINT) % 58 = 0)", "v_picks"),
+    "exclusion_disjunctive": with_views(
+        "SELECT query_key, supercluster_id FROM v_picks WHERE CAST(query_key AS BIGINT) % 29 <> 0 AND supercluster_id NOT IN (SELECT supercluster_id FROM v_picks WHERE CAST(query_key AS BIGINT) % 58 = 0)",
+        "v_picks",
+    ),
     "union_dedup": "SELECT DISTINCT substr(sha1(text), 1, 16) AS text_id FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations UNION ALL SELECT text FROM benchmark) WHERE text IS NOT NULL",
     "rendered_prompts": "SELECT doc_id, 'Source ' || source || ', language ' || coalesce(lang, '') || '.' AS prompt, 'Instruct: Find it' || chr(10) || 'Query: ' || source AS instructed, source || '-e-x' AS slug FROM documents",
     "seeded_order": "SELECT doc_id, lang FROM documents ORDER BY sha256('7:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 50",
     "stratified": "SELECT doc_id, lang, source, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('7:' || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents) WHERE k <= 2",
     "sample_top_up": "SELECT doc_id, lang FROM (SELECT *, sha256('3:' || CAST(doc_id AS VARCHAR)) AS h, row_number() OVER (PARTITION BY lang ORDER BY sha256('3:' || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents) ORDER BY k > 5, h, doc_id LIMIT 60",
     "cap_per_cluster": "SELECT source, doc_id, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 3",
-    "topn_distinct_text": with_views("SELECT * FROM (SELECT source_file, query, clicks, key, row_number() OVER (PARTITION BY source_file ORDER BY clicks DESC, key) AS rank FROM (SELECT source_file, query, max(clicks) AS clicks, min_by(doc_id, (-clicks, doc_id)) AS key FROM v_query_log GROUP BY ALL)) WHERE rank <= 3", "v_query_log"),
-    "joined_top_text": with_views("SELECT source_file, string_agg(query, ' | ' ORDER BY k) AS top_text FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY clicks DESC, doc_id) AS k FROM v_query_log) WHERE k <= 3 GROUP BY 1", "v_query_log"),
+    "topn_distinct_text": with_views(
+        "SELECT * FROM (SELECT source_file, query, clicks, key, row_number() OVER (PARTITION BY source_file ORDER BY clicks DESC, key) AS rank FROM (SELECT source_file, query, max(clicks) AS clicks, min_by(doc_id, (-clicks, doc_id)) AS key FROM v_query_log GROUP BY ALL)) WHERE rank <= 3",
+        "v_query_log",
+    ),
+    "joined_top_text": with_views(
+        "SELECT source_file, string_agg(query, ' | ' ORDER BY k) AS top_text FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY clicks DESC, doc_id) AS k FROM v_query_log) WHERE k <= 3 GROUP BY 1",
+        "v_query_log",
+    ),
     "diversity_first": "SELECT source, doc_id, n_chars, k AS cluster_rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) ORDER BY k > 1, n_chars DESC, doc_id LIMIT 30",
     "lowest_to_reserve": "SELECT doc_id, n_chars, CASE WHEN row_number() OVER (ORDER BY n_chars, doc_id) <= 40 THEN 'reserve' ELSE 'core' END AS bucket FROM documents",
-    "multi_key_sort": with_views("SELECT source, query_key, clicks, doc_id FROM v_query_log ORDER BY source, query_key, clicks DESC, doc_id LIMIT 100", "v_query_log"),
+    "multi_key_sort": with_views(
+        "SELECT source, query_key, clicks, doc_id FROM v_query_log ORDER BY source, query_key, clicks DESC, doc_id LIMIT 100",
+        "v_query_log",
+    ),
     "numbered_ids": "SELECT lang, source, n, format('{}_{:04d}', lang, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source)) AS id FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)",
     "category_share": "SELECT lang, count(*) AS n, count(DISTINCT source) AS n_sources, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY lang",
     "set_overlap": "SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'fr'",

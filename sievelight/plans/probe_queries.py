@@ -37,7 +37,9 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.paired_matches(_train(views.pairs(spark, sf_dir))).groupBy("axis", "path").agg(F.count(F.lit(1)).alias("n"))
+    return pr.paired_matches(
+        _train(views.pairs(spark, sf_dir))
+    ).groupBy("axis", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
 def paired_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +70,9 @@ def threshold_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def probe_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pr.evaluate(views.pairs(spark, sf_dir))
-    return out.select("axis", "n_train", "n_test", *(F.round(c, 6).alias(c) for c in ("t1", "t2", "macro_f1", "qwk", "agreement")))
+    return out.select(
+        "axis", "n_train", "n_test", *(F.round(c, 6).alias(c) for c in ("t1", "t2", "macro_f1", "qwk", "agreement"))
+    )
 
 
 def grade1_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +80,17 @@ def grade1_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def direction_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.direction_cosines(pr.paired_direction(_train(views.pairs(spark, sf_dir)))).withColumn("cosine", F.round("cosine", 6))
+    return pr.direction_cosines(
+        pr.paired_direction(_train(views.pairs(spark, sf_dir)))
+    ).withColumn("cosine", F.round("cosine", 6))
 
 
 def residualize(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = pr.paired_direction(_train(views.pairs(spark, sf_dir)))
     mu = F.broadcast(w.filter("axis = 'MU'").select(F.col("w").alias("mu")))  # one row
-    return _flat(w.filter("axis <> 'MU'").crossJoin(mu).select("axis", vx.residual(F.col("w"), F.col("mu")).alias("w")), "axis")
+    return _flat(
+        w.filter("axis <> 'MU'").crossJoin(mu).select("axis", vx.residual(F.col("w"), F.col("mu")).alias("w")), "axis"
+    )
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +126,9 @@ def selectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pr.counterfactual(views.edits(spark, sf_dir), _scored(spark, sf_dir).select("axis", "text_id", "score"))
-    return out.select("axis", "n", *(F.round(c, 6).alias(c) for c in ("invariance", "sensitivity", "direction_correct", "ratio")))
+    return out.select(
+        "axis", "n", *(F.round(c, 6).alias(c) for c in ("invariance", "sensitivity", "direction_correct", "ratio"))
+    )
 
 
 def _head(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
@@ -148,34 +158,66 @@ _EXTREME = f"SELECT axis, {_UNIT} AS w FROM (SELECT axis, list(d ORDER BY i) AS
 _OVR = f"SELECT axis, g AS grade, {_UNIT} AS w FROM (SELECT axis, g, list(d ORDER BY i) AS m FROM (SELECT axis, CAST(g AS INTEGER) AS g, i, avg(v[i]) FILTER (grade = g) - avg(v[i]) FILTER (grade <> g) AS d FROM v_pairs, range(1, 65) r(i), range(3) s(g) WHERE split = 'train' GROUP BY ALL) GROUP BY ALL)"
 _ROWS = "CAST(i - 1 AS INTEGER) AS place, round(w[i], 6) AS x"
 _C = ", ".join(f"count(*) FILTER (grade = {i} AND pred = {j}) AS c{i}{j}" for i in range(3) for j in range(3))
-_F1 = " + ".join(f"coalesce(2.0::DOUBLE * c{g}{g} / nullif({' + '.join(f'c{g}{j} + c{j}{g}' for j in range(3))}, 0), 0)" for g in range(3))
+_F1 = " + ".join(
+    f"coalesce(2.0::DOUBLE * c{g}{g} / nullif({' + '.join(f'c{g}{j} + c{j}{g}' for j in range(3))}, 0), 0)"
+    for g in range(3)
+)
 _N = " + ".join(f"c{i}{j}" for i in range(3) for j in range(3))
 _SEEN = " + ".join(f"{(i - j) ** 2} * c{i}{j}" for i in range(3) for j in range(3) if i != j)
-_CHANCE = " + ".join(f"{(i - j) ** 2} * (c{i}0 + c{i}1 + c{i}2) * (c0{j} + c1{j} + c2{j})" for i in range(3) for j in range(3) if i != j)
+_CHANCE = " + ".join(
+    f"{(i - j) ** 2} * (c{i}0 + c{i}1 + c{i}2) * (c0{j} + c1{j} + c2{j})" for i in range(3) for j in range(3) if i != j
+)
 
 ORACLE = {
     "pair_paths": with_views("SELECT axis, path, count(*) AS n FROM matched GROUP BY ALL", "matched"),
     "paired_dom": with_views(f"SELECT axis, {_ROWS} FROM paired, range(1, 65) r(i)", "paired"),
     "extreme_dom": with_views(f"SELECT axis, {_ROWS} FROM ({_EXTREME}), range(1, 65) r(i)", "v_pairs"),
     "ovr_dom": with_views(f"SELECT axis, grade, {_ROWS} FROM ({_OVR}), range(1, 65) r(i)", "v_pairs"),
-    "ovr_predictions": with_views(f"SELECT text_id, axis, g AS ovr_pred FROM (SELECT text_id, p.axis, o.grade AS g, row_number() OVER (PARTITION BY text_id ORDER BY round(list_dot_product(v, w), 9) DESC, o.grade) AS k FROM v_pairs p JOIN ({_OVR}) o ON o.axis = p.axis WHERE split = 'test') WHERE k = 1", "v_pairs"),
+    "ovr_predictions": with_views(
+        f"SELECT text_id, axis, g AS ovr_pred FROM (SELECT text_id, p.axis, o.grade AS g, row_number() OVER (PARTITION BY text_id ORDER BY round(list_dot_product(v, w), 9) DESC, o.grade) AS k FROM v_pairs p JOIN ({_OVR}) o ON o.axis = p.axis WHERE split = 'test') WHERE k = 1",
+        "v_pairs",
+    ),
     "projection": with_views("SELECT text_id, axis, round(score, 6) AS score FROM scored", "scored"),
-    "threshold_tune": with_views("SELECT axis, round(t1, 6) AS t1, round(t2, 6) AS t2, round(f1, 6) AS f1 FROM tuned", "tuned"),
+    "threshold_tune": with_views(
+        "SELECT axis, round(t1, 6) AS t1, round(t2, 6) AS t2, round(f1, 6) AS f1 FROM tuned", "tuned"
+    ),
     "probe_eval": with_views(f"""SELECT axis, n_train, n_test, round(t1, 6) AS t1, round(t2, 6) AS t2, round(({_F1}) / 3, 6) AS macro_f1, round(1 - CAST({_SEEN} AS DOUBLE) * ({_N}) / nullif({_CHANCE}, 0), 6) AS qwk, round(CAST(c00 + c11 + c22 AS DOUBLE) / ({_N}), 6) AS agreement
         FROM (SELECT axis, {_C} FROM classified GROUP BY axis) JOIN tuned USING (axis) JOIN (SELECT axis, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test FROM v_pairs GROUP BY axis) USING (axis)""", "classified", "tuned", "v_pairs"),
-    "grade1_landing": with_views("SELECT axis, count(*) FILTER (pred = 0) AS to_0, count(*) FILTER (pred = 1) AS to_1, count(*) FILTER (pred = 2) AS to_2 FROM classified WHERE grade = 1 GROUP BY axis", "classified"),
-    "direction_cosines": with_views("SELECT a.axis AS a, b.axis AS b, round(list_dot_product(a.w, b.w) / (sqrt(list_dot_product(a.w, a.w)) * sqrt(list_dot_product(b.w, b.w))), 6) AS cosine FROM paired a JOIN paired b ON a.axis < b.axis", "paired"),
-    "residualize": with_views(f"SELECT axis, {_ROWS} FROM (SELECT axis, {_UNIT} AS w FROM (SELECT p.axis, [p.w[i] - list_dot_product(p.w, u.w) * u.w[i] for i in range(1, 65)] AS m FROM paired p, paired u WHERE u.axis = 'MU' AND p.axis <> 'MU')), range(1, 65) r(i)", "paired"),
-    "coverage": with_views("SELECT round(avg(CAST(t.text_id IS NOT NULL AS DOUBLE)), 6) AS coverage, count(*) AS n FROM v_picks LEFT JOIN (SELECT DISTINCT text_id FROM v_pairs) t ON t.text_id = CAST(query_key AS BIGINT)", "v_picks", "v_pairs"),
-    "concatenated_vectors": with_views("SELECT text_id, 192 AS dim, round(3 * list_dot_product(v, v), 5) AS squared FROM v_pairs WHERE text_id % 6 = 0", "v_pairs"),
-    "results_upsert": with_views("SELECT axis, split, CASE WHEN split = 'dev' THEN -n ELSE n END AS n FROM (SELECT axis, split, count(*) AS n FROM v_pairs GROUP BY ALL)", "v_pairs"),
+    "grade1_landing": with_views(
+        "SELECT axis, count(*) FILTER (pred = 0) AS to_0, count(*) FILTER (pred = 1) AS to_1, count(*) FILTER (pred = 2) AS to_2 FROM classified WHERE grade = 1 GROUP BY axis",
+        "classified",
+    ),
+    "direction_cosines": with_views(
+        "SELECT a.axis AS a, b.axis AS b, round(list_dot_product(a.w, b.w) / (sqrt(list_dot_product(a.w, a.w)) * sqrt(list_dot_product(b.w, b.w))), 6) AS cosine FROM paired a JOIN paired b ON a.axis < b.axis",
+        "paired",
+    ),
+    "residualize": with_views(
+        f"SELECT axis, {_ROWS} FROM (SELECT axis, {_UNIT} AS w FROM (SELECT p.axis, [p.w[i] - list_dot_product(p.w, u.w) * u.w[i] for i in range(1, 65)] AS m FROM paired p, paired u WHERE u.axis = 'MU' AND p.axis <> 'MU')), range(1, 65) r(i)",
+        "paired",
+    ),
+    "coverage": with_views(
+        "SELECT round(avg(CAST(t.text_id IS NOT NULL AS DOUBLE)), 6) AS coverage, count(*) AS n FROM v_picks LEFT JOIN (SELECT DISTINCT text_id FROM v_pairs) t ON t.text_id = CAST(query_key AS BIGINT)",
+        "v_picks",
+        "v_pairs",
+    ),
+    "concatenated_vectors": with_views(
+        "SELECT text_id, 192 AS dim, round(3 * list_dot_product(v, v), 5) AS squared FROM v_pairs WHERE text_id % 6 = 0",
+        "v_pairs",
+    ),
+    "results_upsert": with_views(
+        "SELECT axis, split, CASE WHEN split = 'dev' THEN -n ELSE n END AS n FROM (SELECT axis, split, count(*) AS n FROM v_pairs GROUP BY ALL)",
+        "v_pairs",
+    ),
     "topic_orthogonality": with_views("""SELECT axis, count(*) AS n_topics, round(avg(c), 6) AS mean_abs, round(quantile_cont(c, 0.95), 6) AS p95_abs, round(max(c), 6) AS max_abs FROM (
         SELECT t.axis, abs(list_dot_product(d, w) / (sqrt(list_dot_product(d, d)) * sqrt(list_dot_product(w, w)))) AS c FROM (
           SELECT t.axis, cluster, list(t.m - g.m ORDER BY t.i) AS d FROM (
             SELECT axis, cluster, i, avg(v[i]) AS m FROM (SELECT *, count(*) FILTER (grade = 0) OVER (PARTITION BY axis, cluster) AS n0, count(*) OVER (PARTITION BY axis, cluster) AS n FROM v_pairs WHERE split = 'train'), range(1, 65) r(i)
             WHERE (n0 >= 3 AND grade = 0) OR (n0 < 3 AND n >= 5) GROUP BY ALL) t
           JOIN (SELECT axis, i, avg(v[i]) AS m FROM v_pairs, range(1, 65) r(i) WHERE split = 'train' GROUP BY ALL) g ON g.axis = t.axis AND g.i = t.i GROUP BY t.axis, cluster) t JOIN paired USING (axis)) GROUP BY axis""", "v_pairs", "paired"),
-    "ordinality": with_views("SELECT axis, round(m0, 6) AS mean_0, round(m1, 6) AS mean_1, round(m2, 6) AS mean_2, m0 < m1 AND m1 < m2 AS monotone FROM (SELECT axis, avg(score) FILTER (grade = 0) AS m0, avg(score) FILTER (grade = 1) AS m1, avg(score) FILTER (grade = 2) AS m2 FROM scored WHERE split = 'test' GROUP BY axis)", "scored"),
+    "ordinality": with_views(
+        "SELECT axis, round(m0, 6) AS mean_0, round(m1, 6) AS mean_1, round(m2, 6) AS mean_2, m0 < m1 AND m1 < m2 AS monotone FROM (SELECT axis, avg(score) FILTER (grade = 0) AS m0, avg(score) FILTER (grade = 1) AS m1, avg(score) FILTER (grade = 2) AS m2 FROM scored WHERE split = 'test' GROUP BY axis)",
+        "scored",
+    ),
     "counterfactual": with_views("""SELECT axis, count(*) AS n, round(avg(p), 6) AS invariance, round((coalesce(sum(abs(u)), 0) + coalesce(sum(abs(d)), 0)) / nullif(count(u) + count(d), 0), 6) AS sensitivity,
           round(CAST(count(*) FILTER (u > 0) + count(*) FILTER (d > 0) AS DOUBLE) / nullif(count(u) + count(d), 0), 6) AS direction_correct,
           round((coalesce(sum(abs(u)), 0) + coalesce(sum(abs(d)), 0)) / nullif(count(u) + count(d), 0) / avg(p), 6) AS ratio

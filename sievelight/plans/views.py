@@ -19,31 +19,61 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = F.regexp_extract("text", r"^\s*(\S+\s+\S+)", 1)
     q = F.when((F.col("doc_id") % 2 == 1) & (two != ""), two).otherwise(F.regexp_extract("text", r"^\s*(\S+)", 1))
     rows = docs.withColumn("q", q).filter(~F.contains("q", F.lit("ß")))
-    query = F.when(F.col("doc_id") % 3 == 1, F.upper("q")).when(F.col("doc_id") % 3 == 2, tx.strip_marks(F.col("q"))).otherwise(F.col("q"))
+    query = F.when(F.col("doc_id") % 3 == 1, F.upper("q")).when(
+        F.col("doc_id") % 3 == 2, tx.strip_marks(F.col("q"))
+    ).otherwise(F.col("q"))
     ga4 = F.col("doc_id") % 2 == 0
     return rows.select(
-        "doc_id", query.alias("query"), tx.fold(query).alias("query_key"), F.when(ga4, SOURCES[0]).otherwise(SOURCES[1]).alias("source"), F.col("source").alias("source_file"),
-        (F.col("n_chars") % 50).alias("clicks"), F.col("n_chars").alias("impressions"), F.when(ga4, (F.col("n_chars") % 97) / 97.0).alias("ctr"), "lang",
-        F.date_add(F.lit("2025-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")).cast("string").alias("last_searched"),
+        "doc_id", query.alias("query"), tx.fold(query).alias("query_key"), F.when(
+            ga4, SOURCES[0]
+        ).otherwise(SOURCES[1]).alias("source"), F.col("source").alias("source_file"),
+        (F.col("n_chars") % 50).alias("clicks"), F.col("n_chars").alias("impressions"), F.when(
+            ga4, (F.col("n_chars") % 97) / 97.0
+        ).alias("ctr"), "lang",
+        F.date_add(
+            F.lit("2025-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")
+        ).cast("string").alias("last_searched"),
     )
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graded vectors with clusters, pair keys and splits."""
-    rows = table(spark, sf_dir, "embeddings").withColumns({"grade": F.col("label") % 3, "cluster": F.concat(F.lit("sc_"), F.expr("(vec_id div 6) % 25").cast("string"))})
+    rows = table(spark, sf_dir, "embeddings").withColumns(
+        {"grade": F.col("label") % 3, "cluster": F.concat(F.lit("sc_"), F.expr("(vec_id div 6) % 25").cast("string"))}
+    )
     axis = F.when(F.col("vec_id") % 3 == 0, "MU").when(F.col("vec_id") % 3 == 1, "PU").otherwise("ET")
-    return rows.select(axis.alias("axis"), F.col("vec_id").alias("text_id"), vx.doubles(F.col("embedding")).alias("v"), "grade", "cluster", F.col("vec_id").alias("query_key"), F.when(F.col("grade") == 2, F.col("vec_id") - 3).otherwise(F.col("vec_id")).alias("pair_key"), split_of(F.col("cluster")).alias("split"))
+    return rows.select(
+        axis.alias("axis"),
+        F.col("vec_id").alias("text_id"),
+        vx.doubles(F.col("embedding")).alias("v"),
+        "grade",
+        "cluster",
+        F.col("vec_id").alias("query_key"),
+        F.when(F.col("grade") == 2, F.col("vec_id") - 3).otherwise(F.col("vec_id")).alias("pair_key"),
+        split_of(F.col("cluster")).alias("split"),
+    )
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return rows.select("vec_id", vx.doubles(F.col("embedding")).alias("embedding"), F.when(F.col("vec_id") % 10 == 0, -1).otherwise(F.col("label")).alias("cluster_id"), (F.col("vec_id") * 7 % 101).alias("clicks"), F.format_string("key%05d", "vec_id").alias("query_key"))
+    return rows.select(
+        "vec_id",
+        vx.doubles(F.col("embedding")).alias("embedding"),
+        F.when(F.col("vec_id") % 10 == 0, -1).otherwise(F.col("label")).alias("cluster_id"),
+        (F.col("vec_id") * 7 % 101).alias("clicks"),
+        F.format_string("key%05d", "vec_id").alias("query_key"),
+    )
 
 
 def raters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").withColumn("rater_a", F.col("quality") + F.col("toxic"))
     other = F.when(F.col("doc_id") % 7 == 0, (F.col("rater_a") + 1) % 3).otherwise(F.col("rater_a"))
-    return rows.select("doc_id", "rater_a", other.alias("rater_b"), F.when(F.col("doc_id") % 14 == 0, F.col("rater_a")).alias("gold_adj"))
+    return rows.select(
+        "doc_id",
+        "rater_a",
+        other.alias("rater_b"),
+        F.when(F.col("doc_id") % 14 == 0, F.col("rater_a")).alias("gold_adj"),
+    )
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,21 +84,50 @@ def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     d = F.col("doc_id")
     token = lambda axis, two, one: F.when(d % two == 0, f"{axis}2").when(d % one == 0, f"{axis}1").otherwise(f"{axis}0")
-    category = F.when(F.col("lang") == "en", "oncology-core").when(F.col("lang") == "de", "oncology-adjacent").when(F.col("lang") == "fr", "navigational").otherwise("non-clinical")
+    category = F.when(F.col("lang") == "en", "oncology-core").when(
+        F.col("lang") == "de", "oncology-adjacent"
+    ).when(F.col("lang") == "fr", "navigational").otherwise("non-clinical")
     return docs.select(
-        d.cast("string").alias("query_key"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("query_text"), F.concat("source", F.lit("_"), (d % 40).cast("string")).alias("supercluster_id"),
-        category.alias("clinical_relevance"), token("MU", 11, 3).alias("mu_grade"), token("PU", 13, 4).alias("pu_grade"), token("ET", 3, 2).alias("et_grade"),
-        (1 + d % 5).cast("int").alias("mu_confidence"), F.expr("cast(1 + (doc_id div 5) % 5 as int)").alias("pu_confidence"), F.expr("cast(1 + (doc_id div 25) % 5 as int)").alias("et_confidence"),
+        d.cast("string").alias("query_key"), F.substring(
+            F.coalesce("text", F.lit("")), 1, 40
+        ).alias("query_text"), F.concat(
+            "source", F.lit("_"), (d % 40).cast("string")
+        ).alias("supercluster_id"),
+        category.alias(
+            "clinical_relevance"
+        ), token(
+            "MU", 11, 3
+        ).alias("mu_grade"), token("PU", 13, 4).alias("pu_grade"), token("ET", 3, 2).alias("et_grade"),
+        (1 + d % 5).cast("int").alias("mu_confidence"), F.expr(
+            "cast(1 + (doc_id div 5) % 5 as int)"
+        ).alias("pu_confidence"), F.expr(
+            "cast(1 + (doc_id div 25) % 5 as int)"
+        ).alias("et_confidence"),
     )
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
-    return rows.select(F.col("event_id"), (F.col("user_id") % 3).cast("int").alias("concurrency"), F.when(F.col("event_id") % 17 != 0, F.col("value")).alias("latency_s"), F.when(F.col("user_id") % 3 == 0, "gpt-5.4").when(F.col("user_id") % 3 == 1, "gpt-5.4-mini").otherwise("other").alias("model"), (F.col("event_id") % 3000).alias("prompt_tokens"), (F.col("event_id") % 700).alias("completion_tokens"))
+    return rows.select(
+        F.col("event_id"),
+        (F.col("user_id") % 3).cast("int").alias("concurrency"),
+        F.when(F.col("event_id") % 17 != 0, F.col("value")).alias("latency_s"),
+        F.when(F.col("user_id") % 3 == 0, "gpt-5.4").when(
+            F.col("user_id") % 3 == 1, "gpt-5.4-mini"
+        ).otherwise("other").alias("model"),
+        (F.col("event_id") % 3000).alias("prompt_tokens"),
+        (F.col("event_id") % 700).alias("completion_tokens"),
+    )
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").filter("vec_id % 12 < 3").select(F.when(F.col("vec_id") % 3 == 0, "MU").when(F.col("vec_id") % 3 == 1, "PU").otherwise("ET").alias("axis"), F.col("vec_id").alias("seed"), (F.col("vec_id") + 3).alias("paraphrase"), (F.col("vec_id") + 6).alias("up"), (F.col("vec_id") + 9).alias("down"))
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 12 < 3").select(
+        F.when(F.col("vec_id") % 3 == 0, "MU").when(F.col("vec_id") % 3 == 1, "PU").otherwise("ET").alias("axis"),
+        F.col("vec_id").alias("seed"),
+        (F.col("vec_id") + 3).alias("paraphrase"),
+        (F.col("vec_id") + 6).alias("up"),
+        (F.col("vec_id") + 9).alias("down"),
+    )
 
 
 _FOLD = r"trim(regexp_replace(strip_accents(lower({0})), '\s+', ' ', 'g'))"
@@ -96,8 +155,14 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
               FROM (SELECT *, 'sc_' || CAST((vec_id // 6) % 25 AS VARCHAR) AS cluster FROM embeddings))""",
         (),
     ),
-    "v_clusters": ("SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, CASE WHEN vec_id % 10 = 0 THEN -1 ELSE label END AS cluster_id, vec_id * 7 % 101 AS clicks, format('key{:05d}', vec_id) AS query_key FROM embeddings", ()),
-    "v_raters": ("SELECT doc_id, rater_a, CASE WHEN doc_id % 7 = 0 THEN (rater_a + 1) % 3 ELSE rater_a END AS rater_b, CASE WHEN doc_id % 14 = 0 THEN rater_a END AS gold_adj FROM (SELECT *, quality + toxic AS rater_a FROM labels)", ()),
+    "v_clusters": (
+        "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, CASE WHEN vec_id % 10 = 0 THEN -1 ELSE label END AS cluster_id, vec_id * 7 % 101 AS clicks, format('key{:05d}', vec_id) AS query_key FROM embeddings",
+        (),
+    ),
+    "v_raters": (
+        "SELECT doc_id, rater_a, CASE WHEN doc_id % 7 = 0 THEN (rater_a + 1) % 3 ELSE rater_a END AS rater_b, CASE WHEN doc_id % 14 = 0 THEN rater_a END AS gold_adj FROM (SELECT *, quality + toxic AS rater_a FROM labels)",
+        (),
+    ),
     "v_picks": (
         """
         SELECT CAST(doc_id AS VARCHAR) AS query_key, substr(coalesce(text, ''), 1, 40) AS query_text, source || '_' || CAST(doc_id % 40 AS VARCHAR) AS supercluster_id,
@@ -109,11 +174,23 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         FROM documents""",
         (),
     ),
-    "v_calls": ("SELECT event_id, CAST(user_id % 3 AS INTEGER) AS concurrency, CASE WHEN event_id % 17 <> 0 THEN value END AS latency_s, CASE user_id % 3 WHEN 0 THEN 'gpt-5.4' WHEN 1 THEN 'gpt-5.4-mini' ELSE 'other' END AS model, event_id % 3000 AS prompt_tokens, event_id % 700 AS completion_tokens FROM events", ()),
-    "v_edits": ("SELECT CASE vec_id % 3 WHEN 0 THEN 'MU' WHEN 1 THEN 'PU' ELSE 'ET' END AS axis, vec_id AS seed, vec_id + 3 AS paraphrase, vec_id + 6 AS up, vec_id + 9 AS down FROM embeddings WHERE vec_id % 12 < 3", ()),
+    "v_calls": (
+        "SELECT event_id, CAST(user_id % 3 AS INTEGER) AS concurrency, CASE WHEN event_id % 17 <> 0 THEN value END AS latency_s, CASE user_id % 3 WHEN 0 THEN 'gpt-5.4' WHEN 1 THEN 'gpt-5.4-mini' ELSE 'other' END AS model, event_id % 3000 AS prompt_tokens, event_id % 700 AS completion_tokens FROM events",
+        (),
+    ),
+    "v_edits": (
+        "SELECT CASE vec_id % 3 WHEN 0 THEN 'MU' WHEN 1 THEN 'PU' ELSE 'ET' END AS axis, vec_id AS seed, vec_id + 3 AS paraphrase, vec_id + 6 AS up, vec_id + 9 AS down FROM embeddings WHERE vec_id % 12 < 3",
+        (),
+    ),
     # Directions, scores and thresholds of the probes.
-    "zero_cluster": ("SELECT axis, cluster, list(m ORDER BY i) AS v FROM (SELECT axis, cluster, i, avg(v[i]) AS m FROM v_pairs, range(1, 65) r(i) WHERE split = 'train' AND grade = 0 GROUP BY ALL) GROUP BY ALL", ("v_pairs",)),
-    "zero_cell": ("SELECT axis, list(m ORDER BY i) AS v FROM (SELECT axis, i, avg(v[i]) AS m FROM v_pairs, range(1, 65) r(i) WHERE split = 'train' AND grade = 0 GROUP BY ALL) GROUP BY ALL", ("v_pairs",)),
+    "zero_cluster": (
+        "SELECT axis, cluster, list(m ORDER BY i) AS v FROM (SELECT axis, cluster, i, avg(v[i]) AS m FROM v_pairs, range(1, 65) r(i) WHERE split = 'train' AND grade = 0 GROUP BY ALL) GROUP BY ALL",
+        ("v_pairs",),
+    ),
+    "zero_cell": (
+        "SELECT axis, list(m ORDER BY i) AS v FROM (SELECT axis, i, avg(v[i]) AS m FROM v_pairs, range(1, 65) r(i) WHERE split = 'train' AND grade = 0 GROUP BY ALL) GROUP BY ALL",
+        ("v_pairs",),
+    ),
     "matched": (
         """
         SELECT t.axis, t.text_id, t.v AS a, coalesce(z.v, c.v, g.v) AS b, CASE WHEN z.v IS NOT NULL THEN 'anchor' WHEN c.v IS NOT NULL THEN 'cluster' ELSE 'cell' END AS path
@@ -122,8 +199,14 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         LEFT JOIN zero_cluster c ON c.axis = t.axis AND c.cluster = t.cluster JOIN zero_cell g ON g.axis = t.axis""",
         ("v_pairs", "zero_cluster", "zero_cell"),
     ),
-    "paired": ("SELECT axis, [x / sqrt(list_dot_product(m, m)) for x in m] AS w FROM (SELECT axis, list(d ORDER BY i) AS m FROM (SELECT axis, i, avg(a[i] - b[i]) AS d FROM matched, range(1, 65) r(i) GROUP BY ALL) GROUP BY ALL)", ("matched",)),
-    "scored": ("SELECT p.axis, text_id, grade, cluster, split, round(list_dot_product(v, w), 12) AS score FROM v_pairs p JOIN paired USING (axis)", ("v_pairs", "paired")),
+    "paired": (
+        "SELECT axis, [x / sqrt(list_dot_product(m, m)) for x in m] AS w FROM (SELECT axis, list(d ORDER BY i) AS m FROM (SELECT axis, i, avg(a[i] - b[i]) AS d FROM matched, range(1, 65) r(i) GROUP BY ALL) GROUP BY ALL)",
+        ("matched",),
+    ),
+    "scored": (
+        "SELECT p.axis, text_id, grade, cluster, split, round(list_dot_product(v, w), 12) AS score FROM v_pairs p JOIN paired USING (axis)",
+        ("v_pairs", "paired"),
+    ),
     "cuts": (
         """
         SELECT axis, unnest(list_distinct([round(x, 12) for x in quantile_cont(score, [0.02 + 0.96 * k / 59 for k in range(60)])])) AS t FROM scored WHERE split = 'dev' GROUP BY axis""",
@@ -140,8 +223,14 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
                       FROM scored s JOIN cuts a ON a.axis = s.axis JOIN cuts b ON b.axis = s.axis AND a.t < b.t WHERE s.split = 'dev') GROUP BY ALL))) WHERE k = 1""",
         ("scored", "cuts"),
     ),
-    "classified": ("SELECT s.*, CASE WHEN score >= t2 THEN 2 WHEN score >= t1 THEN 1 ELSE 0 END AS pred FROM scored s JOIN tuned USING (axis) WHERE split = 'test'", ("scored", "tuned")),
-    "centres": ("SELECT cluster_id, [x / sqrt(list_dot_product(m, m)) for x in m] AS centroid FROM (SELECT cluster_id, list(a ORDER BY i) AS m FROM (SELECT cluster_id, i, avg(embedding[i]) AS a FROM v_clusters, range(1, 65) r(i) WHERE cluster_id <> -1 GROUP BY ALL) GROUP BY ALL)", ("v_clusters",)),
+    "classified": (
+        "SELECT s.*, CASE WHEN score >= t2 THEN 2 WHEN score >= t1 THEN 1 ELSE 0 END AS pred FROM scored s JOIN tuned USING (axis) WHERE split = 'test'",
+        ("scored", "tuned"),
+    ),
+    "centres": (
+        "SELECT cluster_id, [x / sqrt(list_dot_product(m, m)) for x in m] AS centroid FROM (SELECT cluster_id, list(a ORDER BY i) AS m FROM (SELECT cluster_id, i, avg(embedding[i]) AS a FROM v_clusters, range(1, 65) r(i) WHERE cluster_id <> -1 GROUP BY ALL) GROUP BY ALL)",
+        ("v_clusters",),
+    ),
 }
 
 

@@ -55,7 +55,15 @@ def with_retries(call: Callable, attempts: int = 5, wait: float = 0.5, most: flo
             time.sleep(min(most, wait * 2**k))
 
 
-def embed(texts: DataFrame, embedder: Embedder, key: str = "text_id", text: str = "text", batch: int = 128, attempts: int = 5, concurrency: int | None = None) -> DataFrame:
+def embed(
+    texts: DataFrame,
+    embedder: Embedder,
+    key: str = "text_id",
+    text: str = "text",
+    batch: int = 128,
+    attempts: int = 5,
+    concurrency: int | None = None,
+) -> DataFrame:
     """key, embedding and error of each text; a batch that fails is tried again row by row.
 
     ``concurrency`` bounds the tasks, and so the calls, that run at a time.
@@ -79,10 +87,14 @@ def embed(texts: DataFrame, embedder: Embedder, key: str = "text_id", text: str
 
     rows = texts.select(key, text)
     rows = rows.repartition(concurrency) if concurrency else rows
-    return rows.mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, embedding array<double>, error string")
+    return rows.mapInPandas(
+        run, f"{key} {texts.schema[key].dataType.simpleString()}, embedding array<double>, error string"
+    )
 
 
-def embed_missing(texts: DataFrame, done: DataFrame | None, embedder: Embedder, key: str = "text_id", **options) -> DataFrame:
+def embed_missing(
+    texts: DataFrame, done: DataFrame | None, embedder: Embedder, key: str = "text_id", **options
+) -> DataFrame:
     """Embeddings of the texts whose key isn't done, each once."""
     todo = texts.dropDuplicates([key])
     if done is not None:
@@ -115,13 +127,25 @@ TASKS = {
 }
 
 
-def call_model(prompts: DataFrame, answer: Answer, model: str, task: str, key: str, prompt: str = "prompt", cache: DataFrame | None = None, attempts: int = 3, concurrency: int | None = None) -> DataFrame:
+def call_model(
+    prompts: DataFrame,
+    answer: Answer,
+    model: str,
+    task: str,
+    key: str,
+    prompt: str = "prompt",
+    cache: DataFrame | None = None,
+    attempts: int = 3,
+    concurrency: int | None = None,
+) -> DataFrame:
     """key, cache_key, response, prompt_tokens, completion_tokens, cached and error of each prompt.
 
     The cache (cache_key, response, tokens) is joined first; what it lacks is sent once
     for each distinct prompt.
     """
-    rows = prompts.select(key, F.col(prompt).alias("_p")).withColumn("cache_key", cache_key(model=F.lit(model), task=F.lit(task), prompt=F.col("_p")))
+    rows = prompts.select(key, F.col(prompt).alias("_p")).withColumn(
+        "cache_key", cache_key(model=F.lit(model), task=F.lit(task), prompt=F.col("_p"))
+    )
     todo = rows.select("cache_key", "_p").dropDuplicates(["cache_key"])
     if cache is not None:
         todo = todo.join(cache.select("cache_key"), "cache_key", "left_anti")
@@ -140,7 +164,16 @@ def call_model(prompts: DataFrame, answer: Answer, model: str, task: str, key: s
     schema = "cache_key string, response string, prompt_tokens long, completion_tokens long, error string"
     new = todo.mapInPandas(run, schema).withColumn("cached", F.lit(False))
     if cache is not None:
-        new = new.unionByName(cache.select("cache_key", "response", "prompt_tokens", "completion_tokens", F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached")))
+        new = new.unionByName(
+            cache.select(
+                "cache_key",
+                "response",
+                "prompt_tokens",
+                "completion_tokens",
+                F.lit(None).cast("string").alias("error"),
+                F.lit(True).alias("cached"),
+            )
+        )
     return rows.drop("_p").join(new, "cache_key")
 
 
@@ -152,7 +185,13 @@ def parsed(answers: DataFrame, task: str, keep: list[str]) -> DataFrame:
 def usage(answers: DataFrame) -> DataFrame:
     """Calls, failures, cached answers and tokens of a run."""
     new = ~F.col("cached")
-    return answers.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("n_failed"), F.count_if("cached").alias("n_cached"), F.coalesce(F.sum(F.when(new, F.col("prompt_tokens"))), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum(F.when(new, F.col("completion_tokens"))), F.lit(0)).alias("completion_tokens"))
+    return answers.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("error").isNotNull()).alias("n_failed"),
+        F.count_if("cached").alias("n_cached"),
+        F.coalesce(F.sum(F.when(new, F.col("prompt_tokens"))), F.lit(0)).alias("prompt_tokens"),
+        F.coalesce(F.sum(F.when(new, F.col("completion_tokens"))), F.lit(0)).alias("completion_tokens"),
+    )
 
 
 def same_inputs(manifest: DataFrame, task: str, digest: str) -> bool:

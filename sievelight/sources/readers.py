@@ -17,14 +17,23 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     """kind and path of the logs in a folder, by their names' patterns."""
     found = None
     for kind, pattern in PATTERNS.items():
-        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select(F.lit(kind).alias("kind"), "path")
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option(
+            "recursiveFileLookup", "true"
+        ).load(folder).select(
+            F.lit(kind).alias("kind"), "path"
+        )
         found = files if found is None else found.union(files)
     return found.distinct()
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of files with their file's name and their order in it."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("n"),
+        "value",
+    )
     return rows.withColumn("line", F.row_number().over(Window.partitionBy("source_file").orderBy("at", "n")))
 
 
@@ -37,28 +46,48 @@ def read_ga4(spark: SparkSession, path: str, source: str = "site1_ga4", site: st
     another number of columns are skipped, and so are rows without a query.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("source_file"), "value")
-    comments = lines.filter(F.col("value").startswith("#")).groupBy("source_file").agg(F.concat_ws(" ", F.array_sort(F.collect_list("value"))).alias("head"))
+    comments = lines.filter(F.col("value").startswith("#")).groupBy("source_file").agg(
+        F.concat_ws(" ", F.array_sort(F.collect_list("value"))).alias("head")
+    )
     dates = comments.select("source_file", tx.header_dates(F.col("head")).alias("d"))
     data = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(7)])
-    cells = data.withColumn("c", F.from_csv("value", schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "), {"mode": "PERMISSIVE"}))
+    cells = data.withColumn(
+        "c",
+        F.from_csv("value", schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "), {"mode": "PERMISSIVE"}),
+    )
     cells = cells.withColumn("n", sum((F.col(f"c.c{k}").isNotNull().cast("int") for k in range(7)), F.lit(0)))
     # The header is the line that states no number where the clicks are.
     with_device = tx.number(F.col("c.c1")).isNull()
     at = lambda k: F.when(with_device, F.col(f"c.c{k + 1}")).otherwise(F.col(f"c.c{k}"))
-    rows = cells.filter(F.col("n").isin(5, 6) & tx.number(at(1)).isNotNull()).select("source_file", tx.clean_query(F.col("c.c0")).alias("query"), F.when(with_device, F.col("c.c1")).alias("device"), *(tx.number(at(k)).alias(name) for k, name in ((1, "clicks"), (2, "impressions"), (3, "ctr"), (4, "position"))))
+    rows = cells.filter(F.col("n").isin(5, 6) & tx.number(at(1)).isNotNull()).select(
+        "source_file",
+        tx.clean_query(F.col("c.c0")).alias("query"),
+        F.when(with_device, F.col("c.c1")).alias("device"),
+        *(tx.number(at(k)).alias(name) for k, name in ((1, "clicks"), (2, "impressions"), (3, "ctr"), (4, "position"))),
+    )
     rows = rows.filter("query is not null").join(F.broadcast(dates), "source_file", "left")  # a row a file
     return rows.select(
-        tx.normalize_key("query").alias("query_key"), "query", F.lit(source).alias("source"), F.lit(site).alias("site"), "source_file", "device",
-        F.coalesce("clicks", F.lit(0)).cast("long").alias("clicks"), F.coalesce("impressions", F.lit(0)).cast("long").alias("impressions"), "ctr", "position",
-        F.lit(None).cast("long").alias("found"), F.lit(None).cast("string").alias("lang"), F.col("d.start").alias("date_start"), F.col("d.end").alias("date_end"), F.lit(None).cast("string").alias("last_searched"), F.lit(None).cast("long").alias("last_year"),
+        tx.normalize_key("query").alias(
+            "query_key"
+        ), "query", F.lit(source).alias("source"), F.lit(site).alias("site"), "source_file", "device",
+        F.coalesce("clicks", F.lit(0)).cast("long").alias("clicks"), F.coalesce(
+            "impressions", F.lit(0)
+        ).cast("long").alias("impressions"), "ctr", "position",
+        F.lit(None).cast("long").alias("found"), F.lit(None).cast("string").alias("lang"), F.col("d.start").alias(
+            "date_start"
+        ), F.col("d.end").alias("date_end"), F.lit(None).cast("string").alias(
+            "last_searched"
+        ), F.lit(None).cast("long").alias("last_year"),
     )
 
 
 def read_internal(spark: SparkSession, path: str, source: str = "site1_internal", site: str = "site1") -> DataFrame:
     """An internal search log (query, lang, clicks, found, last_searched) as a log; rows without a query go."""
     schema = "query string, lang string, clicks string, found string, last_searched_raw string"
-    rows = spark.read.schema(schema).option("header", "true").option("mode", "DROPMALFORMED").csv(path).select("*", F.col("_metadata.file_name").alias("source_file"))
+    rows = spark.read.schema(schema).option("header", "true").option("mode", "DROPMALFORMED").csv(path).select(
+        "*", F.col("_metadata.file_name").alias("source_file")
+    )
     return internal_log(rows, source, site)
 
 
@@ -66,19 +95,38 @@ def internal_log(rows: DataFrame, source: str, site: str) -> DataFrame:
     day = tx.day_month_year(F.col("last_searched_raw"))
     kept = rows.withColumns({"query": tx.clean_query(F.col("query")), "day": day}).filter("query is not null")
     return kept.select(
-        tx.normalize_key("query").alias("query_key"), "query", F.lit(source).alias("source"), F.lit(site).alias("site"), "source_file", F.lit(None).cast("string").alias("device"),
-        F.coalesce(tx.number(F.col("clicks")), F.lit(0)).cast("long").alias("clicks"), F.lit(0).cast("long").alias("impressions"), F.lit(None).cast("double").alias("ctr"), F.lit(None).cast("double").alias("position"),
-        tx.number(F.col("found")).cast("long").alias("found"), "lang", F.lit(None).cast("string").alias("date_start"), F.lit(None).cast("string").alias("date_end"), F.col("day").cast("string").alias("last_searched"), F.year("day").cast("long").alias("last_year"),
+        tx.normalize_key("query").alias(
+            "query_key"
+        ), "query", F.lit(source).alias(
+            "source"
+        ), F.lit(site).alias("site"), "source_file", F.lit(None).cast("string").alias("device"),
+        F.coalesce(
+            tx.number(F.col("clicks")), F.lit(0)
+        ).cast("long").alias("clicks"), F.lit(0).cast("long").alias(
+            "impressions"
+        ), F.lit(None).cast("double").alias("ctr"), F.lit(None).cast("double").alias("position"),
+        tx.number(
+            F.col("found")
+        ).cast("long").alias("found"), "lang", F.lit(None).cast("string").alias(
+            "date_start"
+        ), F.lit(None).cast("string").alias("date_end"), F.col("day").cast("string").alias(
+            "last_searched"
+        ), F.year("day").cast("long").alias("last_year"),
     )
 
 
-def read_internal_xls(spark: SparkSession, path: str, names: dict[str, str], source: str = "site1_internal", site: str = "site1") -> DataFrame:
+def read_internal_xls(
+    spark: SparkSession, path: str, names: dict[str, str], source: str = "site1_internal", site: str = "site1"
+) -> DataFrame:
     """An internal log in a spreadsheet with localised headers; needs a spreadsheet engine of pandas."""
     import pandas as pd
 
     sheet = pd.read_excel(path).rename(columns=names).astype("string")
     wanted = ["query", "lang", "clicks", "found", "last_searched_raw"]
-    rows = spark.createDataFrame(sheet.reindex(columns=wanted).astype(object).where(sheet.reindex(columns=wanted).notna(), None), ", ".join(f"{c} string" for c in wanted))
+    rows = spark.createDataFrame(
+        sheet.reindex(columns=wanted).astype(object).where(sheet.reindex(columns=wanted).notna(), None),
+        ", ".join(f"{c} string" for c in wanted),
+    )
     return internal_log(rows.withColumn("source_file", F.lit(path.rsplit("/", 1)[-1])), source, site)
 
 
@@ -90,7 +138,9 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_employees(spark: SparkSession, path: str) -> DataFrame:
     """firstname and lastname from a JSON document {"data": [...]}."""
     schema = "data array<struct<firstname:string,lastname:string>>"
-    return spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("data").alias("e")).select("e.*")
+    return spark.read.schema(schema).option("multiLine", "true").json(path).select(
+        F.explode("data").alias("e")
+    ).select("e.*")
 
 
 def read_responses(spark: SparkSession, folder: str, schema: str, keys: list[str], order: str) -> DataFrame:

@@ -13,7 +13,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         local = sc.master.startswith("local")
-        sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="sievelight-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"))
+        sc.setCheckpointDir(
+            named or (
+                tempfile.mkdtemp(prefix="sievelight-")
+                if local
+                else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+            )
+        )
     return sc.getCheckpointDir()
 
 

@@ -8,7 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 from sievelight.sources.providers import Embedder, embed_missing
 
 
-def embed_stream(texts: DataFrame, embedder: Embedder, table: str, checkpoint: str, key: str = "text_id", available_now: bool = True) -> StreamingQuery:
+def embed_stream(
+    texts: DataFrame, embedder: Embedder, table: str, checkpoint: str, key: str = "text_id", available_now: bool = True
+) -> StreamingQuery:
     """Appends the embedding of each key that ``table`` lacks; a batch that is run again adds nothing twice."""
     spark = texts.sparkSession
     schema = f"{key} {texts.schema[key].dataType.simpleString()}, embedding array<double>, error string"

@@ -31,15 +31,43 @@ def test_folding_keeps_what_it_should(spark):
     texts = ["  Zdravý   DEN ", "Straße", "ŁÓDŹ", None, "İstanbul", "MUDr. Novák", "é́"]
     df = column(spark, texts)
     exact = values(df, tx.normalize_key("x"))
-    want = [None if t is None else " ".join("".join(c for c in unicodedata.normalize("NFD", t.casefold()) if unicodedata.category(c) != "Mn").split()) for t in texts]
+    want = [
+        None
+        if t is None
+        else " ".join(
+            "".join(c for c in unicodedata.normalize("NFD", t.casefold()) if unicodedata.category(c) != "Mn").split()
+        )
+        for t in texts
+    ]
     assert exact == want and exact[1] == "strasse" and exact[2] == "łodz"
     fast = values(df, tx.fold(F.col("x")))
     assert fast[0] == "zdravy den" and fast[1] == "straße" and fast[2] == "łodz"
-    assert values(df, tx.normalize_name(F.col("x")))[5] == "novak" == values(df, tx.normalize_name(F.col("x"), exact=True))[5]
+    assert values(df, tx.normalize_name(F.col("x")))[5] == "novak" == values(
+        df, tx.normalize_name(F.col("x"), exact=True)
+    )[5]
 
 
 def test_predicates(spark):
-    df = column(spark, ["123", "12", "١٢٣", " 4567 ", "1 2 3", "' or 5*5=25 --", "select (1)", "buy my pills online", "MUDr Novák", "magnet", "{x}", "ab", "--!", "jak dlouho trvá léčba", None])
+    df = column(
+        spark,
+        [
+            "123",
+            "12",
+            "١٢٣",
+            " 4567 ",
+            "1 2 3",
+            "' or 5*5=25 --",
+            "select (1)",
+            "buy my pills online",
+            "MUDr Novák",
+            "magnet",
+            "{x}",
+            "ab",
+            "--!",
+            "jak dlouho trvá léčba",
+            None,
+        ],
+    )
     assert values(df, tx.is_digits(F.col("x"))) == [True, False, True, True] + [False] * 11
     assert [k for k, v in enumerate(values(df, tx.is_spam(F.col("x")))) if v] == [5, 6, 7]
     assert [k for k, v in enumerate(values(df, tx.has_title(F.col("x")))) if v] == [8]
@@ -49,10 +77,14 @@ def test_predicates(spark):
 
 def test_dates_and_numbers(spark):
     df = column(spark, ["1. 2. 2024 10:30", "31.12.2023", "30. 2. 2024", "x", None])
-    assert [str(v) if v else None for v in values(df, tx.day_month_year(F.col("x")))] == ["2024-02-01", "2023-12-31", None, None, None]
+    assert [
+        str(v) if v else None for v in values(df, tx.day_month_year(F.col("x")))
+    ] == ["2024-02-01", "2023-12-31", None, None, None]
     assert values(column(spark, ["5", "5,3 %", "1e3", ""]), tx.number(F.col("x"))) == [5.0, None, 1000.0, None]
     heads_ = column(spark, ["# 20240101-20240131", "# 20240101", "# none"])
-    assert [tuple(v) for v in values(heads_, tx.header_dates(F.col("x")))] == [("2024-01-01", "2024-01-31"), ("2024-01-01", "2024-01-01"), (None, None)]
+    assert [tuple(v) for v in values(heads_, tx.header_dates(F.col("x")))] == [
+        ("2024-01-01", "2024-01-31"), ("2024-01-01", "2024-01-01"), (None, None)
+    ]
 
 
 @pytest.mark.parametrize("k", [5, 7, 1000])
@@ -79,13 +111,30 @@ def test_weighted_mean_dilutes_and_falls_back(spark):
 
 def test_dedup_ties_and_null_sums(spark):
     rows = [("k", "b", 5, None, None), ("k", "a", 5, None, None), ("k", "z", 1, None, 0.1)]
-    r = logs.dedup(spark.createDataFrame(rows, "query_key string, query string, clicks long, impressions long, ctr double"), ["query_key"]).first()
+    r = logs.dedup(
+        spark.createDataFrame(rows, "query_key string, query string, clicks long, impressions long, ctr double"),
+        ["query_key"],
+    ).first()
     assert (r["query"], r.clicks, r.impressions, r.n_rows) == ("a", 11, 0, 3)
 
 
 def test_canonical_file(spark):
-    rows = [("s", "f1", "2024-01-01", "2024-01-10", 5), ("s", "f2", "2024-01-01", "2024-02-10", 1), ("s", "f3", "2024-01-05", "2024-02-14", 9), ("t", "g", None, None, 1)]
-    got = {r.source: r.source_file for r in logs.canonical_files(spark.createDataFrame(rows, "source string, source_file string, a string, b string, clicks long"), ["source"], "source_file", "a", "b", "clicks").collect()}
+    rows = [
+        ("s", "f1", "2024-01-01", "2024-01-10", 5),
+        ("s", "f2", "2024-01-01", "2024-02-10", 1),
+        ("s", "f3", "2024-01-05", "2024-02-14", 9),
+        ("t", "g", None, None, 1),
+    ]
+    got = {
+        r.source: r.source_file for r in logs.canonical_files(
+            spark.createDataFrame(rows, "source string, source_file string, a string, b string, clicks long"),
+            ["source"],
+            "source_file",
+            "a",
+            "b",
+            "clicks",
+        ).collect()
+    }
     assert got == {"s": "f3", "t": "g"}
 
 
@@ -107,38 +156,71 @@ def test_fuzzy_join_misses_nothing(spark):
             at = rng.randrange(len(edited) + 1)
             edited[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "q"])
         keys.append("".join(edited) or "y")
-    left, right = spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(n,) for n in names], "name string")
+    left, right = spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame(
+        [(n,) for n in names], "name string"
+    )
     want = {}
     for key in set(keys):
         best = min((-lcs_ratio(key, n), n) for n in set(names))
         if -best[0] >= 88:
             want[key] = (best[1], -best[0])
     got = {r.key: (r.name, r.ratio) for r in filters.fuzzy_matches(left, right, "key", "name").collect()}
-    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert got.keys() == want.keys() and all(
+        got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want
+    )
 
 
 def test_person_flags(spark):
-    people = spark.createDataFrame([("Jan", "Novák"), (None, "Dvořáková"), ("Eva", "Ox")], "firstname string, lastname string")
-    log = spark.createDataFrame([("novak jan",), ("MUDr. Novák ordinace dnes ráno",), ("dvorakov",), ("ox kart",), ("zcela jiny dotaz",), (None,)], "query string")
+    people = spark.createDataFrame(
+        [("Jan", "Novák"), (None, "Dvořáková"), ("Eva", "Ox")], "firstname string, lastname string"
+    )
+    log = spark.createDataFrame(
+        [
+            ("novak jan",),
+            ("MUDr. Novák ordinace dnes ráno",),
+            ("dvorakov",),
+            ("ox kart",),
+            ("zcela jiny dotaz",),
+            (None,),
+        ],
+        "query string",
+    )
     got = {r.key: r.match for r in filters.person_flags(log, people).collect()}
     assert got == {"novak jan": "full", "novak ordinace dnes rano": "token", "dvorakov": "fuzzy"}
 
 
 def test_flags_and_funnel(spark):
-    rows = [("abc", "abc", 3, 0, 3), ("123", "123", 9, 9, 0), ("long enough", "long enough", 0, 0, 0), ("fine query", "fine query", 8, 8, 0), (None, None, None, None, None)]
-    df = filters.log_flags(spark.createDataFrame(rows, "query_key string, query string, clicks long, clicks_site1_ga4 long, clicks_site1_internal long"))
+    rows = [
+        ("abc", "abc", 3, 0, 3),
+        ("123", "123", 9, 9, 0),
+        ("long enough", "long enough", 0, 0, 0),
+        ("fine query", "fine query", 8, 8, 0),
+        (None, None, None, None, None),
+    ]
+    df = filters.log_flags(
+        spark.createDataFrame(
+            rows, "query_key string, query string, clicks long, clicks_site1_ga4 long, clicks_site1_internal long"
+        )
+    )
     kept, dropped = filters.split_by(df)
     assert [r["query"] for r in kept.collect()] == ["fine query"] and dropped.count() == 4
-    assert {r.rule: r.n_rows for r in filters.funnel(df, ["drop_shorthand", "drop_digits"]).collect()} == {"drop_shorthand": 1, "drop_digits": 1, "kept": 3}
+    assert {
+        r.rule: r.n_rows for r in filters.funnel(df, ["drop_shorthand", "drop_digits"]).collect()
+    } == {"drop_shorthand": 1, "drop_digits": 1, "kept": 3}
 
 
 def test_exclusion_and_patches(spark):
-    df = spark.createDataFrame([("a", "c1", 1), ("b", "c1", 2), ("c", "c2", 3), ("d", None, 4)], "query_key string, supercluster_id string, v int")
+    df = spark.createDataFrame(
+        [("a", "c1", 1), ("b", "c1", 2), ("c", "c2", 3), ("d", None, 4)],
+        "query_key string, supercluster_id string, v int",
+    )
     golden_ = spark.createDataFrame([("a", None), (None, "c2")], "query_key string, supercluster_id string")
     assert {r.query_key for r in sets.excluding(df, golden_, ["query_key", "supercluster_id"]).collect()} == {"b", "d"}
     patches = spark.createDataFrame([("b", 9, "why"), ("c", 3, "same")], "query_key string, v int, reason string")
     once = sets.patched(df, patches, "query_key", "v")
-    assert {r.query_key: (r.v, r.patch_reason) for r in once.collect()} == {"a": (1, None), "b": (9, "[manual] why"), "c": (3, None), "d": (4, None)}
+    assert {r.query_key: (r.v, r.patch_reason) for r in once.collect()} == {
+        "a": (1, None), "b": (9, "[manual] why"), "c": (3, None), "d": (4, None)
+    }
     twice = sets.patched(once.drop("patch_reason"), patches, "query_key", "v")
     assert {r.query_key: r.v for r in twice.collect()} == {"a": 1, "b": 9, "c": 3, "d": 4}
     with pytest.raises(sets.BrokenInvariant):
@@ -183,9 +265,15 @@ def test_metrics_at_their_edges(spark):
     scores = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.4, 1)], "s double, y int")
     assert mx.auroc(scores, "s", F.col("y") == 1).first().auroc == pytest.approx(0.625)
     assert mx.auroc(scores, "s", F.col("y") >= 0).first().auroc is None
-    assert mx.spearman(spark.createDataFrame([(1, 10), (2, 20), (2, 15), (3, 40)], "x int, y int"), "x", "y").first().spearman == pytest.approx(0.9486833)
-    assert mx.krippendorff_alpha(spark.createDataFrame([(1, 1), (1, 1), (2, 2), (2, 2), (3, 0)], "u int, v int"), "u", "v").first().alpha == pytest.approx(1.0)
-    assert mx.eta_squared(spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 3.0), ("b", 3.0)], "g string, x double"), "x", "g").first().eta_squared == pytest.approx(1.0)
+    assert mx.spearman(
+        spark.createDataFrame([(1, 10), (2, 20), (2, 15), (3, 40)], "x int, y int"), "x", "y"
+    ).first().spearman == pytest.approx(0.9486833)
+    assert mx.krippendorff_alpha(
+        spark.createDataFrame([(1, 1), (1, 1), (2, 2), (2, 2), (3, 0)], "u int, v int"), "u", "v"
+    ).first().alpha == pytest.approx(1.0)
+    assert mx.eta_squared(
+        spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 3.0), ("b", 3.0)], "g string, x double"), "x", "g"
+    ).first().eta_squared == pytest.approx(1.0)
 
 
 def test_bootstrap_interval_holds_the_value(rated):
@@ -201,8 +289,22 @@ def planted(spark, n=240, dim=8, noise=0.3):
     for k in range(n):
         g = k % 3
         v = (g - 1) * 2.0 * w + noise * rng.normal(size=dim)
-        rows.append(("MU", k, v.tolist(), g, f"c{k % 17}", k, k - 2 if g == 2 and k % 2 else k, ("train", "train", "dev", "test")[k // 3 % 4]))
-    return spark.createDataFrame(rows, "axis string, text_id long, v array<double>, grade int, cluster string, query_key long, pair_key long, split string"), w
+        rows.append(
+            (
+                "MU",
+                k,
+                v.tolist(),
+                g,
+                f"c{k % 17}",
+                k,
+                k - 2 if g == 2 and k % 2 else k,
+                ("train", "train", "dev", "test")[k // 3 % 4],
+            )
+        )
+    return spark.createDataFrame(
+        rows,
+        "axis string, text_id long, v array<double>, grade int, cluster string, query_key long, pair_key long, split string",
+    ), w
 
 
 def test_planted_direction_is_found(spark):
@@ -218,27 +320,42 @@ def test_thresholds_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     grades = rng.integers(0, 3, 90)
     scores = np.round(grades + rng.normal(0, 0.8, 90), 3)
-    df = spark.createDataFrame([("MU", float(s), int(g)) for s, g in zip(scores, grades, strict=True)], "axis string, score double, grade int")
+    df = spark.createDataFrame(
+        [("MU", float(s), int(g)) for s, g in zip(scores, grades, strict=True)], "axis string, score double, grade int"
+    )
     got = probes.tune_thresholds(df).first()
     ts = np.unique(np.round(np.quantile(scores, np.linspace(0.02, 0.98, 60)), 12))
     best = (-1, 0, 0)
     for i, a in enumerate(ts):
         for b in ts[i + 1 :]:
             p = np.where(scores >= b, 2, np.where(scores >= a, 1, 0))
-            f = np.mean([2 * ((p == g) & (grades == g)).sum() / max(1, (p == g).sum() + (grades == g).sum()) for g in range(3)])
+            f = np.mean(
+                [2 * ((p == g) & (grades == g)).sum() / max(1, (p == g).sum() + (grades == g).sum()) for g in range(3)]
+            )
             if round(f, 9) > best[0]:
                 best = (round(f, 9), a, b)
     assert (got.f1, got.t1, got.t2) == pytest.approx(best)
-    flat = probes.tune_thresholds(spark.createDataFrame([("MU", 1.0, 0), ("MU", 1.0, 2)], "axis string, score double, grade int")).first()
+    flat = probes.tune_thresholds(
+        spark.createDataFrame([("MU", 1.0, 0), ("MU", 1.0, 2)], "axis string, score double, grade int")
+    ).first()
     assert (flat.t1, flat.t2) == (1.0, 1.0)
 
 
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
-    rows = df.select(vx.unit(F.col("a")).alias("u"), vx.cosine(F.col("a"), F.col("b")).alias("c"), vx.residual(F.col("a"), F.col("b")).alias("r"), vx.argmax(F.col("b")).alias("m")).collect()
-    assert rows[0].u == pytest.approx([0.6, 0.8]) and rows[0].c == pytest.approx(0.96) and rows[1].c is None and rows[0].m == 0
+    rows = df.select(
+        vx.unit(F.col("a")).alias("u"),
+        vx.cosine(F.col("a"), F.col("b")).alias("c"),
+        vx.residual(F.col("a"), F.col("b")).alias("r"),
+        vx.argmax(F.col("b")).alias("m"),
+    ).collect()
+    assert rows[0].u == pytest.approx(
+        [0.6, 0.8]
+    ) and rows[0].c == pytest.approx(0.96) and rows[1].c is None and rows[0].m == 0
     assert np.dot(rows[0].r, [4, 3]) == pytest.approx(0)
-    assert vx.mean_vector(spark.createDataFrame([("k", [1.0, 3.0]), ("k", [3.0, 5.0])], "k string, v array<double>"), ["k"], "v").first().centroid == [2.0, 4.0]
+    assert vx.mean_vector(
+        spark.createDataFrame([("k", [1.0, 3.0]), ("k", [3.0, 5.0])], "k string, v array<double>"), ["k"], "v"
+    ).first().centroid == [2.0, 4.0]
 
 
 def test_heads_learn(spark):
@@ -255,27 +372,36 @@ def test_average_linkage(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     d, group, heights = 1 - u @ u.T, {k: [k] for k in range(14)}, []
     while len(group) > 1:
-        h, a, b = min((np.mean([d[i, j] for i in group[p] for j in group[q]]), p, q) for p in group for q in group if p < q)
+        h, a, b = min(
+            (np.mean([d[i, j] for i in group[p] for j in group[q]]), p, q) for p in group for q in group if p < q
+        )
         heights.append(h)
         new = max(group) + 1
         group[new] = group.pop(a) + group.pop(b)
     assert [h for _, _, h, _ in merges] == pytest.approx(heights)
     assert len(set(clusters.cut_tree(14, merges, merges[4][2]))) == 9
-    centres = spark.createDataFrame([(k, "even" if k % 2 else "odd", v.tolist()) for k, v in enumerate(x)] + [(99, "alone", [1.0] * 5)], "cluster_id int, category string, centroid array<double>")
+    centres = spark.createDataFrame(
+        [(k, "even" if k % 2 else "odd", v.tolist()) for k, v in enumerate(x)] + [(99, "alone", [1.0] * 5)],
+        "cluster_id int, category string, centroid array<double>",
+    )
     merged = clusters.merge_within(centres, "category").collect()
     assert len(merged) == 15 and {r.merged for r in merged if r.category == "alone"} == {0}
 
 
 def test_density_clusters(spark):
     rng = np.random.default_rng(6)
-    rows = [(k, (np.eye(6)[k % 3] + rng.normal(0, 0.03, 6)).tolist()) for k in range(90)] + [(100 + k, rng.normal(size=6).tolist()) for k in range(6)]
+    rows = [
+        (k, (np.eye(6)[k % 3] + rng.normal(0, 0.03, 6)).tolist()) for k in range(90)
+    ] + [(100 + k, rng.normal(size=6).tolist()) for k in range(6)]
     df = spark.createDataFrame(rows, "id long, embedding array<double>")
     got = {r.id: r.cluster_id for r in clusters.density_clusters(df, "id", block=40).collect()}
     found = {got[k] for k in range(90)} - {-1}
     assert len(found) == 3 and all(len({got[k] for k in range(90) if k % 3 == g} - {-1}) == 1 for g in range(3))
     sizes = [sum(v == c for v in got.values()) for c in found]
     assert min(sizes) >= 10 and len(got) == 96
-    moved = clusters.reassign_noise(df.withColumn("cluster_id", F.when(F.col("id") % 9 == 0, -1).otherwise(F.col("id") % 3)), "id")
+    moved = clusters.reassign_noise(
+        df.withColumn("cluster_id", F.when(F.col("id") % 9 == 0, -1).otherwise(F.col("id") % 3)), "id"
+    )
     assert moved.filter("cluster_id = -1").count() == 0 and moved.count() == 96
 
 
@@ -288,11 +414,27 @@ def test_components(spark):
 def test_greedy_sample_meets_quotas(spark):
     rng = random.Random(2)
     cats = list(golden.CATEGORY_WEIGHT)
-    rows = [(f"q{k}", f"t{k}", f"s{k % 30}", rng.choice(cats), f"MU{rng.choice([0, 0, 0, 1, 2])}", f"PU{rng.choice([0, 0, 1])}", f"ET{rng.randint(0, 2)}", *(rng.randint(1, 5) for _ in range(3))) for k in range(300)]
-    picks = spark.createDataFrame(rows, "query_key string, query_text string, supercluster_id string, clinical_relevance string, mu_grade string, pu_grade string, et_grade string, mu_confidence int, pu_confidence int, et_confidence int")
+    rows = [
+        (
+            f"q{k}",
+            f"t{k}",
+            f"s{k % 30}",
+            rng.choice(cats),
+            f"MU{rng.choice([0, 0, 0, 1, 2])}",
+            f"PU{rng.choice([0, 0, 1])}",
+            f"ET{rng.randint(0, 2)}",
+            *(rng.randint(1, 5) for _ in range(3)),
+        ) for k in range(300)
+    ]
+    picks = spark.createDataFrame(
+        rows,
+        "query_key string, query_text string, supercluster_id string, clinical_relevance string, mu_grade string, pu_grade string, et_grade string, mu_confidence int, pu_confidence int, et_confidence int",
+    )
     targets = {"MU0": 10, "MU1": 10, "MU2": 10, "PU0": 15, "PU1": 14, "PU2": 1, "ET0": 10, "ET1": 10, "ET2": 10}
     got = golden.greedy_sample(picks, 30, 5, targets, cap=3).collect()
-    assert len(got) == 35 == len({r.query_key for r in got}) and [r["order"] for r in sorted(got, key=lambda r: r["order"])] == list(range(35))
+    assert len(got) == 35 == len({r.query_key for r in got}) and [
+        r["order"] for r in sorted(got, key=lambda r: r["order"])
+    ] == list(range(35))
     by = {r[0]: r for r in rows}
     per = {}
     for r in got:
@@ -307,46 +449,79 @@ def test_greedy_sample_meets_quotas(spark):
 
 def test_resolution_and_raters(spark):
     rows = [(1, 0, None), (1, 0, None), (2, 1, 2), (2, 0, 2), (3, 1, None), (3, 2, None)]
-    got = {r.item: (r.gold, r.provenance) for r in golden.resolved(spark.createDataFrame(rows, "item int, v int, a int"), "item", "v", "a").collect()}
+    got = {
+        r.item: (r.gold, r.provenance)
+        for r in golden.resolved(spark.createDataFrame(rows, "item int, v int, a int"), "item", "v", "a").collect()
+    }
     assert got == {1: (0, "agreement"), 2: (2, "adjudicated"), 3: (None, "unresolved")}
-    wide = spark.createDataFrame([(k, 1.0, 0.0, 2.0, 1.0 if k < 3 else None, 1.0, 1.0, 0.0) for k in range(10)], "id int, ann_MU double, ann_PU double, ann_ET double, bob_MU double, bob_PU double, bob_ET double, gold_MU double")
+    wide = spark.createDataFrame(
+        [(k, 1.0, 0.0, 2.0, 1.0 if k < 3 else None, 1.0, 1.0, 0.0) for k in range(10)],
+        "id int, ann_MU double, ann_PU double, ann_ET double, bob_MU double, bob_PU double, bob_ET double, gold_MU double",
+    )
     assert golden.raters_of(wide, least=5) == ["ann"] and golden.raters_of(wide, least=3) == ["ann", "bob"]
     assert golden.ratings_long(wide, "id", ["ann"]).count() == 30 and golden.ratings_long(wide, "id", []).count() == 0
 
 
 def test_probe_dataset_keeps_clusters_apart(spark):
-    real = spark.createDataFrame([("MU", f"q{k}", f"text {k}", f"s{k % 9}", k % 3) for k in range(60)], "axis string, query_key string, query_text string, supercluster_id string, grade int")
-    none = spark.createDataFrame([], "axis string, anchor_query_key string, anchor_grade int, supercluster_id string, target_grade int, text string, verifier_confirmed boolean")
+    real = spark.createDataFrame(
+        [("MU", f"q{k}", f"text {k}", f"s{k % 9}", k % 3) for k in range(60)],
+        "axis string, query_key string, query_text string, supercluster_id string, grade int",
+    )
+    none = spark.createDataFrame(
+        [],
+        "axis string, anchor_query_key string, anchor_grade int, supercluster_id string, target_grade int, text string, verifier_confirmed boolean",
+    )
     data = pairs.probe_dataset(real, none, "MU", zero_cap=10)
     assert data.count() == 30
     sets.expect_one_value(data, "supercluster_id", "split")
 
 
 def test_readers(spark, tmp_path):
-    (tmp_path / "site_ga4_a.csv").write_text("# Report\n# 20240101-20240131\n\nDotaz,Prokliky,Zobrazení,CTR,Pozice\nHledaný dotaz,5,10,0.5,1.5\nx,1,1,1,1\n,3,3,3,3\nbad line,1\n")
-    (tmp_path / "site_ga4_b.csv").write_text("# 20240201\nQuery,Device,Clicks,Impressions,CTR,Position\ndotaz dva,mobile,7,9,0.1,2.0\n")
+    (tmp_path / "site_ga4_a.csv").write_text(
+        "# Report\n# 20240101-20240131\n\nDotaz,Prokliky,Zobrazení,CTR,Pozice\nHledaný dotaz,5,10,0.5,1.5\nx,1,1,1,1\n,3,3,3,3\nbad line,1\n"
+    )
+    (tmp_path / "site_ga4_b.csv").write_text(
+        "# 20240201\nQuery,Device,Clicks,Impressions,CTR,Position\ndotaz dva,mobile,7,9,0.1,2.0\n"
+    )
     rows = {r.query_key: r for r in readers.read_ga4(spark, str(tmp_path / "*ga4*.csv")).collect()}
     assert set(rows) == {"hledany dotaz", "dotaz dva"}
-    assert (rows["hledany dotaz"].clicks, rows["hledany dotaz"].device, rows["hledany dotaz"].date_end) == (5, None, "2024-01-31")
-    assert (rows["dotaz dva"].device, rows["dotaz dva"].impressions, rows["dotaz dva"].date_start) == ("mobile", 9, "2024-02-01")
-    (tmp_path / "my_search_log.csv").write_text("query,lang,clicks,found,last\nAhoj světe,cs,3,x,1. 2. 2024 10:00\n,cs,1,1,\nab,cs,1,1,\n")
+    assert (
+        rows["hledany dotaz"].clicks, rows["hledany dotaz"].device, rows["hledany dotaz"].date_end
+    ) == (5, None, "2024-01-31")
+    assert (
+        rows["dotaz dva"].device, rows["dotaz dva"].impressions, rows["dotaz dva"].date_start
+    ) == ("mobile", 9, "2024-02-01")
+    (tmp_path / "my_search_log.csv").write_text(
+        "query,lang,clicks,found,last\nAhoj světe,cs,3,x,1. 2. 2024 10:00\n,cs,1,1,\nab,cs,1,1,\n"
+    )
     r = readers.read_internal(spark, str(tmp_path / "my_search_log.csv")).collect()
-    assert len(r) == 1 and (r[0].query_key, r[0].clicks, r[0].found, r[0].last_searched, r[0].last_year) == ("ahoj svete", 3, None, "2024-02-01", 2024)
-    assert {(x.kind, x.path.rsplit("/", 1)[1]) for x in readers.discover(spark, str(tmp_path)).collect()} == {("ga4", "site_ga4_a.csv"), ("ga4", "site_ga4_b.csv"), ("internal", "my_search_log.csv")}
+    assert len(r) == 1 and (
+        r[0].query_key, r[0].clicks, r[0].found, r[0].last_searched, r[0].last_year
+    ) == ("ahoj svete", 3, None, "2024-02-01", 2024)
+    assert {
+        (x.kind, x.path.rsplit("/", 1)[1]) for x in readers.discover(spark, str(tmp_path)).collect()
+    } == {("ga4", "site_ga4_a.csv"), ("ga4", "site_ga4_b.csv"), ("internal", "my_search_log.csv")}
     (tmp_path / "e.json").write_text(json.dumps({"data": [{"firstname": "A", "lastname": "B"}, {"lastname": "C"}]}))
     assert readers.read_employees(spark, str(tmp_path / "e.json")).count() == 2
     (tmp_path / "r.jsonl").write_text('{"id": 1, "v": "a"}\n\n{"id": 2}\n')
     assert readers.read_records(spark, str(tmp_path / "r.jsonl"), "id long, v string").count() == 2
-    both = sets.union_all(readers.read_ga4(spark, str(tmp_path / "*ga4*.csv")), readers.read_internal(spark, str(tmp_path / "my_search_log.csv")))
+    both = sets.union_all(
+        readers.read_ga4(spark, str(tmp_path / "*ga4*.csv")),
+        readers.read_internal(spark, str(tmp_path / "my_search_log.csv")),
+    )
     writers.write_csv(both, str(tmp_path / "out"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "out")).count() == 3
 
 
 def test_providers(spark):
-    texts = spark.createDataFrame([("a", "one text"), ("b", "two"), ("a", "one text"), ("c", None)], "text_id string, text string")
+    texts = spark.createDataFrame(
+        [("a", "one text"), ("b", "two"), ("a", "one text"), ("c", None)], "text_id string, text string"
+    )
     first = providers.embed_missing(texts, None, providers.HashedEmbedder(16)).cache()
     assert first.count() == 3 and first.filter("error is not null").count() == 0
-    assert providers.embed_missing(texts, first.filter("text_id <> 'b'"), providers.HashedEmbedder(16)).collect()[0].text_id == "b"
+    assert providers.embed_missing(
+        texts, first.filter("text_id <> 'b'"), providers.HashedEmbedder(16)
+    ).collect()[0].text_id == "b"
 
     class Failing(providers.HashedEmbedder):
         def embed(self, values):
@@ -361,9 +536,13 @@ def test_providers(spark):
     assert answers.count() == 3 and answers.select("response").distinct().count() == 2
     again = providers.call_model(prompts, None, "m", "axis_judge", "id", cache=answers.dropDuplicates(["cache_key"]))
     assert providers.usage(again).first().n_cached == 3
-    assert all(0 <= r.grade <= 2 and 1 <= r.confidence <= 5 for r in providers.parsed(answers, "axis_judge", ["id"]).collect())
+    assert all(
+        0 <= r.grade <= 2 and 1 <= r.confidence <= 5 for r in providers.parsed(answers, "axis_judge", ["id"]).collect()
+    )
     manifest = spark.createDataFrame([("t", "d1")], "task string, digest string")
-    assert providers.same_inputs(manifest, "t", "d1") and not providers.same_inputs(manifest, "t", "d2") and providers.same_inputs(manifest, "u", "x")
+    assert providers.same_inputs(
+        manifest, "t", "d1"
+    ) and not providers.same_inputs(manifest, "t", "d2") and providers.same_inputs(manifest, "u", "x")
 
 
 def test_stream_embeds_each_key_once(spark, tmp_path):
@@ -378,10 +557,18 @@ def test_stream_embeds_each_key_once(spark, tmp_path):
 
 
 def test_super_clusters(spark):
-    cl = spark.createDataFrame([("x", 0, 1, "L1", 5), ("x", 0, 2, "L2", 9), ("x", 1, 3, "L3", 1)], "category string, merged int, cluster_id int, label string, n_queries long")
-    members = spark.createDataFrame([(1, "k", "K", 1), (2, "k", "k", 7), (2, "m", "M", 3)], "cluster_id int, query_key string, query string, clicks long")
+    cl = spark.createDataFrame(
+        [("x", 0, 1, "L1", 5), ("x", 0, 2, "L2", 9), ("x", 1, 3, "L3", 1)],
+        "category string, merged int, cluster_id int, label string, n_queries long",
+    )
+    members = spark.createDataFrame(
+        [(1, "k", "K", 1), (2, "k", "k", 7), (2, "m", "M", 3)],
+        "cluster_id int, query_key string, query string, clicks long",
+    )
     got = {r.supercluster_id: r for r in clusters.super_clusters(members, cl).collect()}
     assert got["x_0001"].label == "L2" and got["x_0001"].constituents == [1, 2] and got["x_0002"].queries is None
     assert [(q.query, q.clicks) for q in got["x_0001"].queries] == [("k", 7), ("M", 3)]
-    words = spark.createDataFrame([(1, 5, ["a", "b"]), (2, 9, ["c", "a"])], "cluster_id int, n long, w array<string>").withColumn("g", F.lit(1))
+    words = spark.createDataFrame(
+        [(1, 5, ["a", "b"]), (2, 9, ["c", "a"])], "cluster_id int, n long, w array<string>"
+    ).withColumn("g", F.lit(1))
     assert clusters.merged_words(words, ["g"], "w", "n").first().w == ["c", "a", "b"]
