@@ -110,7 +110,14 @@ def _halves(text: str, limit: int) -> list[str]:
     return _halves(text[:middle], limit) + _halves(text[middle:], limit)
 
 
-def join(left: np.ndarray, right: np.ndarray, left_text: str, right_text: str, encode: Callable[[str], list[int]], lengths: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+def join(
+    left: np.ndarray,
+    right: np.ndarray,
+    left_text: str,
+    right_text: str,
+    encode: Callable[[str], list[int]],
+    lengths: Callable[[np.ndarray], np.ndarray],
+) -> np.ndarray:
     """The encoding of two texts' concatenation from the encodings of both.
 
     ``lengths`` gives the bytes of each token.  The window starts with a few tokens on
@@ -169,7 +176,11 @@ def token_lengths(name: str) -> np.ndarray:
 def encode_long(text: str, vocabulary: str, limit: int = LONG_TEXT) -> np.ndarray:
     """Ids of one text by way of pieces and joins, in one process."""
     own = codec(vocabulary)
-    return tree([(part, np.asarray(own.encode(part), np.uint32), safe) for part, safe in cut(text, limit)], own.encode, token_lengths(vocabulary).__getitem__)
+    return tree(
+        [(part, np.asarray(own.encode(part), np.uint32), safe) for part, safe in cut(text, limit)],
+        own.encode,
+        token_lengths(vocabulary).__getitem__,
+    )
 
 
 def digest(ids) -> str:
@@ -185,7 +196,9 @@ def _encode_rows(vocabulary: str):
             for lo in range(0, batch.num_rows, 256):
                 part = texts.slice(lo, 256).to_pylist()
                 ids = pa.array([own.encode(t) for t in part], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, 256) for c in rest), ids], names=[*batch.schema.names[:-1], "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(lo, 256) for c in rest), ids], names=[*batch.schema.names[:-1], "ids"]
+                )
 
     return run
 
@@ -207,7 +220,12 @@ def _cut_rows(limit: int):
             for sha, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for k, (part, safe) in enumerate(cut(text, limit)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([sha], pa.binary()), pa.array([k], pa.int32()), pa.array([safe], pa.bool_()), pa.array([part], pa.string())], names=["sha", "part", "safe", "text"]
+                        [
+                            pa.array([sha], pa.binary()),
+                            pa.array([k], pa.int32()),
+                            pa.array([safe], pa.bool_()),
+                            pa.array([part], pa.string()),
+                        ], names=["sha", "part", "safe", "text"]
                     )
 
     return run
@@ -218,7 +236,9 @@ def _encode_parts(vocabulary: str):
         own = codec(vocabulary)
         for batch in batches:
             ids = [own.encode(t) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"]
+            )
 
     return run
 
@@ -228,7 +248,9 @@ def _join_parts(vocabulary: str):
         import pandas as pd
 
         group = group.sort_values("part")
-        pieces = [(t, np.asarray(i, np.uint32), s) for t, i, s in zip(group["text"], group["ids"], group["safe"], strict=True)]
+        pieces = [
+            (t, np.asarray(i, np.uint32), s) for t, i, s in zip(group["text"], group["ids"], group["safe"], strict=True)
+        ]
         own = codec(vocabulary)
         ids = tree(pieces, own.encode, token_lengths(vocabulary).__getitem__)
         return pd.DataFrame({"sha": [group["sha"].iloc[0]], "ids": [ids.astype(np.int32)]})
@@ -236,7 +258,9 @@ def _join_parts(vocabulary: str):
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, columns: list[str], text_column: str = "text", long_text: int = LONG_TEXT) -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary: str, columns: list[str], text_column: str = "text", long_text: int = LONG_TEXT
+) -> DataFrame:
     """``columns`` of every row and ``ids``, the token ids of its whole text.
 
     Null text counts as empty and has no ids.  A text of more than ``long_text``
@@ -250,10 +274,18 @@ def encode(docs: DataFrame, vocabulary: str, columns: list[str], text_column: st
     short = rows.filter(F.length("text") <= long_text).mapInArrow(_encode_rows(vocabulary), schema)
     long = rows.filter(F.length("text") > long_text).withColumn("__sha", F.unhex(F.sha2("text", 256)))
     texts = long.select(F.col("__sha").alias("sha"), "text").groupBy("sha").agg(F.first("text").alias("text"))
-    parts = texts.mapInArrow(_cut_rows(long_text), "sha binary, part int, safe boolean, text string").repartition("sha", "part")
-    parts = parts.mapInArrow(_encode_parts(vocabulary), "sha binary, part int, safe boolean, text string, ids array<int>")
-    joined = materialise(parts.groupBy("sha").applyInPandas(_join_parts(vocabulary), "sha binary, ids array<int>"), "bpe-long")
-    return short.unionByName(long.drop("text").join(joined.withColumnRenamed("sha", "__sha"), "__sha").select(*columns, "ids"))
+    parts = texts.mapInArrow(
+        _cut_rows(long_text), "sha binary, part int, safe boolean, text string"
+    ).repartition("sha", "part")
+    parts = parts.mapInArrow(
+        _encode_parts(vocabulary), "sha binary, part int, safe boolean, text string, ids array<int>"
+    )
+    joined = materialise(
+        parts.groupBy("sha").applyInPandas(_join_parts(vocabulary), "sha binary, ids array<int>"), "bpe-long"
+    )
+    return short.unionByName(
+        long.drop("text").join(joined.withColumnRenamed("sha", "__sha"), "__sha").select(*columns, "ids")
+    )
 
 
 def decode(encoded: DataFrame, vocabulary: str, columns: list[str]) -> DataFrame:
@@ -285,4 +317,6 @@ def _digest_rows(vocabulary: str):
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encodes and decodes every document; returns doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return encode(docs, vocabulary, ["doc_id"]).mapInArrow(_digest_rows(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, vocabulary, ["doc_id"]).mapInArrow(
+        _digest_rows(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )

@@ -80,7 +80,12 @@ def _partial_filters(bits: int):
                 seen.append(pack(offsets))
                 again.append(pack(offsets[times[lo:hi] > 1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block, pa.int32()), pa.array(way, pa.int32()), pa.array(seen, pa.binary()), pa.array(again, pa.binary())],
+                [
+                    pa.array(block, pa.int32()),
+                    pa.array(way, pa.int32()),
+                    pa.array(seen, pa.binary()),
+                    pa.array(again, pa.binary()),
+                ],
                 names=["block", "way", "seen", "again"],
             )
 
@@ -94,7 +99,9 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
         new = unpack(s)
         again |= unpack(a) | (seen & new)
         seen |= new
-    return pd.DataFrame({"block": group["block"].iloc[:1], "way": [0], "seen": [seen.tobytes()], "again": [again.tobytes()]})
+    return pd.DataFrame(
+        {"block": group["block"].iloc[:1], "way": [0], "seen": [seen.tobytes()], "again": [again.tobytes()]}
+    )
 
 
 def repeated_filter(hashes: DataFrame, rows: int, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -154,7 +161,13 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     prints = prints.withColumn("maybe", maybe_repeated(prints, level, "hash"))
 
     def result(df: DataFrame, keep: Column, size: Column, kept: Column) -> DataFrame:
-        return df.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+        return df.select(
+            "doc_id",
+            keep.alias("keep_id"),
+            size.alias("group_size"),
+            kept.alias("kept"),
+            F.lower(F.hex("sha")).alias("text_sha256"),
+        )
 
     alone = result(prints.filter(~F.col("maybe")), F.col("doc_id"), F.lit(1).cast("long"), F.lit(True))
     again = prints.filter("maybe").select("doc_id", "n", "sha", "row")
@@ -163,7 +176,9 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
         again.groupBy("sha").agg(F.count(F.lit(1)).alias("size"), F.max(_better("n", "doc_id", "row")).alias("best")),
         "exact-groups",
     ).select("sha", "size", (-F.col("best.by_id")).alias("best_id"), (-F.col("best.by_row")).alias("best_row"))
-    return alone.unionByName(result(again.join(groups, "sha"), F.col("best_id"), F.col("size"), F.col("row") == F.col("best_row")))
+    return alone.unionByName(
+        result(again.join(groups, "sha"), F.col("best_id"), F.col("size"), F.col("row") == F.col("best_row"))
+    )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -179,5 +194,7 @@ def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_colum
     keyed = keyed.withColumn(size, F.xxhash64(sha))
     keyed = keyed.withColumn(row, maybe_repeated(keyed, level, size))
     alone = keyed.filter(~F.col(row)).select(*docs.columns)
-    again = keyed.filter(F.col(row)).groupBy(sha).agg(F.max_by(F.struct(*docs.columns), _better(n, id_column)).alias(best))
+    again = keyed.filter(F.col(row)).groupBy(sha).agg(
+        F.max_by(F.struct(*docs.columns), _better(n, id_column)).alias(best)
+    )
     return alone.unionByName(again.select(f"{best}.*"))

@@ -123,7 +123,9 @@ class Model:
         whole = true.sum(axis=1)
         best = true.argmax(axis=1) if self.languages else np.zeros(len(texts), int)
         score = np.where(whole > 0, true.max(axis=1, initial=0) / np.maximum(whole, 1e-9), 0.0)
-        names = [self.languages[b] if n and self.languages else UNDETERMINED for b, n in zip(best, letters, strict=True)]
+        names = [
+            self.languages[b] if n and self.languages else UNDETERMINED for b, n in zip(best, letters, strict=True)
+        ]
         return names, np.where(letters > 0, score, 0.0)
 
 
@@ -171,8 +173,16 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     Only documents that are not held out and have a language and a text are read; which
     of them, hashes of their ids and texts say.  With none, every prediction is undetermined.
     """
-    rows = docs.filter(~held_out(id_column) & F.col(id_column).isNotNull() & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    rows = rows.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"), F.xxhash64(id_column, text_column).alias("h"))
+    rows = docs.filter(
+        ~held_out(id_column) & F.col(id_column).isNotNull() & F.col(
+            lang_column
+        ).isNotNull() & F.col(text_column).isNotNull()
+    )
+    rows = rows.select(
+        F.col(lang_column).cast("string").alias("lang"),
+        F.col(text_column).cast("string").alias("text"),
+        F.xxhash64(id_column, text_column).alias("h"),
+    )
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     wanted = F.lit(False)
     for lang, n in sizes:
@@ -198,7 +208,10 @@ def identify(docs: DataFrame, model: Model, columns: list[str], text_column: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, score = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())],
+                names=[*batch.schema.names[:-1], "lang_pred", "score"],
+            )
 
     schema = docs.select(*columns).schema.add("lang_pred", T.StringType()).add("score", T.DoubleType())
     return docs.select(*columns, whole_text(text_column).alias("__text")).mapInArrow(run, schema)

@@ -31,9 +31,25 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 #: How freely text under a licence may be used, by the beginning of its name; others count as 0.5.
-FREEDOM = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "unlicense": 1.0, "cc-by-nc": 0.2, "cc-by": 0.9, "mpl": 0.7, "lgpl": 0.5, "agpl": 0.2, "gpl": 0.3, "all-rights-reserved": 0.0}
+FREEDOM = {
+    "mit": 1.0,
+    "apache": 1.0,
+    "bsd": 1.0,
+    "isc": 1.0,
+    "cc0": 1.0,
+    "unlicense": 1.0,
+    "cc-by-nc": 0.2,
+    "cc-by": 0.9,
+    "mpl": 0.7,
+    "lgpl": 0.5,
+    "agpl": 0.2,
+    "gpl": 0.3,
+    "all-rights-reserved": 0.0,
+}
 
-_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_BYTES = bytes(
+    c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
+)
 _TAGGED = re.compile(r"SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _BINDS = {"OR": 1, "AND": 2, "WITH": 3}
@@ -135,10 +151,14 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
             grants += [grant] if grant is not None else []
     first = line.count(" ", 0, min(places) + 1) - 1 if places else None
     last = line.count(" ", 0, max(places) + 1) - 1 if places else None
-    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), min(grants, default=0.0)
+    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), min(
+        grants, default=0.0
+    )
 
 
-RESULT = [(name, T.LongType()) for name in ("n_words", "n_base", "first_word", "last_word")] + [("base_labels", T.StringType()), ("labels", T.StringType()), ("score", T.DoubleType())]
+RESULT = [(name, T.LongType()) for name in ("n_words", "n_base", "first_word", "last_word")] + [
+    ("base_labels", T.StringType()), ("labels", T.StringType()), ("score", T.DoubleType())
+]
 
 
 def scan_licences(docs: DataFrame, columns: list[str], text_column: str = "text") -> DataFrame:
@@ -153,7 +173,9 @@ def scan_licences(docs: DataFrame, columns: list[str], text_column: str = "text"
         for batch in batches:
             found = [scan(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             out = [pa.array(v, k) for v, k in zip(zip(*found, strict=True) if found else [[]] * 7, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], names=[*batch.schema.names[:-1], *(name for name, _ in RESULT)])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], *out], names=[*batch.schema.names[:-1], *(name for name, _ in RESULT)]
+            )
 
     schema = docs.select(*columns).schema
     for name, kind in RESULT:

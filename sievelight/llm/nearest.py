@@ -108,7 +108,9 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 def fit(rows: DataFrame, n: int, k: int = CENTROIDS) -> Codebooks:
     """Centroids from at most about ``SAMPLE`` rows, chosen by a hash of their ids."""
-    sample = rows.filter(F.xxhash64("id", F.lit(11)) <= hash_bound(SAMPLE / max(1, n))).select("v").limit(2 * SAMPLE).toPandas()
+    sample = rows.filter(
+        F.xxhash64("id", F.lit(11)) <= hash_bound(SAMPLE / max(1, n))
+    ).select("v").limit(2 * SAMPLE).toPandas()
     x = unit(matrix(sample["v"].tolist()))
     half = x.shape[1] // 2
     return Codebooks(k_means(x[:, :half], k), k_means(x[:, half:], k))
@@ -170,13 +172,26 @@ def _visits(books: Codebooks, sizes: np.ndarray, parts: np.ndarray, wanted: floa
                 zones = cells // (ZONE * len(books.second))
                 rows = [(z, p, cells[zones == z]) for z in np.unique(zones) for p in range(parts[z])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[lo]] * len(rows), pa.int64()), pa.array([z for z, _, _ in rows], pa.int64()), pa.array([p for _, p, _ in rows], pa.int32()), pa.array([c for *_, c in rows], pa.list_(pa.int64())), pa.array([vectors[lo]] * len(rows), pa.list_(pa.float64()))], names=["id", "zone", "part", "cells", "v"]
+                    [
+                        pa.array([ids[lo]] * len(rows), pa.int64()),
+                        pa.array([z for z, _, _ in rows], pa.int64()),
+                        pa.array([p for _, p, _ in rows], pa.int32()),
+                        pa.array([c for *_, c in rows], pa.list_(pa.int64())),
+                        pa.array([vectors[lo]] * len(rows), pa.list_(pa.float64())),
+                    ], names=["id", "zone", "part", "cells", "v"]
                 )
 
     return run
 
 
-def search(vectors: DataFrame, queries, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", share: float = SHARE) -> DataFrame:
+def search(
+    vectors: DataFrame,
+    queries,
+    k: int = 5,
+    id_column: str = "vec_id",
+    vector_column: str = "embedding",
+    share: float = SHARE,
+) -> DataFrame:
     """The ``k`` nearest entries found for each query: query_id, rank, vec_id, score.
 
     ``queries`` is a condition on the id column named "id".  Nearness is the cosine, in
@@ -195,7 +210,10 @@ def search(vectors: DataFrame, queries, k: int = 5, id_column: str = "vec_id", v
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.assign(unit(x)) if len(x) else [], pa.int64())], names=["id", "v", "cell"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(shared.value.assign(unit(x)) if len(x) else [], pa.int64())],
+                names=["id", "v", "cell"],
+            )
 
     coded = materialise(rows.mapInArrow(quantise, "id long, v array<double>, cell long"), "imi-entries")
     sizes = np.zeros(len(books.first) * len(books.second), np.int64)
@@ -204,7 +222,13 @@ def search(vectors: DataFrame, queries, k: int = 5, id_column: str = "vec_id", v
     width = ZONE * len(books.second)
     in_zone = np.add.reduceat(sizes, np.arange(0, len(sizes), width))
     parts = np.maximum(1, -(-in_zone // BLOCK_ENTRIES))
-    visits = materialise(coded.filter(queries).select("id", "v").mapInArrow(_visits(books, sizes, parts, max(LEAST, share * n)), "id long, zone long, part int, cells array<long>, v array<double>"), "imi-visits")
+    visits = materialise(
+        coded.filter(queries).select("id", "v").mapInArrow(
+            _visits(books, sizes, parts, max(LEAST, share * n)),
+            "id long, zone long, part int, cells array<long>, v array<double>",
+        ),
+        "imi-visits",
+    )
     crowd = np.ones(len(parts), np.int64)
     for zone, size in visits.filter("part = 0").groupBy("zone").count().collect():
         crowd[zone] = -(-size // BLOCK_QUERIES)
@@ -215,5 +239,8 @@ def search(vectors: DataFrame, queries, k: int = 5, id_column: str = "vec_id", v
     visits = visits.withColumn("crowd", F.pmod(F.xxhash64("id", F.lit(3)), of_zone(crowd)).cast("int"))
     key = ["zone", "part", "crowd"]
     best = entries.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(_meet(k), _BEST)
-    ranked = best.groupBy("query_id").applyInPandas(lambda g: _top(g, k).assign(rank=np.arange(1, min(len(g), k) + 1)), "query_id long, vec_id long, score double, rank int")
+    ranked = best.groupBy("query_id").applyInPandas(
+        lambda g: _top(g, k).assign(rank=np.arange(1, min(len(g), k) + 1)),
+        "query_id long, vec_id long, score double, rank int",
+    )
     return ranked.select("query_id", "rank", "vec_id", "score")

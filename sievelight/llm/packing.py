@@ -73,7 +73,9 @@ def fitness(bins: list[list[int]], lengths, capacity: int) -> tuple[int, float]:
     return -len(bins), sum((sum(map(lengths.__getitem__, held)) / capacity) ** 2 for held in bins)
 
 
-def crossover(one: list[list[int]], other: list[list[int]], lengths, capacity: int, rng: random.Random) -> list[list[int]]:
+def crossover(
+    one: list[list[int]], other: list[list[int]], lengths, capacity: int, rng: random.Random
+) -> list[list[int]]:
     """``one`` with whole well-filled bins of ``other``."""
     full = [held for held in other if sum(map(lengths.__getitem__, held)) >= WELL_FILLED * capacity] or other
     chosen = [list(held) for held in full if rng.random() < 0.5]
@@ -93,7 +95,9 @@ def crossover(one: list[list[int]], other: list[list[int]], lengths, capacity: i
     return chosen + best_fit(displaced, lengths, stay, capacity)
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, population: list[list[list[int]]], generations: int = GENERATIONS) -> list[list[list[int]]]:
+def evolve(
+    lengths: list[int], capacity: int, seed: int, population: list[list[list[int]]], generations: int = GENERATIONS
+) -> list[list[list[int]]]:
     """Population after some generations, best first; it stops early at the least conceivable number of bins."""
     rng = random.Random(seed)
     order = sorted(range(len(lengths)), key=lambda item: -lengths[item])
@@ -125,7 +129,16 @@ def _row(block, island, rank, bins, items, lengths, capacity) -> dict:
     for k, held in enumerate(bins):
         where[held] = k
     n, fill = fitness(bins, lengths, capacity)
-    return {"block": block, "island": island, "elite": rank, "bins_n": -n, "fill": fill, "items": items, "lengths": np.asarray(lengths, np.int32), "bins": where}
+    return {
+        "block": block,
+        "island": island,
+        "elite": rank,
+        "bins_n": -n,
+        "fill": fill,
+        "items": items,
+        "lengths": np.asarray(lengths, np.int32),
+        "bins": where,
+    }
 
 
 def _first_epoch(capacity: int):
@@ -134,7 +147,9 @@ def _first_epoch(capacity: int):
         block, island = int(group["block"].iloc[0]), int(group["island"].iloc[0])
         lengths = group["length"].astype(int).tolist()
         best = evolve(lengths, capacity, block * 31 + island, [])[:ELITE]
-        return pd.DataFrame([_row(block, island, k, bins, group["item"].to_numpy(), lengths, capacity) for k, bins in enumerate(best)])
+        return pd.DataFrame(
+            [_row(block, island, k, bins, group["item"].to_numpy(), lengths, capacity) for k, bins in enumerate(best)]
+        )
 
     return run
 
@@ -164,10 +179,24 @@ def _place(group: pd.DataFrame) -> pd.DataFrame:
     before = np.cumsum(lengths) - lengths
     first = np.r_[True, bins[1:] != bins[:-1]]
     offset = before - np.repeat(before[first], np.diff(np.r_[np.flatnonzero(first), len(bins)]))
-    return pd.DataFrame({"item": best["items"][order], "sequence_id": 2 * ((int(best["block"]) << 20) + bins.astype(np.int64)), "offset": offset})
-
-
-def tokens(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 2, text_column: str = "text", id_column: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    return pd.DataFrame(
+        {
+            "item": best["items"][order],
+            "sequence_id": 2 * ((int(best["block"]) << 20) + bins.astype(np.int64)),
+            "offset": offset,
+        }
+    )
+
+
+def tokens(
+    docs: DataFrame,
+    vocabulary: str,
+    capacity: int,
+    end_id: int = 2,
+    text_column: str = "text",
+    id_column: str = "doc_id",
+    with_ids: bool = False,
+) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,17 +204,27 @@ def tokens(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 2, tex
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 out: list[list] = [[], [], [], [], [], []]
-                for doc, text in zip(batch.column(0).slice(lo, 256).to_pylist(), batch.column(1).slice(lo, 256).to_pylist(), strict=True):
+                for doc, text in zip(
+                    batch.column(0).slice(lo, 256).to_pylist(), batch.column(1).slice(lo, 256).to_pylist(), strict=True
+                ):
                     ids = np.asarray([*own.encode(text), end_id], "<u4")
                     for k, (start, n) in enumerate(pieces_of(len(ids), capacity)):
                         part = ids[start : start + n]
-                        for column, value in zip(out, (doc, k, start, n, zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None), strict=True):
+                        for column, value in zip(
+                            out,
+                            (doc, k, start, n, zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None),
+                            strict=True,
+                        ):
                             column.append(value)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
                 columns = [pa.array(v, t) for v, t in zip(out, kinds, strict=True)][: 5 + with_ids]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+                yield pa.RecordBatch.from_arrays(
+                    columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+                )
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return docs.select(
+        F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text")
+    ).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
 def pack_lengths(items: DataFrame, capacity: int, block: int = BLOCK) -> DataFrame:
@@ -195,18 +234,36 @@ def pack_lengths(items: DataFrame, capacity: int, block: int = BLOCK) -> DataFra
     """
     short = items.filter(F.col("length") < capacity)
     blocks = max(1, -(-short.count() // block))
-    dealt = short.select("item", "length", F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"), F.explode(F.lit(list(range(ISLANDS)))).alias("island"))
+    dealt = short.select(
+        "item",
+        "length",
+        F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"),
+        F.explode(F.lit(list(range(ISLANDS)))).alias("island"),
+    )
     elites = dealt.groupBy("block", "island").applyInPandas(_first_epoch(capacity), _ISLAND)
     for epoch in range(1, EPOCHS):
         elites = materialise(elites, "packing-elites")
         migrants = elites.filter("elite = 0").withColumn("island", ((F.col("island") + 1) % ISLANDS).cast("int"))
-        elites = elites.unionByName(migrants).groupBy("block", "island").applyInPandas(_later_epoch(capacity, epoch), _ISLAND)
-    placed = elites.filter("elite = 0").groupBy("block").applyInPandas(_place, "item long, sequence_id long, offset long")
-    full = items.filter(F.col("length") >= capacity).select("item", (2 * F.col("item") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        elites = elites.unionByName(migrants).groupBy("block", "island").applyInPandas(
+            _later_epoch(capacity, epoch), _ISLAND
+        )
+    placed = elites.filter("elite = 0").groupBy("block").applyInPandas(
+        _place, "item long, sequence_id long, offset long"
+    )
+    full = items.filter(F.col("length") >= capacity).select(
+        "item", (2 * F.col("item") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
     return placed.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
+def pack_documents(
+    docs: DataFrame,
+    vocabulary: str,
+    capacity: int = 1024,
+    end_id: int = 2,
+    text_column: str = "text",
+    id_column: str = "doc_id",
+) -> DataFrame:
     """Where every piece of every document goes.
 
     A document is its token ids and ``end_id``; null text counts as empty and is a piece
@@ -214,12 +271,19 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_i
     first may be shorter.  Rows that repeat an id are packed each on its own; a null id
     stays null.  Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    items = materialise(tokens(docs, vocabulary, capacity, end_id, text_column, id_column).withColumn("item", F.monotonically_increasing_id()), "packing-pieces")
+    items = materialise(
+        tokens(
+            docs, vocabulary, capacity, end_id, text_column, id_column
+        ).withColumn("item", F.monotonically_increasing_id()),
+        "packing-pieces",
+    )
     return items.join(pack_lengths(items.select("item", "length"), capacity), "item").drop("item")
 
 
 def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids.  Ids of documents must be unique and not null."""
-    parts = tokens(docs, vocabulary, capacity, end_id, with_ids=True).join(packed.select("doc_id", "piece", "sequence_id", "offset"), ["doc_id", "piece"])
+    parts = tokens(docs, vocabulary, capacity, end_id, with_ids=True).join(
+        packed.select("doc_id", "piece", "sequence_id", "offset"), ["doc_id", "piece"]
+    )
     held = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("held"))
     return held.select("sequence_id", F.flatten(F.transform("held", lambda part: part["ids"])).alias("ids"))

@@ -52,10 +52,20 @@ class Model:
 
             out = []
             for raw in (self.good, self.bad):
-                dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if raw else None
+                dictionary = zstandard.ZstdCompressionDict(
+                    raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT
+                ) if raw else None
                 if dictionary:
                     dictionary.precompute_compress(level=LEVEL)
-                out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False))
+                out.append(
+                    zstandard.ZstdCompressor(
+                        level=LEVEL,
+                        dict_data=dictionary,
+                        write_content_size=False,
+                        write_checksum=False,
+                        write_dict_id=False,
+                    )
+                )
             self._both = out
         return self._both
 
@@ -112,7 +122,13 @@ def calibrate(x: np.ndarray, y: np.ndarray, good_share: float | None = None) ->
     return float(w[0] / scale), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_column: str = "doc_id", label_column: str = "quality") -> Model:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    text_column: str = "text",
+    id_column: str = "doc_id",
+    label_column: str = "quality",
+) -> Model:
     """Learns from labelled documents that are not held out, at most ``SAMPLE_DOCS`` of each label.
 
     A document with both labels is left out, as are null ids and labels other than 0 and
@@ -120,13 +136,19 @@ def train(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_colu
     dictionary is empty.
     """
     marked = labels.filter(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(id_column))
-    marked = marked.groupBy(F.col(id_column).cast("long").alias("id")).agg(F.min(label_column).alias("y"), F.max(label_column).alias("top")).filter("y = top")
+    marked = marked.groupBy(F.col(id_column).cast("long").alias("id")).agg(
+        F.min(label_column).alias("y"), F.max(label_column).alias("top")
+    ).filter("y = top")
     marked = marked.select("id", "y", F.xxhash64("id").alias("h"))
     counts = {row["y"]: row["count"] for row in marked.groupBy("y").count().collect()}
-    picked = [row for y in (0, 1) for row in marked.filter(F.col("y") == y).orderBy("h", "id").limit(SAMPLE_DOCS).collect()]
+    picked = [
+        row for y in (0, 1) for row in marked.filter(F.col("y") == y).orderBy("h", "id").limit(SAMPLE_DOCS).collect()
+    ]
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame([tuple(r) for r in picked], "id long, y int, h long"))  # 2 * SAMPLE_DOCS rows at most
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), whole_text(text_column).alias("text")).join(chosen, "id")
+    rows = docs.select(
+        F.col(id_column).cast("long").alias("id"), whole_text(text_column).alias("text")
+    ).join(chosen, "id")
     held: dict[int, list[tuple[int, str]]] = {0: [], 1: []}
     used = {0: 0, 1: 0}
     for row in rows.limit(4 * SAMPLE_DOCS).toLocalIterator():
@@ -137,7 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, text_column: str = "text", id_colu
     model = Model(dictionary([t for _, t in halves[1][0]]), dictionary([t for _, t in halves[0][0]]), 0.0, 0.0)
     texts = [(t, y) for y in (0, 1) for _, t in halves[y][1]]
     x = np.array([model.difference(t) for t, _ in texts], float)
-    model.slope, model.intercept = calibrate(x, np.array([y for _, y in texts], float), counts.get(1, 0) / max(1, sum(counts.values())))
+    model.slope, model.intercept = calibrate(
+        x, np.array([y for _, y in texts], float), counts.get(1, 0) / max(1, sum(counts.values()))
+    )
     return model
 
 
@@ -151,7 +175,14 @@ def score(docs: DataFrame, model: Model, columns: list[str], text_column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = shared.value.scores(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32), pa.int32())], names=[*batch.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:-1],
+                    pa.array(s, pa.float64()),
+                    pa.array((s >= THRESHOLD).astype(np.int32), pa.int32()),
+                ],
+                names=[*batch.schema.names[:-1], "score", "predicted"],
+            )
 
     schema = docs.select(*columns).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
     return docs.select(*columns, whole_text(text_column).alias("__text")).mapInArrow(run, schema)

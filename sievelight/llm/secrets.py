@@ -33,11 +33,19 @@ class Rule:
 
 #: The base, in the order in which spans that start together are listed.
 BASE = (
-    Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule(
+        "assign",
+        1,
+        r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        6,
+    ),
     Rule("access", 1, "AKIA[A-Z0-9]{16,}"),
     Rule("hex", 1, "[0-9a-f]{24,}"),
 )
-RULES = (*BASE, Rule("pem", 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), Rule("github", 1, "gh[pousr]_[A-Za-z0-9]{36,}"))
+RULES = (
+    *BASE, Rule("pem", 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), Rule("github", 1, "gh[pousr]_[A-Za-z0-9]{36,}")
+)
 
 _SPANS = "array<struct<start:int,end:int>>"
 LEDGER = f"blob binary, kind string, version int, spans {_SPANS}"
@@ -54,10 +62,19 @@ def spans(text: Column, rule: Rule) -> Column:
         end = start + F.length(match)
         new = F.array(F.struct(start.alias("start"), end.alias("end")))
         if rule.least:
-            new = F.when(F.length(F.regexp_extract(match, rule.pattern, rule.group)) >= rule.least, new).otherwise(F.array().cast(_SPANS))
-        return F.struct(held["found"].alias("found"), held["between"].alias("between"), end.alias("at"), F.concat(held["spans"], new).alias("spans"))
-
-    start = F.struct(found.alias("found"), between.alias("between"), F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+            new = F.when(
+                F.length(F.regexp_extract(match, rule.pattern, rule.group)) >= rule.least, new
+            ).otherwise(F.array().cast(_SPANS))
+        return F.struct(
+            held["found"].alias("found"),
+            held["between"].alias("between"),
+            end.alias("at"),
+            F.concat(held["spans"], new).alias("spans"),
+        )
+
+    start = F.struct(
+        found.alias("found"), between.alias("between"), F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans")
+    )
     walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda held: held["spans"])
     return F.when(text.rlike(rule.pattern), walked).otherwise(F.array().cast(_SPANS))
 
@@ -74,9 +91,18 @@ def scan_unseen(texts: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, .
         once = once.withColumn("todo", every)
     else:
         seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "kind", "version")).alias("seen"))
-        once = once.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))))
+        once = once.join(seen, "blob", "left").withColumn(
+            "todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
+        )
         once = once.filter(F.size("todo") > 0)
-    scanned = [F.when(F.array_contains("todo", r.key), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans"))) for r in rules]
+    scanned = [
+        F.when(
+            F.array_contains("todo", r.key),
+            F.struct(
+                F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans")
+            ),
+        ) for r in rules
+    ]
     return once.select("blob", F.explode(F.array_compact(F.array(*scanned))).alias("s")).select("blob", "s.*")
 
 
@@ -86,30 +112,52 @@ def update_ledger(texts: DataFrame, path: str, rules: tuple[Rule, ...] = RULES)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    scan_unseen(texts, spark.read.schema(LEDGER).parquet(path) if there else None, rules).write.mode("append").parquet(path)
+    scan_unseen(
+        texts, spark.read.schema(LEDGER).parquet(path) if there else None, rules
+    ).write.mode("append").parquet(path)
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def findings(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, text_column: str = "text") -> DataFrame:
+def findings(
+    docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, text_column: str = "text"
+) -> DataFrame:
     """All columns of ``docs`` and ``findings``: array of (start, place of the rule, kind, end), ordered.
 
     Null text counts as empty and has none.  Rows that repeat a text share one scan;
     every row gets its own result.  Without ``ledger_path`` the ledger is a new one.
     """
     address, found = unused_names(docs, "blob", "findings")
-    ledger = update_ledger(docs.select(blob(text_column).alias("blob"), whole_text(text_column).alias("text")), ledger_path or new_path(docs.sparkSession, "secrets-ledger"), rules)
-    place = F.create_map(*(x for k, r in enumerate(rules) for x in (F.lit(r.key), F.lit(k))))[F.concat_ws("@", "kind", "version")]
+    ledger = update_ledger(
+        docs.select(blob(text_column).alias("blob"), whole_text(text_column).alias("text")),
+        ledger_path or new_path(docs.sparkSession, "secrets-ledger"),
+        rules,
+    )
+    place = F.create_map(
+        *(x for k, r in enumerate(rules) for x in (F.lit(r.key), F.lit(k)))
+    )[F.concat_ws("@", "kind", "version")]
     hits = ledger.filter(F.size("spans") > 0).withColumn("place", place).filter("place is not null")
-    one = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("place").alias("place"), F.col("kind").alias("kind"), s["end"].alias("end")))
+    one = F.transform(
+        "spans",
+        lambda s: F.struct(
+            s["start"].alias("start"), F.col("place").alias("place"), F.col("kind").alias("kind"), s["end"].alias("end")
+        ),
+    )
     # Written, so that both sides of the join have an exchange of their own and a blob of very many documents can be split.
-    hits = materialise(hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(one))).alias(found)), "secrets-found").withColumnRenamed("blob", address)
+    hits = materialise(
+        hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(one))).alias(found)), "secrets-found"
+    ).withColumnRenamed("blob", address)
     joined = docs.withColumn(address, blob(text_column)).join(hits, address, "left")
-    return joined.select(*docs.columns, F.coalesce(F.col(found), F.array().cast(hits.schema[found].dataType)).alias(found))
+    return joined.select(
+        *docs.columns, F.coalesce(F.col(found), F.array().cast(hits.schema[found].dataType)).alias(found)
+    )
 
 
 def written(found: Column) -> Column:
     """Findings as kind:start:end, comma-joined."""
-    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
+        ",",
+    )
 
 
 def of_kind(kind: str):
@@ -121,10 +169,18 @@ def secret_report(docs: DataFrame, ledger_path: str | None = None, rules: tuple[
     held = findings(docs.select("doc_id", "text"), ledger_path, rules)
     base = F.filter("findings", lambda s: s["kind"].isin(*(r.kind for r in BASE)))
     counts = [F.size(F.filter("findings", of_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in BASE]
-    return held.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("findings")).alias("spans"))
-
-
-def redact(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]", text_column: str = "text") -> DataFrame:
+    return held.select(
+        "doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("findings")).alias("spans")
+    )
+
+
+def redact(
+    docs: DataFrame,
+    ledger_path: str | None = None,
+    rules: tuple[Rule, ...] = RULES,
+    mark: str = "[secret]",
+    text_column: str = "text",
+) -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; texts without any stay as they are, null ones too."""
     held = findings(docs, ledger_path, rules, text_column)
     name = held.columns[-1]
@@ -133,8 +189,13 @@ def redact(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, .
     def step(done: Column, s: Column) -> Column:
         later = s["end"] > done["at"]
         kept = F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(later, F.concat(done["out"], kept, F.lit(mark))).otherwise(done["out"]).alias("out"))
+        return F.struct(
+            F.greatest(done["at"], s["end"]).alias("at"),
+            F.when(later, F.concat(done["out"], kept, F.lit(mark))).otherwise(done["out"]).alias("out"),
+        )
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cleaned = F.aggregate(name, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    cleaned = F.aggregate(
+        name, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    )
     return held.withColumn(text_column, F.when(F.size(name) > 0, cleaned).otherwise(text)).select(*docs.columns)

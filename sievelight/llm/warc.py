@@ -76,12 +76,21 @@ def with_revisits(pages: DataFrame, id_column: str = "page_id", html_column: str
     refers_to is the smallest id among the records of an equal payload of at least
     ``LEAST_REVISIT`` bytes, and null on that record itself and on shorter ones.
     """
-    page = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), whole_text(html_column).alias("html"))
+    page = pages.select(
+        F.col(id_column).cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        whole_text(html_column).alias("html"),
+    )
     page = page.withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html").cast("long")})
-    same = page.filter(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    same = page.filter(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(
+        F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")
+    ).filter("n > 1")
     same = materialise(same.select("digest", "first_id"), "warc-same")
     joined = page.join(same, "digest", "left")
-    return joined.withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("first_id"), F.col("first_id").isNotNull()), F.col("first_id"))).drop("first_id")
+    return joined.withColumn(
+        "refers_to",
+        F.when(F.coalesce(F.col("page_id") != F.col("first_id"), F.col("first_id").isNotNull()), F.col("first_id")),
+    ).drop("first_id")
 
 
 def record(page: DataFrame) -> Column:
@@ -90,7 +99,11 @@ def record(page: DataFrame) -> Column:
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", "%0A")
     date = F.date_format(F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + 1704067200), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     revisit = F.col("refers_to").isNotNull()
-    head = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.col("bytes").cast("string"), F.lit(_END + _END))
+    head = F.concat(
+        F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "),
+        F.col("bytes").cast("string"),
+        F.lit(_END + _END),
+    )
     block = F.when(revisit, head).otherwise(F.concat(head, "html"))
     lines = F.concat(
         F.lit(f"WARC/1.1{_END}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
@@ -98,8 +111,18 @@ def record(page: DataFrame) -> Column:
         F.lit(f"{_END}WARC-Date: "), date,
         F.lit(f"{_END}WARC-Target-URI: "), url,
         F.lit(f"{_END}WARC-Payload-Digest: sha256:"), F.col("digest"),
-        F.when(revisit, F.concat(F.lit(f"{_END}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{_END}WARC-Refers-To: "), uri(F.col("refers_to")))).otherwise(""),
-        F.lit(f"{_END}Content-Type: application/http; msgtype=response{_END}Content-Length: "), F.octet_length(block).cast("string"),
+        F.when(
+            revisit,
+            F.concat(
+                F.lit(
+                    f"{_END}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{_END}WARC-Refers-To: "
+                ),
+                uri(F.col("refers_to")),
+            ),
+        ).otherwise(""),
+        F.lit(
+            f"{_END}Content-Type: application/http; msgtype=response{_END}Content-Length: "
+        ), F.octet_length(block).cast("string"),
         F.lit(_END + _END),
     )
     return F.concat(lines, block, F.lit("\r\n\r"))
@@ -108,7 +131,9 @@ def record(page: DataFrame) -> Column:
 def write_archives(pages: DataFrame, path: str) -> None:
     """Writes a record for every row to gzip archives below ``path``."""
     page = with_revisits(pages)
-    page.select(record(page).alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    page.select(record(page).alias("value")).write.option("compression", "gzip").option(
+        "maxRecordsPerFile", RECORDS_A_FILE
+    ).text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -128,14 +153,23 @@ def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 
 _FIELDS = [
-    ("url_key", pa.string(), "string"), ("timestamp", pa.string(), "string"), ("page_id", pa.int64(), "long"), ("file", pa.string(), "string"), ("offset", pa.int64(), "long"), ("length", pa.int64(), "long"),
-    ("url", pa.string(), "string"), ("payload_bytes", pa.int64(), "long"), ("payload_digest", pa.string(), "string"), ("record_type", pa.string(), "string"), ("refers_to", pa.int64(), "long"),
+    ("url_key", pa.string(), "string"), (
+        "timestamp", pa.string(), "string"
+    ), (
+        "page_id", pa.int64(), "long"
+    ), ("file", pa.string(), "string"), ("offset", pa.int64(), "long"), ("length", pa.int64(), "long"),
+    ("url", pa.string(), "string"), ("payload_bytes", pa.int64(), "long"), (
+        "payload_digest", pa.string(), "string"
+    ), ("record_type", pa.string(), "string"), ("refers_to", pa.int64(), "long"),
 ]
 INDEX = ", ".join(f"{name} {kind}" for name, _, kind in _FIELDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t, _) in zip(zip(*rows, strict=True), _FIELDS, strict=True)], names=[n for n, _, _ in _FIELDS])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(v, t) for v, (_, t, _) in zip(zip(*rows, strict=True), _FIELDS, strict=True)],
+        names=[n for n, _, _ in _FIELDS],
+    )
 
 
 def _number(uri: str | None) -> int | None:
@@ -153,9 +187,15 @@ def entry(file: str, at: int, headers: dict[str, str], block: bytes) -> tuple:
         if hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"{file}: the payload at byte {at} does not have its digest")
     else:
-        size = int(next(line.split(b":")[1] for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:")))
+        size = int(
+            next(line.split(b":")[1] for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:"))
+        )
     url = headers["warc-target-uri"]
-    return url_key(url), headers["warc-date"], _number(headers["warc-record-id"]), file, at, len(block), url, size, digest, kind, _number(headers.get("warc-refers-to"))
+    return url_key(url), headers["warc-date"], _number(
+        headers["warc-record-id"]
+    ), file, at, len(block), url, size, digest, kind, _number(
+        headers.get("warc-refers-to")
+    )
 
 
 def _order(row: tuple) -> tuple:
