@@ -6,12 +6,17 @@ Each function takes the columns that name a cell (an embedder, mode and axis, sa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievelight.functions.hashing import uniform_long
+from sievelight.sources.storage import settled
 
 GRADES = (0, 1, 2)
 
@@ -82,17 +87,21 @@ def agreement_of(grades=GRADES) -> Column:
 
 
 def midranks(df: DataFrame, value: str, by: list[str] = (), out: str = "r") -> DataFrame:
-    """Ranks in which ties share their mean, by counts of distinct values: no row is ranked on its own.
+    """Ranks in which ties share their mean.
 
-    The rows of a cell are first reduced to distinct values, so a window orders those alone.
+    Rows are reduced to counts of distinct values, which are dealt out by ranges.  The
+    sums of whole ranges, a row for each of them, come before those within a range, so no
+    task orders more than one range however many values there are.
     """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(
-        F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    ranks = counts.withColumn(out, before + (F.col("_n") + 1) / 2.0).drop("_n")
-    keys = [*by, value]
-    return df.join(ranks, keys)
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(*by, value)
+    counts = settled(counts.withColumn("_range", F.spark_partition_id()))
+    ranges = counts.groupBy(*by, "_range").agg(F.sum("_n").alias("_in_range"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*by, "_range", F.coalesce(F.sum("_in_range").over(earlier), F.lit(0)).alias("_before_range"))
+    within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_before_range") + F.coalesce(F.sum("_n").over(within), F.lit(0))
+    ranks = counts.join(ranges, [*by, "_range"]).withColumn(out, before + (F.col("_n") + 1) / 2.0)
+    return df.join(ranks.select(*by, value, out), [*by, value])
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
@@ -153,6 +162,40 @@ def bootstrap_qwk(
     )
 
 
+def bootstrap_qwk_counts(
+    df: DataFrame, true: str, pred: str, resamples: int = 1000, by: list[str] = (), seed: int = 0
+) -> DataFrame:
+    """The same interval for tables of any size: by, n_used, low, median, high.
+
+    The kappa depends on the confusion matrix alone, so a resample of the rows is a
+    multinomial draw of its nine counts; one row a cell is all that leaves the table.
+    """
+    columns = [f"c_{i}_{j}" for i in GRADES for j in GRADES]
+    counts = confusion(df, true, pred, by)
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = len(GRADES)
+        weight = (np.subtract.outer(np.arange(k), np.arange(k)) ** 2).astype(float)
+        for frame in frames:
+            out = []
+            for row, key in zip(frame[columns].to_numpy(), frame[list(by)].itertuples(index=False), strict=True):
+                n = int(row.sum())
+                made = np.random.default_rng(seed).multinomial(n, row / max(n, 1), resamples).reshape(-1, k, k) if n else []
+                values = []
+                for m in made:
+                    chance = (weight * np.outer(m.sum(1), m.sum(0))).sum()
+                    if (m.sum(1) > 0).sum() > 1 and chance > 0:
+                        values.append(1 - n * (weight * m).sum() / chance)
+                at = np.quantile(values, [0.025, 0.5, 0.975]) if values else [None] * 3
+                out.append((*key, len(values), *at))
+            yield pd.DataFrame(out, columns=[*by, "n_used", "low", "median", "high"])
+
+    schema = counts.select(*by).schema.add("n_used", T.LongType())
+    for name in ("low", "median", "high"):
+        schema = schema.add(name, T.DoubleType())
+    return counts.mapInPandas(draw, schema)
+
+
 def eta_squared(df: DataFrame, value: str, factor: str, by: list[str] = ()) -> DataFrame:
     """Share of the variance that a factor explains: by, eta_squared.  One pass over groups' sums."""
     x = F.col(value).cast("double")

@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.plans import cluster_queries, golden_queries, log_queries, metric_queries, probe_queries
+from sievelight.plans import (
+    cluster_queries,
+    golden_queries,
+    log_queries,
+    metric_queries,
+    probe_queries,
+    report_queries,
+)
 
 FLAGSHIP = "probe_eval"
-_MODULES = (log_queries, cluster_queries, probe_queries, metric_queries, golden_queries)
+_MODULES = (log_queries, cluster_queries, probe_queries, metric_queries, golden_queries, report_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -281,6 +281,25 @@ def test_bootstrap_interval_holds_the_value(rated):
     assert r.low < 0.780695 < r.high and r.n_used == 100
 
 
+def test_bootstrap_of_counts(spark, rated):
+    exact, fast = mx.bootstrap_qwk(rated, "a", "b", "id", 300).first(), mx.bootstrap_qwk_counts(rated, "a", "b", 2000).first()
+    assert fast.n_used == 2000
+    assert all(abs(exact[c] - fast[c]) < 0.03 for c in ("low", "median", "high"))
+    by = mx.bootstrap_qwk_counts(rated.withColumn("g", F.col("id") % 2), "a", "b", 50, ["g"])
+    assert {r.g for r in by.collect()} == {0, 1}
+    assert mx.bootstrap_qwk_counts(rated.filter("a = 0"), "a", "b", 50).first().n_used == 0
+
+
+def test_ranks_over_ranges(spark):
+    rng = random.Random(7)
+    rows = [(g, rng.randint(0, 40)) for g in "ab" for _ in range(150)]
+    got = mx.midranks(spark.createDataFrame(rows, "g string, x int"), "x", ["g"]).collect()
+    for g in "ab":
+        own = sorted(x for h, x in rows if h == g)
+        for r in (r for r in got if r.g == g):
+            assert r.r == own.index(r.x) + (own.count(r.x) + 1) / 2
+
+
 def planted(spark, n=240, dim=8, noise=0.3):
     rng = np.random.default_rng(0)
     w = rng.normal(size=dim)
