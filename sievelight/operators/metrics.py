@@ -178,7 +178,8 @@ def bootstrap_qwk_counts(
         weight = (np.subtract.outer(np.arange(k), np.arange(k)) ** 2).astype(float)
         for frame in frames:
             out = []
-            for row, key in zip(frame[columns].to_numpy(), frame[list(by)].itertuples(index=False), strict=True):
+            for cell in frame.to_dict("records"):
+                row = np.array([cell[c] for c in columns])
                 n = int(row.sum())
                 made = np.random.default_rng(seed).multinomial(n, row / max(n, 1), resamples).reshape(-1, k, k) if n else []
                 values = []
@@ -187,7 +188,7 @@ def bootstrap_qwk_counts(
                     if (m.sum(1) > 0).sum() > 1 and chance > 0:
                         values.append(1 - n * (weight * m).sum() / chance)
                 at = np.quantile(values, [0.025, 0.5, 0.975]) if values else [None] * 3
-                out.append((*key, len(values), *at))
+                out.append((*(cell[c] for c in by), len(values), *at))
             yield pd.DataFrame(out, columns=[*by, "n_used", "low", "median", "high"])
 
     schema = counts.select(*by).schema.add("n_used", T.LongType())
