@@ -16,6 +16,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that was just read, over all cores if it has fewer partitions than there are; larger ones as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
@@ -48,6 +54,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The tables of one run, in a folder of its own.
+
+    A table that the result doesn't read any more can be dropped before the result is
+    asked for, so that a run leaves no more than it needs.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, new_path(spark, name), 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """As :func:`materialise`."""
+        self.tables += 1
+        path = f"{self.path}/{name}.{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Deletes the tables of all other names."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for found in files.listStatus(root):
+            if found.getPath().getName().rpartition(".")[0] not in names:
+                files.delete(found.getPath(), True)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, where null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import materialise
+from sievelight.llm.common import Scratch
 
 
 def _neighbours_least(edges: DataFrame) -> DataFrame:
@@ -13,26 +13,43 @@ def _neighbours_least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node and component, the least node that can be reached, for each node of ``edges`` (u long, v long).
 
-    Rounds of linking all larger neighbours, then all smaller ones, to the least
+    The result and the rounds are written to ``scratch``, the latter for as long as they
+    are needed.  Rounds of linking all larger neighbours, then all smaller ones, to the least
     neighbour end when every node has one edge, to its component.  Each round is
     written, and a node with very many edges is split in the joins.
     """
-    stars = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
+    own = Scratch(scratch.spark, "components")
+    stars = own.keep(
+        edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars"
+    )
     before = None
     while True:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(_neighbours_least(both), "components-large")
+        least = own.keep(_neighbours_least(both), "least")
         # Each larger neighbour of u is linked to the least node that u knows.
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        large = materialise(large, "components")
-        least = materialise(_neighbours_least(large), "components-small")
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        stars = materialise(small.select("e.*").filter("u > v").distinct(), "components")
+        large = both.join(least, "u").filter("v > u").select(
+            F.col("v").alias("u"), F.col("m").alias("v")
+        ).filter("u > v").distinct()
+        large = own.keep(large, "large")
+        own.drop_all_but("large")
+        least = own.keep(_neighbours_least(large), "least")
+        small = large.join(least, "u").select(
+            F.explode(
+                F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+            ).alias("e")
+        )
+        stars = own.keep(small.select("e.*").filter("u > v").distinct(), "stars")
+        own.drop_all_but("stars")
         state = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    named = stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
+    out = scratch.keep(named, "found")
+    own.drop_all_but()
+    return out

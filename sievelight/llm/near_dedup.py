@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import materialise, unused_names, whole_text
+from sievelight.llm.common import Scratch, materialise, unused_names, whole_text
 from sievelight.llm.components import components
 
 BINS = 256
@@ -105,7 +105,11 @@ def _sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
             yield np.unique(rolled[lo : hi - k + 1])
         elif hi > lo:
             few = words[lo:hi]
-            yield _mix(np.array([np.sum(_mix(few ^ weights[: len(few)]) * weights[: len(few)]) + np.uint64(len(few))], np.uint64))
+            yield _mix(
+                np.array(
+                    [np.sum(_mix(few ^ weights[: len(few)]) * weights[: len(few)]) + np.uint64(len(few))], np.uint64
+                )
+            )
         else:
             yield np.zeros(0, np.uint64)
 
@@ -134,7 +138,9 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 def band_keys(sketch: np.ndarray) -> np.ndarray:
     parts = sketch[:, : BANDS * BAND].reshape(len(sketch), BANDS, BAND)
     weights = _mix(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * _MULTIPLIER).reshape(BANDS, BAND) | np.uint64(1)
-    return _mix((_mix(parts ^ weights) * weights).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return _mix(
+        (_mix(parts ^ weights) * weights).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    ).view(np.int64)
 
 
 _SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, small binary"
@@ -153,7 +159,16 @@ def _sketch_rows(k: int):
                 for j, row, low in zip(some, band_keys(sketch), _mix(sketch).astype(np.uint8), strict=True):
                     keys[j], small[j] = row, low.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary())],
+                    [
+                        ids,
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(
+                            [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                            pa.binary(),
+                        ),
+                        pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(small, pa.binary()),
+                    ],
                     names=["doc_id", "n_shingles", "set_key", "bands", "small"],
                 )
 
@@ -165,8 +180,18 @@ def _set_rows(k: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 nodes, keys, texts = (batch.column(c).slice(lo, 512).to_pylist() for c in range(3))
-                held = [(n, s) for n, key, s in zip(nodes, keys, shingle_sets(texts, k), strict=True) if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([s.view(np.int64) for _, s in held], pa.list_(pa.int64()))], names=["node", "shingles"])
+                held = [
+                    (n, s)
+                    for n, key, s in zip(nodes, keys, shingle_sets(texts, k), strict=True)
+                    if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([n for n, _ in held], pa.int64()),
+                        pa.array([s.view(np.int64) for _, s in held], pa.list_(pa.int64())),
+                    ],
+                    names=["node", "shingles"],
+                )
 
     return run
 
@@ -176,16 +201,18 @@ def _pick(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on)
 
 
-def confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs of ``edges`` (u, v; written) whose full sets are similar enough.
 
     Only the texts of nodes that occur in a pair are read into sets, one a node.
     """
-    sets = _sets_of(edges.select(F.explode(F.array("u", "v")).alias("node")), nodes, docs, k)
+    sets = _sets_of(edges.select(F.explode(F.array("u", "v")).alias("node")), nodes, docs, k, scratch)
     one = edges.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     two = one.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return two.select("u", "v", common.alias("c"), (F.size("a") + F.size("b") - common).alias("all")).filter(F.col("c") * 100 >= F.col("all") * percent).select("u", "v")
+    return two.select(
+        "u", "v", common.alias("c"), (F.size("a") + F.size("b") - common).alias("all")
+    ).filter(F.col("c") * 100 >= F.col("all") * percent).select("u", "v")
 
 
 def _meet(percent: int):
@@ -198,16 +225,32 @@ def _meet(percent: int):
         that one not among those that go on, its centre would have settled the pair.
         """
         inner = group["i"].iloc[0] == group["j"].iloc[0]
-        left, right = (group, group) if inner else (group[group["own"] == group["i"]], group[group["own"] == group["j"]])
+        left, right = (group, group) if inner else (
+            group[group["own"] == group["i"]], group[group["own"] == group["j"]]
+        )
         if not len(left) or not len(right):
             return pd.DataFrame({"u": [], "v": []})
         band = int(group["band"].iloc[0])
-        small, bands = np.frombuffer(b"".join(right["small"]), np.uint8).reshape(len(right), BINS), np.array(right["bands"].tolist())
-        nodes, components_, sizes, sets = right["node"].to_numpy(), right["component"].to_numpy(), right["n_shingles"].to_numpy(), right["shingles"].tolist()
+        small, bands = np.frombuffer(
+            b"".join(right["small"]), np.uint8
+        ).reshape(len(right), BINS), np.array(right["bands"].tolist())
+        nodes, components_, sizes, sets = right["node"].to_numpy(), right["component"].to_numpy(), right[
+            "n_shingles"
+        ].to_numpy(), right["shingles"].tolist()
         us, vs = [], []
-        rows = zip(left["small"], left["bands"], left["node"], left["component"], left["n_shingles"], left["shingles"], strict=True)
+        rows = zip(
+            left["small"],
+            left["bands"],
+            left["node"],
+            left["component"],
+            left["n_shingles"],
+            left["shingles"],
+            strict=True,
+        )
         for k, (low, own_bands, node, component, n, own) in enumerate(rows):
-            maybe = np.flatnonzero((components_ != component) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+            maybe = np.flatnonzero(
+                (components_ != component) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+            )
             maybe = maybe[maybe > k] if inner else maybe
             maybe = maybe[(bands[maybe] == own_bands).argmax(axis=1) == band] if len(maybe) else maybe
             maybe = maybe[(small[maybe] == np.frombuffer(low, np.uint8)).sum(axis=1) >= least]
@@ -221,30 +264,54 @@ def _meet(percent: int):
     return run
 
 
-def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """node and shingles of the wanted nodes; only their texts are read into sets, one a node."""
-    keyed = materialise(wanted.distinct().join(nodes.select("node", "doc_id", "set_key"), "node"), "near-wanted")
+    keyed = scratch.keep(wanted.distinct().join(nodes.select("node", "doc_id", "set_key"), "node"), "wanted")
     rows = docs.select(F.col("doc_id").alias("id"), "text")
     texts = _pick(rows, keyed, rows["id"].eqNullSafe(keyed["doc_id"])).select("node", "set_key", "text")
-    return materialise(texts.mapInArrow(_set_rows(k), "node long, shingles array<long>").dropDuplicates(["node"]), "near-sets")
+    return scratch.keep(
+        texts.mapInArrow(_set_rows(k), "node long, shingles array<long>").dropDuplicates(["node"]), "sets"
+    )
 
 
-def _further_links(members: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _further_links(
+    members: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch
+) -> DataFrame:
     """Links in the buckets (bucket, band, node) whose nodes lie in several components still."""
-    placed = members.join(found, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
-    several = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most and n > 2")
-    several = materialise(several.select("bucket", "n"), "near-several")
-    going = materialise(placed.join(several, "bucket"), "near-going")
-    sets = _sets_of(going.select("node"), nodes, docs, words)
+    placed = members.join(found, "node", "left").select(
+        "bucket", "band", "node", F.coalesce("component", "node").alias("component")
+    )
+    several = placed.groupBy("bucket").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")
+    ).filter("least <> most and n > 2")
+    several = scratch.keep(several.select("bucket", "n"), "several")
+    going = scratch.keep(placed.join(several, "bucket"), "going")
+    sets = _sets_of(going.select("node"), nodes, docs, words, scratch)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = going.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = going.withColumn(
+        "own", F.pmod(F.xxhash64("node"), blocks).cast("int")
+    ).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     held = nodes.select("node", "small", "bands", "n_shingles").join(sets, "node")
-    dealt = dealt.join(materialise(held, "near-held"), "node")
-    dealt = dealt.select("bucket", "band", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "small", "bands", "n_shingles", "shingles")
+    dealt = dealt.join(scratch.keep(held, "held"), "node")
+    dealt = dealt.select(
+        "bucket",
+        "band",
+        "own",
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        "node",
+        "component",
+        "small",
+        "bands",
+        "n_shingles",
+        "shingles",
+    )
     return dealt.groupBy("bucket", "i", "j").applyInPandas(_meet(percent), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, words: int = 4, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
     """One row for each document: n_shingles, component_id and kept.
 
     Words are what stands between white space, A-Z lower-cased; a document's set holds
@@ -255,30 +322,61 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_colum
     all kept if it is their component's; a null id takes part, and a component of null
     ids alone has a null id and is kept.
     """
+    scratch = Scratch(docs.sparkSession, "near-dedup")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    sketched = materialise(rows.mapInArrow(_sketch_rows(words), _SKETCH), "near-sketches")
-    first = sketched.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("small").alias("small"))
-    nodes = materialise(first.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    sketched = scratch.keep(rows.mapInArrow(_sketch_rows(words), _SKETCH), "sketches")
+    first = sketched.filter("set_key is not null").groupBy("set_key").agg(
+        F.min("doc_id").alias("doc_id"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.first("bands").alias("bands"),
+        F.first("small").alias("small"),
+    )
+    nodes = scratch.keep(first.withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    centres = materialise(buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "centre"), "near-centres")
-    members = materialise(buckets.join(centres, "bucket").select("bucket", "band", "node", "centre"), "near-members")
-    edges = materialise(members.filter("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "near-edges")
-    links = materialise(confirmed(edges, nodes, rows, words, percent), "near-links")
-    found = materialise(components(links), "near-components")
-    more = materialise(_further_links(members, found, nodes, rows, words, percent), "near-more")
+    centres = scratch.keep(
+        buckets.groupBy("bucket").agg(
+            F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")
+        ).filter("n > 1").select("bucket", "centre"),
+        "centres",
+    )
+    members = scratch.keep(buckets.join(centres, "bucket").select("bucket", "band", "node", "centre"), "members")
+    edges = scratch.keep(
+        members.filter("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(),
+        "edges",
+    )
+    links = scratch.keep(confirmed(edges, nodes, rows, words, percent, scratch), "links")
+    found = components(links, scratch)
+    scratch.drop_all_but("sketches", "nodes", "members", "links", "found")
+    more = scratch.keep(_further_links(members, found, nodes, rows, words, percent, scratch), "more")
     if more.head(1):
-        links = materialise(links.union(more), "near-links")
-        found = materialise(components(links), "near-components")
-    named = nodes.select("node", "set_key", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = materialise(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-least")
-    by_set = materialise(named.join(least, "component").select("set_key", "component_id"), "near-by-set")
+        links = scratch.keep(links.union(more), "links")
+        found = components(links, scratch)
+    named = nodes.select("node", "set_key", "doc_id").join(found, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
+    least = scratch.keep(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    by_set = scratch.keep(named.join(least, "component").select("set_key", "component_id"), "by-set")
+    scratch.drop_all_but("sketches", "by-set")
     out = sketched.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+    )
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
     """The documents that :func:`near_duplicates` keeps, with all their columns.  Ids must be unique."""
     (key,) = unused_names(docs, "kept_id")
-    kept = materialise(near_duplicates(docs, words, percent, id_column, text_column).filter("not kept").select(F.col("doc_id").alias(key)), "near-dropped")
-    return docs.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, docs[id_column].eqNullSafe(F.col(key)), "left_anti")
+    kept = materialise(
+        near_duplicates(
+            docs, words, percent, id_column, text_column
+        ).filter("not kept").select(F.col("doc_id").alias(key)),
+        "near-dropped",
+    )
+    return docs.join(
+        F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept,
+        docs[id_column].eqNullSafe(F.col(key)),
+        "left_anti",
+    )

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from sievelight.llm import near_dedup as nd
+from sievelight.llm.common import Scratch
 from sievelight.llm.components import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -87,10 +88,10 @@ def test_sketch_estimates_similarity():
 
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (20, 21), (30, 30), *((100, k) for k in range(101, 180)), *((k, k + 1) for k in range(300, 330))]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test")).collect()}
     assert {got[k] for k in (1, 2, 3, 9)} == {1} and got[21] == 20 and 30 not in got
     assert {got[k] for k in range(100, 180)} == {100} and {got[k] for k in range(300, 331)} == {300}
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test")).count() == 0
 
 
 def test_drop_keeps_columns(odd, none):
