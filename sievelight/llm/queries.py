@@ -6,23 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import bpe, exact_dedup, language_id, licences, near_dedup, nearest, packing, quality, secrets, warc
-from sievelight.llm.common import held_out, read_table
+from sievelight.llm.common import held_out, read_table, spread
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents"))
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_report(read_table(spark, sf_dir, "documents"))
+    return secrets.secret_report(documents(spark, sf_dir))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     found = language_id.identify(docs, language_id.train(docs), ["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(read_table(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.round_trip(documents(spark, sf_dir), VOCABULARY)
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,15 +34,15 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read_table(spark, sf_dir, "documents"), VOCABULARY)
+    return packing.pack_documents(documents(spark, sf_dir), VOCABULARY)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4)
+    return near_dedup.near_duplicates(documents(spark, sf_dir), words=4)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     scored = quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")), ["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
@@ -49,14 +53,27 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan_licences(read_table(spark, sf_dir, "documents"), ["doc_id"])
-
-
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_language_id, op3_bpe, op4_nearest, op5_packing, op6_near_dedup, op7_quality, op8_warc, op9_exact_dedup, op10_licences)}
+    return licences.scan_licences(documents(spark, sf_dir), ["doc_id"])
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        op1_secrets,
+        op2_language_id,
+        op3_bpe,
+        op4_nearest,
+        op5_packing,
+        op6_near_dedup,
+        op7_quality,
+        op8_warc,
+        op9_exact_dedup,
+        op10_licences,
+    )
+}
 
 
 def _either_case(word: str) -> str:

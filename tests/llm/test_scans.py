@@ -146,3 +146,19 @@ def test_damaged_payload_is_refused():
     block = b"HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\nx"
     with pytest.raises(ValueError, match="digest"):
         warc.entry("f", 0, {"warc-payload-digest": "sha256:00", "warc-type": "response", "warc-target-uri": "u", "warc-date": "d", "warc-record-id": "<urn:x-page:1>"}, block)
+
+
+@pytest.mark.parametrize("name", ["op1_secrets", "op8_warc"])
+def test_query_agrees_with_sql(spark, name):
+    import duckdb
+
+    from sievelight.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    df = queries.QUERIES[name](spark, sf)
+    with duckdb.connect() as con:
+        for t in ("documents", "pages"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+        want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key)
