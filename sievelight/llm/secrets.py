@@ -47,35 +47,52 @@ RULES = (
     *BASE, Rule("pem", 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), Rule("github", 1, "gh[pousr]_[A-Za-z0-9]{36,}")
 )
 
+#: Matches that are walked as one block.
+SPAN_BLOCK = 256
 _SPANS = "array<struct<start:int,end:int>>"
 LEDGER = f"blob binary, kind string, version int, spans {_SPANS}"
 
 
 def spans(text: Column, rule: Rule) -> Column:
-    """Where the rule's matches start and end, in code points; the lengths of what lies between matches add up to it."""
+    """Where the rule's matches start and end, in code points.
+
+    The lengths of the matches and of what lies between them add up to the places.  They
+    are walked block by block, as an array that grows by one element at a time would be
+    copied as often as there are matches.
+    """
     between = F.split(text, rule.pattern, -1)
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
 
-    def step(held: Column, k: Column) -> Column:
-        match = F.get(held["found"], k)
-        start = held["at"] + F.length(F.get(held["between"], k))
-        end = start + F.length(match)
-        new = F.array(F.struct(start.alias("start"), end.alias("end")))
+    def pair(match: Column, gap: Column) -> Column:
+        kept = match.isNotNull()
         if rule.least:
-            new = F.when(
-                F.length(F.regexp_extract(match, rule.pattern, rule.group)) >= rule.least, new
-            ).otherwise(F.array().cast(_SPANS))
+            kept &= F.length(F.regexp_extract(match, rule.pattern, rule.group)) >= rule.least
         return F.struct(
-            held["found"].alias("found"),
-            held["between"].alias("between"),
-            end.alias("at"),
-            F.concat(held["spans"], new).alias("spans"),
+            F.length(gap).alias("gap"), F.coalesce(F.length(match), F.lit(0)).alias("n"), kept.alias("kept")
         )
 
+    def match(at: Column, p: Column) -> Column:
+        start = at["at"] + p["gap"]
+        new = F.array(F.struct(start.alias("start"), (start + p["n"]).alias("end")))
+        held = F.when(p["kept"], F.concat(at["spans"], new)).otherwise(at["spans"])
+        return F.struct((start + p["n"]).alias("at"), held.alias("spans"))
+
+    def block(held: Column, k: Column) -> Column:
+        none = F.array().cast(_SPANS)
+        here = F.slice(held["pairs"], k * SPAN_BLOCK + 1, F.lit(SPAN_BLOCK))
+        now = F.aggregate(here, F.struct(held["now"]["at"].alias("at"), none.alias("spans")), match)
+        done = F.concat(held["done"], F.array(held["now"]["spans"]))
+        return F.struct(held["pairs"].alias("pairs"), now.alias("now"), done.alias("done"))
+
     start = F.struct(
-        found.alias("found"), between.alias("between"), F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans")
+        F.zip_with(found, between, pair).alias("pairs"),
+        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans")).alias("now"),
+        F.array().cast(f"array<{_SPANS}>").alias("done"),
+    )
+    blocks = F.sequence(F.lit(0), F.floor((F.regexp_count(text, F.lit(rule.pattern))) / SPAN_BLOCK).cast("int"))
+    walked = F.aggregate(
+        blocks, start, block, lambda held: F.flatten(F.concat(held["done"], F.array(held["now"]["spans"])))
     )
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda held: held["spans"])
     return F.when(text.rlike(rule.pattern), walked).otherwise(F.array().cast(_SPANS))
 
 
