@@ -97,7 +97,13 @@ def record(page: DataFrame) -> Column:
     """The whole record of each row of :func:`with_revisits`, but for its last line feed."""
     uri = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", "%0A")
-    date = F.date_format(F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + 1704067200), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(
+        F.to_utc_timestamp(
+            F.timestamp_seconds(F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9)) + 1704067200),
+            F.current_timezone(),
+        ),
+        "yyyy-MM-dd'T'HH:mm:ss'Z'",
+    )
     revisit = F.col("refers_to").isNotNull()
     head = F.concat(
         F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "),
