@@ -103,7 +103,11 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     v = F.col(vector_column).cast("array<double>")
     rows = vectors.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.filter(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
+    good = rows.filter(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
+    lengths = good.groupBy(F.size("v").alias("length")).count().orderBy(
+        F.desc("count"), F.desc("length")
+    ).limit(1).collect()
+    return good.filter(F.size("v") == (lengths[0]["length"] if lengths else 0))
 
 
 def fit(rows: DataFrame, n: int, k: int = CENTROIDS) -> Codebooks:
@@ -197,7 +201,8 @@ def search(
     ``queries`` is a condition on the id column named "id".  Nearness is the cosine, in
     double precision; ties go to the smaller id.  Rows that repeat an id and a vector
     count once each as entries, and a query is never its own entry.  Vectors that are
-    null or zero or hold null or non-finite components take no part, nor do null ids.  All vectors are taken to have one length.
+    null or zero or hold null or non-finite components take no part, nor do null
+    ids and vectors of another length than most have.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_column, vector_column)
