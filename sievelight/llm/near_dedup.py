@@ -16,6 +16,7 @@ sets, and nothing but links comes out.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +41,7 @@ BROADCAST_ROWS = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that are hashed at a time.
 SLICE = 4 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -91,8 +93,21 @@ def shingle_sets(texts: list[str], k: int) -> Iterator[np.ndarray]:
     yield from _sets(batch, k)
 
 
+def _long_words(text: bytes) -> np.ndarray:
+    """Hashes of one text's words, part by part where it is long; parts end at white space."""
+    parts, start = [], 0
+    while len(text) - start > SLICE:
+        place = _BLANK.search(text, start + SLICE)
+        end = place.start() if place else len(text)
+        parts.append(word_hashes([text[start:end]])[0])
+        start = end
+    parts.append(word_hashes([text[start:]])[0])
+    return np.concatenate(parts)
+
+
 def _sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
-    words, owner = word_hashes(texts)
+    words, owner = (_long_words(texts[0]), None) if len(texts) == 1 else word_hashes(texts)
+    owner = np.zeros(len(words), np.int64) if owner is None else owner
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     weights = _mix(np.arange(1, k + 1, dtype=np.uint64) * _MULTIPLIER) | np.uint64(1)
     n = max(0, len(words) - k + 1)
