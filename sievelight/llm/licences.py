@@ -50,6 +50,7 @@ FREEDOM = {
 _BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
+_GAP = re.compile(b" {2,}")
 _TAGGED = re.compile(r"SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _BINDS = {"OR": 1, "AND": 2, "WITH": 3}
@@ -132,8 +133,9 @@ def automaton():
 
 def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
     """n_words, n_base, first_word, last_word, base_labels, labels and score of a whole text."""
-    words = text.encode("utf-8", "surrogatepass").translate(_BYTES).split()
-    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
+    words = _GAP.sub(b" ", text.encode("utf-8", "surrogatepass").translate(_BYTES)).strip(b" ")
+    n_words = words.count(b" ") + 1 if words else 0
+    line = (b" " + words + b" ").decode("latin-1")
     base, labels, places, grants = set(), set(), [], []
     tagged = False
     for end, (phrase, label) in automaton().iter(line):
@@ -151,7 +153,7 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
             grants += [grant] if grant is not None else []
     first = line.count(" ", 0, min(places) + 1) - 1 if places else None
     last = line.count(" ", 0, max(places) + 1) - 1 if places else None
-    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), min(
+    return n_words, len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), min(
         grants, default=0.0
     )
 
