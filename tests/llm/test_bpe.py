@@ -35,10 +35,27 @@ def test_round_trip_of_odd_texts(odd, odd_texts, reference):
 def test_long_texts_go_through_pieces(odd, odd_texts, reference):
     rows = bpe.encode(odd, NAME, ["doc_id"], long_text=64).collect()
     assert len(rows) == len(odd_texts)
-    assert sorted((str(r.doc_id), list(r.ids)) for r in rows) == sorted((str(d), ids_of(reference, t or "")) for d, t in odd_texts)
-
-
-@pytest.mark.parametrize("text", ["a" * 3000, "ab" * 1501 + "c", " " * 999, "\n" * 700 + "x", "1234567890" * 200, "é" * 901, "don't'll've're" * 90, "東京" * 400, "<|endoftext|>" * 90, "!?" * 300 + "it's" * 77, "\U0001f600\U0001f3fd" * 150])
+    assert sorted((str(r.doc_id), list(r.ids)) for r in rows) == sorted(
+        (str(d), ids_of(reference, t or "")) for d, t in odd_texts
+    )
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a" * 3000,
+        "ab" * 1501 + "c",
+        " " * 999,
+        "\n" * 700 + "x",
+        "1234567890" * 200,
+        "é" * 901,
+        "don't'll've're" * 90,
+        "東京" * 400,
+        "<|endoftext|>" * 90,
+        "!?" * 300 + "it's" * 77,
+        "\U0001f600\U0001f3fd" * 150,
+    ],
+)
 @pytest.mark.parametrize("limit", [17, 64, 250])
 def test_unsplit_runs(text, limit, reference):
     assert bpe.encode_long(text, NAME, limit).tolist() == ids_of(reference, text)
@@ -70,5 +87,7 @@ def test_cut_and_empty(none):
     assert "".join(p for p, _ in parts) == text and parts[0][1] and any(not safe for _, safe in parts)
     assert bpe.cut("", 20) == [("", True)]
     assert bpe.encode_long("", NAME).tolist() == []
-    assert np.array_equal(bpe.join(np.zeros(0, np.uint32), np.ones(1, np.uint32), "", "x", None, None), np.ones(1, np.uint32))
+    assert np.array_equal(
+        bpe.join(np.zeros(0, np.uint32), np.ones(1, np.uint32), "", "x", None, None), np.ones(1, np.uint32)
+    )
     assert bpe.round_trip(none, NAME).count() == 0

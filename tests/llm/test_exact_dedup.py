@@ -52,5 +52,9 @@ def test_query_agrees_with_sql(spark):
     sf = "/root/testdata/sf0.001"
     with duckdb.connect() as con:
         con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-        want = sorted(con.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({queries.ORACLE_SQL['op9_exact_dedup']})").fetchall())
+        want = sorted(
+            con.execute(
+                f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({queries.ORACLE_SQL['op9_exact_dedup']})"
+            ).fetchall()
+        )
     assert sorted(tuple(r) for r in queries.op9_exact_dedup(spark, sf).collect()) == want

@@ -14,7 +14,11 @@ from sievelight.llm import nearest, quality
 from sievelight.llm import queries
 
 SF = "/root/testdata/sf0.01"
-SPEECH = {"one": "the house and the garden were quiet this morning when they walked home again", "two": "el perro corre por la calle mientras los vecinos miran desde sus ventanas abiertas", "three": "der hund schläft unter dem großen tisch und niemand möchte ihn heute wecken"}
+SPEECH = {
+    "one": "the house and the garden were quiet this morning when they walked home again",
+    "two": "el perro corre por la calle mientras los vecinos miran desde sus ventanas abiertas",
+    "three": "der hund schläft unter dem großen tisch und niemand möchte ihn heute wecken",
+}
 
 
 def speak(lang, seed, n=60):
@@ -25,7 +29,15 @@ def speak(lang, seed, n=60):
 @pytest.fixture(scope="module")
 def spoken(spark):
     rows = [(k, speak(lang, k), lang, "clash") for k, lang in enumerate(list(SPEECH) * 60)]
-    rows += [(1000, None, "one", ""), (1001, "", "two", ""), (1002, "123 ?!", None, ""), (None, speak("two", 7), "two", ""), (1003, speak("three", 8, 300_000), None, ""), (1004, speak("one", 1), None, ""), (1004, speak("one", 1), None, "")]
+    rows += [
+        (1000, None, "one", ""),
+        (1001, "", "two", ""),
+        (1002, "123 ?!", None, ""),
+        (None, speak("two", 7), "two", ""),
+        (1003, speak("three", 8, 300_000), None, ""),
+        (1004, speak("one", 1), None, ""),
+        (1004, speak("one", 1), None, ""),
+    ]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
 
 
@@ -44,7 +56,9 @@ def test_languages(spoken):
 def test_held_out_labels_play_no_part(spoken):
     out = zlib.crc32(b"5") % 4
     assert out in range(4)
-    lied = spoken.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, "lie").otherwise(F.col("lang")))
+    lied = spoken.withColumn(
+        "lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, "lie").otherwise(F.col("lang"))
+    )
     assert np.array_equal(li.train(lied).cells, li.train(spoken).cells)
 
 
@@ -71,19 +85,26 @@ def test_filters_hold_every_gram_and_few_others():
 
 
 def test_language_accuracy_on_held_out_documents(spark):
-    got = queries.op2_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out")
+    got = queries.op2_language_id(spark, SF).join(
+        spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id"
+    ).filter("held_out")
     assert got.filter("lang_pred = lang").count() >= 0.97 * got.count() > 0
 
 
 def test_quality_on_held_out_documents(spark):
-    got = queries.op7_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").toPandas()
+    got = queries.op7_quality(spark, SF).join(
+        spark.read.parquet(f"{SF}/labels.parquet"), "doc_id"
+    ).filter("held_out").toPandas()
     good, bad = got.score[got.quality == 1].to_numpy(), got.score[got.quality == 0].to_numpy()
     assert (good[:, None] > bad[None, :]).mean() > 0.9
     assert (got.predicted == got.quality).mean() > 0.9
 
 
 def test_quality_of_odd_texts(spark, odd, none):
-    labels = spark.createDataFrame([(4, 1, 0), (9, 1, 0), (12, 0, 0), (15, 0, 0), (9, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame(
+        [(4, 1, 0), (9, 1, 0), (12, 0, 0), (15, 0, 0), (9, 0, 0), (None, 1, 0), (5, None, 0)],
+        "doc_id long, quality int, toxic int",
+    )
     model = quality.train(odd, labels)
     rows = quality.score(odd, model, ["doc_id"]).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
@@ -126,8 +147,18 @@ def test_odd_vectors_and_ties(spark):
     rng = np.random.default_rng(3)
     rows = [(k, rng.normal(size=8).tolist()) for k in range(100)]
     same = [1.0, 2.0, 0.0, 0.0, 1.0, 0.0, 0.0, 3.0]
-    rows += [(k, same) for k in range(100, 140)] + [(200, None), (250, [0.0] * 8), (300, [float("nan")] * 8), (350, [None, *same[1:]]), (400, [float("inf"), *same[1:]]), (None, same)]
-    df = spark.createDataFrame([(*r, "x", "x") for r in rows], "vec_id long, embedding array<double>, cell string, part string")
+    rows += [(k, same) for k in range(100, 140)] + [
+        (200, None),
+        (250, [0.0] * 8),
+        (300, [float("nan")] * 8),
+        (350, [None, *same[1:]]),
+        (400, [float("inf"), *same[1:]]),
+        (None, same),
+        (450, [1.0, 2.0]),
+    ]
+    df = spark.createDataFrame(
+        [(*r, "x", "x") for r in rows], "vec_id long, embedding array<double>, cell string, part string"
+    )
     got = nearest.search(df, F.col("id") % 50 == 0, share=1.0).orderBy("query_id", "rank").collect()
     good = [(k, v) for k, v in rows if k is not None and k < 140]
     want = brute([k for k, _ in good], np.array([v for _, v in good]), 5)

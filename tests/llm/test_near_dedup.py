@@ -40,7 +40,9 @@ def truth(rows, k, percent=80):
 def test_odd_documents(odd, odd_texts, k):
     got = nd.near_duplicates(odd, k).collect()
     key = lambda r: tuple(str(x) for x in r)
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(truth(odd_texts, k), key=key)
+    assert sorted(
+        ((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key
+    ) == sorted(truth(odd_texts, k), key=key)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
@@ -86,9 +88,30 @@ def test_sketch_estimates_similarity():
     assert (few == 7).all()
 
 
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(3000)) + "\t" + "z" * 500
+    whole = next(nd.shingle_sets([text], 4))
+    monkeypatch.setattr(nd, "SLICE", 100)
+    assert np.array_equal(whole, next(nd.shingle_sets([text], 4)))
+    both = list(nd.shingle_sets([text, "a b", text], 4))
+    assert np.array_equal(whole, both[0]) and np.array_equal(whole, both[2]) and len(both[1]) == 1
+
+
 def test_components(spark):
-    edges = [(1, 2), (2, 3), (9, 3), (20, 21), (30, 30), *((100, k) for k in range(101, 180)), *((k, k + 1) for k in range(300, 330))]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test")).collect()}
+    edges = [
+        (1, 2),
+        (2, 3),
+        (9, 3),
+        (20, 21),
+        (30, 30),
+        *((100, k) for k in range(101, 180)),
+        *((k, k + 1) for k in range(300, 330)),
+    ]
+    got = {
+        r.node: r.component
+        for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test")).collect()
+    }
     assert {got[k] for k in (1, 2, 3, 9)} == {1} and got[21] == 20 and 30 not in got
     assert {got[k] for k in range(100, 180)} == {100} and {got[k] for k in range(300, 331)} == {300}
     assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test")).count() == 0

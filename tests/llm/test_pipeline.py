@@ -17,7 +17,15 @@ def docs(spark):
     from conftest import words
 
     base = words(7, 150).split()
-    texts = [words(k, 80) for k in range(30)] + [" ".join(base), " ".join([*base[:70], "new", *base[71:]]), words(3, 80) + " ", None, "", "12 34", "password=hunter2222 " + words(99, 50)]
+    texts = [words(k, 80) for k in range(30)] + [
+        " ".join(base),
+        " ".join([*base[:70], "new", *base[71:]]),
+        words(3, 80) + " ",
+        None,
+        "",
+        "12 34",
+        "password=hunter2222 " + words(99, 50),
+    ]
     return spark.createDataFrame([(k + 1, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], DOCUMENTS)
 
 
