@@ -18,15 +18,21 @@ def matched_members(picks: DataFrame, members: DataFrame, text: str = "query_tex
     """
     folded = tx.fold(F.col(text))
     exact = members.groupBy("supercluster_id", F.col("query").alias(text)).agg(F.min("query_key").alias("_exact"))
-    near = members.groupBy("supercluster_id", tx.fold(F.col("query")).alias("_fold")).agg(F.min("query_key").alias("_near"))
-    joined = picks.withColumn("_fold", folded).join(exact, ["supercluster_id", text], "left").join(near, ["supercluster_id", "_fold"], "left")
+    near = members.groupBy(
+        "supercluster_id", tx.fold(F.col("query")).alias("_fold")
+    ).agg(F.min("query_key").alias("_near"))
+    joined = picks.withColumn("_fold", folded).join(exact, ["supercluster_id", text], "left").join(
+        near, ["supercluster_id", "_fold"], "left"
+    )
     found = joined.withColumns(
         {"matched_key": F.coalesce("_exact", "_near", "_fold"), "verbatim_match": F.col("_exact").isNotNull()}
     )
     return found.drop("_fold", "_exact", "_near")
 
 
-def axis_jobs(queries: DataFrame, axes: tuple[str, ...], done: DataFrame | None = None, key: str = "query_key") -> DataFrame:
+def axis_jobs(
+    queries: DataFrame, axes: tuple[str, ...], done: DataFrame | None = None, key: str = "query_key"
+) -> DataFrame:
     """A row for each query and axis that isn't done yet."""
     jobs = queries.select(key, F.explode(F.array(*map(F.lit, axes))).alias("axis"))
     return jobs if done is None else jobs.join(done.select(key, "axis").distinct(), [key, "axis"], "left_anti")
@@ -84,7 +90,9 @@ def benchmark(predictions: DataFrame, gold: DataFrame, by: list[str], key: str =
     gold.  All systems are one job.
     """
     joined = predictions.join(gold.filter("gold is not null").select(key, "gold"), key)
-    counts = joined.groupBy(*by).agg(F.count("pred").alias("n"), F.avg(F.col("pred").isNotNull().cast("double")).alias("coverage"))
+    counts = joined.groupBy(*by).agg(
+        F.count("pred").alias("n"), F.avg(F.col("pred").isNotNull().cast("double")).alias("coverage")
+    )
     rated = mx.confusion(joined, "gold", "pred", by).select(
         *by, mx.macro_f1_of().alias("macro_f1"), mx.qwk_of().alias("qwk"), mx.agreement_of().alias("agreement")
     )
@@ -99,7 +107,9 @@ def by_model(rows: DataFrame, keys: list[str], model: str, models: list[str], te
 
 def relevance_audit(clusters: DataFrame, relevance: str, size: str, clicks: str) -> DataFrame:
     """Clusters, queries and clicks of each relevance, and the share of queries."""
-    counts = clusters.groupBy(relevance).agg(F.count(F.lit(1)).alias("n_clusters"), F.sum(size).alias("n_queries"), F.sum(clicks).alias("clicks"))
+    counts = clusters.groupBy(relevance).agg(
+        F.count(F.lit(1)).alias("n_clusters"), F.sum(size).alias("n_queries"), F.sum(clicks).alias("clicks")
+    )
     total = F.broadcast(counts.agg(F.sum("n_queries").alias("_total")))  # one row
     return counts.crossJoin(total).withColumn("share", 100.0 * F.col("n_queries") / F.col("_total")).drop("_total")
 

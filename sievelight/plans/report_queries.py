@@ -19,8 +19,12 @@ SYSTEMS = ["echo", "flip", "zero"]
 def member_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = views.query_log(spark, sf_dir)
     members = log.select(F.col("source_file").alias("supercluster_id"), "query", "query_key")
-    shown = F.when(F.col("doc_id") % 3 == 0, F.upper("query")).when(F.col("doc_id") % 3 == 1, F.concat("query", F.lit(" x")))
-    picks = log.select("doc_id", F.col("source_file").alias("supercluster_id"), F.coalesce(shown, "query").alias("query_text"))
+    shown = F.when(F.col("doc_id") % 3 == 0, F.upper("query")).when(
+        F.col("doc_id") % 3 == 1, F.concat("query", F.lit(" x"))
+    )
+    picks = log.select(
+        "doc_id", F.col("source_file").alias("supercluster_id"), F.coalesce(shown, "query").alias("query_text")
+    )
     return reports.matched_members(picks, members).select("doc_id", "matched_key", "verbatim_match")
 
 
@@ -40,7 +44,9 @@ def cluster_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def confidence_by_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = agreement(spark, sf_dir).select("query_key", "is_iaa_hard_candidate").join(views.picks(spark, sf_dir), "query_key")
+    joined = agreement(spark, sf_dir).select("query_key", "is_iaa_hard_candidate").join(
+        views.picks(spark, sf_dir), "query_key"
+    )
     found = reports.confidence_by_subset(joined, "is_iaa_hard_candidate", [f"{a}_confidence" for a in golden.AXES])
     return found.withColumn("mean_confidence", F.round("mean_confidence", 6))
 
@@ -53,21 +59,33 @@ def metric_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.pairs(spark, sf_dir).filter("cluster < 'sc_15'").withColumn("real", F.col("text_id") % 5 != 0)
     real = F.avg(F.when(F.col("real") & (F.col("grade") > 0), F.col("grade")))
     blocks = rows.groupBy("axis", "cluster").agg(real.alias("real_mean"), F.avg("grade").alias("all_mean"))
-    return blocks.select("axis", "cluster", F.round(reports.first_metric(F.col("real_mean"), F.col("all_mean")), 6).alias("mean"))
+    return blocks.select(
+        "axis", "cluster", F.round(reports.first_metric(F.col("real_mean"), F.col("all_mean")), 6).alias("mean")
+    )
 
 
 def anchor_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = settled(views.clusters(spark, sf_dir))
     phrases = points.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("phrase"), "embedding")
     assigned = cl.nearest_centroid(phrases, cl.centroids(points), ["phrase"]).withColumn("cosine", F.round("cosine", 6))
-    words = points.filter("cluster_id <> -1").select("cluster_id", F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("term"), (F.col("vec_id") % 13).alias("weight"))
-    return reports.anchor_audit(assigned, words, points.select("cluster_id", F.col("query_key").alias("query"), "clicks"))
+    words = points.filter("cluster_id <> -1").select(
+        "cluster_id",
+        F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("term"),
+        (F.col("vec_id") % 13).alias("weight"),
+    )
+    return reports.anchor_audit(
+        assigned, words, points.select("cluster_id", F.col("query_key").alias("query"), "clicks")
+    )
 
 
 def system_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = views.raters(spark, sf_dir)
-    gold = golden.resolved(views.ratings(spark, sf_dir), "doc_id", "value", "gold_adj").withColumnRenamed("doc_id", "item")
-    flip = F.when(F.col("doc_id") % 4 == 0, 2 - F.col("rater_b")).when(F.col("doc_id") % 9 == 0, None).otherwise(F.col("rater_b"))
+    gold = golden.resolved(
+        views.ratings(spark, sf_dir), "doc_id", "value", "gold_adj"
+    ).withColumnRenamed("doc_id", "item")
+    flip = F.when(
+        F.col("doc_id") % 4 == 0, 2 - F.col("rater_b")
+    ).when(F.col("doc_id") % 9 == 0, None).otherwise(F.col("rater_b"))
     said = F.explode(
         F.array(
             F.struct(F.lit("echo").alias("system"), F.col("rater_b").alias("pred")),
@@ -77,32 +95,48 @@ def system_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     predictions = rated.select(F.col("doc_id").alias("item"), said.alias("s")).select("item", "s.*")
     out = reports.benchmark(predictions, gold, ["system"])
-    return out.select("system", "n", "n_missed", "n_true", *(F.round(c, 6).alias(c) for c in ("coverage", "macro_f1", "qwk", "agreement")))
+    return out.select(
+        "system",
+        "n",
+        "n_missed",
+        "n_true",
+        *(F.round(c, 6).alias(c) for c in ("coverage", "macro_f1", "qwk", "agreement")),
+    )
 
 
 def generator_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").filter("role <> 'system'")
-    return reports.by_model(turns.withColumn("said", F.substring("text", 1, 12)), ["conv_id"], "role", ["user", "assistant"], "said")
+    return reports.by_model(
+        turns.withColumn("said", F.substring("text", 1, 12)), ["conv_id"], "role", ["user", "assistant"], "said"
+    )
 
 
 def relevance_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = views.picks(spark, sf_dir).groupBy("supercluster_id").agg(
-        F.min("clinical_relevance").alias("clinical_relevance"), F.count(F.lit(1)).alias("size"), F.sum("mu_confidence").alias("clicks")
+        F.min(
+            "clinical_relevance"
+        ).alias("clinical_relevance"), F.count(F.lit(1)).alias("size"), F.sum("mu_confidence").alias("clicks")
     )
-    return reports.relevance_audit(sized, "clinical_relevance", "size", "clicks").withColumn("share", F.round("share", 6))
+    return reports.relevance_audit(
+        sized, "clinical_relevance", "size", "clicks"
+    ).withColumn("share", F.round("share", 6))
 
 
 def playground_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to four items of each grade of an axis, with their grade tokens swapped and a prompt rendered."""
     long = pairs.axis_long(views.picks(spark, sf_dir), ["query_key"])
-    swapped = F.when(F.col("grade_token") == "PU1", "PU2").when(F.col("grade_token") == "PU2", "PU1").otherwise(F.col("grade_token"))
+    swapped = F.when(
+        F.col("grade_token") == "PU1", "PU2"
+    ).when(F.col("grade_token") == "PU2", "PU1").otherwise(F.col("grade_token"))
     picked = ranking.stratified_sample(long, ["axis", "grade"], 4, 11, "query_key")
     prompt = tx.render("Judge {axis} of {key}.", axis=F.col("axis"), key=F.col("query_key"))
     return picked.select("axis", "query_key", swapped.alias("grade_token"), prompt.alias("prompt"))
 
 
 def person_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.substring("text", 1, 200).alias("t"))
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select(
+        "doc_id", F.substring("text", 1, 200).alias("t")
+    )
     return docs.select("doc_id", filters.capitalised_names(F.col("t")).alias("person_like"))
 
 
@@ -118,7 +152,8 @@ _PAIRS = [(i, j) for i in range(3) for j in range(3) if i != j]
 _SEEN = " + ".join(f"{(i - j) ** 2} * c{i}{j}" for i, j in _PAIRS)
 _CHANCE = " + ".join(f"{(i - j) ** 2} * (c{i}0 + c{i}1 + c{i}2) * (c0{j} + c1{j} + c2{j})" for i, j in _PAIRS)
 _F1 = " + ".join(
-    f"coalesce(2.0::DOUBLE * c{g}{g} / nullif({' + '.join(f'c{g}{j} + c{j}{g}' for j in range(3))}, 0), 0)" for g in range(3)
+    f"coalesce(2.0::DOUBLE * c{g}{g} / nullif({' + '.join(f'c{g}{j} + c{j}{g}' for j in range(3))}, 0), 0)"
+    for g in range(3)
 )
 
 ORACLE = {
@@ -134,7 +169,9 @@ ORACLE = {
         "v_picks",
     ),
     "contingency": with_views(
-        "SELECT axis, split, " + ", ".join(f"count(*) FILTER (grade = {g}) AS n_{g}" for g in range(3)) + " FROM v_pairs GROUP BY ALL",
+        "SELECT axis, split, " + ", ".join(
+            f"count(*) FILTER (grade = {g}) AS n_{g}" for g in range(3)
+        ) + " FROM v_pairs GROUP BY ALL",
         "v_pairs",
     ),
     "cluster_diversity": with_views(
