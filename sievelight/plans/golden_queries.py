@@ -16,10 +16,15 @@ def _number(c: str = "query_key"):
     return F.col(c).cast("long")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("query_key"), "quality", "toxic")
+
+
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = views.picks(spark, sf_dir)
-    golden_ = picks.filter(_number() % 97 == 0).select(
-        "query_key", F.when(_number() % 194 == 0, F.col("supercluster_id")).alias("supercluster_id")
+    toxic = _labels(spark, sf_dir).filter("toxic = 1")
+    golden_ = picks.join(toxic, "query_key").select(
+        "query_key", F.when(F.col("quality") == 0, F.col("supercluster_id")).alias("supercluster_id")
     )
     return pairs.anchor_pool(picks, golden_)
 
@@ -62,7 +67,7 @@ def pu_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _anchors(spark, sf_dir).filter("axis = 'MU' and grade = 1")
-    return own.filter(_number() % 2 == 0).select(
+    return own.select(
         "axis",
         F.col("query_key").alias("anchor_query_key"),
         F.col("grade").alias("anchor_grade"),
@@ -75,7 +80,7 @@ def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matched_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     real = _anchors(spark, sf_dir).filter("axis = 'MU'")
-    positives = real.filter("grade = 2").filter(_number() % 5 == 0)
+    positives = real.filter("grade = 2")
     return pairs.matched_negatives(real, positives, positives.count()).select("query_key", "supercluster_id")
 
 
@@ -129,7 +134,7 @@ def swap_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = views.picks(spark, sf_dir).withColumn(
         "category_weight", golden.lookup(F.col("clinical_relevance"), golden.CATEGORY_WEIGHT, 0.0)
     )
-    made = base.filter("mu_grade = 'MU2'").filter(_number() % 2 == 0).withColumn(
+    made = base.filter("mu_grade = 'MU2'").withColumn(
         "query_key", F.concat(F.lit("syn"), "query_key")
     )
     return golden.backfilled(base, made).select("query_key", "origin", "mu_grade", "pu_grade", "et_grade")
@@ -138,7 +143,7 @@ def swap_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 def new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.picks(spark, sf_dir).withColumn("key", F.expr("cast(cast(query_key as long) div 2 as string)"))
     return sets.new_texts(
-        rows.select("key", "query_key"), rows.filter(_number() % 6 == 0).select("key"), "key", _number()
+        rows.select("key", "query_key"), rows.join(_labels(spark, sf_dir), "query_key").select("key"), "key", _number()
     ).select("key", "query_key")
 
 
@@ -202,7 +207,7 @@ def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def provider_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat(F.lit("Judge: "), F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("prompt")
+        "doc_id", F.concat(F.lit("Judge: "), F.coalesce("text", F.lit(""))).alias("prompt")
     )
     answers = providers.call_model(docs, providers.grade_by_words, "stand-in", "axis_judge", "doc_id")
     return providers.parsed(answers, "axis_judge", ["doc_id"])
@@ -218,7 +223,7 @@ def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LONG = "(SELECT query_key, query_text, supercluster_id, upper(substr(name, 1, 2)) AS axis, token AS grade_token, CAST(right(token, 1) AS INTEGER) AS grade FROM (UNPIVOT v_picks ON mu_grade, pu_grade, et_grade INTO NAME name VALUE token))"
-_POOL = f"(SELECT * FROM {_LONG} WHERE CAST(query_key AS BIGINT) % 97 <> 0 AND supercluster_id NOT IN (SELECT supercluster_id FROM v_picks WHERE CAST(query_key AS BIGINT) % 194 = 0))"
+_POOL = f"(SELECT * FROM {_LONG} WHERE CAST(query_key AS BIGINT) NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND supercluster_id NOT IN (SELECT supercluster_id FROM v_picks JOIN labels ON doc_id = CAST(query_key AS BIGINT) WHERE toxic = 1 AND quality = 0))"
 _NATURAL = r"len(list_filter(string_split_regex(query_text, '\s+'), lambda t: t <> '')) >= 3 AND len(regexp_extract_all(query_text, '[a-zA-Zá-žÁ-Ž]{4,}')) >= 2"
 _W = "SELECT query_key, query_text, supercluster_id, CAST(right(mu_grade, 1) AS INTEGER) AS mu, CAST(right(pu_grade, 1) AS INTEGER) AS pu, CAST(right(et_grade, 1) AS INTEGER) AS et FROM v_picks"
 _WEIGHT = "CASE clinical_relevance WHEN 'oncology-core' THEN 1.0::DOUBLE WHEN 'oncology-adjacent' THEN 0.7 WHEN 'navigational' THEN 0.3 ELSE 0.0 END"
@@ -229,12 +234,12 @@ _AGREE = ", ".join(
     for i, a in enumerate(golden.AXES)
 )
 _AGREED = f"SELECT query_key, mu_agree, pu_agree, et_agree, mu_agree::INTEGER + pu_agree::INTEGER + et_agree::INTEGER AS n_axes_agreement, mu_against + pu_against + et_against AS contradiction_count, mu_agree::INTEGER + pu_agree::INTEGER + et_agree::INTEGER <= 2 OR mu_against + pu_against + et_against > 0 AS is_iaa_hard_candidate FROM (SELECT query_key, {_AGREE} FROM (SELECT *, CAST(query_key AS BIGINT) AS k FROM v_picks))"
-_MADE = "(SELECT * FROM v_picks WHERE mu_grade = 'MU2' AND CAST(query_key AS BIGINT) % 2 = 0)"
+_MADE = "(SELECT * FROM v_picks WHERE mu_grade = 'MU2')"
 _SWAP = f"""SELECT query_key, 'picked' AS origin, mu_grade, pu_grade, et_grade FROM (SELECT *, CASE WHEN mu_grade = 'MU0' AND pu_grade = 'PU0' THEN row_number() OVER (PARTITION BY mu_grade = 'MU0' AND pu_grade = 'PU0' ORDER BY CASE et_grade WHEN 'ET2' THEN 0 WHEN 'ET0' THEN 2 ELSE 1 END, {_CONF}, {_WEIGHT}, query_key) END AS k FROM v_picks)
     WHERE k IS NULL OR k > (SELECT count(*) FROM {_MADE}) UNION ALL SELECT 'syn' || query_key, 'synthesized', mu_grade, pu_grade, et_grade FROM {_MADE}"""
 _CORE = "SELECT *, row_number() OVER (ORDER BY CASE WHEN mu_grade = 'MU2' OR pu_grade = 'PU2' THEN 0 ELSE 1 END, sha256('42:' || query_key), query_key) <= 200 OR (SELECT count(*) FROM v_picks WHERE mu_grade = 'MU2' OR pu_grade = 'PU2') >= 200 AND (mu_grade = 'MU2' OR pu_grade = 'PU2') AS core0, (SELECT count(*) FROM v_picks WHERE mu_grade = 'MU2' OR pu_grade = 'PU2') AS n_rare FROM v_picks"
 _CORE = f"SELECT *, CASE WHEN n_rare >= 200 THEN mu_grade = 'MU2' OR pu_grade = 'PU2' ELSE core0 END AS in_core FROM ({_CORE})"
-_SYN = "(SELECT query_key AS a, supercluster_id, CASE WHEN CAST(query_key AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END AS g FROM pool WHERE axis = 'MU' AND grade = 1 AND CAST(query_key AS BIGINT) % 2 = 0 AND CAST(query_key AS BIGINT) % 5 <> 0)"
+_SYN = "(SELECT query_key AS a, supercluster_id, CASE WHEN CAST(query_key AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END AS g FROM pool WHERE axis = 'MU' AND grade = 1 AND CAST(query_key AS BIGINT) % 5 <> 0)"
 
 
 def _sql(query: str) -> str:
@@ -260,7 +265,7 @@ ORACLE = {
         "SELECT query_key, part FROM (SELECT query_key, CAST(2 - et AS INTEGER) AS part, row_number() OVER (PARTITION BY et ORDER BY query_key) AS r FROM (SELECT *, row_number() OVER (PARTITION BY et, supercluster_id ORDER BY query_key) AS k FROM w WHERE pu = 0 AND et > 0) WHERE k <= 2) WHERE r <= CASE part WHEN 0 THEN 60 ELSE 40 END"
     ).replace("\nSELECT", f",\nw AS (SELECT * FROM ({_W}) WHERE {_NATURAL})\nSELECT", 1),
     "matched_negatives": _sql(
-        "SELECT query_key, supercluster_id FROM (SELECT *, row_number() OVER (ORDER BY query_key) AS r FROM (SELECT *, row_number() OVER (PARTITION BY supercluster_id ORDER BY query_key) AS k FROM pool WHERE axis = 'MU' AND grade = 0 AND supercluster_id IN (SELECT supercluster_id FROM pool WHERE axis = 'MU' AND grade = 2 AND CAST(query_key AS BIGINT) % 5 = 0)) WHERE k <= 6) WHERE r <= 3 * (SELECT count(*) FROM pool WHERE axis = 'MU' AND grade = 2 AND CAST(query_key AS BIGINT) % 5 = 0)"
+        "SELECT query_key, supercluster_id FROM (SELECT *, row_number() OVER (ORDER BY query_key) AS r FROM (SELECT *, row_number() OVER (PARTITION BY supercluster_id ORDER BY query_key) AS k FROM pool WHERE axis = 'MU' AND grade = 0 AND supercluster_id IN (SELECT supercluster_id FROM pool WHERE axis = 'MU' AND grade = 2)) WHERE k <= 6) WHERE r <= 3 * (SELECT count(*) FROM pool WHERE axis = 'MU' AND grade = 2)"
     ),
     "probe_dataset": _sql(f"""SELECT text, CAST(grade AS INTEGER) AS grade, 'MU' AS axis, supercluster_id, source, query_key, pair_key, CAST(anchor_grade AS INTEGER) AS anchor_grade, {_SPLIT} AS split FROM (
         SELECT 's' || a AS text, g AS grade, supercluster_id, 'synth' AS source, a || ':v' || CAST(g AS VARCHAR) AS query_key, a AS pair_key, 1 AS anchor_grade FROM {_SYN}
@@ -288,7 +293,7 @@ ORACLE = {
     ),
     "swap_in": _sql(_SWAP),
     "new_texts": _sql(
-        "SELECT key, query_key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CAST(query_key AS BIGINT)) AS k FROM (SELECT CAST(CAST(query_key AS BIGINT) // 2 AS VARCHAR) AS key, query_key FROM v_picks) WHERE key NOT IN (SELECT CAST(CAST(query_key AS BIGINT) // 2 AS VARCHAR) FROM v_picks WHERE CAST(query_key AS BIGINT) % 6 = 0)) WHERE k = 1"
+        "SELECT key, query_key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CAST(query_key AS BIGINT)) AS k FROM (SELECT CAST(CAST(query_key AS BIGINT) // 2 AS VARCHAR) AS key, query_key FROM v_picks) WHERE key NOT IN (SELECT CAST(CAST(query_key AS BIGINT) // 2 AS VARCHAR) FROM v_picks JOIN labels ON doc_id = CAST(query_key AS BIGINT))) WHERE k = 1"
     ),
     "mandatory_then_random": _sql(f"SELECT query_key, in_core FROM ({_CORE})"),
     "pack_manifest": _sql(

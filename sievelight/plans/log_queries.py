@@ -64,7 +64,7 @@ def blocklist_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def natural_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("text is not null")
-    return docs.select("doc_id", tx.is_natural(F.substring("text", 1, 30)).alias("is_natural"))
+    return docs.select("doc_id", tx.is_natural(F.col("text")).alias("is_natural"))
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,7 @@ def dates_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
     return sets.remaining(
-        table(spark, sf_dir, "documents").select("doc_id", "source"), vectors.filter("doc_id % 2 = 0"), ["doc_id"]
+        table(spark, sf_dir, "documents").select("doc_id", "source"), vectors, ["doc_id"]
     )
 
 
@@ -144,7 +144,7 @@ def text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         hx.text_id(F.col("text")).alias("text_id"),
         hx.sha256(F.col("text")).alias("sha256"),
-        hx.source_key("golden-v1:", F.substring("text", 1, 250)).alias("source_key"),
+        hx.source_key("golden-v1:", F.col("text")).alias("source_key"),
     )
 
 
@@ -163,10 +163,13 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exclusion_disjunctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = views.picks(spark, sf_dir).select("query_key", "supercluster_id")
-    golden_ = picks.filter(F.col("query_key").cast("long") % 29 == 0)
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("query_key"), "quality", "toxic"
+    )
+    golden_ = picks.join(labels.filter("toxic = 1"), "query_key")
     return sets.excluding(
         sets.excluding(picks, golden_.select("query_key"), ["query_key"]),
-        golden_.filter(F.col("query_key").cast("long") % 58 == 0).select("supercluster_id"),
+        golden_.filter("quality = 0").select("supercluster_id"),
         ["supercluster_id"],
     )
 
@@ -300,22 +303,22 @@ ORACLE = {
         "SELECT doc_id, query_key FROM v_query_log WHERE query_key NOT IN (SELECT query_key FROM v_query_log GROUP BY 1 HAVING count(*) > 3)",
         "v_query_log",
     ),
-    "natural_query": r"SELECT doc_id, len(list_filter(string_split_regex(substr(text, 1, 30), '\s+'), lambda t: t <> '')) >= 3 AND len(regexp_extract_all(substr(text, 1, 30), '[a-zA-Zá-žÁ-Ž]{4,}')) >= 2 AS is_natural FROM documents WHERE text IS NOT NULL",
+    "natural_query": r"SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda t: t <> '')) >= 3 AND len(regexp_extract_all(text, '[a-zA-Zá-žÁ-Ž]{4,}')) >= 2 AS is_natural FROM documents WHERE text IS NOT NULL",
     "clean_text": with_views(rf"""SELECT doc_id, CASE WHEN length(trim(query)) < 3 OR regexp_matches(trim(query), '^\s*$|^\{{.*\}}$|^[^\p{{L}}\p{{N}}\p{{M}}_\s]{{0,3}}$') THEN NULL ELSE trim(query) END AS cleaned, regexp_matches(trim(query), '^\d{{3,}}$') AS digits,
         trim(regexp_replace(strip_accents(regexp_replace(lower(query_key), '{tx.TITLE}', '', 'gi')), '\s+', ' ', 'g')) AS name FROM v_query_log""", "v_query_log"),
     "dates_and_numbers": """SELECT doc_id, CAST(day AS VARCHAR) AS day, CAST(year(day) AS INTEGER) AS year, number, date_start, date_end, CAST(date_diff('day', CAST(date_start AS DATE), CAST(date_end AS DATE)) AS INTEGER) AS span FROM (
         SELECT doc_id, TRY_CAST(format('{:04d}-{:02d}-{:02d}', 2000 + doc_id % 30, doc_id % 14, doc_id % 35) AS DATE) AS day, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id + 0.5::DOUBLE END AS number,
                '2020-01-' || format('{:02d}', 1 + doc_id % 28) AS date_start, CASE WHEN doc_id % 2 = 0 THEN '2021-01-' ELSE '2020-01-' END || format('{:02d}', 1 + doc_id % 28) AS date_end FROM documents)""",
-    "resume_anti": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)",
+    "resume_anti": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "patch_merge": "SELECT doc_id, CASE WHEN p.id IS NOT NULL THEN 'xx' ELSE lang END AS lang, CASE WHEN p.id IS NOT NULL THEN '[manual] q' || CAST(quality AS VARCHAR) END AS patch_reason FROM documents LEFT JOIN (SELECT doc_id AS id, quality FROM labels WHERE toxic = 1) p ON p.id = doc_id",
     "hash_bucket_sample": f"SELECT doc_id, lang FROM documents WHERE CASE lang WHEN 'de' THEN true WHEN 'fr' THEN false WHEN 'en' THEN {_KEY_NUMBER.format('CAST(doc_id AS VARCHAR)')} < 500 WHEN 'es' THEN {_KEY_NUMBER.format('CAST(doc_id AS VARCHAR)')} < 250 ELSE true END",
     "cluster_split": "SELECT CASE list_sum([strpos('0123456789abcdef', c) - 1 for c in string_split(sha256(source), '')]) % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'dev' ELSE 'train' END AS split, source, count(*) AS n FROM documents GROUP BY ALL",
-    "text_ids": "SELECT doc_id, substr(sha1(text), 1, 16) AS text_id, sha256(text) AS sha256, CASE WHEN length('golden-v1:' || substr(text, 1, 250)) > 200 THEN 'golden-v1:' || sha256(substr(text, 1, 250)) ELSE 'golden-v1:' || substr(text, 1, 250) END AS source_key FROM documents WHERE text IS NOT NULL",
+    "text_ids": "SELECT doc_id, substr(sha1(text), 1, 16) AS text_id, sha256(text) AS sha256, CASE WHEN length('golden-v1:' || text) > 200 THEN 'golden-v1:' || sha256(text) ELSE 'golden-v1:' || text END AS source_key FROM documents WHERE text IS NOT NULL",
     "cost_estimate": with_views("""SELECT model, round(sum((prompt_tokens / 1e6 * CASE model WHEN 'gpt-5.4' THEN 1.25 WHEN 'gpt-5.4-mini' THEN 0.375 ELSE 0 END + completion_tokens / 1e6 * CASE model WHEN 'gpt-5.4' THEN 10.0 WHEN 'gpt-5.4-mini' THEN 3.0 ELSE 0 END)
         * CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 1.0 END), 6)::DOUBLE AS usd, count(*) AS n FROM v_calls GROUP BY model""", "v_calls"),
     "json_props": "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
     "exclusion_disjunctive": with_views(
-        "SELECT query_key, supercluster_id FROM v_picks WHERE CAST(query_key AS BIGINT) % 29 <> 0 AND supercluster_id NOT IN (SELECT supercluster_id FROM v_picks WHERE CAST(query_key AS BIGINT) % 58 = 0)",
+        "SELECT query_key, supercluster_id FROM v_picks WHERE CAST(query_key AS BIGINT) NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND supercluster_id NOT IN (SELECT supercluster_id FROM v_picks JOIN labels ON doc_id = CAST(query_key AS BIGINT) WHERE toxic = 1 AND quality = 0)",
         "v_picks",
     ),
     "union_dedup": "SELECT DISTINCT substr(sha1(text), 1, 16) AS text_id FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations UNION ALL SELECT text FROM benchmark) WHERE text IS NOT NULL",

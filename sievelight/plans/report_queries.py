@@ -30,7 +30,8 @@ def member_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def axis_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = views.picks(spark, sf_dir)
-    done = picks.filter(F.col("query_key").cast("long") % 3 == 0).select("query_key", F.lit("MU").alias("axis"))
+    labels = table(spark, sf_dir, "labels")
+    done = labels.select(F.col("doc_id").cast("string").alias("query_key"), F.lit("MU").alias("axis"))
     return reports.axis_jobs(picks, pairs.AXES, done)
 
 
@@ -56,7 +57,7 @@ def dominant_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.pairs(spark, sf_dir).filter("cluster < 'sc_15'").withColumn("real", F.col("text_id") % 5 != 0)
+    rows = views.pairs(spark, sf_dir).withColumn("real", F.col("text_id") % 5 != 0)
     real = F.avg(F.when(F.col("real") & (F.col("grade") > 0), F.col("grade")))
     blocks = rows.groupBy("axis", "cluster").agg(real.alias("real_mean"), F.avg("grade").alias("all_mean"))
     return blocks.select(
@@ -66,7 +67,7 @@ def metric_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anchor_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = settled(views.clusters(spark, sf_dir))
-    phrases = points.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("phrase"), "embedding")
+    phrases = points.select(F.col("vec_id").alias("phrase"), "embedding")
     assigned = cl.nearest_centroid(phrases, cl.centroids(points), ["phrase"]).withColumn("cosine", F.round("cosine", 6))
     words = points.filter("cluster_id <> -1").select(
         "cluster_id",
@@ -107,7 +108,7 @@ def system_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generator_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").filter("role <> 'system'")
     return reports.by_model(
-        turns.withColumn("said", F.substring("text", 1, 12)), ["conv_id"], "role", ["user", "assistant"], "said"
+        turns, ["conv_id"], "role", ["user", "assistant"], "text"
     )
 
 
@@ -135,7 +136,7 @@ def playground_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def person_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("text is not null").select(
-        "doc_id", F.substring("text", 1, 200).alias("t")
+        "doc_id", F.col("text").alias("t")
     )
     return docs.select("doc_id", filters.capitalised_names(F.col("t")).alias("person_like"))
 
@@ -165,7 +166,7 @@ ORACLE = {
         "v_query_log",
     ),
     "axis_jobs": with_views(
-        "SELECT query_key, axis FROM v_picks, (SELECT unnest(['MU', 'PU', 'ET']) AS axis) WHERE NOT (axis = 'MU' AND CAST(query_key AS BIGINT) % 3 = 0)",
+        "SELECT query_key, axis FROM v_picks, (SELECT unnest(['MU', 'PU', 'ET']) AS axis) WHERE NOT (axis = 'MU' AND CAST(query_key AS BIGINT) IN (SELECT doc_id FROM labels))",
         "v_picks",
     ),
     "contingency": with_views(
@@ -186,13 +187,13 @@ ORACLE = {
     ),
     "dominant_category": "SELECT source, min_by(lang, (-n, lang)) AS lang FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source",
     "metric_fallback": with_views(
-        "SELECT axis, cluster, round(coalesce(avg(grade) FILTER (text_id % 5 <> 0 AND grade > 0), avg(grade)), 6) AS mean FROM v_pairs WHERE cluster < 'sc_15' GROUP BY ALL",
+        "SELECT axis, cluster, round(coalesce(avg(grade) FILTER (text_id % 5 <> 0 AND grade > 0), avg(grade)), 6) AS mean FROM v_pairs GROUP BY ALL",
         "v_pairs",
     ),
     "anchor_audit": with_views(
         """SELECT phrase, a.cluster_id, cosine, top_words, top_queries FROM (
           SELECT vec_id AS phrase, c.cluster_id, round(list_dot_product(embedding, centroid) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(centroid, centroid))), 6) AS cosine,
-                 row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(embedding, centroid) DESC, c.cluster_id) AS k FROM (SELECT * FROM v_clusters WHERE vec_id % 25 = 0), centres c) a
+                 row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(embedding, centroid) DESC, c.cluster_id) AS k FROM v_clusters, centres c) a
         LEFT JOIN (SELECT cluster_id, string_agg(term, ', ' ORDER BY k) AS top_words FROM (SELECT cluster_id, 'w' || CAST(vec_id AS VARCHAR) AS term, row_number() OVER (PARTITION BY cluster_id ORDER BY vec_id % 13 DESC, 'w' || CAST(vec_id AS VARCHAR)) AS k FROM v_clusters WHERE cluster_id <> -1) WHERE k <= 3 GROUP BY 1) w ON w.cluster_id = a.cluster_id
         LEFT JOIN (SELECT cluster_id, string_agg(query_key, ', ' ORDER BY k) AS top_queries FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY clicks DESC, query_key) AS k FROM v_clusters) WHERE k <= 3 GROUP BY 1) q ON q.cluster_id = a.cluster_id
         WHERE a.k = 1""",
@@ -206,7 +207,7 @@ ORACLE = {
             FROM (SELECT *, coalesce(gold_adj, CASE WHEN rater_a = rater_b THEN rater_a END) AS gold FROM v_raters), (SELECT unnest(['echo', 'flip', 'zero']) AS system) WHERE gold IS NOT NULL) GROUP BY system)""",
         "v_raters",
     ),
-    "generator_comparison": "SELECT conv_id, min(substr(text, 1, 12)) FILTER (role = 'user') AS \"user\", min(substr(text, 1, 12)) FILTER (role = 'assistant') AS assistant, count(DISTINCT role) AS n_models FROM conversations WHERE role <> 'system' GROUP BY conv_id",
+    "generator_comparison": "SELECT conv_id, min(text) FILTER (role = 'user') AS \"user\", min(text) FILTER (role = 'assistant') AS assistant, count(DISTINCT role) AS n_models FROM conversations WHERE role <> 'system' GROUP BY conv_id",
     "relevance_audit": with_views(
         "SELECT clinical_relevance, count(*) AS n_clusters, CAST(sum(size) AS BIGINT) AS n_queries, CAST(sum(c) AS BIGINT) AS clicks, round(100.0::DOUBLE * sum(size) / (SELECT count(*) FROM v_picks), 6) AS share FROM (SELECT supercluster_id, min(clinical_relevance) AS clinical_relevance, count(*) AS size, sum(mu_confidence) AS c FROM v_picks GROUP BY 1) GROUP BY 1",
         "v_picks",
@@ -216,7 +217,7 @@ ORACLE = {
           SELECT query_key, upper(substr(name, 1, 2)) AS axis, token, row_number() OVER (PARTITION BY token ORDER BY sha256('11:' || query_key), query_key) AS k FROM (UNPIVOT v_picks ON mu_grade, pu_grade, et_grade INTO NAME name VALUE token)) WHERE k <= 4""",
         "v_picks",
     ),
-    "person_like": r"SELECT doc_id, len(regexp_extract_all(substr(text, 1, 200), '(?:^|[^\p{L}\p{N}\p{M}_])\p{Lu}\p{Ll}+\s+\p{Lu}\p{Ll}+(?:$|[^\p{L}\p{N}\p{M}_])')) > 0 AS person_like FROM documents WHERE text IS NOT NULL",
+    "person_like": r"SELECT doc_id, len(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}\p{M}_])\p{Lu}\p{Ll}+\s+\p{Lu}\p{Ll}+(?:$|[^\p{L}\p{N}\p{M}_])')) > 0 AS person_like FROM documents WHERE text IS NOT NULL",
     "stripped_keys": "SELECT doc_id, source AS key FROM documents",
 }
 QUERIES = {

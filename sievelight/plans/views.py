@@ -88,9 +88,7 @@ def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang") == "de", "oncology-adjacent"
     ).when(F.col("lang") == "fr", "navigational").otherwise("non-clinical")
     return docs.select(
-        d.cast("string").alias("query_key"), F.substring(
-            F.coalesce("text", F.lit("")), 1, 40
-        ).alias("query_text"), F.concat(
+        d.cast("string").alias("query_key"), F.coalesce("text", F.lit("")).alias("query_text"), F.concat(
             "source", F.lit("_"), (d % 40).cast("string")
         ).alias("supercluster_id"),
         category.alias(
@@ -121,7 +119,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").filter("vec_id % 12 < 3").select(
+    return table(spark, sf_dir, "embeddings").select(
         F.when(F.col("vec_id") % 3 == 0, "MU").when(F.col("vec_id") % 3 == 1, "PU").otherwise("ET").alias("axis"),
         F.col("vec_id").alias("seed"),
         (F.col("vec_id") + 3).alias("paraphrase"),
@@ -165,7 +163,7 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "v_picks": (
         """
-        SELECT CAST(doc_id AS VARCHAR) AS query_key, substr(coalesce(text, ''), 1, 40) AS query_text, source || '_' || CAST(doc_id % 40 AS VARCHAR) AS supercluster_id,
+        SELECT CAST(doc_id AS VARCHAR) AS query_key, coalesce(text, '') AS query_text, source || '_' || CAST(doc_id % 40 AS VARCHAR) AS supercluster_id,
                CASE lang WHEN 'en' THEN 'oncology-core' WHEN 'de' THEN 'oncology-adjacent' WHEN 'fr' THEN 'navigational' ELSE 'non-clinical' END AS clinical_relevance,
                CASE WHEN doc_id % 11 = 0 THEN 'MU2' WHEN doc_id % 3 = 0 THEN 'MU1' ELSE 'MU0' END AS mu_grade,
                CASE WHEN doc_id % 13 = 0 THEN 'PU2' WHEN doc_id % 4 = 0 THEN 'PU1' ELSE 'PU0' END AS pu_grade,
@@ -179,7 +177,7 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         (),
     ),
     "v_edits": (
-        "SELECT CASE vec_id % 3 WHEN 0 THEN 'MU' WHEN 1 THEN 'PU' ELSE 'ET' END AS axis, vec_id AS seed, vec_id + 3 AS paraphrase, vec_id + 6 AS up, vec_id + 9 AS down FROM embeddings WHERE vec_id % 12 < 3",
+        "SELECT CASE vec_id % 3 WHEN 0 THEN 'MU' WHEN 1 THEN 'PU' ELSE 'ET' END AS axis, vec_id AS seed, vec_id + 3 AS paraphrase, vec_id + 6 AS up, vec_id + 9 AS down FROM embeddings",
         (),
     ),
     # Directions, scores and thresholds of the probes.
