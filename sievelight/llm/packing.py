@@ -3,14 +3,16 @@
 Pieces are dealt at random into blocks of bounded size.  Each block is packed by several
 islands: an individual is a list of sequences, the crossover injects whole well-filled
 sequences of one parent into the other, removes the sequences that then hold a piece
-twice and best-fits the displaced pieces.  After each epoch every island sends its elite
-to the next one.  Work and memory of a task depend on the block size alone.
+twice, exchanges displaced pieces for shorter ones where that fills a gap, and best-fits
+the rest.  After each epoch every island sends its elite to the next one.  Work and memory
+of a task depend on the block size alone.
 """
 
 from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ BLOCK = 4096
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
-GENERATIONS = 4
+GENERATIONS = 20
 ELITE = 2
 #: Sequences at least this full count as well filled.
 WELL_FILLED = 0.995
@@ -73,6 +75,26 @@ def fitness(bins: list[list[int]], lengths, capacity: int) -> tuple[int, float]:
     return -len(bins), sum((sum(map(lengths.__getitem__, held)) / capacity) ** 2 for held in bins)
 
 
+def replace(bins: list[list[int]], displaced: list[int], lengths, capacity: int) -> list[int]:
+    """Fills gaps by exchanging an item of a bin for the longest displaced one that fits; what is left, by rising length."""
+    free = sorted(displaced, key=lengths.__getitem__)
+    sizes = [lengths[item] for item in free]
+    for held in bins:
+        gap = capacity - sum(map(lengths.__getitem__, held))
+        for k, item in enumerate(held):
+            if not gap:
+                break
+            size = lengths[item]
+            at = bisect(sizes, size + gap) - 1
+            if at >= 0 and sizes[at] > size:
+                held[k] = free.pop(at)
+                gap -= sizes.pop(at) - size
+                at = bisect(sizes, size)
+                sizes.insert(at, size)
+                free.insert(at, item)
+    return free
+
+
 def crossover(
     one: list[list[int]], other: list[list[int]], lengths, capacity: int, rng: random.Random
 ) -> list[list[int]]:
@@ -88,11 +110,12 @@ def crossover(
             displaced += [item for item in held if item not in injected]
     # The least filled bins are dealt anew too; without that a single item could never move.
     stay.sort(key=lambda held: -sum(map(lengths.__getitem__, held)))
-    for held in stay[len(stay) - max(1, len(stay) // 50) :] if stay else []:
+    anew = max(1, len(stay) // 50) if stay else 0
+    for held in stay[len(stay) - anew :]:
         displaced += held
-    stay = stay[: len(stay) - max(1, len(stay) // 50)] if stay else stay
-    displaced.sort(key=lambda item: -lengths[item])
-    return chosen + best_fit(displaced, lengths, stay, capacity)
+    stay = stay[: len(stay) - anew]
+    left = replace(stay, displaced, lengths, capacity)
+    return chosen + best_fit(reversed(left), lengths, stay, capacity)
 
 
 def evolve(
