@@ -33,7 +33,6 @@ LONG_TEXT = 1 << 18
 #: Beyond these characters the fast encoder's character classes are not proved equal.
 _UNUSUAL = re.compile("[^\x00-ɏ‐-‧‰-⁞₠-₿]")
 _SAFE_CUT = re.compile(r"(?<=[^\s])(?=[ \t\n\r])")
-_UNSPLIT = 2000
 
 
 class Codec:

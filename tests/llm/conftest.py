@@ -1,15 +1,10 @@
 from __future__ import annotations
 
-import random
-
 import pytest
 
-DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, hash string, maybe string, sha string, blob string, findings string, node string, ids string, score string, kept_id string"
-
+from made_up import words
 
-def words(seed: int, n: int) -> str:
-    rng = random.Random(seed)
-    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, hash string, maybe string, sha string, blob string, findings string, node string, ids string, score string, kept_id string"
 
 
 @pytest.fixture(scope="session")

@@ -5,6 +5,7 @@ import pytest
 
 from sievelight.llm import packing, secrets
 
+from made_up import words
 from test_near_dedup import truth as near_truth
 from test_exact_dedup import truth as exact_truth
 from test_scans import base_spans
@@ -14,8 +15,6 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    from conftest import words
-
     base = words(7, 150).split()
     texts = [words(k, 80) for k in range(30)] + [
         " ".join(base),
