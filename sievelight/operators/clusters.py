@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievelight.functions import vectors as vx
 from sievelight.operators.ranking import head_per_group
@@ -14,6 +17,8 @@ from sievelight.sources.storage import settled
 NOISE = -1
 #: Centroids at most that are broadcast; beyond that, rows and centroids meet in blocks by a join.
 BROADCAST_CENTROIDS = 20_000
+#: Numbers in all centroids up to which they are compared in the JVM.
+JVM_CENTROID_VALUES = 10_000
 
 
 def centroids(points: DataFrame, cluster: str = "cluster_id", vector: str = "embedding") -> DataFrame:
@@ -32,31 +37,71 @@ def nearest_centroid(
 ) -> DataFrame:
     """For each point the centroid of the largest cosine, ties to the smaller id: keys, cluster and cosine.
 
-    All centroids travel to every task as one row, behind a check of their number;
-    beyond it the points are dealt out once for each block of centroids and the best of
-    every block is reduced.
+    Few and short centroids are compared in the JVM.  Others are multiplied as a matrix,
+    which every task gets behind a check of its size; beyond that, points are dealt out
+    once for each block of centroids and the best of every block is reduced.
     """
-    n = centres.count()
-    blocks = max(1, -(-n // BROADCAST_CENTROIDS))
-    held = centres.select(
-        F.pmod(F.xxhash64(cluster), F.lit(blocks)).alias("block"),
-        F.struct(F.col(cluster).alias("id"), vx.doubles(F.col(centre_vector)).alias("c")).alias("s"),
-    )
-    held = held.groupBy("block").agg(F.collect_list("s").alias("all"))
-    point = points.select(*keys, vx.doubles(F.col(vector)).alias("v")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    )
-    met = point.join(F.broadcast(held) if blocks == 1 else held, "block")
-    rated = F.transform(
-        "all",
+    held = centres.select(F.col(cluster).cast("long").alias("id"), vx.doubles(F.col(centre_vector)).alias("c"))
+    held = settled(held.filter("c is not null"))
+    size = held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("c")), F.lit(0)).alias("dim")).first()
+    point = points.select(*keys, vx.doubles(F.col(vector)).alias("v"))
+    if size["n"] * size["dim"] <= JVM_CENTROID_VALUES:
+        one = held.agg(F.collect_list(F.struct("id", "c")).alias("all"))
+        best = point.crossJoin(F.broadcast(one)).select(*keys, F.array_max(_rated("all")).alias("best"))
+    elif size["n"] <= BROADCAST_CENTROIDS:
+        best = _by_matrix(point, held, keys)
+    else:
+        blocks = -(-size["n"] // BROADCAST_CENTROIDS)
+        block = F.pmod(F.xxhash64("id"), F.lit(blocks))
+        grouped = held.groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "c")).alias("all"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+        met = point.withColumn("block", every).join(grouped, "block")
+        best = met.select(*keys, F.array_max(_rated("all")).alias("best"))
+        best = best.groupBy(*keys).agg(F.max("best").alias("best"))
+    kind = centres.schema[cluster].dataType
+    return best.select(*keys, F.col("best.id").cast(kind).alias(cluster), F.col("best.cosine").alias("cosine"))
+
+
+def _rated(centroids_: str) -> Column:
+    return F.transform(
+        centroids_,
         lambda s: F.struct(
             vx.cosine(F.col("v"), s["c"]).alias("cosine"), (-s["id"]).alias("minus"), s["id"].alias("id")
         ),
     )
-    best = met.select(*keys, F.array_max(rated).alias("best"))
-    if blocks > 1:
-        best = best.groupBy(*keys).agg(F.max("best").alias("best"))
-    return best.select(*keys, F.col("best.id").alias(cluster), F.col("best.cosine").alias("cosine"))
+
+
+def _by_matrix(point: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and best (cosine, id) by products of Arrow batches with all centroids; nearly equal cosines count as ties."""
+    rows = sorted(held.collect(), key=lambda r: r["id"])  # BROADCAST_CENTROIDS at most
+    ids, matrix = np.array([r["id"] for r in rows]), np.array([r["c"] for r in rows])
+    lengths = np.linalg.norm(matrix, axis=1)
+    usable = lengths > 0
+    ids, matrix = ids[usable], (matrix[usable].T / lengths[usable])
+    shared = point.sparkSession.sparkContext.broadcast((ids, matrix))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, w = shared.value
+        for frame in frames:
+            out = frame[keys].copy()
+            best: list = [None] * len(frame)
+            there = np.flatnonzero([v is not None and len(own) > 0 for v in frame["v"]])
+            for lo in range(0, len(there), 256):
+                part = there[lo : lo + 256]
+                x = np.stack([frame["v"].iloc[k] for k in part])
+                size = np.linalg.norm(x, axis=1)
+                cosines = x @ w / np.where(size > 0, size, 1.0)[:, None]
+                at = (cosines >= cosines.max(axis=1, keepdims=True) - 1e-12).argmax(axis=1)
+                for j, k in enumerate(part):
+                    if size[j] > 0:
+                        best[k] = {"cosine": float(cosines[j, at[j]]), "id": int(own[at[j]])}
+            out["best"] = best
+            yield out
+
+    schema = point.select(*keys).schema.add(
+        "best", T.StructType([T.StructField("cosine", T.DoubleType()), T.StructField("id", T.LongType())])
+    )
+    return point.mapInPandas(run, schema)
 
 
 def reassign_noise(points: DataFrame, key: str, cluster: str = "cluster_id", vector: str = "embedding") -> DataFrame:

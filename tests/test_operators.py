@@ -407,6 +407,21 @@ def test_average_linkage(spark):
     assert len(merged) == 15 and {r.merged for r in merged if r.category == "alone"} == {0}
 
 
+def test_nearest_centroid_ways_agree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    points = [(k, rng.normal(size=6).tolist()) for k in range(40)] + [(98, [0.0] * 6), (99, None)]
+    centres = [(k, rng.normal(size=6).tolist()) for k in range(30)] + [(77, points[0][1]), (78, points[0][1])]
+    p = spark.createDataFrame(points, "id long, embedding array<double>")
+    c = spark.createDataFrame(centres, "cluster_id int, centroid array<double>")
+    found = []
+    for jvm, most in ((10**6, 10**6), (0, 10**6), (0, 7)):
+        monkeypatch.setattr(clusters, "JVM_CENTROID_VALUES", jvm)
+        monkeypatch.setattr(clusters, "BROADCAST_CENTROIDS", most)
+        rows = clusters.nearest_centroid(p, c, ["id"]).collect()
+        found.append({r.id: (r.cluster_id, round(r.cosine, 9)) for r in rows if r.cosine is not None})
+    assert found[0] == found[1] == found[2] and found[0][0][0] == 77 and len(found[0]) == 40
+
+
 def test_density_clusters(spark):
     rng = np.random.default_rng(6)
     rows = [
