@@ -282,7 +282,9 @@ def test_bootstrap_interval_holds_the_value(rated):
 
 
 def test_bootstrap_of_counts(spark, rated):
-    exact, fast = mx.bootstrap_qwk(rated, "a", "b", "id", 300).first(), mx.bootstrap_qwk_counts(rated, "a", "b", 2000).first()
+    exact, fast = mx.bootstrap_qwk(
+        rated, "a", "b", "id", 300
+    ).first(), mx.bootstrap_qwk_counts(rated, "a", "b", 2000).first()
     assert fast.n_used == 2000
     assert all(abs(exact[c] - fast[c]) < 0.03 for c in ("low", "median", "high"))
     by = mx.bootstrap_qwk_counts(rated.withColumn("g", F.col("id") % 2), "a", "b", 50, ["g"])
@@ -606,3 +608,36 @@ def test_super_clusters(spark):
         [(1, 5, ["a", "b"]), (2, 9, ["c", "a"])], "cluster_id int, n long, w array<string>"
     ).withColumn("g", F.lit(1))
     assert clusters.merged_words(words, ["g"], "w", "n").first().w == ["c", "a", "b"]
+
+
+def test_backfill_swaps_in_what_verifies(spark):
+    from sievelight.operators import backfill as bf
+
+    rows = [
+        (f"q{k}", f"Q{k}", f"s{k % 5}", "oncology-core", "MU1" if k % 4 == 0 else "MU0", "PU0", f"ET{k % 3}", 3, 3, 3)
+        for k in range(60)
+    ]
+    picks = spark.createDataFrame(
+        rows,
+        "query_key string, query_text string, supercluster_id string, clinical_relevance string, mu_grade string, pu_grade string, et_grade string, mu_confidence int, pu_confidence int, et_confidence int",
+    )
+
+    def write(prompt):
+        topic = prompt.rsplit(" ", 1)[1].rstrip(".")
+        made = [{"query": f"New {topic} {k}"} for k in range(3)] + [{"query": "q1"}]
+        return json.dumps({"generated": made}), 1, 1
+
+    def judge(prompt):
+        good = not prompt.endswith("0.")
+        return json.dumps(
+            {"mu_grade": "MU2" if good else "MU1", "pu_grade": "PU0", "et_grade": "ET2", "confidence": 4}
+        ), 1, 1
+
+    assert bf.short_cells(picks, {"MU2": 4, "PU0": 9, "PU2": 0}) == {"MU2": 4}
+    out = bf.backfill(picks, write, judge, "stand-in", {"MU2": 4}).collect()
+    new = [r for r in out if r.origin == "synthesized"]
+    assert len(out) == 60 and len(new) == 4 and {r.mu_grade for r in new} == {"MU2"}
+    assert all(r.query_key.startswith("new s") and not r.query_key.endswith("0") for r in new)
+    gone = {r[0] for r in rows} - {r.query_key for r in out}
+    assert all(rows[int(k[1:])][4] == "MU0" and rows[int(k[1:])][6] == "ET2" for k in gone)
+    assert {r.origin for r in bf.backfill(picks, write, judge, "stand-in", {"MU2": 0}).collect()} == {"picked"}
