@@ -40,7 +40,7 @@ BLOCK = 512
 BROADCAST_ROWS = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that are hashed at a time.
-SLICE = 4 << 20
+SLICE = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -61,6 +61,22 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return numbers, space, _mix(np.arange(BINS, dtype=np.uint64) * _MULTIPLIER)
 
 
+@lru_cache(maxsize=1)
+def _slice_powers() -> tuple[np.ndarray, np.ndarray]:
+    base = 0xD6E8FEB86659FD93
+    return tuple(
+        np.cumprod(np.full(2 * SLICE, np.uint64(x))) for x in (base, pow(base, -1, 1 << 64))
+    )
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64."""
+    powers, shifts = _slice_powers()
+    while len(powers) < n:
+        powers, shifts = (np.concatenate([x, x * x[-1]]) for x in (powers, shifts))
+    return powers[:n], shifts[:n]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts, A-Z lower-cased, and the text of each."""
     numbers, space, _ = _tables()
@@ -71,13 +87,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
-    # A word's hash is a polynomial in the place of its bytes; the sum over all bytes before gives it by one subtraction.
-    base = np.uint64(0xD6E8FEB86659FD93)
-    powers = np.cumprod(np.full(len(data), base))
+    # A word's hash is a polynomial in the places of its bytes: one subtraction of sums, shifted to the front.
+    powers, shifts = _powers(len(data))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(numbers[data] * powers)])
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    shift = np.cumprod(np.full(len(data), inverse))
-    return _mix((sums[end] - sums[start]) * shift[start] + (end - start).astype(np.uint64) * _MULTIPLIER), owner
+    return _mix((sums[end] - sums[start]) * shifts[start] + (end - start).astype(np.uint64) * _MULTIPLIER), owner
 
 
 def shingle_sets(texts: list[str], k: int) -> Iterator[np.ndarray]:
