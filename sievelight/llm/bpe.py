@@ -16,7 +16,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +39,7 @@ class Codec:
     """Encoder and decoder of one vocabulary, by the tokenizers library's results."""
 
     def __init__(self, vocabulary: str, ranks: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(vocabulary)
-        self.slow.no_truncation()
-        self.slow.no_padding()
+        self.vocabulary = vocabulary
         self.fast = None
         if ranks and pattern:
             import tiktoken
@@ -52,6 +48,16 @@ class Codec:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        """The tokenizers library's own; it is loaded where a text or a decoding needs it."""
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.vocabulary)
+        own.no_truncation()
+        own.no_padding()
+        return own
+
     def encode(self, text: str) -> list[int]:
         if self.fast is None or _UNUSUAL.search(text):
             return self.slow.encode(text, add_special_tokens=False).ids
