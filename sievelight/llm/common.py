@@ -80,6 +80,28 @@ class Scratch:
                 files.delete(found.getPath(), True)
 
 
+def trimmed(run):
+    """The batch function, after which its worker gives free memory back: idle workers stay alive for a while."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps what it keeps
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, where null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

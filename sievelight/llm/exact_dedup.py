@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import materialise, unused_names, whole_text
+from sievelight.llm.common import materialise, trimmed, unused_names, whole_text
 
 #: Bits of the filter at most: 16 MB.
 MAX_BITS = 1 << 27
@@ -110,7 +110,7 @@ def repeated_filter(hashes: DataFrame, rows: int, max_bits: int = MAX_BITS) -> n
     while bits < min(16 * rows, max_bits):
         bits *= 2
     schema = "block int, way int, seen binary, again binary"
-    parts = hashes.mapInArrow(_partial_filters(bits), schema)
+    parts = hashes.mapInArrow(trimmed(_partial_filters(bits)), schema)
     parts = parts.groupBy("block", "way").applyInPandas(_merge, schema)
     parts = parts.groupBy("block").applyInPandas(_merge, schema)
     level = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)

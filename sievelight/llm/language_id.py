@@ -14,12 +14,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelight.llm.common import hash_bound, held_out, whole_text
+from sievelight.llm.common import give_back, hash_bound, held_out, unused_names, whole_text
 
 UNDETERMINED = "und"
 GRAM = 4
@@ -32,6 +32,8 @@ SAMPLE_CHARS = 4_000_000
 #: An n-gram belongs to a language if it occurs this often, and at this part of its highest rate in any.
 LEAST_COUNT = 3
 LEAST_SHARE = 0.5
+#: Texts that are looked at together.
+ROWS = 1024
 #: Characters that are held in arrays at a time.
 SLICE = 1 << 20
 
@@ -204,14 +206,17 @@ def identify(docs: DataFrame, model: Model, columns: list[str], text_column: str
     equal results; ids, labels and row order play no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, score = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                names=[*batch.schema.names[:-1], "lang_pred", "score"],
-            )
-
-    schema = docs.select(*columns).schema.add("lang_pred", T.StringType()).add("score", T.DoubleType())
-    return docs.select(*columns, whole_text(text_column).alias("__text")).mapInArrow(run, schema)
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    @F.pandas_udf(kind)
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        """Texts alone go to Python; the other columns stay in the JVM."""
+        for texts in batches:
+            parts = [shared.value.predict(texts.iloc[lo : lo + ROWS].tolist()) for lo in range(0, len(texts), ROWS)]
+            names = [name for part, _ in parts for name in part]
+            yield pd.DataFrame({"lang_pred": names, "score": np.concatenate([s for _, s in parts] or [np.zeros(0)])})
+        give_back()
+
+    (found,) = unused_names(docs, "found")
+    told = docs.withColumn(found, predict(whole_text(text_column)))
+    return told.select(*columns, F.col(f"{found}.lang_pred").alias("lang_pred"), F.col(f"{found}.score").alias("score"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import Scratch, materialise, unused_names, whole_text
+from sievelight.llm.common import Scratch, materialise, trimmed, unused_names, whole_text
 from sievelight.llm.components import components
 
 BINS = 256
@@ -40,7 +40,7 @@ BLOCK = 512
 BROADCAST_ROWS = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that are hashed at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -298,7 +298,7 @@ def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, scrat
     rows = docs.select(F.col("doc_id").alias("id"), "text")
     texts = _pick(rows, keyed, rows["id"].eqNullSafe(keyed["doc_id"])).select("node", "set_key", "text")
     return scratch.keep(
-        texts.mapInArrow(_set_rows(k), "node long, shingles array<long>").dropDuplicates(["node"]), "sets"
+        texts.mapInArrow(trimmed(_set_rows(k)), "node long, shingles array<long>").dropDuplicates(["node"]), "sets"
     )
 
 
@@ -352,7 +352,7 @@ def near_duplicates(
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    sketched = scratch.keep(rows.mapInArrow(_sketch_rows(words), _SKETCH), "sketches")
+    sketched = scratch.keep(rows.mapInArrow(trimmed(_sketch_rows(words)), _SKETCH), "sketches")
     first = sketched.filter("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("doc_id"),
         F.first("n_shingles").alias("n_shingles"),
@@ -377,8 +377,9 @@ def near_duplicates(
     scratch.drop_all_but("sketches", "nodes", "members", "links", "found")
     more = scratch.keep(_further_links(members, found, nodes, rows, words, percent, scratch), "more")
     if more.head(1):
-        links = scratch.keep(links.union(more), "links")
-        found = components(links, scratch)
+        # What is connected already comes in as stars.
+        stars = found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = components(stars.union(more), scratch)
     named = nodes.select("node", "set_key", "doc_id").join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )

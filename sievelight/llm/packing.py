@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.bpe import codec
-from sievelight.llm.common import materialise, whole_text
+from sievelight.llm.common import materialise, trimmed, whole_text
 
 BLOCK = 4096
 ISLANDS = 2
@@ -247,7 +247,7 @@ def tokens(
 
     return docs.select(
         F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text")
-    ).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    ).mapInArrow(trimmed(run), PIECES + ", ids array<int>" * with_ids)
 
 
 def pack_lengths(items: DataFrame, capacity: int, block: int = BLOCK) -> DataFrame:
