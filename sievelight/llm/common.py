@@ -80,6 +80,21 @@ class Scratch:
                 files.delete(found.getPath(), True)
 
 
+#: Rows at most that go to Python together, where they hold whole texts.
+ARROW_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in whose session texts go to Python in batches of at most ``ARROW_ROWS`` rows from now on.
+
+    Batches of both sides are held in memory outside the heap; smaller settings are kept.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= ARROW_ROWS:
+        conf.set(key, ARROW_ROWS)
+    return df
+
+
 def trimmed(run):
     """The batch function, after which its worker gives free memory back: idle workers stay alive for a while."""
 

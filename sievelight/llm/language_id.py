@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelight.llm.common import give_back, hash_bound, held_out, unused_names, whole_text
+from sievelight.llm.common import give_back, hash_bound, held_out, small_batches, unused_names, whole_text
 
 UNDETERMINED = "und"
 GRAM = 4
@@ -218,5 +218,5 @@ def identify(docs: DataFrame, model: Model, columns: list[str], text_column: str
         give_back()
 
     (found,) = unused_names(docs, "found")
-    told = docs.withColumn(found, predict(whole_text(text_column)))
+    told = small_batches(docs).withColumn(found, predict(whole_text(text_column)))
     return told.select(*columns, F.col(f"{found}.lang_pred").alias("lang_pred"), F.col(f"{found}.score").alias("score"))

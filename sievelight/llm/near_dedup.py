@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import Scratch, materialise, trimmed, unused_names, whole_text
+from sievelight.llm.common import Scratch, materialise, small_batches, trimmed, unused_names, whole_text
 from sievelight.llm.components import components
 
 BINS = 256
@@ -351,7 +351,7 @@ def near_duplicates(
     ids alone has a null id and is kept.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
+    rows = small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     sketched = scratch.keep(rows.mapInArrow(trimmed(_sketch_rows(words)), _SKETCH), "sketches")
     first = sketched.filter("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("doc_id"),

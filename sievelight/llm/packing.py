@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.bpe import codec
-from sievelight.llm.common import materialise, trimmed, whole_text
+from sievelight.llm.common import materialise, small_batches, trimmed, whole_text
 
 BLOCK = 4096
 ISLANDS = 2
@@ -245,7 +245,7 @@ def tokens(
                     columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
                 )
 
-    return docs.select(
+    return small_batches(docs).select(
         F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text")
     ).mapInArrow(trimmed(run), PIECES + ", ids array<int>" * with_ids)
 
