@@ -396,16 +396,21 @@ def near_duplicates(
 def drop_near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """The documents that :func:`near_duplicates` keeps, with all their columns.  Ids must be unique."""
-    (key,) = unused_names(docs, "kept_id")
-    kept = materialise(
-        near_duplicates(
-            docs, words, percent, id_column, text_column
-        ).filter("not kept").select(F.col("doc_id").alias(key)),
-        "near-dropped",
-    )
-    return docs.join(
-        F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept,
-        docs[id_column].eqNullSafe(F.col(key)),
-        "left_anti",
-    )
+    """One document of each component of :func:`near_duplicates`, with all its columns.
+
+    Documents are told apart by a key that is written with them, so ids may be null or
+    occur on several rows: of each component the least id stays, a null one last, and one
+    row of it.  Texts without words all stay.
+    """
+    row, gone = unused_names(docs, "row_key", "gone_key")
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "near-keyed")
+    placed = near_duplicates(keyed, words, percent, row, text_column).select(F.col("doc_id").alias(row), "component_id")
+    placed = materialise(placed, "near-placed")
+    rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col(row).alias("c"))
+    stay = placed.join(keyed.select(row, F.col(id_column).alias("id")), row).groupBy("component_id").agg(
+        F.min(rank).alias("least")
+    ).select(F.col("least.c").alias(row))
+    dropped = materialise(placed.join(stay, row, "left_anti").select(F.col(row).alias(gone)), "near-dropped")
+    return keyed.join(
+        F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, keyed[row] == F.col(gone), "left_anti"
+    ).drop(row)

@@ -10,6 +10,8 @@ from sievelight.llm import near_dedup as nd
 from sievelight.llm.common import Scratch
 from sievelight.llm.components import components
 
+from made_up import words
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -123,3 +125,22 @@ def test_drop_keeps_columns(odd, none):
     assert {r.doc_id for r in kept.collect()} >= {1, 2, 3, 4, 5, 8, 9}
     assert not {r.doc_id for r in kept.collect()} & {6, 7, 10, 11}
     assert nd.near_duplicates(none).count() == 0 and nd.drop_near_duplicates(none).count() == 0
+
+
+def test_drop_tells_rows_apart_by_more_than_ids(spark):
+    base = words(21, 60).split()
+    near = " ".join([*base, "more"])
+    rows = [
+        (None, near), (1, " ".join(base)), (None, words(22, 60)), (None, words(23, 60)), (2, words(24, 60)), (
+            2, near + " "
+        ), (None, words(25, 60)), (None, words(25, 60) + " more"), (3, words(26, 60)), (3, words(26, 60)), (
+            None, None
+        ), (None, ""), (4, words(27, 60) + " more"), (None, words(27, 60)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in nd.drop_near_duplicates(docs).collect()]
+    pair = {rows[6], rows[7]}
+    assert len(pair & set(got)) == 1
+    want = [rows[k] for k in (1, 2, 3, 4, 8, 10, 11, 12)]
+    key = lambda r: (r[0] or 0, r[1] or "", r[1] is None)
+    assert sorted((r for r in got if r not in pair), key=key) == sorted(want, key=key)
