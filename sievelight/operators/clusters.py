@@ -307,14 +307,7 @@ def knee_table(heights: DataFrame, n_clusters: DataFrame, thresholds: list[float
     )
 
 
-def super_clusters(
-    members: DataFrame, clusters: DataFrame, category: str = "category", merged: str = "merged", limit: int = 50
-) -> DataFrame:
-    """A record for each merged group: id, representative, constituents, and its queries, most clicked first.
-
-    ``clusters`` has category, merged, cluster_id, label and n_queries; ``members`` has
-    cluster_id, query_key, query and clicks.
-    """
+def _merged_groups(clusters: DataFrame, category: str, merged: str) -> DataFrame:
     groups = clusters.groupBy(category, merged).agg(
         F.sum("n_queries").alias("n_queries"),
         F.array_sort(F.collect_set("cluster_id")).alias("constituents"),
@@ -322,7 +315,11 @@ def super_clusters(
         F.min("cluster_id").alias("first"),
     )
     k = F.row_number().over(Window.partitionBy(category).orderBy(F.desc("n_queries"), "first"))
-    groups = groups.withColumn("supercluster_id", F.format_string("%s_%04d", F.col(category), k))
+    return groups.withColumn("supercluster_id", F.format_string("%s_%04d", F.col(category), k))
+
+
+def _merged_members(members: DataFrame, clusters: DataFrame, category: str, merged: str) -> DataFrame:
+    """Each query of each merged group once, as its most clicked row has it."""
     held = members.join(clusters.select("cluster_id", category, merged), "cluster_id")
     once = held.groupBy(category, merged, "query_key").agg(
         F.min_by(
@@ -330,8 +327,20 @@ def super_clusters(
             F.struct((-F.col("clicks")).alias("a"), F.col("query").alias("b"), F.col("cluster_id").alias("c")),
         ).alias("q")
     )
+    return once.select(category, merged, "query_key", "q.*")
+
+
+def super_clusters(
+    members: DataFrame, clusters: DataFrame, category: str = "category", merged: str = "merged", limit: int = 50
+) -> DataFrame:
+    """A record for each merged group: id, representative, constituents, and its ``limit`` most clicked queries.
+
+    ``clusters`` has category, merged, cluster_id, label and n_queries; ``members`` has
+    cluster_id, query_key, query and clicks.  All queries are in :func:`super_cluster_queries`.
+    """
+    groups = _merged_groups(clusters, category, merged)
     top = head_per_group(
-        once.select(category, merged, "query_key", "q.*"),
+        _merged_members(members, clusters, category, merged),
         [category, merged],
         limit,
         F.desc("clicks"),
@@ -343,8 +352,18 @@ def super_clusters(
     return groups.join(queries, [category, merged], "left").drop("first")
 
 
+def super_cluster_queries(
+    members: DataFrame, clusters: DataFrame, category: str = "category", merged: str = "merged"
+) -> DataFrame:
+    """One row for each query of each merged group, all of them; takes what :func:`super_clusters` takes."""
+    groups = _merged_groups(clusters, category, merged).select(category, merged, "supercluster_id", "label")
+    return _merged_members(members, clusters, category, merged).join(groups, [category, merged]).select(
+        "supercluster_id", "label", "query_key", "query", "clicks", "cluster_id"
+    )
+
+
 def exploded_super_clusters(records: DataFrame) -> DataFrame:
-    """One row for each query of each record."""
+    """One row for each query that a record holds, its most clicked ones."""
     return records.select("supercluster_id", "label", F.explode("queries").alias("q")).select(
         "supercluster_id", "label", "q.query_key", "q.query", "q.clicks", "q.cluster_id"
     )

@@ -87,7 +87,7 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.size_stats(views.clusters(spark, sf_dir))
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     points = views.clusters(spark, sf_dir).filter("cluster_id <> -1")
     labelled = points.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_queries"))
     labelled = labelled.select(
@@ -98,11 +98,11 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("cluster_id") % 3).alias("merged"),
     )
     members = points.select("cluster_id", "query_key", F.upper("query_key").alias("query"), "clicks")
-    return cl.super_clusters(members, labelled, limit=4)
+    return members, labelled
 
 
 def supercluster_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _records(spark, sf_dir).select(
+    return cl.super_clusters(*_merged(spark, sf_dir)).select(
         "supercluster_id",
         "category",
         "merged",
@@ -113,7 +113,7 @@ def supercluster_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supercluster_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cl.exploded_super_clusters(_records(spark, sf_dir))
+    return cl.super_cluster_queries(*_merged(spark, sf_dir))
 
 
 def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
