@@ -236,7 +236,7 @@ def lowest_to_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multi_key_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = views.query_log(spark, sf_dir).select("source", "query_key", "clicks", "doc_id")
-    return log.orderBy(F.asc("source"), F.asc("query_key"), F.desc("clicks"), F.asc("doc_id")).limit(100)
+    return log.orderBy(F.asc("source"), F.asc("query_key"), F.desc("clicks"), F.asc("doc_id"))
 
 
 def numbered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from sievelight import registry
+from sievelight.plans import views
 
 from test_oracle import TABLES, table
 
@@ -40,3 +41,9 @@ def assert_agrees(spark, duck, name, *cuts):
 def test_supercluster_flat_holds_every_member(spark, duck):
     rows = assert_agrees(spark, duck, "supercluster_flat", (" WHERE k <= 4", ""))
     assert len(rows) == sum(r.n_queries for r in registry.queries()["supercluster_records"](spark, SF).collect())
+
+
+def test_multi_key_sort_returns_all_rows_in_order(spark):
+    got = [tuple(r) for r in registry.queries()["multi_key_sort"](spark, SF).collect()]
+    assert len(got) == views.query_log(spark, SF).count() > 100
+    assert got == sorted(got, key=lambda r: (r[0], r[1], -r[2], r[3]))
