@@ -466,6 +466,12 @@ def overview(members: DataFrame, cluster: str = "cluster_id", limit: int = 20) -
     ).join(top.groupBy(cluster).agg(held.alias("top_keys")), cluster)
 
 
+def overview_members(members: DataFrame, cluster: str = "cluster_id", limit: int = 20) -> DataFrame:
+    """A row for each member's key beside its cluster's :func:`overview`, noise excepted; no array grows with a cluster."""
+    keys = members.filter(F.col(cluster) != NOISE).select(cluster, "query_key")
+    return keys.join(overview(members, cluster, limit), cluster)
+
+
 def size_stats(members: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """n_clusters, least, median and most members, and n_noise."""
     sizes = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))

@@ -79,7 +79,7 @@ def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cl.overview(views.clusters(spark, sf_dir), limit=5)
+    out = cl.overview_members(views.clusters(spark, sf_dir), limit=5)
     return out.withColumn("top_keys", F.array_join("top_keys", "|"))
 
 

@@ -71,3 +71,12 @@ def test_query_log_keeps_sharp_s(spark, tmp_path):
         1: ("Straße Größe", "straße große"), 2: ("Straße", "straße"), 3: ("Straße Größe", "straße große"),
         4: ("Straße", "straße"), 5: ("Straße Große", "straße große"), 6: ("Straße", "straße"),
     }
+
+
+def test_cluster_overview_holds_every_member(spark, duck):
+    got = registry.queries()["cluster_overview"](spark, SF)
+    want = duck.execute("SELECT CAST(cluster_id AS VARCHAR), query_key FROM (" + views.SQL["v_clusters"][0] + ") WHERE cluster_id <> -1").fetchall()
+    assert sorted((str(r.cluster_id), r.query_key) for r in got.select("cluster_id", "query_key").collect()) == sorted(want)
+    cursor = duck.execute(registry.oracle_sql()["cluster_overview"])
+    columns = [d[0] for d in cursor.description]
+    assert table(columns, got.select(*columns).distinct().collect()) == table(columns, cursor.fetchall())
