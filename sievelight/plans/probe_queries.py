@@ -146,11 +146,11 @@ def ordinal_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mlp_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _head(spark, sf_dir, lambda train, rows: heads.mlp_head(train, rows, hidden=32, iterations=30))
+    return _head(spark, sf_dir, heads.mlp_head)
 
 
 def whitened_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _head(spark, sf_dir, lambda train, rows: heads.whitened_head(train, rows, k=32))
+    return _head(spark, sf_dir, heads.whitened_head)
 
 
 _UNIT = "[x / sqrt(list_dot_product(m, m)) for x in m]"

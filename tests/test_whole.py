@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from sievelight import registry
+from sievelight.operators import heads
 from sievelight.plans import views
 
 from test_oracle import TABLES, table
@@ -80,3 +81,19 @@ def test_cluster_overview_holds_every_member(spark, duck):
     cursor = duck.execute(registry.oracle_sql()["cluster_overview"])
     columns = [d[0] for d in cursor.description]
     assert table(columns, got.select(*columns).distinct().collect()) == table(columns, cursor.fetchall())
+
+
+@pytest.mark.parametrize("name, kind, sizes", [
+    ("mlp_head", "MultilayerPerceptronClassifier", {"layers": [64, 256, 3], "maxIter": 100}), ("whitened_head", "PCA", {"k": 64}),
+])
+def test_heads_have_their_full_size(spark, monkeypatch, name, kind, sizes):
+    class Made(Exception):
+        pass
+
+    def made(**params):
+        raise Made({k: params[k] for k in sizes})
+
+    monkeypatch.setattr(heads, kind, made)
+    with pytest.raises(Made) as found:
+        registry.queries()[name](spark, SF)
+    assert found.value.args[0] == sizes
