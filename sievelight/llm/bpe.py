@@ -1,13 +1,13 @@
-"""Encoding and decoding with a byte-level BPE vocabulary.
-
-Texts of ordinary length are encoded as they are.  A long text is dealt out as pieces:
-where white space follows other characters the pattern that splits a text can never
-match across, so cutting there changes nothing.  A run without such a place is cut in
-halves again and again; its parts are encoded in parallel and then joined pair by pair
-as a tree.  At each such join a window of the tokens around it is encoded anew and
-grown until its first token agrees with the left side and its last with the right
-side.  All neighbours in the joined list are then as an encoder would leave them, which
-makes the list the encoding of the whole.
+"""Encoding and decoding with a byte-level BPE vocabulary, by tree concatenation.
+
+A text is cut in halves again and again, wherever the middle falls, until its parts have
+at most ``PART`` characters.  The parts are encoded on their own and then joined pair by
+pair as a tree: at each join a window of the tokens around it is encoded anew and grown
+until its outer tokens agree with both sides.  All neighbours in the joined list are then
+as an encoder would leave them, which makes the list the encoding of the whole.
+
+Parts of one text are encoded in one task while the text is of ordinary length; those of
+a text of more than ``LONG_TEXT`` characters are dealt out over the cluster.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelight.llm.common import materialise, whole_text
+from sievelight.llm.common import clear_names, materialise, whole_text
 
 END_OF_TEXT = "<|endoftext|>"
 END_OF_TEXT_ID = 50256
-#: Texts of more characters than this are dealt out in pieces of about this many.
-LONG_TEXT = 1 << 18
+#: Characters of a part that is encoded by itself.
+PART = 1024
+#: Texts of more characters than this are dealt out over the cluster, in pieces of at most this many.
+LONG_TEXT = 1 << 15
+#: Tokens on each side of a join that are encoded anew at first.
+WINDOW = 8
 #: Beyond these characters the fast encoder's character classes are not proved equal.
 _UNUSUAL = re.compile("[^\x00-ɏ‐-‧‰-⁞₠-₿]")
-_SAFE_CUT = re.compile(r"(?<=[^\s])(?=[ \t\n\r])")
 
 
 class Codec:
@@ -89,214 +93,186 @@ def codec(name: str) -> Codec:
     return Codec(public_tokenizers.path(name), public_tokenizers.path(ranks), public_tokenizers.PATTERN)
 
 
-def cut(text: str, limit: int) -> list[tuple[str, bool]]:
-    """Pieces of about ``limit`` characters, each with whether its left edge is a safe one."""
-    out, start, safe = [], 0, True
-    while len(text) - start > limit:
-        place = _SAFE_CUT.search(text, start + limit // 2, start + limit)
-        if place:
-            out.append((text[start : place.start()], safe))
-            start, safe = place.start(), True
-            continue
-        place = _SAFE_CUT.search(text, start + limit)
-        end = place.start() if place else len(text)
-        parts = _halves(text[start:end], limit)
-        out += [(part, safe if k == 0 else False) for k, part in enumerate(parts)]
-        start, safe = end, True
-    if start < len(text) or not out:
-        out.append((text[start:], safe))
-    return out
-
-
-def _halves(text: str, limit: int) -> list[str]:
+def halves(text: str, limit: int) -> list[str]:
+    """Parts of at most ``limit`` characters, by cutting in the middle again and again; an empty text is one part."""
     if len(text) <= limit:
         return [text]
     middle = len(text) // 2
-    return _halves(text[:middle], limit) + _halves(text[middle:], limit)
+    return halves(text[:middle], limit) + halves(text[middle:], limit)
+
+
+class Side(NamedTuple):
+    """Bytes of a text and its tokens."""
 
+    data: bytes
+    ids: list[int]
 
-def join(
-    left: np.ndarray,
-    right: np.ndarray,
-    left_text: str,
-    right_text: str,
-    encode: Callable[[str], list[int]],
-    lengths: Callable[[np.ndarray], np.ndarray],
-) -> np.ndarray:
+
+def join(left: Side, right: Side, encode: Callable[[str], list[int]], lengths: list[int]) -> Side:
     """The encoding of two texts' concatenation from the encodings of both.
 
     ``lengths`` gives the bytes of each token.  The window starts with a few tokens on
-    either side and doubles; if it comes to hold both sides, it is the encoding itself.
-    The window begins and ends between characters and, inside what a splitting pattern
-    would keep apart, is encoded together with all that the pattern could see.
+    either side and doubles until the outer half of each side's tokens in it come out as
+    they were; where a side lies in the window whole, nothing is left to agree with.  A
+    window that would begin or end inside a character grows too.
     """
-    if not len(left) or not len(right):
-        return np.concatenate([left, right])
-    left_bytes, right_bytes = left_text.encode(), right_text.encode()
-    from_end, from_start = np.cumsum(lengths(left)[::-1]), np.cumsum(lengths(right))
-    size = 8
+    data = left.data + right.data
+    if not left.ids or not right.ids:
+        return Side(data, left.ids + right.ids)
+    size = WINDOW
     while True:
-        a, b = min(size, len(left)), min(size, len(right))
-        whole_left, whole_right = a == len(left), b == len(right)
-        text = left_bytes[len(left_bytes) - from_end[a - 1] :] + right_bytes[: from_start[b - 1]]
+        head, tail = left.ids[-size:], right.ids[:size]
+        start = len(left.data) - sum(map(lengths.__getitem__, head))
+        end = len(left.data) + sum(map(lengths.__getitem__, tail))
         try:
-            window = np.asarray(encode(text.decode()), left.dtype)
+            window = encode(data[start:end].decode())
         except UnicodeDecodeError:
-            window = None
-        if window is not None:
-            agree_left = whole_left or _prefix(window, left[len(left) - a :])
-            agree_right = whole_right or _prefix(window[::-1], right[:b][::-1])
-            if agree_left and agree_right:
-                return np.concatenate([left[: len(left) - a], window, right[b:]])
+            size *= 2
+            continue
+        before, after = -(-len(head) // 2), -(-len(tail) // 2)
+        agree = len(left.ids) <= size or window[:before] == head[:before]
+        if agree and (len(right.ids) <= size or window[-after:] == tail[-after:]):
+            return Side(data, left.ids[: len(left.ids) - len(head)] + window + right.ids[len(tail) :])
         size *= 2
 
 
-def _prefix(window: np.ndarray, side: np.ndarray) -> bool:
-    """Whether the outer half of the side's tokens came out of the window as they were."""
-    n = max(1, len(side) // 2)
-    return len(window) >= n and bool(np.array_equal(window[:n], side[:n]))
-
-
-def tree(pieces: list[tuple[str, np.ndarray, bool]], encode, lengths) -> np.ndarray:
-    """Joins encoded pieces pair by pair until one is left; pieces are (text, ids, safe left edge)."""
-    while len(pieces) > 1:
-        paired = []
-        for (text, ids, safe), (more, others, safe_join) in zip(pieces[::2], pieces[1::2], strict=False):
-            both = np.concatenate([ids, others]) if safe_join else join(ids, others, text, more, encode, lengths)
-            paired.append((text + more, both, safe))
-        if len(pieces) % 2:
-            paired.append(pieces[-1])
-        pieces = paired
-    return pieces[0][1] if pieces else np.zeros(0, np.uint32)
+def tree(sides: list[Side], encode: Callable[[str], list[int]], lengths: list[int]) -> list[int]:
+    """Joins neighbours pair by pair until one is left, and returns its tokens."""
+    while len(sides) > 1:
+        paired = [join(a, b, encode, lengths) for a, b in zip(sides[::2], sides[1::2], strict=False)]
+        sides = paired + sides[len(sides) - len(sides) % 2 :]
+    return sides[0].ids
 
 
 @lru_cache(maxsize=4)
-def token_lengths(name: str) -> np.ndarray:
+def token_lengths(name: str) -> list[int]:
     """Bytes of each token, by its id; a byte-level token has one character for each byte."""
     own = codec(name).slow
     size = own.get_vocab_size(with_added_tokens=True)
-    return np.array([len(own.id_to_token(k) or "") for k in range(size)], np.int64)
+    return [len(own.id_to_token(k) or "") for k in range(size)]
 
 
-def encode_long(text: str, vocabulary: str, limit: int = LONG_TEXT) -> np.ndarray:
-    """Ids of one text by way of pieces and joins, in one process."""
+def encode_text(text: str, vocabulary: str, limit: int = PART) -> list[int]:
+    """Ids of one text by way of its parts and their joins, in one process."""
     own = codec(vocabulary)
-    return tree(
-        [(part, np.asarray(own.encode(part), np.uint32), safe) for part, safe in cut(text, limit)],
-        own.encode,
-        token_lengths(vocabulary).__getitem__,
-    )
+    if len(text) <= limit:
+        return own.encode(text)
+    sides = [Side(part.encode(), own.encode(part)) for part in halves(text, limit)]
+    return tree(sides, own.encode, token_lengths(vocabulary))
 
 
 def digest(ids) -> str:
     return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
-def _encode_rows(vocabulary: str):
+def _encode_rows(vocabulary: str, part: int, name: str):
+    """Replaces the last column, texts, by ``name``, their ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
         for batch in batches:
-            rest = [batch.column(k) for k in range(batch.num_columns - 1)]
-            texts = batch.column(batch.num_columns - 1)
+            rest, texts = batch.columns[:-1], batch.columns[-1]
             for lo in range(0, batch.num_rows, 256):
-                part = texts.slice(lo, 256).to_pylist()
-                ids = pa.array([own.encode(t) for t in part], pa.list_(pa.int32()))
+                ids = [encode_text(t, vocabulary, part) for t in texts.slice(lo, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(lo, 256) for c in rest), ids], names=[*batch.schema.names[:-1], "ids"]
+                    [*(c.slice(lo, 256) for c in rest), pa.array(ids, pa.list_(pa.int32()))],
+                    names=[*batch.schema.names[:-1], name],
                 )
 
     return run
 
 
-def _decode_rows(vocabulary: str):
+def _decode_rows(vocabulary: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:
-            rest = [batch.column(k) for k in range(batch.num_columns - 1)]
-            texts = pa.array(own.decode_batch(batch.column(batch.num_columns - 1).to_pylist()), pa.string())
-            yield pa.RecordBatch.from_arrays([*rest, texts], names=[*batch.schema.names[:-1], "text"])
+            texts = pa.array(own.decode_batch(batch.columns[-1].to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], name])
 
     return run
 
 
+_PIECE = T.StructType().add("sha", T.BinaryType()).add("piece", T.IntegerType()).add("text", T.StringType())
+_ENCODED = T.StructType([*_PIECE.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+
 def _cut_rows(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sha, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, (part, safe) in enumerate(cut(text, limit)):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([sha], pa.binary()),
-                            pa.array([k], pa.int32()),
-                            pa.array([safe], pa.bool_()),
-                            pa.array([part], pa.string()),
-                        ], names=["sha", "part", "safe", "text"]
-                    )
+            for sha, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pieces = halves(text, limit)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([sha] * len(pieces), pa.binary()),
+                        pa.array(range(len(pieces)), pa.int32()),
+                        pa.array(pieces, pa.string()),
+                    ],
+                    names=_PIECE.names,
+                )
 
     return run
 
 
-def _encode_parts(vocabulary: str):
+def _encode_pieces(vocabulary: str, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
         for batch in batches:
-            ids = [own.encode(t) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"]
-            )
+            ids = [encode_text(t, vocabulary, part) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=_ENCODED.names)
 
     return run
 
 
-def _join_parts(vocabulary: str):
+def _join_pieces(vocabulary: str):
     def run(group):
         import pandas as pd
 
-        group = group.sort_values("part")
-        pieces = [
-            (t, np.asarray(i, np.uint32), s) for t, i, s in zip(group["text"], group["ids"], group["safe"], strict=True)
-        ]
-        own = codec(vocabulary)
-        ids = tree(pieces, own.encode, token_lengths(vocabulary).__getitem__)
-        return pd.DataFrame({"sha": [group["sha"].iloc[0]], "ids": [ids.astype(np.int32)]})
+        group = group.sort_values("piece")
+        sides = [Side(t.encode(), i.tolist()) for t, i in zip(group["text"], group["ids"], strict=True)]
+        ids = tree(sides, codec(vocabulary).encode, token_lengths(vocabulary))
+        return pd.DataFrame({"sha": [group["sha"].iloc[0]], "ids": [np.asarray(ids, np.int32)]})
 
     return run
 
 
 def encode(
-    docs: DataFrame, vocabulary: str, columns: list[str], text_column: str = "text", long_text: int = LONG_TEXT
+    docs: DataFrame,
+    vocabulary: str,
+    columns: list[str],
+    text_column: str = "text",
+    long_text: int = LONG_TEXT,
+    part: int = PART,
 ) -> DataFrame:
     """``columns`` of every row and ``ids``, the token ids of its whole text.
 
-    Null text counts as empty and has no ids.  A text of more than ``long_text``
+    Null text counts as empty and has no ids.  Texts are encoded in parts of at most
+    ``part`` characters, which are joined as a tree.  A text of more than ``long_text``
     characters is encoded once however many rows repeat it: its pieces are spread over
-    the cluster and joined again as a tree.  Ids and row order of the input play no
-    part, so null and repeated ids are as good as any.
+    the cluster and joined again likewise.  Ids and row order of the input play no
+    part, so null and repeated ids are as good as any.  If a kept column is called
+    ``ids`` already, the result's last column has underscores in front.
     """
-    text = whole_text(text_column).alias("text")
-    rows = docs.select(*columns, text)
-    schema = docs.select(*columns).schema.add("ids", T.ArrayType(T.IntegerType()))
-    short = rows.filter(F.length("text") <= long_text).mapInArrow(_encode_rows(vocabulary), schema)
-    long = rows.filter(F.length("text") > long_text).withColumn("__sha", F.unhex(F.sha2("text", 256)))
-    texts = long.select(F.col("__sha").alias("sha"), "text").groupBy("sha").agg(F.first("text").alias("text"))
-    parts = texts.mapInArrow(
-        _cut_rows(long_text), "sha binary, part int, safe boolean, text string"
-    ).repartition("sha", "part")
-    parts = parts.mapInArrow(
-        _encode_parts(vocabulary), "sha binary, part int, safe boolean, text string, ids array<int>"
-    )
+    name, text, sha = clear_names(columns, "ids", "text", "sha")
+    rows = docs.select(*columns, whole_text(text_column).alias(text))
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    short = rows.filter(F.length(text) <= long_text).mapInArrow(_encode_rows(vocabulary, part, name), schema)
+    long = rows.filter(F.length(text) > long_text).withColumn(sha, F.unhex(F.sha2(text, 256)))
+    # Written, so that the texts are cut once and each piece is dealt to a task of its own.
+    texts = long.groupBy(F.col(sha).alias("sha")).agg(F.first(text).alias("text"))
+    pieces = materialise(texts.mapInArrow(_cut_rows(long_text), _PIECE), "bpe-pieces")
+    encoded = pieces.repartition("sha", "piece").mapInArrow(_encode_pieces(vocabulary, part), _ENCODED)
     joined = materialise(
-        parts.groupBy("sha").applyInPandas(_join_parts(vocabulary), "sha binary, ids array<int>"), "bpe-long"
-    )
-    return short.unionByName(
-        long.drop("text").join(joined.withColumnRenamed("sha", "__sha"), "__sha").select(*columns, "ids")
-    )
+        encoded.groupBy("sha").applyInPandas(_join_pieces(vocabulary), "sha binary, ids array<int>"), "bpe-long"
+    ).withColumnsRenamed({"sha": sha, "ids": name})
+    return short.unionByName(long.drop(text).join(joined, sha).select(*columns, name))
+
 
+def decode(encoded: DataFrame, vocabulary: str, columns: list[str], ids_column: str = "ids") -> DataFrame:
+    """``columns`` of every row and ``text``, its ids decoded, special tokens included.
 
-def decode(encoded: DataFrame, vocabulary: str, columns: list[str]) -> DataFrame:
-    """``columns`` of every row and ``text``, its ``ids`` decoded, special tokens included."""
-    schema = encoded.select(*columns).schema.add("text", T.StringType())
-    return encoded.select(*columns, "ids").mapInArrow(_decode_rows(vocabulary), schema)
+    If a kept column is called ``text`` already, the result's has underscores in front.
+    """
+    name, ids = clear_names(columns, "text", "ids")
+    schema = T.StructType([*encoded.select(*columns).schema.fields, T.StructField(name, T.StringType())])
+    return encoded.select(*columns, F.col(ids_column).alias(ids)).mapInArrow(_decode_rows(vocabulary, name), schema)
 
 
 def _digest_rows(vocabulary: str):

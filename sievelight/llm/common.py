@@ -134,7 +134,12 @@ def hash_bound(share: float) -> int:
 
 def unused_names(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores in front as keep it clear of the columns of ``df``."""
-    taken = {c.lower() for c in df.columns}
+    return clear_names(df.columns, *names)
+
+
+def clear_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as keep it clear of ``columns`` and of one another."""
+    taken = {c.lower() for c in columns}
     out = []
     for name in names:
         while name.lower() in taken:

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -33,13 +32,54 @@ def test_round_trip_of_odd_texts(odd, odd_texts, reference):
 
 
 def test_long_texts_go_through_pieces(odd, odd_texts, reference):
-    rows = bpe.encode(odd, NAME, ["doc_id"], long_text=64).collect()
+    rows = bpe.encode(odd, NAME, ["doc_id"], long_text=64, part=16).collect()
     assert len(rows) == len(odd_texts)
     assert sorted((str(r.doc_id), list(r.ids)) for r in rows) == sorted(
         (str(d), ids_of(reference, t or "")) for d, t in odd_texts
     )
 
 
+def test_kept_columns_of_any_name(odd, odd_texts, reference):
+    docs = odd.withColumns({"piece": odd.doc_id, "kept": odd.text})
+    got = bpe.encode(docs, NAME, ["sha", "ids", "text", "piece"], long_text=64)
+    assert got.columns == ["sha", "ids", "text", "piece", "_ids"]
+    rows = got.collect()
+    assert len(rows) == len(odd_texts)
+    assert all(r["_ids"] == ids_of(reference, r.text or "") and r.ids == r.sha == "clash" for r in rows)
+    back = bpe.decode(got, NAME, ["ids", "text"], ids_column="_ids")
+    assert back.columns == ["ids", "text", "_text"]
+    assert all(r["_text"] == (r.text or "") for r in back.collect())
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_query_against_the_library(spark, reference):
+    """Every document of the query, whose own rows go through joins of both kinds."""
+    from sievelight.llm import queries
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sum(len(t) > bpe.PART for t in texts.values()) > len(texts) / 2
+    assert any(len(t) > bpe.LONG_TEXT for t in texts.values())
+    rows = queries.op3_bpe(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        ids = ids_of(reference, texts[r.doc_id])
+        back = reference.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+
+
+def test_joins_do_the_work_of_the_query(monkeypatch):
+    """Of a text of ordinary length every part is encoded by itself and every neighbour joined."""
+    calls = []
+    joined = bpe.join
+    monkeypatch.setattr(bpe, "join", lambda *a: calls.append(1) or joined(*a))
+    text = "one two three " * 700
+    assert bpe.encode_text(text, NAME) == bpe.codec(NAME).encode(text)
+    assert len(calls) == len(bpe.halves(text, bpe.PART)) - 1 > 10
+
+
 @pytest.mark.parametrize(
     "text",
     [
@@ -58,14 +98,19 @@ def test_long_texts_go_through_pieces(odd, odd_texts, reference):
 )
 @pytest.mark.parametrize("limit", [17, 64, 250])
 def test_unsplit_runs(text, limit, reference):
-    assert bpe.encode_long(text, NAME, limit).tolist() == ids_of(reference, text)
+    assert bpe.encode_text(text, NAME, limit) == ids_of(reference, text)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("abetionTHE  \n\t'sdlr.,!0129é—東́<|>")), max_size=400), st.integers(8, 60))
+@given(
+    st.lists(
+        st.sampled_from([*"abetionTHE  \n\t'sdlr.,!0129é—東́<|>", "<|endoftext|>", "'ll", "   ", "\U0001f600"]), max_size=400
+    ).map("".join),
+    st.integers(4, 60),
+)
 def test_any_text(text, limit):
     own = bpe.codec(NAME)
-    assert bpe.encode_long(text, NAME, limit).tolist() == own.slow.encode(text, add_special_tokens=False).ids
+    assert bpe.encode_text(text, NAME, limit) == own.slow.encode(text, add_special_tokens=False).ids
 
 
 def test_fast_and_slow_agree_on_all_usual_characters():
@@ -81,13 +126,11 @@ def test_decode(odd, odd_texts):
     assert sorted((str(r.doc_id), r.text) for r in rows) == sorted((str(d), t or "") for d, t in odd_texts)
 
 
-def test_cut_and_empty(none):
+def test_halves_and_empty(none):
     text = "ab cd " * 50 + "e" * 100 + " f"
-    parts = bpe.cut(text, 20)
-    assert "".join(p for p, _ in parts) == text and parts[0][1] and any(not safe for _, safe in parts)
-    assert bpe.cut("", 20) == [("", True)]
-    assert bpe.encode_long("", NAME).tolist() == []
-    assert np.array_equal(
-        bpe.join(np.zeros(0, np.uint32), np.ones(1, np.uint32), "", "x", None, None), np.ones(1, np.uint32)
-    )
+    parts = bpe.halves(text, 20)
+    assert "".join(parts) == text and 10 <= min(map(len, parts)) <= max(map(len, parts)) <= 20
+    assert bpe.halves("", 20) == [""]
+    assert bpe.encode_text("", NAME) == []
+    assert bpe.join(bpe.Side(b"", []), bpe.Side(b"x", [1]), None, None) == bpe.Side(b"x", [1])
     assert bpe.round_trip(none, NAME).count() == 0
