@@ -2,36 +2,41 @@
 
 For each language the n-grams that are common in it, and not much more common in
 another, go into a Bloom filter.  The filters of all languages are bit-sliced: a cell
-holds one bit for each language, so the conjunction of an n-gram's cells gives all
-languages that contain it.  The bits counted over a text's n-grams, corrected for each
-language's rate of false positives, decide.
+holds one bit for each language, in as many words as that takes, so the conjunction of
+an n-gram's cells gives all languages that contain it.  The bits counted over a text's
+n-grams, corrected for each language's rate of false positives, decide.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelight.llm.common import give_back, hash_bound, held_out, small_batches, unused_names, whole_text
+from sievelight.llm.common import clear_names, give_back, held_out, materialise, small_batches, whole_text
 
 UNDETERMINED = "und"
 GRAM = 4
 PROBES = 3
-#: Languages at most, one bit each; the most frequent ones are learned.
-MAX_LANGUAGES = 64
-#: Labelled documents at most from which a language is learned, and their characters.
+#: About so many labelled documents, and characters in them, a language is learned from at most.
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 4_000_000
+#: About so many characters are learned from at most in all; with very many languages each gets its part.
+ALL_CHARS = 256_000_000
 #: An n-gram belongs to a language if it occurs this often, and at this part of its highest rate in any.
 LEAST_COUNT = 3
 LEAST_SHARE = 0.5
+#: The most frequent n-grams of a language that are kept at most; of all languages together ALL_GRAMS.
+MOST_GRAMS = 1 << 18
+ALL_GRAMS = 1 << 24
 #: Texts that are looked at together.
 ROWS = 1024
 #: Characters that are held in arrays at a time.
@@ -59,64 +64,104 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case letters of a text, 0 for all else, and which of them are letters."""
+    low = _fold()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    return low, low > 0
+
+
+def _hashes(symbols: np.ndarray) -> np.ndarray:
+    """The hash of each run of GRAM symbols, one for each place where one begins."""
+    n = max(0, len(symbols) - GRAM + 1)
+    h = symbols[:n].copy()
+    for k in range(1, GRAM):
+        h = (h << np.uint64(16)) ^ (h >> np.uint64(43)) ^ symbols[k : n + k]
+    return _mix(h)
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the n-grams of texts, the text of each, and the number of letters in each text.
 
     Runs of other characters count as one space; a text begins and ends with one.
     """
-    codes = np.frombuffer("".join(f"\x00{t}\x00" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    low, letter = _symbols("".join(f"\x00{t}\x00" for t in texts))
     lengths = np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts))
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
-    low = _fold()[codes]
-    letter = low > 0
     letters = np.bincount(owner[letter], minlength=len(texts))
     keep = letter.copy()
-    keep[0] = True
+    keep[:1] = True
     keep[1:] |= letter[:-1] | (owner[1:] != owner[:-1])
     low, owner = low[keep].astype(np.uint64), owner[keep]
-    if len(low) < GRAM:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), letters
-    h = low[: len(low) - GRAM + 1].copy()
-    for k in range(1, GRAM):
-        h = (h << np.uint64(16)) ^ (h >> np.uint64(43)) ^ low[k : len(low) - GRAM + 1 + k]
-    inside = owner[: len(h)] == owner[GRAM - 1 :]
-    return _mix(h[inside]), owner[: len(h)][inside], letters
+    h = _hashes(low)
+    inside = owner[: len(h)] == owner[len(owner) - len(h) :]
+    return h[inside], owner[: len(h)][inside], letters
+
 
+def long_grams(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """The n-gram hashes and letters of one text, slice by slice; together they are those of :func:`grams`.
 
-def slices(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
-    """Parts of texts, at most about SLICE characters at a time, with each part's text; parts of a text overlap so that each n-gram is in one."""
-    held, owners, size = [], [], 0
+    What a slice leaves behind, its last symbols and whether it ended with a letter, goes into the next.
+    """
+    tail, after_letter = np.zeros(1, np.uint64), False  # the space that a text begins with
+    for start in range(0, len(text) + 1, SLICE):
+        part = text[start : start + SLICE]
+        low, letter = _symbols(part if start + SLICE <= len(text) else part + "\x00")
+        keep = letter.copy()
+        keep[:1] |= after_letter
+        keep[1:] |= letter[:-1]
+        symbols = np.concatenate([tail, low[keep].astype(np.uint64)])
+        yield _hashes(symbols), int(letter.sum())
+        tail, after_letter = symbols[max(0, len(symbols) - GRAM + 1) :], bool(letter[-1])
+
+
+def slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of n-grams, the text of each, and the letters that each text has here; about SLICE characters at a time."""
+    none = np.zeros(len(texts), np.int64)
+    held: list[int] = []
+    size = 0
     for k, text in enumerate(texts):
-        for start in range(0, max(1, len(text) - GRAM + 1), SLICE):
-            held.append(text[start : start + SLICE + GRAM - 1])
-            owners.append(k)
-            size += len(held[-1])
-            if size >= SLICE:
-                yield held, owners
-                held, owners, size = [], [], 0
+        if len(text) > SLICE:
+            for hashes, some in long_grams(text):
+                letters = none.copy()
+                letters[k] = some
+                yield hashes, np.full(len(hashes), k), letters
+            continue
+        held.append(k)
+        size += len(text)
+        if size >= SLICE:
+            yield _together(texts, held, none)
+            held, size = [], 0
     if held:
-        yield held, owners
+        yield _together(texts, held, none)
+
+
+def _together(texts: list[str], held: list[int], none: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hashes, part, some = grams([texts[k] for k in held])
+    letters = none.copy()
+    letters[held] = some
+    return hashes, np.asarray(held)[part], letters
 
 
 @dataclass
 class Model:
+    """cells has a row for each cell and a column for each 64 languages."""
+
     languages: list[str]
     cells: np.ndarray
     false_positive: np.ndarray
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text the n-grams found in each language, all n-grams, and letters."""
-        found = np.zeros((len(texts), len(self.languages)))
-        total, letters = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for parts, owners in slices(texts):
-            hashes, part, some = grams(parts)
-            owner = np.asarray(owners)
-            np.add.at(letters, owner, some)
-            np.add.at(total, owner, np.bincount(part, minlength=len(parts)))
+        n = len(texts)
+        found = np.zeros((n, len(self.languages)))
+        total, letters = np.zeros(n), np.zeros(n, np.int64)
+        for hashes, owner, some in slices(texts):
+            letters += some
+            total += np.bincount(owner, minlength=n)
             mask = lookup(self.cells, hashes)
             for k in range(len(self.languages)):
-                bit = (mask >> np.uint64(k)) & np.uint64(1)
-                np.add.at(found[:, k], owner, np.bincount(part, weights=bit, minlength=len(parts)))
+                bit = (mask[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)
+                found[:, k] += np.bincount(owner, weights=bit, minlength=n)
         return found, total, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -138,42 +183,71 @@ def places(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
 
 
 def lookup(cells: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The languages of each n-gram, as bits."""
-    mask = np.full(len(hashes), np.uint64(0xFFFFFFFFFFFFFFFF))
+    """The languages of each n-gram, as bits: a row of words each."""
+    mask = np.full((len(hashes), cells.shape[1]), np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in places(hashes, len(cells)):
         mask &= cells[at]
     return mask
 
 
-def build(samples: dict[str, list[str]]) -> Model:
-    """Filters from texts of each language; languages are held in the order of their names."""
-    languages = sorted(samples)
-    known, rates = [], []
-    for name in languages:
-        parts = [grams(held)[0] for held, _ in slices(samples[name])]
-        hashes, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
-        often = counts >= LEAST_COUNT
-        known.append(hashes[often])
-        rates.append(counts[often] / max(1, counts.sum()))
-    every = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
-    table = np.zeros((len(languages), len(every)))
-    for k, (hashes, rate) in enumerate(zip(known, rates, strict=True)):
-        table[k, np.searchsorted(every, hashes)] = rate
-    member = (table > 0) & (table >= LEAST_SHARE * table.max(axis=0, initial=0))
-    size = 1 << max(10, math.ceil(math.log2(8 * max(1, int(member.sum(axis=1).max(initial=0))))))
-    cells = np.zeros(size, np.uint64)
-    for k in range(len(languages)):
-        for at in places(every[member[k]], size):
-            np.bitwise_or.at(cells, at, np.uint64(1 << k))
-    fill = np.array([float(((cells >> np.uint64(k)) & np.uint64(1)).mean()) for k in range(len(languages))])
+def build(known: dict[str, tuple[np.ndarray, np.ndarray, int]]) -> Model:
+    """Filters from each language's n-grams, their counts and the number of all its n-grams; languages are held by name."""
+    languages = sorted(known)
+    rates = [known[name][1] / max(1, known[name][2]) for name in languages]
+    every = np.unique(np.concatenate([known[name][0] for name in languages])) if known else np.zeros(0, np.uint64)
+    at = [np.searchsorted(every, known[name][0]) for name in languages]
+    highest = np.zeros(len(every))
+    for k, rate in zip(at, rates, strict=True):
+        np.maximum.at(highest, k, rate)
+    members = [every[k[rate >= LEAST_SHARE * highest[k]]] for k, rate in zip(at, rates, strict=True)]
+    size = 1 << max(10, math.ceil(math.log2(8 * max([1, *map(len, members)]))))
+    cells = np.zeros((size, max(1, -(-len(languages) // 64))), np.uint64)
+    fill = np.zeros(len(languages))
+    for k, own in enumerate(members):
+        word, bit = k // 64, np.uint64(1 << k % 64)
+        for place in places(own, size):
+            np.bitwise_or.at(cells[:, word], place, bit)
+        fill[k] = ((cells[:, word] & bit) > 0).mean()
     return Model(languages, cells, fill**PROBES)
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each n-gram occurs in the texts of each language here, and under a null one how many do."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+    waiting: dict[str, int] = defaultdict(int)
+
+    def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        every, back = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        return every, np.bincount(back, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
+    for batch in batches:
+        for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for hashes, _, _ in slices([text]):
+                held[lang].append(np.unique(hashes, return_counts=True))
+                waiting[lang] += len(held[lang][-1][0])
+            if waiting[lang] > SLICE:
+                held[lang], waiting[lang] = [merge(held[lang])], 0
+    for lang, parts in held.items():
+        hashes, counts = merge(parts)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([lang] * (len(hashes) + 1), pa.string()),
+                pa.array([*hashes.view(np.int64).tolist(), None], pa.int64()),
+                pa.array([*counts.tolist(), int(counts.sum())], pa.int64()),
+            ],
+            names=["lang", "gram", "n"],
+        )
+
+
 def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id") -> Model:
-    """Learns from at most ``SAMPLE_DOCS`` documents of each of at most ``MAX_LANGUAGES`` languages.
+    """Learns every language from a bounded sample of its documents.
 
     Only documents that are not held out and have a language and a text are read; which
-    of them, hashes of their ids and texts say.  With none, every prediction is undetermined.
+    of them, hashes of their ids and texts say: about as many as ``SAMPLE_DOCS`` and
+    ``SAMPLE_CHARS`` let a language have.  Their n-grams are counted by the executors, and
+    only those that occur ``LEAST_COUNT`` times come to the driver, ``MOST_GRAMS`` of a
+    language and ``ALL_GRAMS`` of all at most.  With no such document every prediction is
+    undetermined.
     """
     rows = docs.filter(
         ~held_out(id_column) & F.col(id_column).isNotNull() & F.col(
@@ -185,25 +259,39 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
         F.col(text_column).cast("string").alias("text"),
         F.xxhash64(id_column, text_column).alias("h"),
     )
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    wanted = F.lit(False)
-    for lang, n in sizes:
-        wanted |= (F.col("lang") == lang) & (F.col("h") <= hash_bound(SAMPLE_DOCS / n))
-    samples: dict[str, list[str]] = {lang: [] for lang, _ in sizes}
-    chars = dict.fromkeys(samples, 0)
-    picked = rows.filter(wanted).limit(2 * SAMPLE_DOCS * max(1, len(sizes))).select("lang", "text", "h")
-    for row in sorted(picked.toLocalIterator(), key=lambda r: r["h"]):
-        if chars[row["lang"]] < SAMPLE_CHARS:
-            samples[row["lang"]].append(row["text"])
-            chars[row["lang"]] += len(row["text"])
-    return build({lang: texts for lang, texts in samples.items() if texts})
+    sizes = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")), "lang-sizes")
+    languages = sizes.count()
+    if not languages:
+        return build({})
+    chars = min(SAMPLE_CHARS, max(1, ALL_CHARS // languages))
+    # From 0 to 1, where h lies among all hashes; a join, as a condition for each language would grow with them.
+    share = F.least(F.lit(1.0), SAMPLE_DOCS / F.col("n"), chars / F.greatest("chars", F.lit(1)))
+    picked = rows.join(F.broadcast(sizes) if languages <= 100_000 else sizes, "lang").filter(
+        (F.col("h") / 2.0**64 + 0.5) <= share
+    )
+    parts = min(4 * languages, docs.sparkSession.sparkContext.defaultParallelism)
+    counted = picked.select("lang", "text", "h").repartition(parts, "lang", F.pmod("h", F.lit(4))).select("lang", "text")
+    counted = counted.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = materialise(counted.filter(F.col("gram").isNull() | (F.col("n") >= LEAST_COUNT)), "lang-grams")
+    most = min(MOST_GRAMS, max(1, ALL_GRAMS // languages))
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    kept = counted.filter("gram is not null").withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most)
+    own = dict(iter(kept.select("lang", "gram", "n").toPandas().groupby("lang")))
+    none = pd.DataFrame({"gram": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+    found = {}
+    for lang, every in counted.filter("gram is null").select("lang", "n").collect():
+        some = own.get(lang, none)
+        found[lang] = some["gram"].to_numpy(np.int64).view(np.uint64), some["n"].to_numpy(np.int64), every
+    return build(found)
 
 
 def identify(docs: DataFrame, model: Model, columns: list[str], text_column: str = "text") -> DataFrame:
     """``columns`` of every row, lang_pred and score (0 to 1).
 
     A null text, or one without letters, is undetermined with score 0.  Equal texts get
-    equal results; ids, labels and row order play no part.
+    equal results; ids, labels and row order play no part.  Where a kept column is called
+    lang_pred or score already, the result's column has underscores in front; the two
+    results are always the last columns.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -217,6 +305,7 @@ def identify(docs: DataFrame, model: Model, columns: list[str], text_column: str
             yield pd.DataFrame({"lang_pred": names, "score": np.concatenate([s for _, s in parts] or [np.zeros(0)])})
         give_back()
 
-    (found,) = unused_names(docs, "found")
+    (found,) = clear_names(docs.columns, "found")
+    lang, score = clear_names(columns, "lang_pred", "score")
     told = small_batches(docs).withColumn(found, predict(whole_text(text_column)))
-    return told.select(*columns, F.col(f"{found}.lang_pred").alias("lang_pred"), F.col(f"{found}.score").alias("score"))
+    return told.select(*columns, F.col(f"{found}.lang_pred").alias(lang), F.col(f"{found}.score").alias(score))
