@@ -18,7 +18,8 @@ VOCABULARY = "byte_bpe_50k.json"
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without letters, or without an n-gram of any learned language, go."""
     found = language_id.identify(docs, language_id.train(docs), docs.columns)
-    return found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") > 0)).select(*docs.columns)
+    lang, score = found.columns[-2:]
+    return found.filter((F.col(lang) != language_id.UNDETERMINED) & (F.col(score) > 0)).select(*docs.columns)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
