@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelight.llm.common import held_out, whole_text
+from sievelight.llm.common import clear_names, held_out, materialise, whole_text
 
 #: Labelled documents at most of each label: half for the dictionaries, half for the curve.
 SAMPLE_DOCS = 2000
@@ -132,7 +132,10 @@ def train(
     """Learns from labelled documents that are not held out, at most ``SAMPLE_DOCS`` of each label.
 
     A document with both labels is left out, as are null ids and labels other than 0 and
-    1.  Which documents are taken, hashes of their ids say.  With none of a label its
+    1.  Which documents are taken, hashes of their ids say: of each label the first in their
+    order, as long as texts come to ``SAMPLE_BYTES`` at most; one that would go beyond is
+    passed over.  Of rows that repeat an id the one with the least hash of its text counts.
+    So the model is the same in whatever order rows arrive.  With none of a label its
     dictionary is empty.
     """
     marked = labels.filter(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(id_column))
@@ -148,16 +151,24 @@ def train(
     chosen = F.broadcast(spark.createDataFrame([tuple(r) for r in picked], "id long, y int, h long"))  # 2 * SAMPLE_DOCS rows at most
     rows = docs.select(
         F.col(id_column).cast("long").alias("id"), whole_text(text_column).alias("text")
-    ).join(chosen, "id")
-    held: dict[int, list[tuple[int, str]]] = {0: [], 1: []}
-    used = {0: 0, 1: 0}
-    for row in rows.limit(4 * SAMPLE_DOCS).toLocalIterator():
-        if row["text"] and used[row["y"]] < SAMPLE_BYTES:
-            held[row["y"]].append((row["h"], row["text"]))
-            used[row["y"]] += len(row["text"])
-    halves = {y: (sorted(pairs)[::2], sorted(pairs)[1::2]) for y, pairs in held.items()}
-    model = Model(dictionary([t for _, t in halves[1][0]]), dictionary([t for _, t in halves[0][0]]), 0.0, 0.0)
-    texts = [(t, y) for y in (0, 1) for _, t in halves[y][1]]
+    ).filter("text <> ''").join(chosen, "id")
+    rows = materialise(
+        rows.groupBy("y", "h", "id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")),
+        "quality-sample",
+    )
+    # Sizes come first, so that no more text than is learned from ever comes to the driver.
+    used, wanted = {0: 0, 1: 0}, []
+    for y, h, k, size in sorted(rows.select("y", "h", "id", F.octet_length("text")).collect()):
+        if used[y] + size <= SAMPLE_BYTES:
+            used[y] += size
+            wanted.append((y, h, k))
+    wanted = F.broadcast(spark.createDataFrame(wanted, "y int, h long, id long"))
+    held: dict[int, list[tuple[int, int, str]]] = {0: [], 1: []}
+    for row in rows.join(wanted, ["y", "h", "id"]).collect():
+        held[row["y"]].append((row["h"], row["id"], row["text"]))
+    halves = {y: (sorted(rows)[::2], sorted(rows)[1::2]) for y, rows in held.items()}
+    model = Model(dictionary([t for *_, t in halves[1][0]]), dictionary([t for *_, t in halves[0][0]]), 0.0, 0.0)
+    texts = [(t, y) for y in (0, 1) for *_, t in halves[y][1]]
     x = np.array([model.difference(t) for t, _ in texts], float)
     model.slope, model.intercept = calibrate(
         x, np.array([y for _, y in texts], float), counts.get(1, 0) / max(1, sum(counts.values()))
@@ -168,8 +179,10 @@ def train(
 def score(docs: DataFrame, model: Model, columns: list[str], text_column: str = "text") -> DataFrame:
     """``columns`` of every row, score (0 to 1) and predicted (1 from ``THRESHOLD``).
 
-    A null or empty text has no difference and gets the curve's value there.
+    A null or empty text has no difference and gets the curve's value there.  If a kept
+    column is called score or predicted already, the result's has underscores in front.
     """
+    names = clear_names(columns, "score", "predicted", "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +194,9 @@ def score(docs: DataFrame, model: Model, columns: list[str], text_column: str =
                     pa.array(s, pa.float64()),
                     pa.array((s >= THRESHOLD).astype(np.int32), pa.int32()),
                 ],
-                names=[*batch.schema.names[:-1], "score", "predicted"],
+                names=[*batch.schema.names[:-1], *names[:2]],
             )
 
-    schema = docs.select(*columns).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    return docs.select(*columns, whole_text(text_column).alias("__text")).mapInArrow(run, schema)
+    results = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
+    schema = T.StructType([*docs.select(*columns).schema.fields, *results])
+    return docs.select(*columns, whole_text(text_column).alias(names[2])).mapInArrow(run, schema)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -59,7 +61,72 @@ def test_held_out_labels_play_no_part(spoken):
     lied = spoken.withColumn(
         "lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, "lie").otherwise(F.col("lang"))
     )
-    assert np.array_equal(li.train(lied).cells, li.train(spoken).cells)
+    one, two = li.train(lied), li.train(spoken)
+    assert np.array_equal(one.cells, two.cells) and one.languages == two.languages
+
+
+def test_order_and_partitions_play_no_part(spoken):
+    one, two = li.train(spoken), li.train(spoken.repartition(7).orderBy(F.rand(3)))
+    assert np.array_equal(one.cells, two.cells)
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    """Each of 70 languages has words of its own, the rarest only a few documents."""
+    rng = random.Random(8)
+    lexicon = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for k in range(70)}
+    rows = [
+        (None if i >= 6 else 100 * n + i, " ".join(rng.choice(own) for _ in range(80)), lang if i < 6 else None, "x", "x")
+        for n, (lang, own) in enumerate(lexicon.items())
+        for i in range(8 if n else 30)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, lang_pred string")
+    model = li.train(docs)
+    assert model.languages == sorted(lexicon) and model.cells.shape[1] == 2
+    got = li.identify(docs, model, docs.columns)
+    assert got.columns == [*docs.columns, "_lang_pred", "_score"]
+    rows = got.collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r.text.split()[0] in lexicon[r["_lang_pred"]] and (r.score, r.lang_pred) == ("x", "x")
+    assert li.identify(docs, model, ["doc_id"]).columns == ["doc_id", "lang_pred", "score"]
+
+
+def test_ids_at_both_ends(spark):
+    rows = [(k, speak("one", k % 7), "one") for k in (-(2**63), 2**63 - 1, *range(20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, abs(k) % 2, 0) for k, *_ in rows], "doc_id long, quality int, toxic int")
+    assert li.identify(docs, li.train(docs), ["doc_id"]).filter("lang_pred = 'one'").count() == len(rows)
+    assert quality.score(docs, quality.train(docs, labels), ["doc_id"]).count() == len(rows)
+
+
+def strings_of(text):
+    """The n-grams of a text, as strings, by the definition alone."""
+    low = ["".join(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text]
+    line = " " + "".join(low) + " "
+    while "  " in line:
+        line = line.replace("  ", " ")
+    return [line[k : k + li.GRAM] for k in range(len(line) - li.GRAM + 1)]
+
+
+def test_counts_against_brute_force(spoken):
+    """Which n-grams belong to which language, and how many of a text's do, counted with strings and dictionaries."""
+    taken = [r for r in spoken.collect() if r.lang and r.text and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    occur = {lang: Counter(g for r in taken if r.lang == lang for g in strings_of(r.text)) for lang in SPEECH}
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items() if n >= li.LEAST_COUNT} for lang, c in occur.items()}
+    own = {
+        lang: {g for g, x in some.items() if x >= li.LEAST_SHARE * max(r.get(g, 0) for r in rate.values())}
+        for lang, some in rate.items()
+    }
+    model = li.train(spoken)
+    texts = [speak("one", 500), speak("two", 501, 7), "Ab1cD éß東  京!", "", "x", "ǅ İstanbul"]
+    found, total, letters = model.counts(texts)
+    for k, text in enumerate(texts):
+        held = strings_of(text)
+        assert total[k] == len(held) and letters[k] == sum(c.isalpha() for c in text)
+        for j, lang in enumerate(model.languages):
+            hits = sum(g in own[lang] for g in held)
+            # A Bloom filter misses nothing; what it finds beyond is as rare as its rate says.
+            assert hits <= found[k, j] <= hits + 5 + 4 * model.false_positive[j] * len(held)
 
 
 def test_slices_don_t_change_counts(spoken, monkeypatch):
@@ -68,19 +135,28 @@ def test_slices_don_t_change_counts(spoken, monkeypatch):
     whole = model.counts(texts)
     monkeypatch.setattr(li, "SLICE", 50)
     parts = model.counts(texts)
-    assert np.array_equal(whole[2][:1] > 0, parts[2][:1] > 0)
-    # A slice begins and ends like a text, so at most a few n-grams at each seam differ.
-    assert abs(whole[1] - parts[1]).max() <= 4 * (max(map(len, texts)) / 50 + 1)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(li, "SLICE", size)
+        for text in ("a", "ab1", "  ab  cd--e", "...", "abc def ghi", "a" * 21):
+            hashes, letters = zip(*li.long_grams(text), strict=True)
+            once = li.grams([text])
+            assert np.array_equal(np.concatenate(hashes), once[0]) and sum(letters) == once[2][0]
 
 
 def test_filters_hold_every_gram_and_few_others():
-    model = li.build({k: [speak(k, s) for s in range(20)] for k in SPEECH})
+    model = li.build(
+        {
+            k: (*np.unique(li.grams([speak(k, s) for s in range(20)])[0], return_counts=True), 20 * 300)
+            for k in SPEECH
+        }
+    )
     rng = np.random.default_rng(1)
     strange = li.lookup(model.cells, rng.integers(0, 2**64, 20_000, dtype=np.uint64))
     for k, rate in enumerate(model.false_positive):
-        assert 0 < rate < 0.05 and abs(((strange >> np.uint64(k)) & np.uint64(1)).mean() - rate) < 0.005
+        assert 0 < rate < 0.05 and abs(((strange[:, 0] >> np.uint64(k)) & np.uint64(1)).mean() - rate) < 0.005
     known = li.grams([speak("one", 0)])[0]
-    assert ((li.lookup(model.cells, known) & np.uint64(1)) == 1).mean() > 0.9
+    assert ((li.lookup(model.cells, known)[:, 0] & np.uint64(1)) == 1).mean() > 0.9
     assert li.build({}).predict(["abc"])[0] == ["und"]
 
 
@@ -100,6 +176,53 @@ def test_quality_on_held_out_documents(spark):
     assert (got.predicted == got.quality).mean() > 0.9
 
 
+def test_quality_model_is_the_same_in_any_order(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    repeated = docs.unionByName(docs.filter("doc_id % 5 = 0").withColumn("text", F.concat("text", F.lit(" again"))))
+    one = quality.train(repeated, labels)
+    two = quality.train(repeated.repartition(9).orderBy(F.rand(1)), labels.orderBy(F.rand(2)))
+    assert (one.good, one.bad) == (two.good, two.bad) and len(one.good) > 1000
+    assert (one.slope, one.intercept) == pytest.approx((two.slope, two.intercept), rel=1e-9)
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 5000)
+    docs = spark.createDataFrame(
+        [(k, speak("one", k, 100), "c") for k in range(80)] + [(500, speak("one", 1, 10_000), "c")], "doc_id long, text string, score string"
+    )
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in [*range(80), 500]], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    assert 0 < len(model.good) <= 5000 and 0 < len(model.bad) <= 5000
+    got = quality.score(docs, model, ["score", "doc_id"])
+    assert got.columns == ["score", "doc_id", "_score", "predicted"]
+    assert {(r.score, 0 <= r["_score"] <= 1) for r in got.collect()} == {("c", True)}
+
+
+def test_scores_against_sizes_computed_anew(spark):
+    """Differences of compressed sizes, without the operator's compressors, and the curve over them."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    sizes = []
+    for raw in (model.good, model.bad):
+        sizes.append(
+            zstandard.ZstdCompressor(
+                level=quality.LEVEL,
+                dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                write_content_size=False, write_checksum=False, write_dict_id=False,
+            )
+        )
+    rows = quality.score(docs, model, ["text"]).filter("length(text) < 4000").limit(60).collect()
+    for r in rows:
+        data = r.text.encode()
+        cuts = range(0, len(data), quality.BLOCK_BYTES)
+        good, bad = (sum(len(c.compress(data[k : k + quality.BLOCK_BYTES])) for k in cuts) for c in sizes)
+        x = (bad - good) / (bad + good) if data else 0.0
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(model.slope * x + model.intercept))), abs=1e-6)
+
+
 def test_quality_of_odd_texts(spark, odd, none):
     labels = spark.createDataFrame(
         [(4, 1, 0), (9, 1, 0), (12, 0, 0), (15, 0, 0), (9, 0, 0), (None, 1, 0), (5, None, 0)],
