@@ -134,8 +134,12 @@ def maybe_repeated(df: DataFrame, level: np.ndarray, hash_column: str) -> Column
 
 
 def _better(n: str, doc: str, row: str | None = None) -> Column:
-    """The order of the rows of a group: most code points, then the smallest id, null last."""
-    return F.struct(F.col(n), (-F.col(doc)).alias("by_id"), *([(-F.col(row)).alias("by_row")] if row else []))
+    """The order of the rows of a group: most code points, then the smallest id, null last.
+
+    A bitwise not turns the order of all longs round; a minus would overflow at the least one.
+    """
+    turned = lambda name: F.bitwise_not(F.col(name).cast("long"))
+    return F.struct(F.col(n), turned(doc).alias("by_id"), *([turned(row).alias("by_row")] if row else []))
 
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -175,7 +179,9 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     groups = materialise(
         again.groupBy("sha").agg(F.count(F.lit(1)).alias("size"), F.max(_better("n", "doc_id", "row")).alias("best")),
         "exact-groups",
-    ).select("sha", "size", (-F.col("best.by_id")).alias("best_id"), (-F.col("best.by_row")).alias("best_row"))
+    ).select(
+        "sha", "size", F.bitwise_not("best.by_id").alias("best_id"), F.bitwise_not("best.by_row").alias("best_row")
+    )
     return alone.unionByName(
         result(again.join(groups, "sha"), F.col("best_id"), F.col("size"), F.col("row") == F.col("best_row"))
     )

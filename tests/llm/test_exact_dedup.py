@@ -58,3 +58,14 @@ def test_query_agrees_with_sql(spark):
             ).fetchall()
         )
     assert sorted(tuple(r) for r in queries.op9_exact_dedup(spark, sf).collect()) == want
+
+
+def test_ids_at_both_ends(spark):
+    low, high = -(2**63), 2**63 - 1
+    rows = [(low, "a b"), (high, "a b"), (0, "ab "), (low, "one"), (high, "two"), (None, "a\tb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text_sha256): r for r in ed.exact_duplicates(docs).collect()}
+    want = truth(rows)
+    assert len(got) == len(rows)
+    assert all((r.keep_id, r.group_size, r.kept) == (*want[sha], doc == want[sha][0]) for (doc, sha), r in got.items())
+    assert sorted(ed.drop_exact_duplicates(docs).select("doc_id").toPandas().doc_id.tolist()) == [low, low, high]
