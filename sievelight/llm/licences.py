@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sievelight.llm.common import whole_text
+from sievelight.llm.common import clear_names, whole_text
 
 #: The phrases of the base and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -167,8 +167,10 @@ def scan_licences(docs: DataFrame, columns: list[str], text_column: str = "text"
     """``columns`` of every row and what :func:`scan` finds in its whole text.
 
     The score is the least freedom that the licences stated in the text grant, 0 where
-    none is stated.  Null text counts as empty: no words, labels or places.
+    none is stated.  Null text counts as empty: no words, labels or places.  Where a kept
+    column has the name of a result, the result's has underscores in front.
     """
+    *names, text = clear_names(columns, *(name for name, _ in RESULT), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
@@ -176,10 +178,9 @@ def scan_licences(docs: DataFrame, columns: list[str], text_column: str = "text"
             found = [scan(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             out = [pa.array(v, k) for v, k in zip(zip(*found, strict=True) if found else [[]] * 7, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *out], names=[*batch.schema.names[:-1], *(name for name, _ in RESULT)]
+                [*batch.columns[:-1], *out], names=[*batch.schema.names[:-1], *names]
             )
 
-    schema = docs.select(*columns).schema
-    for name, kind in RESULT:
-        schema = schema.add(name, kind)
-    return docs.select(*columns, whole_text(text_column).alias("__text")).mapInArrow(run, schema)
+    fields = [T.StructField(name, kind) for name, (_, kind) in zip(names, RESULT, strict=True)]
+    schema = T.StructType([*docs.select(*columns).schema.fields, *fields])
+    return docs.select(*columns, whole_text(text_column).alias(text)).mapInArrow(run, schema)
