@@ -15,8 +15,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read_table(spark, sf_dir, "documents"))
 
 
+#: Session setting that names a ledger to go on with; a run scans what it doesn't hold.  Unset: a new one.
+LEDGER_SETTING = "spark.sievelight.secrets.ledger"
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_report(documents(spark, sf_dir))
+    return secrets.secret_report(documents(spark, sf_dir), spark.conf.get(LEDGER_SETTING, None))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,21 +84,33 @@ def _either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
 
+#: The base patterns as the contract has them, in its order, with group and least length; then the added ones.
+_SECRET_PATTERNS = (
+    (
+        "assign",
+        """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        6,
+    ),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+)
+
+
 def _secrets_sql() -> str:
-    """Spans from what lies between matches; DuckDB's own case folding would reach beyond A-Z."""
-    patterns = {r.kind: r.pattern for r in secrets.RULES}
-    words = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
-    patterns["assign"] = patterns["assign"].replace("(?i:password|passwd|secret|token|api_?key)", words)
+    """Spans from what lies between matches; letters in either case are spelled out, as DuckDB's own folding would reach beyond A-Z."""
     found = []
-    for place, rule in enumerate(secrets.RULES):
-        pattern = patterns[rule.kind].replace("'", "''")
-        keep = f"length(regexp_extract(m[i], '{pattern}', {rule.group})) >= {rule.least}" if rule.least else "true"
+    for place, (kind, pattern, group, least) in enumerate(_SECRET_PATTERNS):
+        pattern = pattern.replace("'", "''")
         found.append(f"""
-            SELECT r, '{rule.kind}' AS kind, {place} AS place, CAST(list_sum([length(x) for x in b[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS BIGINT) AS s, length(m[i]) AS n
-            FROM (SELECT r, regexp_extract_all(text, '{pattern}', 0) AS m, string_split_regex(text, '{pattern}') AS b FROM t), unnest(range(1, len(m) + 1)) u(i) WHERE {keep}""")
+            SELECT r, '{kind}' AS kind, {place} AS place, CAST(list_sum([length(x) for x in b[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS BIGINT) AS s, length(m[i]) AS n
+            FROM (SELECT r, regexp_extract_all(text, '{pattern}', 0) AS m, string_split_regex(text, '{pattern}') AS b FROM t), unnest(range(1, len(m) + 1)) u(i)
+            WHERE length(regexp_extract(m[i], '{pattern}', {group})) >= {least}""")
     spans = " UNION ALL ".join(found)
-    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE)
-    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
+    base = "'assign', 'access', 'hex'"
+    counts = ", ".join(f"count(*) FILTER (kind = {kind}) AS n_{kind[1:-1]}" for kind in base.split(", "))
     written = "string_agg(kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(s + n AS VARCHAR), ',' ORDER BY s, place)"
     return f"""
         WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), f AS MATERIALIZED ({spans})

@@ -47,18 +47,51 @@ RULES = (
     *BASE, Rule("pem", 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), Rule("github", 1, "gh[pousr]_[A-Za-z0-9]{36,}")
 )
 
-#: Matches that are walked as one block.
+#: Elements of an array that are walked as one block.
 SPAN_BLOCK = 256
+#: Code points of a block in which a long text is cut before parts of it are taken.
+TEXT_BLOCK = 4096
 _SPANS = "array<struct<start:int,end:int>>"
+_PLACE = "struct<start:int,end:int,kept:boolean>"
 LEDGER = f"blob binary, kind string, version int, spans {_SPANS}"
 
 
+def running(elements: Column, zero: Column, step, state, like: Column) -> Column:
+    """For each element ``step(state before it, element)``, where ``state`` takes the state from the last result.
+
+    The array is walked block by block: one that grows by an element at a time would be
+    copied as often as it has elements.  ``like`` is a value of the result's type.
+    """
+    none = F.filter(F.array(like), lambda _: F.lit(False))
+
+    def one(at: Column, element: Column) -> Column:
+        new = step(at["state"], element)
+        return F.struct(state(new).alias("state"), F.concat(at["out"], F.array(new)).alias("out"))
+
+    def block(at: Column, k: Column) -> Column:
+        here = F.slice(at["elements"], k * SPAN_BLOCK + 1, F.lit(SPAN_BLOCK))
+        now = F.aggregate(here, F.struct(at["now"]["state"].alias("state"), none.alias("out")), one)
+        return F.struct(
+            at["elements"].alias("elements"),
+            now.alias("now"),
+            F.concat(at["done"], F.array(at["now"]["out"])).alias("done"),
+        )
+
+    start = F.struct(
+        elements.alias("elements"),
+        F.struct(zero.alias("state"), none.alias("out")).alias("now"),
+        F.filter(F.array(none), lambda _: F.lit(False)).alias("done"),
+    )
+    blocks = F.sequence(F.lit(0), F.floor(F.size(elements) / SPAN_BLOCK).cast("int"))
+    return F.aggregate(
+        blocks, start, block, lambda at: F.flatten(F.concat(at["done"], F.array(at["now"]["out"])))
+    )
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """Where the rule's matches start and end, in code points.
 
-    The lengths of the matches and of what lies between them add up to the places.  They
-    are walked block by block, as an array that grows by one element at a time would be
-    copied as often as there are matches.
+    The lengths of the matches and of what lies between them add up to the places.
     """
     between = F.split(text, rule.pattern, -1)
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -71,29 +104,16 @@ def spans(text: Column, rule: Rule) -> Column:
             F.length(gap).alias("gap"), F.coalesce(F.length(match), F.lit(0)).alias("n"), kept.alias("kept")
         )
 
-    def match(at: Column, p: Column) -> Column:
-        start = at["at"] + p["gap"]
-        new = F.array(F.struct(start.alias("start"), (start + p["n"]).alias("end")))
-        held = F.when(p["kept"], F.concat(at["spans"], new)).otherwise(at["spans"])
-        return F.struct((start + p["n"]).alias("at"), held.alias("spans"))
-
-    def block(held: Column, k: Column) -> Column:
-        none = F.array().cast(_SPANS)
-        here = F.slice(held["pairs"], k * SPAN_BLOCK + 1, F.lit(SPAN_BLOCK))
-        now = F.aggregate(here, F.struct(held["now"]["at"].alias("at"), none.alias("spans")), match)
-        done = F.concat(held["done"], F.array(held["now"]["spans"]))
-        return F.struct(held["pairs"].alias("pairs"), now.alias("now"), done.alias("done"))
+    def place(at: Column, p: Column) -> Column:
+        start = at + p["gap"]
+        return F.struct(start.alias("start"), (start + p["n"]).alias("end"), p["kept"].alias("kept"))
 
-    start = F.struct(
-        F.zip_with(found, between, pair).alias("pairs"),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans")).alias("now"),
-        F.array().cast(f"array<{_SPANS}>").alias("done"),
+    pairs = F.zip_with(found, between, pair)
+    walked = running(pairs, F.lit(0), place, lambda one: one["end"], F.struct(F.lit(0), F.lit(0), F.lit(False)).cast(_PLACE))
+    kept = F.transform(
+        F.filter(walked, lambda one: one["kept"]), lambda one: F.struct(one["start"].alias("start"), one["end"].alias("end"))
     )
-    blocks = F.sequence(F.lit(0), F.floor((F.regexp_count(text, F.lit(rule.pattern))) / SPAN_BLOCK).cast("int"))
-    walked = F.aggregate(
-        blocks, start, block, lambda held: F.flatten(F.concat(held["done"], F.array(held["now"]["spans"])))
-    )
-    return F.when(text.rlike(rule.pattern), walked).otherwise(F.array().cast(_SPANS))
+    return F.when(text.rlike(rule.pattern), kept).otherwise(F.array().cast(_SPANS))
 
 
 def blob(text_column: str = "text") -> Column:
@@ -141,7 +161,9 @@ def findings(
     """All columns of ``docs`` and ``findings``: array of (start, place of the rule, kind, end), ordered.
 
     Null text counts as empty and has none.  Rows that repeat a text share one scan;
-    every row gets its own result.  Without ``ledger_path`` the ledger is a new one.
+    every row gets its own result.  Without ``ledger_path`` the ledger is a new one.  Runs
+    that append to a ledger at the same time may both scan a pair: what it holds twice counts
+    once.
     """
     address, found = unused_names(docs, "blob", "findings")
     ledger = update_ledger(
@@ -161,7 +183,7 @@ def findings(
     )
     # Written, so that both sides of the join have an exchange of their own and a blob of very many documents can be split.
     hits = materialise(
-        hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(one))).alias(found)), "secrets-found"
+        hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set(one))).alias(found)), "secrets-found"
     ).withColumnRenamed("blob", address)
     joined = docs.withColumn(address, blob(text_column)).join(hits, address, "left")
     return joined.select(
@@ -198,21 +220,54 @@ def redact(
     mark: str = "[secret]",
     text_column: str = "text",
 ) -> DataFrame:
-    """``docs`` with every found span replaced by ``mark``; texts without any stay as they are, null ones too."""
+    """``docs`` with every found span replaced by ``mark``; texts without any stay as they are, null ones too.
+
+    Spans that overlap are replaced together, those that touch each on their own.  Rows need
+    no ids; those that repeat one another are cleaned alike.
+    """
     held = findings(docs, ledger_path, rules, text_column)
     name = held.columns[-1]
-    text = F.col(text_column)
+    cleaned = _without(F.col(text_column), F.col(name), mark)
+    return held.withColumn(
+        text_column, F.when(F.size(name) > 0, cleaned).otherwise(F.col(text_column))
+    ).select(*docs.columns)
 
-    def step(done: Column, s: Column) -> Column:
-        later = s["end"] > done["at"]
-        kept = F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(done["at"], s["end"]).alias("at"),
-            F.when(later, F.concat(done["out"], kept, F.lit(mark))).otherwise(done["out"]).alias("out"),
+
+def _without(text: Column, found: Column, mark: str) -> Column:
+    """``text`` with ``mark`` for each stretch that ordered spans cover together.
+
+    The text is cut into blocks once; what is kept between two stretches is taken from the
+    blocks that it lies in, so a place far on in the text costs no more than one at its front.
+    """
+    whole = F.concat(found.cast("array<struct<start:int,place:int,kind:string,end:int>>"), F.array(
+        F.struct(F.length(text).alias("start"), F.lit(0).alias("place"), F.lit("").alias("kind"), F.length(text).alias("end"))
+    ))
+
+    def gap(at: Column, s: Column) -> Column:
+        """From where all spans before have ended to where this one begins."""
+        return F.struct(at.alias("a"), s["start"].alias("b"), F.greatest(at, s["end"]).alias("end"))
+
+    like = F.struct(F.lit(0), F.lit(0), F.lit(0)).cast("struct<a:int,b:int,end:int>")
+    gaps = running(whole, F.lit(0), gap, lambda g: g["end"], like)
+    # A gap of no length between two spans that touch stays, one before a span that begins inside another goes.
+    gaps = F.filter(gaps, lambda g: g["b"] >= g["a"])
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+
+    def part(blocks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / TEXT_BLOCK).cast("int"), F.floor(b / TEXT_BLOCK).cast("int")
+        block = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+        from_, to = a - first * TEXT_BLOCK, b - last * TEXT_BLOCK
+        return F.when(first == last, F.substring(block(first), from_ + 1, to - from_)).otherwise(
+            F.concat(
+                F.substring(block(first), from_ + 1, F.lit(TEXT_BLOCK)),
+                F.array_join(F.slice(blocks, first + 2, last - first - 1), ""),
+                F.substring(block(last), F.lit(1), to),
+            )
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cleaned = F.aggregate(
-        name, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    # Bound as fields of one element, so that they are made once and not for each gap.
+    bound = F.array(F.struct(blocks.alias("blocks"), gaps.alias("gaps")))
+    joined = F.transform(
+        bound, lambda x: F.array_join(F.transform(x["gaps"], lambda g: part(x["blocks"], g["a"], g["b"])), mark)
     )
-    return held.withColumn(text_column, F.when(F.size(name) > 0, cleaned).otherwise(text)).select(*docs.columns)
+    return F.get(joined, F.lit(0))

@@ -75,6 +75,39 @@ def test_redaction(docs):
     assert secrets.secret_report(docs.limit(0)).count() == 0
 
 
+def test_redaction_of_very_many_and_overlapping_secrets(spark):
+    long = "\n".join(f"{k} é\U0001f600 token={k:06d} x" for k in range(20_000))
+    key = "AKIA" + "B" * 16
+    over = f"secret={key}deadbeefdeadbeefdeadbeefdeadbeef tail token=abcdef password=uvwxyz"
+    docs = spark.createDataFrame([(1, long), (2, over), (None, key + key.lower()), (4, "x" * 9000 + key)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert got[1] == re.sub(r"token=\d{6}", "[secret]", long)
+    assert got[2] == "[secret] tail [secret] [secret]"
+    assert got[None] == "[secret]" + key.lower() and got[4] == "x" * 9000 + "[secret]"
+
+
+def test_pairs_that_a_ledger_holds_twice_count_once(docs, tmp_path):
+    path = f"file://{tmp_path}/twice"
+    once = {tuple(r) for r in secrets.secret_report(docs, path).collect()}
+    ledger = docs.sparkSession.read.schema(secrets.LEDGER).parquet(path)
+    ledger.coalesce(1).write.mode("append").parquet(path)
+    assert {tuple(r) for r in secrets.secret_report(docs, path).collect()} == once
+
+
+def test_query_goes_on_with_a_ledger(spark, tmp_path):
+    from sievelight.llm import queries
+
+    path, sf = f"file://{tmp_path}/kept", "/root/testdata/sf0.001"
+    spark.conf.set(queries.LEDGER_SETTING, path)
+    try:
+        once = {tuple(r) for r in queries.op1_secrets(spark, sf).collect()}
+        rows = spark.read.parquet(path).count()
+        assert {tuple(r) for r in queries.op1_secrets(spark, sf).collect()} == once and rows > 0
+        assert spark.read.parquet(path).count() == rows
+    finally:
+        spark.conf.unset(queries.LEDGER_SETTING)
+
+
 def test_secret_scan_runs_no_python(docs):
     plan = secrets.secret_report(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "ArrowEval" not in plan
@@ -135,6 +168,98 @@ def test_licences_against_brute_force(spark):
         ) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
 
 
+def grants_truth(text):
+    """Labels and score of a text: phrases looked up word by word, expressions parsed by descent."""
+    words = re.findall(
+        "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    )
+    labels, grants = set(), []
+    has = lambda phrase: any(words[k : k + len(phrase.split())] == phrase.split() for k in range(len(words)))
+    for phrase, label in (licences.BASE | licences.NOTICES).items():
+        if has(phrase):
+            labels.add(label)
+            grants.append(licences.freedom(label))
+    found = re.findall(r"(?i)SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", text or "") if has(licences.TAG) else []
+    for line in found:
+        rest = re.findall(r"[()]|[A-Za-z0-9.+:-]+", line)
+
+        def either():
+            value = both()
+            while rest and rest[0].upper() == "OR":
+                rest.pop(0)
+                value = max(value, both())
+            return value
+
+        def both():
+            value = one()
+            while rest and rest[0].upper() == "AND":
+                rest.pop(0)
+                value = min(value, one())
+            return value
+
+        def one():
+            if rest[0] == "(":
+                rest.pop(0)
+                value = either()
+                rest.pop(0)
+                return value
+            name = rest.pop(0).lower()
+            if rest and rest[0].upper() == "WITH":
+                rest.pop(0)
+                labels.add(f"{name}-with-{rest.pop(0).lower()}")
+                return min(1.0, licences.freedom(name) + 0.2)
+            labels.add(name)
+            return licences.freedom(name)
+
+        grants.append(either())
+    return ",".join(sorted(labels)), min(grants, default=0.0)
+
+
+def test_labels_and_scores_against_brute_force(spark):
+    rng = random.Random(6)
+    name = lambda: rng.choice(["MIT", "Apache-2.0", "GPL-2.0-only", "LGPL-3.0", "ISC", "Odd-1", "GPL-2.0 WITH Classpath-exception-2.0"])
+
+    def expression(depth=0):
+        kind = rng.random()
+        if depth > 3 or kind < 0.4:
+            return name()
+        if kind < 0.6:
+            return f"({expression(depth + 1)})"
+        return f"{expression(depth + 1)} {rng.choice(['OR', 'and', 'AND', 'or'])} {expression(depth + 1)}"
+
+    def text():
+        parts = [
+            rng.choice([*licences.BASE, *licences.NOTICES, "plain words", "mit", "All Rights, Reserved", "under the"])
+            for _ in range(rng.randint(0, 4))
+        ]
+        parts += [f"// SPDX-License-Identifier: {expression()}\n" for _ in range(rng.randint(0, 2))]
+        rng.shuffle(parts)
+        return "\n ".join(parts)
+
+    texts = [text() for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns(
+        {"score": F.lit("kept"), "labels": F.lit("kept")}
+    )
+    got = licences.scan_licences(docs, ["doc_id", "score", "labels"])
+    assert got.columns[:3] == ["doc_id", "score", "labels"] and got.columns[-2:] == ["_labels", "_score"]
+    for r in got.collect():
+        labels, score = grants_truth(texts[r.doc_id])
+        assert (r["_labels"], r["_score"], r.score) == (labels, pytest.approx(score), "kept"), texts[r.doc_id]
+
+
+def test_licence_query_against_brute_force(spark):
+    from sievelight.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op10_licences(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == licence_truth(text)
+        assert (r.labels, r.score) == grants_truth(text)
+
+
 @pytest.mark.parametrize(
     ("expression", "names", "grant"),
     [
