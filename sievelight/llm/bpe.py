@@ -21,11 +21,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelight.llm.common import clear_names, materialise, whole_text
+from sievelight.llm.common import clear_names, materialise, small_batches, trimmed, whole_text
 
 END_OF_TEXT = "<|endoftext|>"
 END_OF_TEXT_ID = 50256
@@ -50,7 +51,9 @@ class Codec:
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+            self.fast = tiktoken.Encoding(
+                "byte_bpe", pat_str=pattern, mergeable_ranks=table, special_tokens={END_OF_TEXT: END_OF_TEXT_ID}
+            )
 
     @cached_property
     def slow(self):
@@ -73,11 +76,14 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> str:
+        """The tokens' bytes as text; what is no UTF-8 is replaced, as the tokenizers library does."""
+        if self.fast is not None:
+            try:
+                return self.fast.decode_bytes(ids).decode("utf-8", "replace")
+            except KeyError:
+                pass  # an id that the vocabulary doesn't have
         return self.slow.decode(ids, skip_special_tokens=False)
 
-    def decode_batch(self, ids: list[list[int]]) -> list[str]:
-        return self.slow.decode_batch(ids, skip_special_tokens=False)
-
 
 @lru_cache(maxsize=4)
 def codec(name: str) -> Codec:
@@ -161,8 +167,16 @@ def encode_text(text: str, vocabulary: str, limit: int = PART) -> list[int]:
     return tree(sides, own.encode, token_lengths(vocabulary))
 
 
-def digest(ids) -> str:
-    return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+def id_lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """The lists of an Arrow column; a conversion of the column as a whole takes several times as long."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return (values[lo:hi].tolist() for lo, hi in zip(offsets[:-1], offsets[1:], strict=True))
+
+
+def digests(column: pa.ListArray) -> list[str]:
+    """SHA-256 of each list's decimal numbers, joined by commas."""
+    numbers = pa.ListArray.from_arrays(column.offsets, pc.cast(column.values, pa.string()))
+    return [hashlib.sha256(joined.as_buffer()).hexdigest() for joined in pc.binary_join(numbers, ",")]
 
 
 def _encode_rows(vocabulary: str, part: int, name: str):
@@ -185,7 +199,7 @@ def _decode_rows(vocabulary: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:
-            texts = pa.array(own.decode_batch(batch.columns[-1].to_pylist()), pa.string())
+            texts = pa.array(map(own.decode, id_lists(batch.columns[-1])), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], name])
 
     return run
@@ -253,7 +267,7 @@ def encode(
     name, text, sha = clear_names(columns, "ids", "text", "sha")
     rows = docs.select(*columns, whole_text(text_column).alias(text))
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
-    short = rows.filter(F.length(text) <= long_text).mapInArrow(_encode_rows(vocabulary, part, name), schema)
+    short = rows.filter(F.length(text) <= long_text).mapInArrow(trimmed(_encode_rows(vocabulary, part, name)), schema)
     long = rows.filter(F.length(text) > long_text).withColumn(sha, F.unhex(F.sha2(text, 256)))
     # Written, so that the texts are cut once and each piece is dealt to a task of its own.
     texts = long.groupBy(F.col(sha).alias("sha")).agg(F.first(text).alias("text"))
@@ -281,13 +295,13 @@ def _digest_rows(vocabulary: str):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = part.column(1).to_pylist()
-                texts = own.decode_batch(ids)
+                ids = part.column(1)
+                texts = map(own.decode, id_lists(ids))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array(map(len, ids), pa.int64()),
-                        pa.array(map(digest, ids), pa.string()),
+                        pc.list_value_length(ids).cast(pa.int64()),
+                        pa.array(digests(ids), pa.string()),
                         pa.array((hashlib.sha256(t.encode()).hexdigest() for t in texts), pa.string()),
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -298,6 +312,6 @@ def _digest_rows(vocabulary: str):
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encodes and decodes every document; returns doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return encode(docs, vocabulary, ["doc_id"]).mapInArrow(
-        _digest_rows(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return encode(small_batches(docs), vocabulary, ["doc_id"]).mapInArrow(
+        trimmed(_digest_rows(vocabulary)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

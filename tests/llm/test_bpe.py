@@ -121,6 +121,22 @@ def test_fast_and_slow_agree_on_all_usual_characters():
         assert own.fast.encode_ordinary(text) == own.slow.encode(text, add_special_tokens=False).ids
 
 
+def test_decoding_of_any_ids(reference):
+    import random
+
+    import pyarrow as pa
+
+    own, rng = bpe.codec(NAME), random.Random(1)
+    lists = [[rng.choice([rng.randrange(50257), rng.randrange(256), 50256]) for _ in range(rng.randint(0, 12))] for _ in range(3000)]
+    column = pa.array(lists, pa.list_(pa.int32()))
+    for part in (column, column.slice(7, 100)):
+        want = part.to_pylist()
+        assert list(bpe.id_lists(part)) == want
+        assert bpe.digests(part) == [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in want]
+    assert [own.decode(x) for x in lists] == [reference.decode(x, skip_special_tokens=False) for x in lists]
+    assert own.decode([15496, 60000]) == reference.decode([15496, 60000], skip_special_tokens=False)
+
+
 def test_decode(odd, odd_texts):
     rows = bpe.decode(bpe.encode(odd, NAME, ["doc_id"]), NAME, ["doc_id"]).collect()
     assert sorted((str(r.doc_id), r.text) for r in rows) == sorted((str(d), t or "") for d, t in odd_texts)
