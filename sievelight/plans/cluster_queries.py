@@ -195,7 +195,7 @@ ORACLE = {
         SELECT source, term, weight, rank FROM (SELECT source, term, weight, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS rank FROM (SELECT source, term, round(CAST(n AS DOUBLE) / size * ln(1 + (SELECT avg(size) FROM s) / f), 6) AS weight FROM k JOIN s USING (source))) WHERE rank <= 20""",
     "bigram_counts": r"""SELECT lang, count(DISTINCT term) AS n_terms, count(*) AS n FROM (SELECT lang, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS term FROM (SELECT lang, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]{2,}'), lambda x: x NOT IN ('the', 'and', 'of', 'de', 'la', 'der', 'die', 'le', 'les')) AS w FROM documents WHERE text IS NOT NULL)) GROUP BY lang""",
     "cluster_overview": with_views(
-        "SELECT cluster_id, count(*) AS size, CAST(sum(clicks) AS BIGINT) AS total_clicks, string_agg(query_key, '|' ORDER BY k) FILTER (k <= 5) AS top_keys FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY clicks DESC, query_key) AS k FROM v_clusters WHERE cluster_id <> -1) GROUP BY 1",
+        "SELECT cluster_id, v.query_key, size, total_clicks, top_keys FROM v_clusters v JOIN (SELECT cluster_id, count(*) AS size, CAST(sum(clicks) AS BIGINT) AS total_clicks, string_agg(query_key, '|' ORDER BY k) FILTER (k <= 5) AS top_keys FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY clicks DESC, query_key) AS k FROM v_clusters WHERE cluster_id <> -1) GROUP BY 1) o USING (cluster_id)",
         "v_clusters",
     ),
     "cluster_sizes": with_views(
@@ -206,7 +206,7 @@ ORACLE = {
         "SELECT supercluster_id, category, merged, n_queries, label, constituents FROM named", "v_clusters"
     ).replace("\nSELECT supercluster_id", f",\n{_RECORDS}\nSELECT supercluster_id"),
     "supercluster_flat": with_views(
-        "SELECT supercluster_id, label, query_key, upper(query_key) AS query, clicks, cluster_id FROM (SELECT n.supercluster_id, n.label, v.query_key, v.clicks, v.cluster_id, row_number() OVER (PARTITION BY n.supercluster_id ORDER BY v.clicks DESC, v.query_key) AS k FROM v_clusters v JOIN labelled l USING (cluster_id) JOIN named n ON n.category = l.category AND n.merged = l.merged) WHERE k <= 4",
+        "SELECT supercluster_id, label, query_key, upper(query_key) AS query, clicks, cluster_id FROM (SELECT n.supercluster_id, n.label, v.query_key, v.clicks, v.cluster_id, row_number() OVER (PARTITION BY n.supercluster_id ORDER BY v.clicks DESC, v.query_key) AS k FROM v_clusters v JOIN labelled l USING (cluster_id) JOIN named n ON n.category = l.category AND n.merged = l.merged)",
         "v_clusters",
     ).replace("\nSELECT supercluster_id", f",\n{_RECORDS}\nSELECT supercluster_id"),
     "knee_table": with_views("""SELECT threshold, count(height) AS n_merges, (SELECT count(*) FROM centres) - count(height) AS n_clusters, round(100.0::DOUBLE * count(height) / (SELECT count(*) FROM centres), 6) AS reduction

@@ -338,7 +338,7 @@ ORACLE = {
     "diversity_first": "SELECT source, doc_id, n_chars, k AS cluster_rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) ORDER BY k > 1, n_chars DESC, doc_id LIMIT 30",
     "lowest_to_reserve": "SELECT doc_id, n_chars, CASE WHEN row_number() OVER (ORDER BY n_chars, doc_id) <= 40 THEN 'reserve' ELSE 'core' END AS bucket FROM documents",
     "multi_key_sort": with_views(
-        "SELECT source, query_key, clicks, doc_id FROM v_query_log ORDER BY source, query_key, clicks DESC, doc_id LIMIT 100",
+        "SELECT source, query_key, clicks, doc_id FROM v_query_log ORDER BY source, query_key, clicks DESC, doc_id",
         "v_query_log",
     ),
     "numbered_ids": "SELECT lang, source, n, format('{}_{:04d}', lang, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source)) AS id FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)",

@@ -136,13 +136,12 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
     "v_query_log": (
         rf"""
         SELECT doc_id, query, {_FOLD.format("query")} AS query_key, source, source_file, clicks, impressions, ctr, lang, last_searched FROM (
-          SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN upper(q) WHEN 2 THEN strip_accents(q) ELSE q END AS query,
+          SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN CASE WHEN strpos(q, 'ß') > 0 THEN q ELSE upper(q) END WHEN 2 THEN strip_accents(q) ELSE q END AS query,
                  CASE WHEN doc_id % 2 = 0 THEN 'site1_ga4' ELSE 'site1_internal' END AS source, source AS source_file,
                  n_chars % 50 AS clicks, n_chars AS impressions, CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars % 97 AS DOUBLE) / 97 END AS ctr, lang,
                  CAST(CAST('2025-01-01' AS DATE) + CAST(doc_id % 300 AS INTEGER) AS VARCHAR) AS last_searched
           FROM (SELECT *, CASE WHEN doc_id % 2 = 1 AND regexp_extract(text, '^\s*(\S+\s+\S+)', 1) <> '' THEN regexp_extract(text, '^\s*(\S+\s+\S+)', 1)
-                               ELSE regexp_extract(text, '^\s*(\S+)', 1) END AS q FROM documents WHERE text IS NOT NULL)
-          WHERE strpos(q, 'ß') = 0)""",
+                               ELSE regexp_extract(text, '^\s*(\S+)', 1) END AS q FROM documents WHERE text IS NOT NULL))""",
         (),
     ),
     "v_pairs": (
