@@ -8,14 +8,16 @@ compared with the bucket's centre alone, which bounds the pairs by nodes times b
 are confirmed on the full sets.
 
 A bucket whose nodes do not all come to lie in one component may hold links that its
-centre doesn't show.  Its nodes meet in bounded blocks: those of different components are
-compared in the first bucket that they share, by their sketches and then on their full
-sets, and nothing but links comes out.
+centre doesn't show.  Its nodes meet in bounded blocks of similar set sizes, by the numbers
+of their shingles in each range alone: the sum of the lesser numbers is as much as two sets
+can have in common, so what it rules out is no link.  Pairs of different components that it
+leaves are confirmed on the full sets, like the centres' pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,9 +34,7 @@ from sievelight.llm.components import components
 BINS = 256
 BAND = 6
 BANDS = BINS // BAND
-#: How far below the threshold the part of equal bins may lie: five standard deviations at a similarity of 0.8.
-SLACK = 0.13
-#: Nodes of a bucket that meet in a block.
+#: Nodes of a bucket and size class, on average, in a block.
 BLOCK = 512
 #: Rows at most that are broadcast to find the texts of candidates.
 BROADCAST_ROWS = 500_000
@@ -163,6 +163,17 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def bin_counts(values: np.ndarray) -> bytes:
+    """How many of a set's hashes lie in each range, in the least width that holds them all."""
+    counts = np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=BINS)
+    return counts.astype(next(w for w in ("<u1", "<u2", "<u4") if counts.max() <= np.iinfo(w).max)).tobytes()
+
+
+def _counts_of(data: list[bytes]) -> np.ndarray:
+    """The numbers of :func:`bin_counts`, a row each."""
+    return np.stack([np.frombuffer(b, f"<u{len(b) // BINS}").astype(np.int32) for b in data])
+
+
 def band_keys(sketch: np.ndarray) -> np.ndarray:
     parts = sketch[:, : BANDS * BAND].reshape(len(sketch), BANDS, BAND)
     weights = _mix(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * _MULTIPLIER).reshape(BANDS, BAND) | np.uint64(1)
@@ -171,7 +182,7 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     ).view(np.int64)
 
 
-_SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, small binary"
+_SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, counts binary"
 
 
 def _sketch_rows(k: int):
@@ -183,9 +194,9 @@ def _sketch_rows(k: int):
                 some = [j for j, s in enumerate(sets) if len(s)]
                 sketch = sketches([sets[j] for j in some])
                 keys: list = [None] * len(sets)
-                small: list = [None] * len(sets)
-                for j, row, low in zip(some, band_keys(sketch), _mix(sketch).astype(np.uint8), strict=True):
-                    keys[j], small[j] = row, low.tobytes()
+                counts: list = [None] * len(sets)
+                for j, row in zip(some, band_keys(sketch), strict=True):
+                    keys[j], counts[j] = row, bin_counts(sets[j])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids,
@@ -195,9 +206,9 @@ def _sketch_rows(k: int):
                             pa.binary(),
                         ),
                         pa.array(keys, pa.list_(pa.int64())),
-                        pa.array(small, pa.binary()),
+                        pa.array(counts, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "bands", "small"],
+                    names=["doc_id", "n_shingles", "set_key", "bands", "counts"],
                 )
 
     return run
@@ -244,50 +255,38 @@ def confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
 
 
 def _meet(percent: int):
-    least = BINS * (percent / 100 - SLACK)
-
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Links between nodes of different components in a pair of blocks of a bucket.
+        """Pairs of different components, of two blocks of a bucket, that may be links.
 
         A pair that shares several buckets is looked at in the first of them alone; were
         that one not among those that go on, its centre would have settled the pair.
         """
-        inner = group["i"].iloc[0] == group["j"].iloc[0]
-        left, right = (group, group) if inner else (
-            group[group["own"] == group["i"]], group[group["own"] == group["j"]]
-        )
+        key = group.iloc[0]
+        inner = (key["low"], key["i"]) == (key["high"], key["j"])
+        left = group[(group["class"] == key["low"]) & (group["own"] == key["i"])]
+        right = left if inner else group[(group["class"] == key["high"]) & (group["own"] == key["j"])]
         if not len(left) or not len(right):
             return pd.DataFrame({"u": [], "v": []})
-        band = int(group["band"].iloc[0])
-        small, bands = np.frombuffer(
-            b"".join(right["small"]), np.uint8
-        ).reshape(len(right), BINS), np.array(right["bands"].tolist())
-        nodes, components_, sizes, sets = right["node"].to_numpy(), right["component"].to_numpy(), right[
-            "n_shingles"
-        ].to_numpy(), right["shingles"].tolist()
+        band = int(key["band"])
+        counts, bands = _counts_of(right["counts"].tolist()), np.array(right["bands"].tolist())
+        nodes, components_, sizes = (right[c].to_numpy() for c in ("node", "component", "n_shingles"))
         us, vs = [], []
-        rows = zip(
-            left["small"],
-            left["bands"],
-            left["node"],
-            left["component"],
-            left["n_shingles"],
-            left["shingles"],
-            strict=True,
-        )
-        for k, (low, own_bands, node, component, n, own) in enumerate(rows):
+        rows = zip(*(left[c] for c in ("counts", "bands", "node", "component", "n_shingles")), strict=True)
+        for k, (own_counts, own_bands, node, component, n) in enumerate(rows):
             maybe = np.flatnonzero(
                 (components_ != component) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
             )
             maybe = maybe[maybe > k] if inner else maybe
-            maybe = maybe[(bands[maybe] == own_bands).argmax(axis=1) == band] if len(maybe) else maybe
-            maybe = maybe[(small[maybe] == np.frombuffer(low, np.uint8)).sum(axis=1) >= least]
-            for j in maybe:
-                common = len(np.intersect1d(own, sets[j], assume_unique=True))
-                if 100 * common >= percent * (n + sizes[j] - common):
-                    us.append(min(node, nodes[j]))
-                    vs.append(max(node, nodes[j]))
-        return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
+            if not len(maybe):
+                continue
+            maybe = maybe[(bands[maybe] == own_bands).argmax(axis=1) == band]
+            most = np.minimum(counts[maybe], _counts_of([own_counts])).sum(axis=1)
+            # As 100 * common >= percent * (both sizes - common) must hold.
+            maybe = maybe[(100 + percent) * most >= percent * (n + sizes[maybe])]
+            us.append(np.minimum(node, nodes[maybe]))
+            vs.append(np.maximum(node, nodes[maybe]))
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"u": np.concatenate(us or none), "v": np.concatenate(vs or none)})
 
     return run
 
@@ -302,6 +301,35 @@ def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, scrat
     )
 
 
+def dealt_in_blocks(going: DataFrame, percent: int) -> DataFrame:
+    """A row for each node of ``going`` and pair of blocks in which it meets others of its bucket.
+
+    Sets that can be similar enough differ in size by a factor of at most 100 / ``percent``,
+    so a node meets its own size class and the two beside it.
+    """
+    base = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    placed = going.withColumn("class", F.floor(F.log(F.col("n_shingles").cast("double")) / base))
+    blocks = placed.groupBy("bucket", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = blocks.groupBy("bucket").agg(
+        F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks")  # a few classes a bucket
+    )
+    of = lambda k: F.coalesce(F.try_element_at("blocks", k), F.lit(0))
+    dealt = placed.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), of(F.col("class"))).cast("int"))
+    numbers = lambda n: F.filter(F.sequence(F.lit(0), n), lambda k: k < n)
+    own, beside = F.col("own"), lambda d: F.col("class") + F.lit(d)
+    pair = lambda low, i, high, j: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"))
+    pairs = F.concat(
+        F.transform(
+            numbers(of(beside(0))), lambda k: pair(F.col("class"), F.least(own, k), F.col("class"), F.greatest(own, k))
+        ),
+        F.transform(numbers(of(beside(1))), lambda k: pair(F.col("class"), own, beside(1), k)),
+        F.transform(numbers(of(beside(-1))), lambda k: pair(beside(-1), k, F.col("class"), own)),
+    )
+    return dealt.withColumn("pair", F.explode(pairs)).select(
+        "bucket", "band", "pair.*", "class", "own", "node", "component", "n_shingles", "counts", "bands"
+    )
+
+
 def _further_links(
     members: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch
 ) -> DataFrame:
@@ -312,29 +340,14 @@ def _further_links(
     several = placed.groupBy("bucket").agg(
         F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")
     ).filter("least <> most and n > 2")
-    several = scratch.keep(several.select("bucket", "n"), "several")
+    several = scratch.keep(several.select("bucket"), "several")
     going = scratch.keep(placed.join(several, "bucket"), "going")
-    sets = _sets_of(going.select("node"), nodes, docs, words, scratch)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = going.withColumn(
-        "own", F.pmod(F.xxhash64("node"), blocks).cast("int")
-    ).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    held = nodes.select("node", "small", "bands", "n_shingles").join(sets, "node")
-    dealt = dealt.join(scratch.keep(held, "held"), "node")
-    dealt = dealt.select(
-        "bucket",
-        "band",
-        "own",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        "node",
-        "component",
-        "small",
-        "bands",
-        "n_shingles",
-        "shingles",
+    held = nodes.select("node", "counts", "bands", "n_shingles")
+    going = scratch.keep(going.join(held, "node"), "held")
+    met = dealt_in_blocks(going, percent).groupBy("bucket", "low", "i", "high", "j").applyInPandas(
+        _meet(percent), "u long, v long"
     )
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(_meet(percent), "u long, v long").distinct()
+    return confirmed(scratch.keep(met.distinct(), "maybe"), nodes, docs, words, percent, scratch)
 
 
 def near_duplicates(
@@ -357,7 +370,7 @@ def near_duplicates(
         F.min("doc_id").alias("doc_id"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"),
-        F.first("small").alias("small"),
+        F.first("counts").alias("counts"),
     )
     nodes = scratch.keep(first.withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))

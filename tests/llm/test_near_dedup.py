@@ -27,8 +27,11 @@ def truth(rows, k, percent=80):
     label = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
+            a, b = len(sets[i]), len(sets[j])
+            if not a or not b or 100 * min(a, b) < percent * max(a, b):
+                continue
             common = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
                 a, b = label[i], label[j]
                 label = [b if x == a else x for x in label]
     least = {}
@@ -81,6 +84,67 @@ def test_links_that_no_centre_shows(spark, monkeypatch):
     assert got == {d: c for d, _, c in truth(rows, 4)}
 
 
+def test_small_sets_at_the_threshold(spark):
+    """Pairs that share just enough shingles, in buckets that every node shares."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(150):
+        n = rng.choice([7, 8, 12, 16])
+        base = [f"w{k}x{j}" for j in range(n)]
+        more = n - 3
+        # With one word more, more of more + 1 shingles are shared: at least 0.8 from 4 of 5 on.
+        rows += [(2 * k + 1, " ".join(base)), (2 * k + 2, " ".join([*base, "end"]))]
+        assert 100 * more >= 80 * (more + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(docs, 4).collect()}
+    assert got == {d: c for d, _, c in truth(rows, 4)} and sum(d != c for d, c in got.items()) == 150
+
+
+def test_bound_never_rules_out_a_link():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.choice([1, 4, 9, 40, 700, 20_000]))
+        common, a, b = (rng.integers(0, 2**64, k, dtype=np.uint64) for k in (n, n // 8, n // 9))
+        one, two = np.unique(np.r_[common, a]), np.unique(np.r_[common, b])
+        most = np.minimum(*nd._counts_of([nd.bin_counts(one), nd.bin_counts(two)])).sum()
+        assert len(np.intersect1d(one, two)) <= most <= min(len(one), len(two))
+    many = np.sort(rng.integers(0, 2**64, 80_000, dtype=np.uint64) >> np.uint64(10))
+    assert nd._counts_of([nd.bin_counts(many)]).sum() == 80_000
+
+
+def test_query_against_brute_force(spark):
+    """All documents of the query against all others, on their sets of words."""
+    from sievelight.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op6_near_dedup(spark, sf).collect()}
+    assert got == {d: (n, c, c == d) for d, n, c in truth(rows, 4)}
+
+
+def test_a_hot_bucket_moves_no_sets(spark, monkeypatch):
+    """4000 nodes of a bucket: what is dealt out grows by blocks of neighbouring size classes and holds no shingles."""
+    monkeypatch.setattr(nd, "BLOCK", 100)
+    going = spark.range(4000).selectExpr(
+        "7L bucket", "3 band", "id node", "id component", "10 + (id % 2000) n_shingles", "cast('x' as binary) counts", "array(id) bands"
+    )
+    dealt = nd.dealt_in_blocks(going, 80)
+    assert "shingles" not in dealt.columns
+    copies = dealt.groupBy("node").count().agg({"count": "max"}).first()[0]
+    assert copies < 4000 / 100 and dealt.count() < 4000 * 4000 / 100 * 0.75
+    largest = dealt.groupBy("bucket", "low", "i", "high", "j").count().agg({"count": "max"}).first()[0]
+    assert largest <= 4 * 100
+    # Every pair of sizes that can be similar enough meets in one pair of blocks.
+    met = dealt.filter("node % 97 = 0").select("node", "n_shingles", "bucket", "low", "i", "high", "j")
+    keys = {}
+    for r in met.collect():
+        keys.setdefault((r.node, r.n_shingles), set()).add(tuple(r)[2:])
+    for (a, m), ka in keys.items():
+        for (b, n), kb in keys.items():
+            if a < b and 100 * min(m, n) >= 80 * max(m, n):
+                assert len(ka & kb) >= 1
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(5)
     common, a, b = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (800, 100, 100))
