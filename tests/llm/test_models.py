@@ -262,10 +262,31 @@ def test_recall_against_brute_force(spark):
     for r in queries.op4_nearest(spark, SF.replace("0.01", "0.1")).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.score, r.vec_id))
     hits = sum(len({v for _, v in got[q]} & set(w)) for q, w in want.items())
-    assert hits >= 0.9 * sum(map(len, want.values()))
+    assert set(got) == set(want) and hits >= 0.9 * sum(map(len, want.values()))
     assert all(a[0] >= b[0] for found in got.values() for a, b in zip(found, found[1:], strict=False))
 
 
+def test_share_falls_with_structure(spark, monkeypatch):
+    """Vectors around 40 centres: a small part of the table meets nearly all neighbours, in blocks of either kind."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 3000)] + 0.3 * rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    budgets = []
+    measured = nearest.measured_budget
+    monkeypatch.setattr(nearest, "measured_budget", lambda *a: budgets.append(measured(*a)) or budgets[-1])
+    monkeypatch.setattr(nearest, "BLOCK_ENTRIES", 700)
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 25)
+    want = brute(list(range(3000)), x, 5)
+    for sparse in (0.0, 1.0):
+        monkeypatch.setattr(nearest, "SPARSE", sparse)
+        got = {}
+        for r in nearest.search(df, F.col("id") % 50 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert sum(len(got[q] & set(w)) for q, w in want.items()) >= 0.9 * 5 * len(want)
+    assert len(budgets) == 2 and budgets[0] < 0.25 * 3000
+
+
 def test_odd_vectors_and_ties(spark):
     rng = np.random.default_rng(3)
     rows = [(k, rng.normal(size=8).tolist()) for k in range(100)]
