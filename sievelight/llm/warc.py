@@ -1,28 +1,37 @@
 """WARC archives and a globally ordered index of their captures.
 
-Records are written through Spark's own writer, so archives go wherever the session's
-file systems reach.  Reading an archive gives a run of index entries, sorted by URL key
-and timestamp.  The runs are dealt out by key range, and each range merges its part of
-all runs with a loser tree into the ordered history of captures.
+Every record is a gzip member of its own, so that an index entry's offset and length are
+all that is needed to read it.  Archives are written through Spark's own writer, so they go
+wherever the session's file systems reach, and end by bytes, not by records.  Reading an
+archive, a record at a time, gives a run of index entries, sorted by URL key and timestamp.
+The runs are dealt out by key ranges of bounded size, and each range merges its part of
+all runs with a loser tree, block by block, into the ordered history of captures.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import materialise, new_path, whole_text
+from sievelight.llm.common import materialise, new_path, small_batches, trimmed, whole_text
 
 #: Payloads of fewer bytes are always kept as responses.
 LEAST_REVISIT = 100
-RECORDS_A_FILE = 4000
+#: An archive ends after the record with which it reaches this many bytes.
+ARCHIVE_BYTES = 16 << 20
+#: Entries of a key range, about, and the rows of a run that the tree holds at a time.
+ENTRIES_A_RANGE = 1 << 17
+RUN_BLOCK = 1024
+#: Entries that are worth a task of their own as long as there are cores without any.
+LEAST_RANGE = 4096
+_READ_BYTES = 1 << 14
 _END = "\r\n"
 
 
@@ -94,7 +103,7 @@ def with_revisits(pages: DataFrame, id_column: str = "page_id", html_column: str
 
 
 def record(page: DataFrame) -> Column:
-    """The whole record of each row of :func:`with_revisits`, but for its last line feed."""
+    """The whole record of each row of :func:`with_revisits`."""
     uri = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", "%0A")
     date = F.date_format(
@@ -131,31 +140,87 @@ def record(page: DataFrame) -> Column:
         ), F.octet_length(block).cast("string"),
         F.lit(_END + _END),
     )
-    return F.concat(lines, block, F.lit("\r\n\r"))
+    return F.concat(lines, block, F.lit(_END + _END))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Writes a record for every row to gzip archives below ``path``."""
-    page = with_revisits(pages)
-    page.select(record(page).alias("value")).write.option("compression", "gzip").option(
-        "maxRecordsPerFile", RECORDS_A_FILE
-    ).text(path)
+def member(data: bytes) -> bytes:
+    """A gzip member of ``data``, the same for the same bytes."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
 
 
-def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, headers and block of each record of an uncompressed archive."""
-    at = 0
+#: A member of nothing; like every member of less than 16 MB it ends in a zero byte, the last of its size.
+NOTHING = member(b"")
+
+
+def _pack(archive_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members without their last byte, which is zero, and the archive of this task that each goes to."""
+        written = 0
+        for batch in batches:
+            values, archives = [], []
+            for data in batch.column(0):
+                packed = member(data.as_buffer())
+                values.append(packed[:-1] if packed[-1] == 0 else packed + NOTHING[:-1])
+                archives.append(written // archive_bytes)
+                written += len(values[-1]) + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values, pa.binary()), pa.array(archives, pa.int32())], names=["value", "archive"]
+            )
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes a record for every row to archives below ``path``, each a file of concatenated gzip members.
+
+    The text writer puts out the bytes of a string as they are, and its separator is the
+    zero byte that every member here ends with.
+    """
+    page = with_revisits(small_batches(pages))
+    packed = page.select(record(page).cast("binary").alias("value")).mapInArrow(
+        trimmed(_pack(archive_bytes)), "value binary, archive int"
+    )
+    packed.select(F.col("value").cast("string"), "archive").write.partitionBy("archive").option("lineSep", "\x00").text(path)
+
+
+def members(data) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and inflated bytes of each member of an archive, one at a time; members of nothing are passed over."""
+    data, at = memoryview(data), 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split(_END)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        start, size = end + 4, int(headers["content-length"])
-        if data[start + size : start + size + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} is not as long as it says")
-        yield at, headers, data[start : start + size]
-        at = start + size + 4
+        start, parts, unpacker = at, [], zlib.decompressobj(31)
+        while not unpacker.eof:
+            some = data[at : at + _READ_BYTES]
+            if not len(some):
+                raise ValueError(f"the member at byte {start} has no end")
+            parts.append(unpacker.decompress(some))
+            at += len(some)
+        at -= len(unpacker.unused_data)
+        whole = b"".join(parts)
+        if whole:
+            yield start, at - start, whole
+
+
+def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of a record."""
+    head, blank, rest = data.partition(b"\r\n\r\n")
+    lines = head.decode().split(_END)
+    if not blank or not lines[0].startswith("WARC/"):
+        raise ValueError("no record")
+    headers = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    size = int(headers["content-length"])
+    if rest[size:] != b"\r\n\r\n":
+        raise ValueError("the record is not as long as it says")
+    return headers, rest[:size]
+
+
+def records(data) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Offset, length, headers and block of each record of an archive."""
+    for at, length, whole in members(data):
+        try:
+            yield at, length, *parsed(whole)
+        except ValueError as wrong:
+            raise ValueError(f"{wrong} at byte {at}") from wrong
 
 
 _FIELDS = [
@@ -183,8 +248,11 @@ def _number(uri: str | None) -> int | None:
     return int(value) if value.lstrip("-").isdigit() else None
 
 
-def entry(file: str, at: int, headers: dict[str, str], block: bytes) -> tuple:
-    """The index entry of a record; a response's payload is hashed anew and must have its digest."""
+def entry(file: str, at: int, length: int, headers: dict[str, str], block: bytes) -> tuple:
+    """The index entry of a record; a response's payload is hashed anew and must have its digest.
+
+    Offset and length are those of the record's gzip member in its archive.
+    """
     head, _, payload = block.partition(b"\r\n\r\n")
     digest = headers["warc-payload-digest"].removeprefix("sha256:")
     kind = headers["warc-type"]
@@ -199,7 +267,7 @@ def entry(file: str, at: int, headers: dict[str, str], block: bytes) -> tuple:
     url = headers["warc-target-uri"]
     return url_key(url), headers["warc-date"], _number(
         headers["warc-record-id"]
-    ), file, at, len(block), url, size, digest, kind, _number(
+    ), file, at, length, url, size, digest, kind, _number(
         headers.get("warc-refers-to")
     )
 
@@ -211,45 +279,74 @@ def _order(row: tuple) -> tuple:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data = zlib.decompress(content.as_buffer(), wbits=31) if len(content.as_buffer()) else b""
-            rows = sorted((entry(file, *r) for r in records(data)), key=_order)
-            if rows:
-                yield _batch(rows)
+            rows = sorted((entry(file, *r) for r in records(content.as_buffer())), key=_order)
+            for lo in range(0, len(rows), RUN_BLOCK):
+                part = _batch(rows[lo : lo + RUN_BLOCK])
+                place = pa.array(range(lo, lo + part.num_rows), pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, place], names=[*part.schema.names, "place"])
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The index of each archive below ``path``; the entries of an archive are a sorted run."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(_read, INDEX)
+    """The index of each archive below ``path`` and each entry's place in its run; the entries of an archive are a sorted run."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "part-*"
+    ).load(path)
+    return files.select(F.substring_index("path", "/", -2).alias("file"), "content").mapInArrow(
+        trimmed(_read), f"{INDEX}, place int"
+    )
+
+
+_KEY = ("url_key", "timestamp", "page_id", "file", "offset")
+
+
+def _run(table: pa.Table, start: int, end: int) -> Iterator[tuple[tuple, int]]:
+    """Order and row of each entry of a run, of which only a block is held as Python values."""
+    for lo in range(start, end, RUN_BLOCK):
+        block = table.slice(lo, min(RUN_BLOCK, end - lo))
+        keys = zip(*(block.column(c).to_pylist() for c in _KEY), strict=True)
+        for row, (url, time, page, file, at) in enumerate(keys, lo):
+            yield (url, time, page is None, page or 0, file, at), row
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs: dict[str, list[tuple]] = defaultdict(list)
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            runs[row[3]].append((_order(row), row))
-    for run in runs.values():
-        run.sort(key=lambda x: x[0])  # a run may come in blocks; what is sorted already costs one look at each
-    held: list[tuple] = []
-    for _, row in LoserTree(runs.values()):
-        held.append(row)
-        if len(held) == 4096:
-            yield _batch(held)
-            held = []
-    if held:
-        yield _batch(held)
+    """One range: its runs, one after another and each in its order, merged by a loser tree."""
+    held = [batch for batch in batches if batch.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    files = table.column("file").combine_chunks().dictionary_encode()
+    files = (files.chunk(0) if isinstance(files, pa.ChunkedArray) else files).indices.to_numpy()
+    starts = np.flatnonzero(np.r_[True, files[1:] != files[:-1]]).tolist()
+    runs = [_run(table, lo, hi) for lo, hi in zip(starts, [*starts[1:], len(files)], strict=True)]
+    table = table.drop_columns(["place"])
+    order: list[int] = []
+    for _, row in LoserTree(runs):
+        order.append(row)
+        if len(order) == 4096:
+            yield from table.take(pa.array(order)).combine_chunks().to_batches()
+            order = []
+    if order:
+        yield from table.take(pa.array(order)).combine_chunks().to_batches()
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """All entries in the order of URL key, timestamp and page, by k-way merges of key ranges.
 
-    A range ends wherever the order of all three columns lets it, so a key with very
-    many captures is spread over several ranges.  Partitions follow one another.
+    ``runs`` is written, as :func:`read_runs` has it.  There are as many ranges as keep each
+    at about ``ENTRIES_A_RANGE`` entries, however many there are; a key with very many
+    captures is spread over several, and so are captures that differ only in their place.
+    Within a range Spark's external sort puts the blocks of each run one after another
+    again; partitions follow one another.
     """
-    return runs.repartitionByRange("url_key", "timestamp", F.col("page_id").asc_nulls_last()).mapInArrow(_merge, INDEX)
+    n, cores = runs.count(), runs.sparkSession.sparkContext.defaultParallelism
+    ranges = max(1, -(-n // ENTRIES_A_RANGE), min(cores, -(-n // LEAST_RANGE)))
+    dealt = runs.repartitionByRange(
+        ranges, "url_key", "timestamp", F.col("page_id").asc_nulls_last(), "file", "offset"
+    )
+    return dealt.sortWithinPartitions("file", "place").mapInArrow(trimmed(_merge), INDEX)
 
 
-def archive_and_index(pages: DataFrame, path: str | None = None) -> DataFrame:
+def archive_and_index(pages: DataFrame, path: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes archives of ``pages``, reads them back and returns their merged index.
 
     Null html counts as empty and a null url as the empty one.  Rows that repeat an id
@@ -258,5 +355,5 @@ def archive_and_index(pages: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     where = path or new_path(spark, "warc")
-    write_archives(pages, where)
+    write_archives(pages, where, archive_bytes)
     return merge_runs(materialise(read_runs(spark, where), "warc-runs"))

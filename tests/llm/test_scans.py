@@ -329,12 +329,69 @@ def test_archives_round_trip(spark):
     assert warc.archive_and_index(df.limit(0)).count() == 0
 
 
+def test_a_record_is_found_by_its_index_entry(spark, tmp_path):
+    """Archives end by bytes; offset and length of an entry are enough to read its record, in any archive reader."""
+    import gzip
+    from pathlib import Path
+
+    rng = random.Random(5)
+    pages = [(k, f"http://h{k % 7}.org/{k % 11}", f"<p>{k}</p>" + "".join(rng.choices("abcdefgh", k=3000))) for k in range(60)]
+    pages.append((99, "http://h.org/big", "y" * (1 << 24)))  # its size doesn't end in a zero byte, so a member of nothing follows
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    index = warc.archive_and_index(df, str(tmp_path / "archives"), 20_000).collect()
+    files = {r.file for r in index}
+    assert len(index) == 61 and len(files) >= 4
+    html = {p: h for p, _, h in pages}
+    for r in index:
+        with open(tmp_path / "archives" / r.file, "rb") as archive:
+            archive.seek(r.offset)
+            headers, block = warc.parsed(gzip.decompress(archive.read(r.length)))
+        assert headers["warc-record-id"] == f"<urn:x-page:{r.page_id}>"
+        assert block.partition(b"\r\n\r\n")[2] == html[r.page_id].encode()
+    for file in files:
+        data = Path(tmp_path, "archives", file).read_bytes()
+        assert len(data) < 20_000 + 40_000 or "99" in {str(r.page_id) for r in index if r.file == file}
+        assert gzip.decompress(data) == b"".join(whole for *_, whole in warc.members(data))
+    with pytest.raises(ValueError, match="no end"):
+        list(warc.members(warc.member(b"abc")[:-3]))
+
+
+def test_ranges_do_not_grow_with_the_runs(spark, monkeypatch, tmp_path):
+    """However many entries a key has, a range holds about as many as it may, and a run only a block of Python values."""
+    monkeypatch.setattr(warc, "ENTRIES_A_RANGE", 200)
+    monkeypatch.setattr(warc, "LEAST_RANGE", 200)
+    pages = spark.range(3000).selectExpr("id page_id", "'http://hot.org/' url", "concat('<p>', id) html").repartition(5)
+    index = warc.archive_and_index(pages)
+    parts = index.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert len(parts) >= 10 and max(r["count"] for r in parts) <= 600
+    assert [r.page_id for r in index.collect()] == list(range(3000))
+
+
+def test_merge_reads_runs_block_by_block(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(warc, "RUN_BLOCK", 7)
+    rng = random.Random(3)
+    rows = []
+    for f in range(9):
+        run = sorted(
+            ((f"k{rng.randint(0, 5)}", f"t{rng.randint(0, 3)}", rng.choice([None, *range(20)]), f"f{f}", k) for k in range(rng.choice([1, 6, 50]))),
+            key=lambda r: (r[0], r[1], r[2] is None, r[2] or 0, r[3], r[4]),
+        )
+        rows += [(*r, 1, "u", 1, "d", "response", None) for r in run]
+    batch = warc._batch(rows)
+    batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(len(rows)), pa.int32())], names=[*batch.schema.names, "place"])
+    got = [tuple(r.values()) for b in warc._merge(iter([batch.slice(0, 40), batch.slice(40)])) for r in b.to_pylist()]
+    assert got == sorted(rows, key=warc._order) and list(warc._merge(iter([]))) == []
+
+
 def test_damaged_payload_is_refused():
     block = b"HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\nx"
     with pytest.raises(ValueError, match="digest"):
         warc.entry(
             "f",
             0,
+            9,
             {
                 "warc-payload-digest": "sha256:00",
                 "warc-type": "response",
