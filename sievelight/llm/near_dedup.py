@@ -344,7 +344,10 @@ def _further_links(
     going = scratch.keep(placed.join(several, "bucket"), "going")
     held = nodes.select("node", "counts", "bands", "n_shingles")
     going = scratch.keep(going.join(held, "node"), "held")
-    met = dealt_in_blocks(going, percent).groupBy("bucket", "low", "i", "high", "j").applyInPandas(
+    # Dealt by the pair of blocks: by the bucket alone, as the join before leaves them, a hot one would be one task.
+    key = ["bucket", "low", "i", "high", "j"]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt_in_blocks(going, percent).repartition(parts, *key).groupBy(*key).applyInPandas(
         _meet(percent), "u long, v long"
     )
     return confirmed(scratch.keep(met.distinct(), "maybe"), nodes, docs, words, percent, scratch)
