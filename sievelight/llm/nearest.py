@@ -83,22 +83,42 @@ def k_means(x: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
 
 
 def traverse(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, wanted: float) -> list[int]:
-    """Cells by rising sum of distances, until they hold ``wanted`` entries."""
+    """Cells by rising sum of distances, until they hold ``wanted`` entries; empty ones are passed over.
+
+    The heap holds the next cell of each first centroid that has come up: its cells follow
+    one another by the distance of the second, and the next first centroid comes up once
+    no cell before it can be nearer.
+    """
     a, b = np.argsort(one, kind="stable"), np.argsort(two, kind="stable")
-    heap, seen, held, cells = [(float(one[a[0]] + two[b[0]]), 0, 0)], {(0, 0)}, 0, []
-    while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        cell = int(a[i]) * len(two) + int(b[j])
-        if sizes[cell]:
-            cells.append(cell)
-            held += int(sizes[cell])
-        for p, q in ((i + 1, j), (i, j + 1)):
-            if p < len(a) and q < len(b) and (p, q) not in seen:
-                seen.add((p, q))
-                heapq.heappush(heap, (float(one[a[p]] + two[b[q]]), p, q))
+    least, second = one[a] + two[b[0]], two[b]
+    sizes = sizes.reshape(len(one), len(two))[:, b]
+    heap, rows, held, cells, k = [], {}, 0, [], 0
+    while held < wanted:
+        while k < len(a) and (not heap or least[k] <= heap[0][0]):
+            own = np.flatnonzero(sizes[a[k]])
+            if len(own):
+                sums = (one[a[k]] + second[own]).tolist()
+                rows[k] = sums, (a[k] * len(two) + b[own]).tolist(), sizes[a[k], own].tolist()
+                heapq.heappush(heap, (sums[0], k, 0))
+            k += 1
+        if not heap:
+            break
+        _, row, j = heap[0]
+        sums, names, counts = rows[row]
+        cells.append(names[j])
+        held += counts[j]
+        if j + 1 < len(sums):
+            heapq.heapreplace(heap, (sums[j + 1], row, j + 1))
+        else:
+            heapq.heappop(heap)
     return cells
 
 
+def vectors_of(column: pa.ListArray) -> np.ndarray:
+    """An Arrow column of vectors of one length, as doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def matrix(vectors, kind=np.float64) -> np.ndarray:
     return np.stack([np.asarray(v, kind) for v in vectors]) if len(vectors) else np.zeros((0, 0), kind)
 
@@ -157,7 +177,7 @@ def _near_queries(ids: np.ndarray, asked: np.ndarray, k: int):
             if not batch.num_rows:
                 continue
             own, cells = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            scores = directions @ unit(matrix(batch.column(1).to_pylist())).T
+            scores = directions @ unit(vectors_of(batch.column(1))).T
             scores[ids[:, None] == own[None, :]] = -np.inf
             row, col = _best_of(scores, k)
             found = pd.DataFrame(
@@ -237,10 +257,9 @@ def _visits(books: Codebooks, sizes: np.ndarray, starts: np.ndarray, wanted: flo
         second = len(books.second)
         ends = np.r_[starts[1:], len(books.first)]
         for batch in batches:
-            vectors = matrix(batch.column(1).to_pylist())
-            if not len(vectors):
+            if not batch.num_rows:
                 continue
-            x = unit(vectors)
+            x = unit(vectors_of(batch.column(1)))
             half = books.first.shape[1]
             one, two = distances(x[:, :half], books.first), distances(x[:, half:], books.second)
             visits = []
@@ -284,11 +303,9 @@ def search(
 
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(shared.value.assign(unit(x)) if len(x) else [], pa.int64())],
-                names=["id", "v", "cell"],
-            )
+            if batch.num_rows:
+                cells = pa.array(shared.value.assign(unit(vectors_of(batch.column(1)))), pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=["id", "v", "cell"])
 
     coded = materialise(rows.mapInArrow(quantise, f"id long, v {kind}, cell long"), "imi-entries")
     second = len(books.second)

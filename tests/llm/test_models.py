@@ -318,6 +318,9 @@ def test_traversal_visits_by_rising_distance():
     rng = np.random.default_rng(2)
     one, two = rng.random(6), rng.random(7)
     cells = nearest.traverse(one, two, np.ones(42, np.int64), 42)
+    some = rng.integers(0, 3, 42)
+    want = [c for c in sorted(range(42), key=lambda c: one[c // 7] + two[c % 7]) if some[c]]
+    assert nearest.traverse(one, two, some, 10**9) == want
     sums = [one[c // 7] + two[c % 7] for c in cells]
     assert len(set(cells)) == 42 and sums == sorted(sums)
     assert len(nearest.traverse(one, two, np.ones(42, np.int64), 5)) == 5
