@@ -6,25 +6,29 @@ not all set twice is certainly unique and passes straight through; only the rest
 shuffled by its SHA-256.  A false positive costs a shuffled row and nothing else, so
 the result is exact at any filter size.
 
-The filter has 16 bits a row and at most ``MAX_BITS``; that bound holds for what is
-sent to the driver and broadcast.  Beyond it more rows are shuffled and no row is lost.
+The filter has 16 bits a row and at most as many as a set part of the memory of a driver
+and an executor holds (:func:`most_bits`); that bound holds for what is sent to the driver
+and broadcast.  With fewer bits a row each hash sets fewer of them; more rows are shuffled
+then, and none is lost.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm.common import materialise, trimmed, unused_names, whole_text
 
-#: Bits of the filter at most: 16 MB.
-MAX_BITS = 1 << 27
+#: The part of the smaller of both memories that a filter takes at most.
+MEMORY_PART = 64
 BLOCK_BITS = 1 << 16
+#: Bits that a hash sets at most.
 PROBES = 3
 #: Groups into which the partial filters of a block are merged first.
 MERGE_WAYS = 32
@@ -34,13 +38,29 @@ def normalised(column: str = "text") -> Column:
     return F.regexp_replace(whole_text(column), r"[\x20\x09-\x0D]+", "")
 
 
-def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The positions of each hash, by double hashing; one row for each probe."""
+def most_bits(spark: SparkSession) -> int:
+    """Bits of a filter at most: a power of two, 2^27 (16 MB) with memories of 1 GB, 2^30 with 8 GB."""
+
+    def size(key: str) -> int:
+        number, unit = re.fullmatch(r"(\d+)([a-z]*)", spark.sparkContext.getConf().get(key, "1g").lower()).groups()
+        return int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit[:1], 0)
+
+    least = min(size("spark.driver.memory"), size("spark.executor.memory"))
+    return max(BLOCK_BITS, 1 << ((8 * least // MEMORY_PART).bit_length() - 1))
+
+
+def probes_for(bits: int, rows: int) -> int:
+    """How many bits a hash sets, so that a filter with few bits a row isn't full."""
+    return PROBES if bits >= 8 * rows else 2 if bits >= 4 * rows else 1
+
+
+def probes(hashes: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """The positions of each hash, by double hashing; one row for each of ``n`` probes."""
     h = hashes.astype(np.int64).view(np.uint64)
     with np.errstate(over="ignore"):
         first = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         second = ((h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)) | np.uint64(1)
-        rounds = np.arange(PROBES, dtype=np.uint64)[:, None]
+        rounds = np.arange(n, dtype=np.uint64)[:, None]
         mixed = first[None, :] + rounds * second[None, :]
     return ((mixed >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
 
@@ -64,12 +84,12 @@ def unpack(data: bytes) -> np.ndarray:
     return bitmap(np.frombuffer(data, "<u2"))
 
 
-def _partial_filters(bits: int):
+def _partial_filters(bits: int, n: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at, times = np.unique(probes(batch.column(0).to_numpy(zero_copy_only=False), bits), return_counts=True)
+            at, times = np.unique(probes(batch.column(0).to_numpy(zero_copy_only=False), bits, n), return_counts=True)
             blocks = at // BLOCK_BITS
             edges = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1], True])
             block, way, seen, again = [], [], [], []
@@ -104,13 +124,14 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def repeated_filter(hashes: DataFrame, rows: int, max_bits: int = MAX_BITS) -> np.ndarray:
+def repeated_filter(hashes: DataFrame, rows: int, max_bits: int | None = None) -> np.ndarray:
     """The level "seen again" over ``hashes``, a DataFrame of one long column."""
+    most = most_bits(hashes.sparkSession) if max_bits is None else max_bits
     bits = BLOCK_BITS
-    while bits < min(16 * rows, max_bits):
+    while bits < min(16 * rows, most):
         bits *= 2
     schema = "block int, way int, seen binary, again binary"
-    parts = hashes.mapInArrow(trimmed(_partial_filters(bits)), schema)
+    parts = hashes.mapInArrow(trimmed(_partial_filters(bits, probes_for(bits, rows))), schema)
     parts = parts.groupBy("block", "way").applyInPandas(_merge, schema)
     parts = parts.groupBy("block").applyInPandas(_merge, schema)
     level = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
@@ -119,14 +140,15 @@ def repeated_filter(hashes: DataFrame, rows: int, max_bits: int = MAX_BITS) -> n
     return level.reshape(-1)
 
 
-def maybe_repeated(df: DataFrame, level: np.ndarray, hash_column: str) -> Column:
+def maybe_repeated(df: DataFrame, level: np.ndarray, rows: int, hash_column: str) -> Column:
     """False only for hashes that occur once."""
     bits = len(level) * 8
+    n = probes_for(bits, rows)
     shared = df.sparkSession.sparkContext.broadcast(level)
 
     @F.pandas_udf("boolean")
     def test(hashes: pd.Series) -> pd.Series:
-        at = probes(hashes.to_numpy(), bits)
+        at = probes(hashes.to_numpy(), bits, n)
         hit = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
         return pd.Series(hit.all(axis=0))
 
@@ -161,8 +183,9 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
         ).withColumn("row", F.monotonically_increasing_id()),
         "exact-prints",
     ).withColumn("hash", F.xxhash64("sha"))
-    level = repeated_filter(prints.select("hash"), prints.count())
-    prints = prints.withColumn("maybe", maybe_repeated(prints, level, "hash"))
+    rows = prints.count()
+    level = repeated_filter(prints.select("hash"), rows)
+    prints = prints.withColumn("maybe", maybe_repeated(prints, level, rows, "hash"))
 
     def result(df: DataFrame, keep: Column, size: Column, kept: Column) -> DataFrame:
         return df.select(
@@ -196,9 +219,10 @@ def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_colum
     sha, n, size, row, best = unused_names(docs, "sha", "n", "hash", "maybe", "best")
     keyed = docs.withColumns({sha: F.unhex(F.sha2(normalised(text_column), 256)), n: F.length(whole_text(text_column))})
     prints = materialise(keyed.select(F.xxhash64(sha).alias("hash")), "exact-hashes")
-    level = repeated_filter(prints, prints.count())
+    rows = prints.count()
+    level = repeated_filter(prints, rows)
     keyed = keyed.withColumn(size, F.xxhash64(sha))
-    keyed = keyed.withColumn(row, maybe_repeated(keyed, level, size))
+    keyed = keyed.withColumn(row, maybe_repeated(keyed, level, rows, size))
     alone = keyed.filter(~F.col(row)).select(*docs.columns)
     again = keyed.filter(F.col(row)).groupBy(sha).agg(
         F.max_by(F.struct(*docs.columns), _better(n, id_column)).alias(best)

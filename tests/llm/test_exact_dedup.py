@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -30,11 +31,28 @@ def test_matches_brute_force(odd, odd_texts):
 
 
 def test_saturated_filter_is_exact(odd, odd_texts, monkeypatch):
-    monkeypatch.setattr(ed, "probes", lambda hashes, bits: np.zeros((ed.PROBES, len(hashes)), np.int64))
+    monkeypatch.setattr(ed, "probes", lambda hashes, bits, n: np.zeros((n, len(hashes)), np.int64))
     want = truth(odd_texts)
     assert all((r.keep_id, r.group_size) == want[r.text_sha256] for r in ed.exact_duplicates(odd).collect())
 
 
+def test_filter_with_few_bits_a_row_still_passes_rows_by(spark):
+    """At every size all repeated hashes are found; with one bit a row and more, many others pass straight through."""
+    n = 60_000
+    hashes = spark.range(n).selectExpr("xxhash64(id) AS hash").union(spark.range(500).selectExpr("xxhash64(id) AS hash"))
+    told = {}
+    for bits in (1 << 16, 1 << 18, 1 << 20):
+        level = ed.repeated_filter(hashes, n, bits)
+        assert len(level) * 8 == bits
+        seen = hashes.withColumn("maybe", ed.maybe_repeated(hashes, level, n, "hash"))
+        told[bits] = seen.filter("maybe").count()
+        assert seen.filter("maybe").join(spark.range(500).selectExpr("xxhash64(id) AS hash"), "hash").count() == 1000
+    assert 1000 <= told[1 << 20] < told[1 << 18] < told[1 << 16]
+    # With one probe a row passes by if no other hash set its bit.
+    assert told[1 << 16] < 1.05 * (n + 500) * (1 - math.exp(-(n + 500) / (1 << 16)))
+    assert ed.most_bits(spark) >= 1 << 27
+
+
 def test_drop_keeps_columns_and_one_row_a_group(odd, odd_texts):
     kept = ed.drop_exact_duplicates(odd)
     assert kept.columns == odd.columns
