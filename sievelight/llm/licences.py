@@ -51,7 +51,9 @@ _BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 _GAP = re.compile(b" {2,}")
-_TAGGED = re.compile(r"SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
+#: A tag as it is written, and the bytes of a text with A-Z lower-cased.
+_TAG_TEXT = "spdx-license-identifier"
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _BINDS = {"OR": 1, "AND": 2, "WITH": 3}
 
@@ -131,6 +133,32 @@ def automaton():
     return found
 
 
+@lru_cache(maxsize=1)
+def tag_automaton():
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    found.add_word(_TAG_TEXT, len(_TAG_TEXT))
+    found.make_automaton()
+    return found
+
+
+def expressions(text: str) -> Iterator[str]:
+    """What follows each tag and its colon, to the end of the line; a tag within that is part of it."""
+    data = text.encode("utf-8", "surrogatepass")
+    done = 0
+    for end, size in tag_automaton().iter(data.translate(_LOWER).decode("latin-1")):
+        start = end + 1
+        while data[start : start + 1] in (b" ", b"\t"):
+            start += 1
+        if end + 1 - size < done or data[start : start + 1] != b":":
+            continue
+        start += 1
+        stops = [k for k in (data.find(b"\r", start), data.find(b"\n", start)) if k >= 0]
+        done = min(stops, default=len(data))
+        yield data[start:done].decode("utf-8", "replace").lstrip(" \t")
+
+
 def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
     """n_words, n_base, first_word, last_word, base_labels, labels and score of a whole text."""
     words = _GAP.sub(b" ", text.encode("utf-8", "surrogatepass").translate(_BYTES)).strip(b" ")
@@ -147,7 +175,7 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
             labels.add(label)
             grants.append(freedom(label))
     if tagged:
-        for expression in _TAGGED.findall(text):
+        for expression in expressions(text):
             names, grant = evaluate(expression)
             labels |= names
             grants += [grant] if grant is not None else []

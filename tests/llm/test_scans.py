@@ -281,6 +281,16 @@ def test_expressions(expression, names, grant):
     assert licences.evaluate(expression) == (names, pytest.approx(grant) if grant is not None else None)
 
 
+def test_places_of_tags():
+    """As a pattern finds them, in texts of tags, colons, blanks, line ends and letters that only look alike."""
+    rng = random.Random(2)
+    parts = ["SPDX-License-Identifier", "spdx-license-identifier", "ſPDX-License-Identifier", ":", " ", "\t", "\n", "\r", "MIT", "é", "İ"]
+    pattern = re.compile(r"SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert list(licences.expressions(text)) == pattern.findall(text)
+
+
 def test_tags():
     assert licences.scan("# SPDX-License-Identifier: MIT OR GPL-2.0\ncode")[5] == "gpl-2.0,mit"
     assert licences.scan("SPDX License Identifier without a colon")[5] == ""
