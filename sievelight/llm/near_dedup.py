@@ -34,8 +34,9 @@ from sievelight.llm.components import components
 BINS = 256
 BAND = 6
 BANDS = BINS // BAND
-#: Nodes of a bucket and size class, on average, in a block.
-BLOCK = 512
+#: Nodes of a bucket and size class, on average, in a block: these at least, more where that makes over SPREAD blocks, these at most.
+BLOCK, MOST_BLOCK = 512, 8192
+SPREAD = 32
 #: Rows at most that are broadcast to find the texts of candidates.
 BROADCAST_ROWS = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -309,7 +310,9 @@ def dealt_in_blocks(going: DataFrame, percent: int) -> DataFrame:
     """
     base = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
     placed = going.withColumn("class", F.floor(F.log(F.col("n_shingles").cast("double")) / base))
-    blocks = placed.groupBy("bucket", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    n = F.count(F.lit(1))
+    size = F.least(F.greatest(n / SPREAD, F.lit(float(BLOCK))), F.lit(float(MOST_BLOCK)))
+    blocks = placed.groupBy("bucket", "class").agg(F.ceil(n / size).cast("int").alias("blocks"))
     blocks = blocks.groupBy("bucket").agg(
         F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks")  # a few classes a bucket
     )
