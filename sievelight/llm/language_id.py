@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelight.llm.common import clear_names, give_back, held_out, materialise, small_batches, whole_text
+from sievelight.llm.common import Scratch, clear_names, give_back, held_out, small_batches, trimmed, whole_text
 
 UNDETERMINED = "und"
 GRAM = 4
@@ -38,9 +38,9 @@ LEAST_SHARE = 0.5
 MOST_GRAMS = 1 << 18
 ALL_GRAMS = 1 << 24
 #: Texts that are looked at together.
-ROWS = 1024
+ROWS = 256
 #: Characters that are held in arrays at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _CASE: list[np.ndarray] = []
 
@@ -259,9 +259,12 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
         F.col(text_column).cast("string").alias("text"),
         F.xxhash64(id_column, text_column).alias("h"),
     )
-    sizes = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")), "lang-sizes")
+    scratch = Scratch(docs.sparkSession, "languages")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    sizes = scratch.keep(sizes, "sizes")
     languages = sizes.count()
     if not languages:
+        scratch.drop_all_but()
         return build({})
     chars = min(SAMPLE_CHARS, max(1, ALL_CHARS // languages))
     # From 0 to 1, where h lies among all hashes; a join, as a condition for each language would grow with them.
@@ -271,8 +274,8 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     )
     parts = min(4 * languages, docs.sparkSession.sparkContext.defaultParallelism)
     counted = picked.select("lang", "text", "h").repartition(parts, "lang", F.pmod("h", F.lit(4))).select("lang", "text")
-    counted = counted.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = materialise(counted.filter(F.col("gram").isNull() | (F.col("n") >= LEAST_COUNT)), "lang-grams")
+    counted = counted.mapInArrow(trimmed(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = scratch.keep(counted.filter(F.col("gram").isNull() | (F.col("n") >= LEAST_COUNT)), "grams")
     most = min(MOST_GRAMS, max(1, ALL_GRAMS // languages))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = counted.filter("gram is not null").withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most)
@@ -282,6 +285,7 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     for lang, every in counted.filter("gram is null").select("lang", "n").collect():
         some = own.get(lang, none)
         found[lang] = some["gram"].to_numpy(np.int64).view(np.uint64), some["n"].to_numpy(np.int64), every
+    scratch.drop_all_but()
     return build(found)
 
 
