@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelight.llm.common import clear_names, materialise, small_batches, trimmed, whole_text
+from sievelight.llm.common import Scratch, clear_names, small_batches, trimmed, whole_text
 
 END_OF_TEXT = "<|endoftext|>"
 END_OF_TEXT_ID = 50256
@@ -271,11 +271,13 @@ def encode(
     long = rows.filter(F.length(text) > long_text).withColumn(sha, F.unhex(F.sha2(text, 256)))
     # Written, so that the texts are cut once and each piece is dealt to a task of its own.
     texts = long.groupBy(F.col(sha).alias("sha")).agg(F.first(text).alias("text"))
-    pieces = materialise(texts.mapInArrow(_cut_rows(long_text), _PIECE), "bpe-pieces")
+    scratch = Scratch(docs.sparkSession, "bpe")
+    pieces = scratch.keep(texts.mapInArrow(_cut_rows(long_text), _PIECE), "pieces")
     encoded = pieces.repartition("sha", "piece").mapInArrow(_encode_pieces(vocabulary, part), _ENCODED)
-    joined = materialise(
-        encoded.groupBy("sha").applyInPandas(_join_pieces(vocabulary), "sha binary, ids array<int>"), "bpe-long"
+    joined = scratch.keep(
+        encoded.groupBy("sha").applyInPandas(_join_pieces(vocabulary), "sha binary, ids array<int>"), "joined"
     ).withColumnsRenamed({"sha": sha, "ids": name})
+    scratch.drop_all_but("joined")
     return short.unionByName(long.drop(text).join(joined, sha).select(*columns, name))
 
 

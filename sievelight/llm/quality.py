@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelight.llm.common import clear_names, held_out, materialise, whole_text
+from sievelight.llm.common import Scratch, clear_names, held_out, whole_text
 
 #: Labelled documents at most of each label: half for the dictionaries, half for the curve.
 SAMPLE_DOCS = 2000
@@ -152,9 +152,9 @@ def train(
     rows = docs.select(
         F.col(id_column).cast("long").alias("id"), whole_text(text_column).alias("text")
     ).filter("text <> ''").join(chosen, "id")
-    rows = materialise(
-        rows.groupBy("y", "h", "id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")),
-        "quality-sample",
+    scratch = Scratch(spark, "quality")
+    rows = scratch.keep(
+        rows.groupBy("y", "h", "id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), "sample"
     )
     # Sizes come first, so that no more text than is learned from ever comes to the driver.
     used, wanted = {0: 0, 1: 0}, []
@@ -166,6 +166,7 @@ def train(
     held: dict[int, list[tuple[int, int, str]]] = {0: [], 1: []}
     for row in rows.join(wanted, ["y", "h", "id"]).collect():
         held[row["y"]].append((row["h"], row["id"], row["text"]))
+    scratch.drop_all_but()
     halves = {y: (sorted(rows)[::2], sorted(rows)[1::2]) for y, rows in held.items()}
     model = Model(dictionary([t for *_, t in halves[1][0]]), dictionary([t for *_, t in halves[0][0]]), 0.0, 0.0)
     texts = [(t, y) for y in (0, 1) for *_, t in halves[y][1]]

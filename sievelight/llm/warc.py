@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm.common import materialise, new_path, small_batches, trimmed, whole_text
+from sievelight.llm.common import Scratch, materialise, new_path, small_batches, trimmed, whole_text
 
 #: Payloads of fewer bytes are always kept as responses.
 LEAST_REVISIT = 100
@@ -79,7 +79,9 @@ def url_key(url: str) -> str:
     return f"{key}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
-def with_revisits(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
+def with_revisits(
+    pages: DataFrame, scratch: Scratch, id_column: str = "page_id", html_column: str = "html"
+) -> DataFrame:
     """``pages`` as page_id, url, html, digest, bytes and refers_to.
 
     refers_to is the smallest id among the records of an equal payload of at least
@@ -94,7 +96,7 @@ def with_revisits(pages: DataFrame, id_column: str = "page_id", html_column: str
     same = page.filter(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(
         F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")
     ).filter("n > 1")
-    same = materialise(same.select("digest", "first_id"), "warc-same")
+    same = scratch.keep(same.select("digest", "first_id"), "same")
     joined = page.join(same, "digest", "left")
     return joined.withColumn(
         "refers_to",
@@ -177,11 +179,13 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     The text writer puts out the bytes of a string as they are, and its separator is the
     zero byte that every member here ends with.
     """
-    page = with_revisits(small_batches(pages))
+    scratch = Scratch(pages.sparkSession, "warc")
+    page = with_revisits(small_batches(pages), scratch)
     packed = page.select(record(page).cast("binary").alias("value")).mapInArrow(
         trimmed(_pack(archive_bytes)), "value binary, archive int"
     )
     packed.select(F.col("value").cast("string"), "archive").write.partitionBy("archive").option("lineSep", "\x00").text(path)
+    scratch.drop_all_but()
 
 
 def members(data) -> Iterator[tuple[int, int, bytes]]:

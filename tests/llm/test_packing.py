@@ -79,5 +79,27 @@ def test_several_blocks_and_sequences(spark):
     assert {k: len(v) for k, v in ids.items()} == {k: sum(n for _, n in v) for k, v in held.items()}
 
 
+def test_query_against_the_library(spark):
+    """Every piece of every document of the query, by the library's own ids; few sequences more than the tokens need."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sievelight.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    own = Tokenizer.from_file(public_tokenizers.path(NAME))
+    texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = {}
+    for doc, text in texts:
+        ids = np.asarray([*own.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        starts = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024)]
+        for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+            want[doc, k] = (s, e - s, zlib.crc32(ids[s:e].tobytes()))
+    rows = queries.op5_packing(spark, sf).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    held = check(rows, texts, 1024)
+    assert len(held) <= 1.02 * -(-sum(n for _, n, _ in want.values()) // 1024)
+
+
 def test_empty(none):
     assert packing.pack_documents(none, NAME).count() == 0
