@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import exact_dedup, language_id, near_dedup, packing, secrets
-from sievelight.llm.common import materialise
+from sievelight.llm.common import Scratch
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -54,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, one after another; what a stage returned is there until the next one's result is written."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop_all_but(name)
     return docs
