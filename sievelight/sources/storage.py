@@ -3,30 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local session without one gets a temporary folder, others the warehouse."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        local = sc.master.startswith("local")
-        sc.setCheckpointDir(
-            named or (
-                tempfile.mkdtemp(prefix="sievelight-")
-                if local
-                else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
-            )
-        )
-    return sc.getCheckpointDir()
+def work_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local session without one gets a temporary folder, others the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        local = spark.sparkContext.master.startswith("local")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievelight-") if local else f"{warehouse}/_work")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The frame as a checkpoint: computed once, however many plans use it, and kept if executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The frame as a written table: computed once, however many plans use it, and there if executors are lost.
+
+    Plans on it read the columns and rows that they need, and know its size.
+    """
+    path = f"{work_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
