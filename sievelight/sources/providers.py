@@ -9,7 +9,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import queue
+import threading
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -44,6 +48,53 @@ class HashedEmbedder:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def post(url: str, body: dict, key_variable: str | None, seconds: float) -> dict:
+    """The JSON answer to a JSON request; the key, if any, is read where the request is made."""
+    headers = {"Content-Type": "application/json"}
+    if key_variable and os.environ.get(key_variable):
+        headers["Authorization"] = f"Bearer {os.environ[key_variable]}"
+    request = urllib.request.Request(url, json.dumps(body).encode(), headers)
+    with urllib.request.urlopen(request, timeout=seconds) as answer:
+        return json.load(answer)
+
+
+@dataclass(frozen=True)
+class HttpEmbedder:
+    """Vectors of a server with the usual embeddings interface: {model, input} gives {data: [{index, embedding}]}."""
+
+    url: str
+    model: str
+    dim: int
+    instruction: str = ""
+    key_variable: str | None = None
+    seconds: float = 90.0
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        said = [f"Instruct: {self.instruction}\nQuery: {t}" for t in texts] if self.instruction else texts
+        answer = post(self.url, {"model": self.model, "input": said}, self.key_variable, self.seconds)
+        rows = sorted(answer["data"], key=lambda r: r["index"])
+        out = np.array([r["embedding"] for r in rows], float)
+        if out.shape != (len(texts), self.dim):
+            raise ValueError(f"{out.shape} for {len(texts)} texts")
+        return out
+
+
+@dataclass(frozen=True)
+class HttpModel:
+    """Answers of a server with the usual chat interface, as JSON by a schema if it takes one."""
+
+    url: str
+    model: str
+    key_variable: str | None = None
+    seconds: float = 90.0
+
+    def __call__(self, prompt: str) -> tuple[str, int, int]:
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "response_format": {"type": "json_object"}}
+        answer = post(self.url, body, self.key_variable, self.seconds)
+        used = answer.get("usage", {})
+        return answer["choices"][0]["message"]["content"], used.get("prompt_tokens", 0), used.get("completion_tokens", 0)
+
+
 def with_retries(call: Callable, attempts: int = 5, wait: float = 0.5, most: float = 30.0):
     """The call's result; it is made again after growing waits while it raises."""
     for k in range(attempts):
@@ -55,6 +106,28 @@ def with_retries(call: Callable, attempts: int = 5, wait: float = 0.5, most: flo
             time.sleep(min(most, wait * 2**k))
 
 
+def within(call: Callable, seconds: float | None):
+    """The call's result, if it comes in time; else TimeoutError.  A call that hangs is left to a thread of its own."""
+    if seconds is None:
+        return call()
+    done: queue.Queue = queue.Queue(1)
+
+    def run() -> None:
+        try:
+            done.put((call(), None))
+        except Exception as e:
+            done.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        value, error = done.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer in {seconds} s") from None
+    if error is not None:
+        raise error
+    return value
+
+
 def embed(
     texts: DataFrame,
     embedder: Embedder,
@@ -102,6 +175,8 @@ def embed_missing(
     return embed(todo, embedder, key, **options)
 
 
+#: Fixed value: seconds after which a call counts as failed.
+CALL_SECONDS = 90.0
 #: A task's answer to a rendered prompt: JSON, tokens in and out.
 Answer = Callable[[str], tuple[str, int, int]]
 
@@ -117,9 +192,9 @@ def grade_by_words(prompt: str) -> tuple[str, int, int]:
 TASKS = {
     "cluster_card": "label string, clinical_relevance string, urgency_potential string, emotional_potential string",
     "cluster_picker": "picks array<struct<query:string,mu_grade:string,pu_grade:string,et_grade:string>>, skip_reason string",
-    "blind_verifier": "mu_grade string, pu_grade string, et_grade string, confidence int",
+    "blind_verifier": "mu_grade string, mu_applicable boolean, pu_grade string, pu_applicable boolean, et_grade string, et_applicable boolean, confidence int",
     "backfill": "generated array<struct<query:string,mu_grade:string,pu_grade:string,et_grade:string>>",
-    "reference": "mu_grade string, pu_grade string, et_grade string, confidence int",
+    "reference": "mu_grade string, mu_applicable boolean, pu_grade string, pu_applicable boolean, et_grade string, et_applicable boolean, confidence int",
     "variants": "variants array<struct<text:string,target_grade:int>>",
     "axis_judge": "grade int, confidence int",
     "triage": "mu int, pu int, et int",
@@ -137,9 +212,12 @@ def call_model(
     cache: DataFrame | None = None,
     attempts: int = 3,
     concurrency: int | None = None,
+    seconds: float | None = CALL_SECONDS,
 ) -> DataFrame:
     """key, cache_key, response, prompt_tokens, completion_tokens, cached and error of each prompt.
 
+    A call that takes longer than ``seconds`` counts as failed and is made again, too.
+
     The cache (cache_key, response, tokens) is joined first; what it lacks is sent once
     for each distinct prompt.
     """
@@ -155,7 +233,7 @@ def call_model(
             out = []
             for k, text in zip(frame["cache_key"], frame["_p"], strict=True):
                 try:
-                    out.append((k, *with_retries(lambda t=text: answer(t), attempts), None))
+                    out.append((k, *with_retries(lambda t=text: within(lambda: answer(t), seconds), attempts), None))
                 except Exception as e:
                     out.append((k, None, 0, 0, str(e)[:500]))
             yield pd.DataFrame(out, columns=["cache_key", "response", "prompt_tokens", "completion_tokens", "error"])
