@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -173,6 +174,22 @@ def person_flags(log: DataFrame, people: DataFrame, text: str = "query", cutoff:
     return full.union(token).union(fuzzy).groupBy("key").agg(F.min_by("match", order).alias("match"))
 
 
+def recognised(c: Column, load: Callable[[], Callable[[list[str]], list[bool]]]) -> Column:
+    """Whether a recogniser finds a person's name in a text; null counts as no text.
+
+    ``load`` makes the recogniser, once in each task and on the executor, so a model of any
+    library can be behind it; it is asked for a batch of texts at a time.
+    """
+
+    @F.pandas_udf("boolean")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        recogniser = load()
+        for texts in batches:
+            yield pd.Series(recogniser(texts.fillna("").tolist()), dtype=bool)
+
+    return found(c)
+
+
 def capitalised_names(c: Column) -> Column:
     """Stand-in for a name recogniser: pairs of capitalised words of letters."""
     return F.regexp_count(c, F.lit(r"(?U)\b\p{Lu}\p{Ll}+\s+\p{Lu}\p{Ll}+\b")) > 0

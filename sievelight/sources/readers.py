@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from functools import reduce
+from xml.etree import ElementTree
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +16,7 @@ from sievelight.functions import text as tx
 
 LOG = "query_key string, query string, source string, site string, source_file string, device string, clicks long, impressions long, ctr double, position double, found long, lang string, date_start string, date_end string, last_searched string, last_year long"
 #: File name patterns of both kinds of logs.
-PATTERNS = {"ga4": "*ga4*.csv", "internal": "*search_log*.csv"}
+PATTERNS = {"ga4": "*ga4*.csv", "internal": "*search_log*.{csv,xlsx}"}
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,16 +113,66 @@ def internal_log(rows: DataFrame, source: str, site: str) -> DataFrame:
 def read_internal_xls(
     spark: SparkSession, path: str, names: dict[str, str], source: str = "site1_internal", site: str = "site1"
 ) -> DataFrame:
-    """An internal log in a spreadsheet with localised headers; needs a spreadsheet engine of pandas."""
-    import pandas as pd
+    """An internal log in spreadsheets (.xlsx) with localised headers, which ``names`` maps to the log's columns.
 
-    sheet = pd.read_excel(path).rename(columns=names).astype("string")
+    The first sheet of each file is read, in the task that reads the file, and cells as they
+    are written.
+    """
     wanted = ["query", "lang", "clicks", "found", "last_searched_raw"]
-    rows = spark.createDataFrame(
-        sheet.reindex(columns=wanted).astype(object).where(sheet.reindex(columns=wanted).notna(), None),
-        ", ".join(f"{c} string" for c in wanted),
+
+    def rows(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for name, content in zip(frame["source_file"], frame["content"], strict=True):
+                header, *body = sheet_rows(bytes(content)) or [[]]
+                places = {names.get(title, title): k for k, title in enumerate(header)}
+                at = [places.get(c) for c in wanted]
+                cells = [[row[k] if k is not None and k < len(row) else None for k in at] for row in body]
+                yield pd.DataFrame(cells, columns=wanted, dtype=object).assign(source_file=name)
+
+    files = spark.read.format("binaryFile").load(path).select(
+        F.element_at(F.split("path", "/"), -1).alias("source_file"), "content"
     )
-    return internal_log(rows.withColumn("source_file", F.lit(path.rsplit("/", 1)[-1])), source, site)
+    schema = ", ".join(f"{c} string" for c in (*wanted, "source_file"))
+    return internal_log(files.mapInPandas(rows, schema), source, site)
+
+
+def sheet_rows(content: bytes) -> list[list[str | None]]:
+    """The cells of the first sheet of an .xlsx file, as text; empty ones are null, and so are rows' missing ends."""
+    with zipfile.ZipFile(io.BytesIO(content)) as parts:
+        tag = lambda node: node.tag.rpartition("}")[2]
+        text_of = lambda node: "".join(t.text or "" for t in node.iter() if tag(t) == "t")
+        shared = []
+        if "xl/sharedStrings.xml" in parts.namelist():
+            shared = [text_of(node) for node in ElementTree.fromstring(parts.read("xl/sharedStrings.xml"))]
+        sheets = sorted(n for n in parts.namelist() if n.startswith("xl/worksheets/sheet"))
+        sheet = ElementTree.fromstring(parts.read(sheets[0]))
+    rows = []
+    for row in (node for node in sheet.iter() if tag(node) == "row"):
+        cells: list[str | None] = []
+        for cell in row:
+            letters = re.match("[A-Z]*", cell.get("r", "")).group()
+            place = reduce(lambda n, c: 26 * n + ord(c) - 64, letters, 0) - 1 if letters else len(cells)
+            cells += [None] * (place - len(cells) + 1)
+            value = next((node.text for node in cell if tag(node) == "v"), None)
+            if cell.get("t") == "s" and value is not None:
+                value = shared[int(value)]
+            elif cell.get("t") == "inlineStr":
+                value = text_of(cell)
+            cells[place] = value or None
+        rows.append(cells)
+    return rows
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV export of annotations, all columns as text; quoted cells may hold line breaks."""
+    return spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+
+
+def packages_titled(packages: DataFrame, part: str, title: str = "title") -> DataFrame:
+    """The packages whose title holds ``part``, in any case."""
+    return packages.filter(F.contains(F.lower(title), F.lit(part.lower())))
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
