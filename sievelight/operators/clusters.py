@@ -170,14 +170,9 @@ def ctfidf(counts: DataFrame, group: str, n: int = 20, min_groups: int = 1) -> D
     tf is a term's share of its group, f its count over all groups and A the mean number
     of terms in a group.
     """
-    counts = settled(counts)
-    kept = counts.join(
-        counts.groupBy("term").agg(
-            F.sum("n").alias("f"), F.count(F.lit(1)).alias("groups")
-        ).filter(F.col("groups") >= min_groups),
-        "term",
-    )
-    kept = settled(kept)
+    term = Window.partitionBy("term")  # as many rows as a term has groups
+    kept = counts.withColumns({"f": F.sum("n").over(term), "groups": F.count(F.lit(1)).over(term)})
+    kept = settled(kept.filter(F.col("groups") >= min_groups).drop("groups"))
     sizes = kept.groupBy(group).agg(F.sum("n").alias("size"))
     mean = sizes.agg(F.avg("size").alias("mean"))
     rated = kept.join(sizes, group).crossJoin(F.broadcast(mean))  # one row
@@ -272,6 +267,22 @@ def merge_within(
     return centres.select(category, cluster, vector).groupBy(category).applyInPandas(merge, schema)
 
 
+def merge_at(
+    centres: DataFrame, category: str, height: float, cluster: str = "cluster_id", vector: str = "centroid"
+) -> DataFrame:
+    """Clusters merged by average linkage up to a height, never across categories: category, cluster, merged."""
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(cluster)
+        merges = upgma(np.array(group[vector].tolist(), float))
+        labels = cut_tree(len(group), merges, height)
+        return pd.DataFrame({category: group[category], cluster: group[cluster], "merged": labels})
+
+    kinds = centres.schema
+    schema = f"{category} {kinds[category].dataType.simpleString()}, {cluster} {kinds[cluster].dataType.simpleString()}, merged int"
+    return centres.select(category, cluster, vector).groupBy(category).applyInPandas(merge, schema)
+
+
 def merge_heights(
     centres: DataFrame, category: str, cluster: str = "cluster_id", vector: str = "centroid"
 ) -> DataFrame:

@@ -5,13 +5,17 @@ Deviations: the perceptron's hidden units are logistic and it doesn't stop early
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.operators.probes import class_weights
+from sievelight.operators.metrics import confusion, macro_f1_of
+from sievelight.operators.probes import class_weights, concatenated, evaluate
+from sievelight.sources.storage import settled
 
 
 def _features(rows: DataFrame, v: str = "v") -> DataFrame:
@@ -79,6 +83,40 @@ def whitened_head(train: DataFrame, rows: DataFrame, k: int = 256) -> DataFrame:
     )
 
 
+def concat_head(cells: list[DataFrame], labels: DataFrame, key: str = "text_id") -> DataFrame:
+    """Rows of the test split with pred of a balanced linear head on the vectors of several embedders, one after another.
+
+    ``cells`` have key and v; ``labels`` has key, grade and split, and only texts that every
+    embedder has take part.  Train and dev are fitted on.
+    """
+    rows = settled(concatenated(cells, key).join(labels.select(key, "grade", "split"), key))
+    return linear_head(rows.filter("split <> 'test'"), rows.filter("split = 'test'"))
+
+
+def compared(rows: DataFrame, axes: tuple[str, ...], hidden: int = 256, iterations: int = 100) -> DataFrame:
+    """Macro-F1 on test of the direction, a linear head and a perceptron, and the gaps between them, for each axis.
+
+    All three are fitted on train; a head is fitted for one axis at a time, and axes are few.
+    """
+    found = []
+    for axis in axes:
+        own = settled(rows.filter(F.col("axis") == axis).select("grade", "split", "v"))
+        train, test = own.filter("split = 'train'"), own.filter("split = 'test'")
+        linear = confusion(linear_head(train, test, balanced=False), "grade", "pred")
+        deep = confusion(mlp_head(train, test, hidden, iterations), "grade", "pred")
+        one = linear.select(F.lit(axis).alias("axis"), macro_f1_of().alias("f1_linear"))
+        found.append(one.crossJoin(deep.select(macro_f1_of().alias("f1_mlp"))))  # one row each
+    heads = reduce(lambda a, b: a.unionByName(b), found)
+    out = evaluate(rows).select("axis", F.col("macro_f1").alias("f1_dom")).join(heads, "axis")
+    return out.withColumns(
+        {
+            "mlp_minus_dom": F.col("f1_mlp") - F.col("f1_dom"),
+            "mlp_minus_linear": F.col("f1_mlp") - F.col("f1_linear"),
+            "linear_minus_dom": F.col("f1_linear") - F.col("f1_dom"),
+        }
+    )
+
+
 def score_head(train: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows with pred of a logistic regression on the projection alone."""
     one = lambda df: df.withColumn("v", F.array("score"))

@@ -6,6 +6,7 @@ Each function takes the columns that name a cell (an embedder, mode and axis, sa
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from functools import reduce
 
@@ -86,8 +87,8 @@ def agreement_of(grades=GRADES) -> Column:
     return _sum(c(i, i) for i in grades) / F.nullif(_sum(c(i, j) for i in grades for j in grades), F.lit(0))
 
 
-def midranks(df: DataFrame, value: str, by: list[str] = (), out: str = "r") -> DataFrame:
-    """Ranks in which ties share their mean.
+def ranked_values(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """by, the distinct values, _n, the rows of each, and _before, the rows of lesser ones.
 
     Rows are reduced to counts of distinct values, which are dealt out by ranges.  The
     sums of whole ranges, a row for each of them, come before those within a range, so no
@@ -100,10 +101,44 @@ def midranks(df: DataFrame, value: str, by: list[str] = (), out: str = "r") -> D
     ranges = ranges.select(*by, "_range", F.coalesce(F.sum("_in_range").over(earlier), F.lit(0)).alias("_before_range"))
     within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_before_range") + F.coalesce(F.sum("_n").over(within), F.lit(0))
-    ranks = counts.join(ranges, [*by, "_range"]).withColumn(out, before + (F.col("_n") + 1) / 2.0)
+    placed = counts.join(ranges, [*by, "_range"]) if by else counts.join(ranges, "_range")
+    return placed.select(*by, value, "_n", before.alias("_before"))
+
+
+def midranks(df: DataFrame, value: str, by: list[str] = (), out: str = "r") -> DataFrame:
+    """Ranks in which ties share their mean."""
+    ranks = ranked_values(df, value, by).withColumn(out, F.col("_before") + (F.col("_n") + 1) / 2.0)
     return df.join(ranks.select(*by, value, out), [*by, value])
 
 
+def quantiles(df: DataFrame, value: str, at: list[float], by: list[str]) -> DataFrame:
+    """by and q, the interpolated quantiles at each of ``at``: those of ``percentile``.
+
+    Values are ranked over ranges, so no task and no buffer holds the values of a cell; of
+    each cell only those at the wanted places come together.
+    """
+    ranked = ranked_values(df.filter(F.col(value).isNotNull()), value, by)
+    sizes = F.broadcast(ranked.groupBy(*by).agg(F.sum("_n").alias("_all")))  # a row a cell
+    place = lambda q: (F.col("_all") - 1) * F.lit(q)
+    held = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
+    marks = [
+        F.when(held(F.floor(place(q))) | held(F.ceil(place(q))), F.struct(F.lit(k).alias("k"), place(q).alias("p")))
+        for k, q in enumerate(at)
+    ]
+    hits = ranked.join(sizes, list(by)).select(
+        *by, value, "_before", "_n", F.explode(F.array_compact(F.array(*marks))).alias("m")
+    )
+    low, high = held(F.floor("m.p")), held(F.ceil("m.p"))
+    ends = hits.groupBy(*by, F.col("m.k").alias("k"), F.col("m.p").alias("p")).agg(
+        F.max(F.when(low, F.col(value))).alias("lo"), F.max(F.when(high, F.col(value))).alias("hi")
+    )
+    between = (F.ceil("p") - F.col("p")) * F.col("lo") + (F.col("p") - F.floor("p")) * F.col("hi")
+    own = ends.select(*by, "k", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(between).alias("x"))
+    return own.groupBy(*by).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("q")  # one for each of ``at``
+    )
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     """Rank correlation with mid-ranks: by, spearman."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -227,6 +262,26 @@ def latency(calls: DataFrame, seconds: str = "latency_s", by: list[str] = ()) ->
     )
 
 
+def projection_latency(dim: int = 4096, n: int = 20_000, seed: int = 0) -> dict[str, float]:
+    """Microseconds that one projection takes in a batch of ``n``, and the dimension; a timing, not a query."""
+    rng = np.random.default_rng(seed)
+    x, w = rng.standard_normal((n, dim), np.float32), rng.standard_normal(dim, np.float32)
+    began = time.perf_counter()
+    x @ w
+    return {"us_per_query": (time.perf_counter() - began) / n * 1e6, "dim": dim}
+
+
+def per_second(runs: DataFrame, n: str, seconds: str, by: list[str] = ()) -> DataFrame:
+    """Items a second and milliseconds an item of runs, each with a number of items and a wall time."""
+    items, wall = F.sum(n), F.sum(seconds)
+    return group(
+        runs,
+        list(by),
+        (items / F.nullif(wall, F.lit(0.0))).alias("per_second"),
+        (1000.0 * wall / F.nullif(items, F.lit(0))).alias("ms_each"),
+    )
+
+
 def histogram(df: DataFrame, value: str, bins: int = 31) -> DataFrame:
     """Counts in equal bins between the least and the largest value: bin (from 0), n."""
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))  # one row

@@ -112,13 +112,15 @@ def tune_thresholds(scored: DataFrame, cell: list[str] = CELL, quantiles: int =
     confusion of every pair, so the pairs cost the same for any number of rows.
     """
     at = [0.02 + 0.96 * k / (quantiles - 1) for k in range(quantiles)]
-    cuts = scored.groupBy(*cell).agg(
-        F.array_distinct(
-            F.transform(F.percentile("score", F.array(*map(F.lit, at))), lambda x: F.round(x, 12))
-        ).alias("ts"),
-        F.round(F.percentile("score", F.lit(0.5)), 12).alias("median"),
+    found = mx.quantiles(scored, "score", [*at, 0.5], list(cell))
+    rounded = F.transform("q", lambda x: F.round(x, 12))
+    cuts = settled(
+        found.select(
+            *cell,
+            F.array_distinct(F.slice(rounded, 1, quantiles)).alias("ts"),
+            F.get(rounded, F.lit(quantiles)).alias("median"),
+        )
     )
-    cuts = settled(cuts)
     # The place of a score: how many candidates are at or below it.
     place = F.aggregate("ts", F.lit(0), lambda n, t: n + (t <= F.col("score")).cast("int"))
     held = scored.join(F.broadcast(cuts), list(cell)).select(*cell, "grade", place.alias("place"))
@@ -272,6 +274,18 @@ def topic_verdict(orthogonality: DataFrame, eta: DataFrame, cell: list[str] = CE
     return orthogonality.join(eta, list(cell)).withColumn("verdict", verdict)
 
 
+def ordinal_gap(rows: DataFrame, cell: list[str] = CELL) -> DataFrame:
+    """Two thresholds on one direction against a direction for each grade: cell, f1_ordinal, f1_nominal, gap.
+
+    Directions are fitted on train and thresholds tuned on dev; both are judged on test.
+    """
+    ordinal = evaluate(rows, cell).select(*cell, F.col("macro_f1").alias("f1_ordinal"))
+    directions = settled(one_vs_rest_directions(rows.filter("split = 'train'"), cell))
+    told = predict_one_vs_rest(rows.filter("split = 'test'"), directions, cell)
+    nominal = mx.confusion(told, "grade", "ovr_pred", list(cell)).select(*cell, mx.macro_f1_of().alias("f1_nominal"))
+    return ordinal.join(nominal, list(cell)).withColumn("gap", F.col("f1_nominal") - F.col("f1_ordinal"))
+
+
 def ordinality(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
     """Mean projection of each grade and whether they rise: cell, mean_0, mean_1, mean_2, monotone."""
     means = scored.groupBy(*cell).agg(

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions import text as tx
 from sievelight.operators import metrics as mx
 from sievelight.operators.ranking import head_per_group
 
+#: A kappa less than this below another is no worse.
+TIE = 0.05
+
 
 def matched_members(picks: DataFrame, members: DataFrame, text: str = "query_text") -> DataFrame:
     """Picks with the key of the member of their cluster that has their text, verbatim or folded.
@@ -99,6 +102,72 @@ def benchmark(predictions: DataFrame, gold: DataFrame, by: list[str], key: str =
     return counts.join(rated, by).join(mx.missed(joined, "gold", "pred", by), by)
 
 
+def mode_verdict(
+    cells: DataFrame, ceiling: DataFrame, baseline: str, singles: tuple[str, ...], tie: float = TIE
+) -> DataFrame:
+    """How each mode of an axis does against the baseline mode and against people.
+
+    ``cells`` has axis, mode, head (dom or linear), qwk and qwk_lo; ``ceiling`` axis and
+    human_qwk.  Returns axis, mode, dom, linear, the changes of both from the baseline's,
+    best (the better head), signal (the direction's interval lies above 0), works (best is
+    no more than ``tie`` below the baseline's direction), in_band (or below people's
+    agreement), and holds: whether the mode is one of ``singles``, works and has an
+    interval.
+    """
+    of = lambda head, c: F.max(F.when(F.col("head") == head, F.col(c)))
+    wide = cells.groupBy("axis", "mode").agg(
+        of("dom", "qwk").alias("dom"), of("linear", "qwk").alias("linear"), of("dom", "qwk_lo").alias("lo")
+    )
+    base = wide.filter(F.col("mode") == baseline).select(
+        "axis", F.col("dom").alias("base_dom"), F.col("linear").alias("base_linear")
+    )
+    joined = wide.join(base, "axis", "left").join(ceiling.select("axis", "human_qwk"), "axis", "left")
+    joined = joined.withColumn("best", F.greatest("dom", "linear"))
+    no = F.lit(False)
+    works = F.coalesce(F.col("best") >= F.col("base_dom") - tie, no)
+    return joined.select(
+        "axis",
+        "mode",
+        "dom",
+        "linear",
+        F.round(F.col("dom") - F.col("base_dom"), 3).alias("dom_change"),
+        F.round(F.col("linear") - F.col("base_linear"), 3).alias("linear_change"),
+        "best",
+        F.coalesce(F.col("lo") > 0, no).alias("signal"),
+        works.alias("works"),
+        F.coalesce(F.col("best") >= F.col("human_qwk") - tie, no).alias("in_band"),
+        (F.col("mode").isin(*singles) & works & F.col("lo").isNotNull()).alias("holds"),
+    )
+
+
+def pareto(points: DataFrame, cost: str, score: str) -> DataFrame:
+    """Points with on_front: no other costs as little or less and scores as much or more, one of them truly."""
+    best = points.groupBy(cost).agg(F.max(score).alias("_best"))
+    cheaper = Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)  # a row for each cost of a report
+    before = best.withColumn("_before", F.max("_best").over(cheaper))
+    on = (F.col(score) == F.col("_best")) & (F.col("_before").isNull() | (F.col(score) > F.col("_before")))
+    return points.join(before, cost).withColumn("on_front", F.coalesce(on, F.lit(False))).drop("_best", "_before")
+
+
+def two_levels(first: DataFrame, second: DataFrame) -> DataFrame:
+    """What clusters become at two cutoffs: level, n_clusters, n_groups, n_absorbed, n_single, n_after, reduction.
+
+    Both have category, cluster_id and merged.  A group has two clusters or more; what is
+    left after a level are groups and single clusters.
+    """
+    both = first.withColumn("level", F.lit(1)).unionByName(second.withColumn("level", F.lit(2)))
+    sizes = both.groupBy("level", "category", "merged").agg(F.count(F.lit(1)).alias("n"))
+    several = F.col("n") > 1
+    return sizes.groupBy("level").agg(
+        F.sum("n").alias("n_clusters"),
+        F.count_if(several).alias("n_groups"),
+        F.coalesce(F.sum(F.when(several, F.col("n"))), F.lit(0)).alias("n_absorbed"),
+        F.count_if(~several).alias("n_single"),
+        F.count(F.lit(1)).alias("n_after"),
+        F.round(100.0 * (F.sum("n") - F.count(F.lit(1))) / F.sum("n"), 6).alias("reduction"),
+    )
+
+
 def by_model(rows: DataFrame, keys: list[str], model: str, models: list[str], text: str) -> DataFrame:
     """The outputs of several generators side by side, and how many of them there are."""
     sides = [F.min(F.when(F.col(model) == m, F.col(text))).alias(m) for m in models]

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import vectors as vx
 from sievelight.operators import clusters as cl
+from sievelight.operators import reports
 from sievelight.plans import views
 from sievelight.plans.views import with_views
-from sievelight.sources.storage import table
+from sievelight.sources.storage import settled, table
 
 STOPWORDS = ["the", "and", "of", "de", "la", "der", "die", "le", "les"]
 THRESHOLDS = [0.05 * k for k in range(1, 25)]
@@ -151,6 +152,12 @@ def merge_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def merge_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two cutoffs make of the clusters, the second on the way from the first to the last merge."""
+    centres = settled(_categories(spark, sf_dir))
+    return reports.two_levels(cl.merge_at(centres, "category", 0.2), cl.merge_at(centres, "category", 0.6))
+
+
 def reduced_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.reduce_dimensions(views.clusters(spark, sf_dir), "vec_id")
 
@@ -214,5 +221,5 @@ ORACLE = {
 }
 QUERIES = {f.__name__: f for f in (
     centroids, nearest_centroid, noise_reassigned, exemplars, pairwise_cosine, group_max_distance, embedding_sanity, term_counts, ctfidf_top, bigram_counts, cluster_overview, cluster_sizes, supercluster_records, supercluster_flat, upgma_merge, knee_table,
-    knee_of_merges, merge_breakdown, reduced_vectors, density_cluster,
+    knee_of_merges, merge_breakdown, merge_levels, reduced_vectors, density_cluster,
 )}

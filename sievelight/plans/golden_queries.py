@@ -58,11 +58,11 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mu_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.select_mu(_wide(spark, sf_dir), 300, 2).select("query_key", "part")
+    return pairs.select_mu(_wide(spark, sf_dir)).select("query_key", "part")
 
 
 def pu_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.select_pu(_wide(spark, sf_dir), 100, 2).select("query_key", "part")
+    return pairs.select_pu(_wide(spark, sf_dir)).select("query_key", "part")
 
 
 def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,10 +259,10 @@ ORACLE = {
         "SELECT axis, supercluster_id, count(DISTINCT grade) AS n_grades FROM pool GROUP BY ALL HAVING count(DISTINCT grade) >= 2"
     ),
     "mu_anchors": _sql(
-        f"SELECT query_key, part FROM (SELECT *, row_number() OVER (ORDER BY part, query_key) AS r FROM (SELECT query_key, 0 AS part FROM w WHERE mu = 1 UNION ALL SELECT query_key, 1 FROM (SELECT *, row_number() OVER (PARTITION BY supercluster_id ORDER BY query_key) AS k FROM w WHERE mu = 0 AND et = 1) WHERE k <= 2)) WHERE part = 0 OR r <= 300"
+        f"SELECT query_key, part FROM (SELECT *, row_number() OVER (ORDER BY part, query_key) AS r FROM (SELECT query_key, 0 AS part FROM w WHERE mu = 1 UNION ALL SELECT query_key, 1 FROM (SELECT *, row_number() OVER (PARTITION BY supercluster_id ORDER BY query_key) AS k FROM w WHERE mu = 0 AND et = 1) WHERE k <= 3)) WHERE part = 0 OR r <= 800"
     ).replace("\nSELECT", f",\nw AS (SELECT * FROM ({_W}) WHERE {_NATURAL})\nSELECT", 1),
     "pu_anchors": _sql(
-        "SELECT query_key, part FROM (SELECT query_key, CAST(2 - et AS INTEGER) AS part, row_number() OVER (PARTITION BY et ORDER BY query_key) AS r FROM (SELECT *, row_number() OVER (PARTITION BY et, supercluster_id ORDER BY query_key) AS k FROM w WHERE pu = 0 AND et > 0) WHERE k <= 2) WHERE r <= CASE part WHEN 0 THEN 60 ELSE 40 END"
+        "SELECT query_key, part FROM (SELECT query_key, CAST(2 - et AS INTEGER) AS part, row_number() OVER (PARTITION BY et ORDER BY query_key) AS r FROM (SELECT *, row_number() OVER (PARTITION BY et, supercluster_id ORDER BY query_key) AS k FROM w WHERE pu = 0 AND et > 0) WHERE k <= 3) WHERE r <= CASE part WHEN 0 THEN 600 ELSE 400 END"
     ).replace("\nSELECT", f",\nw AS (SELECT * FROM ({_W}) WHERE {_NATURAL})\nSELECT", 1),
     "matched_negatives": _sql(
         "SELECT query_key, supercluster_id FROM (SELECT *, row_number() OVER (ORDER BY query_key) AS r FROM (SELECT *, row_number() OVER (PARTITION BY supercluster_id ORDER BY query_key) AS k FROM pool WHERE axis = 'MU' AND grade = 0 AND supercluster_id IN (SELECT supercluster_id FROM pool WHERE axis = 'MU' AND grade = 2)) WHERE k <= 6) WHERE r <= 3 * (SELECT count(*) FROM pool WHERE axis = 'MU' AND grade = 2)"
@@ -313,6 +313,7 @@ ORACLE = {
     "answer_checks": _sql(
         "SELECT query_key, CASE WHEN k % 10 = 1 THEN 'no grade' WHEN k % 10 = 0 THEN 'unknown grade' WHEN pu_confidence + CASE WHEN k % 4 = 0 THEN 3 ELSE 0 END > 5 THEN 'confidence out of range' END AS reject FROM (SELECT *, CAST(query_key AS BIGINT) AS k FROM v_picks)"
     ),
+    "provider_map": "SELECT doc_id, CAST(d % 3 AS INTEGER) AS grade, CAST(1 + d // 3 AS INTEGER) AS confidence FROM (SELECT doc_id, list_sum([strpos('0123456789abcdef', c) - 1 for c in string_split(sha256('Judge: ' || coalesce(text, '')), '')]) % 15 AS d FROM documents)",
     "embedded_texts": "SELECT DISTINCT substr(sha1(text), 1, 16) AS text_id, 64 AS dim, CAST(NULL AS VARCHAR) AS error FROM documents WHERE text IS NOT NULL",
 }
 QUERIES = {f.__name__: f for f in (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.operators import golden
+from sievelight.operators import golden, reports
 from sievelight.operators import metrics as mx
 from sievelight.plans import views
 from sievelight.plans.views import with_views
@@ -73,10 +73,37 @@ def auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_qwk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mx.bootstrap_qwk(_rated(spark, sf_dir), "rater_a", "rater_b", "doc_id", 200)
+    out = mx.bootstrap_qwk(_rated(spark, sf_dir), "rater_a", "rater_b", "doc_id")
     return out.select("n_used", *(F.round(c, 6).alias(c) for c in ("low", "median", "high")))
 
 
+def bootstrap_qwk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval by draws of the confusion matrix, which cost the same for any number of rows."""
+    return mx.bootstrap_qwk_counts(_rated(spark, sf_dir), "rater_a", "rater_b", by=["part"])
+
+
+def pareto_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost and score of systems, here call types, and whether they lie on the front."""
+    points = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 5).alias("kind")).agg(
+        F.round(F.avg("value"), 6).alias("cost"), (F.count(F.lit(1)) % 97).alias("score")
+    )
+    return reports.pareto(points, "cost", "score")
+
+
+def mode_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modes of each axis, here languages, against a baseline mode and a ceiling."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("axis"), F.concat(F.lit("m"), (F.col("doc_id") % 4).cast("string")).alias("mode"), "n_chars"
+    )
+    cells = docs.groupBy("axis", "mode").agg(F.avg("n_chars").alias("a"), F.count(F.lit(1)).alias("n"))
+    heads = cells.select("axis", "mode", F.explode(F.array(
+        F.struct(F.lit("dom").alias("head"), F.round(F.col("a") / 10000, 6).alias("qwk"), F.round(F.col("a") / 10000 - 3 / F.col("n"), 6).alias("qwk_lo")),
+        F.struct(F.lit("linear").alias("head"), F.round(F.col("n") / 200, 6).alias("qwk"), F.lit(None).cast("double").alias("qwk_lo")),
+    )).alias("h")).select("axis", "mode", "h.*")
+    ceiling = docs.groupBy("axis").agg(F.round(F.avg("n_chars") / 8000, 6).alias("human_qwk"))
+    return reports.mode_verdict(heads, ceiling, "m0", ("m1", "m2"))
+
+
 def eta_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mx.eta_squared(
         table(spark, sf_dir, "documents"), "n_chars", "source", ["lang"]
@@ -219,8 +246,17 @@ ORACLE = {
     "spearman": _sql(f"SELECT part, round(corr(ra, rc), 6) AS spearman FROM ({_RANKED}) GROUP BY part"),
     "auroc": _sql(f"SELECT part, {_AUC.format(1)}, {_AUC.format(2)} FROM ({_RANKED}) GROUP BY part"),
     "bootstrap_qwk": _sql(f"""SELECT count(k) AS n_used, round(quantile_cont(k, 0.025), 6) AS low, round(quantile_cont(k, 0.5), 6) AS median, round(quantile_cont(k, 0.975), 6) AS high FROM (SELECT {_QWK} AS k FROM (SELECT b AS part, {_C} FROM (
-        SELECT b, rater_a, rater_b FROM (SELECT b, CAST('0x' || substr(md5(CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 15) AS BIGINT) % (SELECT count(*) FROM rated) AS pos FROM range(200) x(b), range((SELECT count(*) FROM rated)) y(i)) d JOIN (SELECT rater_a, rater_b, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM rated) USING (pos)) GROUP BY b)
+        SELECT b, rater_a, rater_b FROM (SELECT b, CAST('0x' || substr(md5(CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 15) AS BIGINT) % (SELECT count(*) FROM rated) AS pos FROM range(1000) x(b), range((SELECT count(*) FROM rated)) y(i)) d JOIN (SELECT rater_a, rater_b, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM rated) USING (pos)) GROUP BY b)
         WHERE CAST(c00 + c01 + c02 > 0 AS INTEGER) + CAST(c10 + c11 + c12 > 0 AS INTEGER) + CAST(c20 + c21 + c22 > 0 AS INTEGER) > 1)"""),
+    "pareto_points": "SELECT event_type, kind, cost, score, NOT EXISTS (SELECT 1 FROM p q WHERE q.cost <= p.cost AND q.score >= p.score AND (q.cost < p.cost OR q.score > p.score)) AS on_front FROM p".replace(
+        "SELECT event_type", "WITH p AS (SELECT event_type, user_id % 5 AS kind, round(avg(value), 6) AS cost, count(*) % 97 AS score FROM events GROUP BY ALL) SELECT event_type", 1
+    ),
+    "mode_verdict": """
+        WITH c AS (SELECT lang AS axis, 'm' || CAST(doc_id % 4 AS VARCHAR) AS mode, round(avg(n_chars) / 10000, 6) AS dom, round(avg(n_chars) / 10000 - 3::DOUBLE / count(*), 6) AS lo, round(count(*) / 200::DOUBLE, 6) AS linear FROM documents GROUP BY ALL),
+        h AS (SELECT lang AS axis, round(avg(n_chars) / 8000, 6) AS human_qwk FROM documents GROUP BY ALL)
+        SELECT c.axis, c.mode, c.dom, c.linear, round(c.dom - b.dom, 3) AS dom_change, round(c.linear - b.linear, 3) AS linear_change, greatest(c.dom, c.linear) AS best, c.lo > 0 AS signal,
+               greatest(c.dom, c.linear) >= b.dom - 0.05 AS works, greatest(c.dom, c.linear) >= human_qwk - 0.05 AS in_band, c.mode IN ('m1', 'm2') AND greatest(c.dom, c.linear) >= b.dom - 0.05 AS holds
+        FROM c JOIN h USING (axis) JOIN c b ON b.axis = c.axis AND b.mode = 'm0'""",
     "eta_squared": "SELECT lang, round(sum(n * (m - g) * (m - g)) / (any_value(tot) + 1e-12), 6) AS eta_squared FROM (SELECT lang, source, count(*) AS n, avg(n_chars) AS m FROM documents GROUP BY ALL) JOIN (SELECT lang, avg(n_chars) AS g, var_pop(n_chars) * count(*) AS tot FROM documents GROUP BY lang) USING (lang) GROUP BY lang",
     "disagreement_recode": _sql(
         f"SELECT part, n_up, n_down, share_1, round({_QWK}, 6) AS qwk_after FROM (SELECT part, {_C} FROM (SELECT part, least(rater_a, 1) AS rater_a, least(rater_b, 1) AS rater_b FROM rated) GROUP BY part) JOIN (SELECT part, count(*) FILTER (rater_b > rater_a) AS n_up, count(*) FILTER (rater_b < rater_a) AS n_down, round(avg(CAST(rater_a >= 1 AS DOUBLE)), 6) AS share_1 FROM rated GROUP BY part) USING (part)"
@@ -257,6 +293,6 @@ ORACLE = {
     ),
 }
 QUERIES = {f.__name__: f for f in (
-    confusion_matrix, macro_f1, f1_per_grade, qwk, cohen_kappa, raw_agreement, krippendorff_alpha, spearman, auroc, bootstrap_qwk, eta_squared, disagreement_recode, latency_summary, throughput, score_histogram, box_stats, best_cell, mode_delta, cell_matrix,
+    confusion_matrix, macro_f1, f1_per_grade, qwk, cohen_kappa, raw_agreement, krippendorff_alpha, spearman, auroc, bootstrap_qwk, bootstrap_qwk_counts, pareto_points, mode_verdict, eta_squared, disagreement_recode, latency_summary, throughput, score_histogram, box_stats, best_cell, mode_delta, cell_matrix,
     missed_top, error_difference, cost_curves, gold_resolve, provenance,
 )}

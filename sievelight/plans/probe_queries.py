@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,8 +122,23 @@ def ordinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("axis", *(F.round(f"mean_{g}", 6).alias(f"mean_{g}") for g in mx.GRADES), "monotone")
 
 
+def ordinal_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pr.ordinal_gap(views.pairs(spark, sf_dir))
+    return out.select("axis", *(F.round(c, 6).alias(c) for c in ("f1_ordinal", "f1_nominal", "gap")))
+
+
+def topic_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far topics lie along each direction, how much of the scores they explain, and what follows."""
+    rows = views.pairs(spark, sf_dir)
+    direction = settled(pr.paired_direction(_train(rows)))
+    eta = mx.eta_squared(pr.project(_train(rows), direction), "score", "cluster", ["axis"])
+    found = pr.topic_verdict(pr.topic_orthogonality(_train(rows), direction), eta)
+    return found.select("axis", *(F.round(c, 6).alias(c) for c in ("mean_abs", "eta_squared")), "verdict")
+
+
 def selectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.selectivity(views.pairs(spark, sf_dir))
+    out = pr.selectivity(views.pairs(spark, sf_dir))
+    return out.select("axis", *(F.round(c, 6).alias(c) for c in ("real_f1", "mean_f1", "std_f1", "gap")))
 
 
 def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +170,24 @@ def whitened_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _head(spark, sf_dir, heads.whitened_head)
 
 
+def score_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = settled(_scored(spark, sf_dir).select("text_id", "grade", "split", "score"))
+    found = heads.score_head(scored.filter("split <> 'test'"), scored.filter("split = 'test'"))
+    return mx.confusion_long(found, "grade", "pred")
+
+
+def concat_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A head on the vectors of two embedders, here a vector and its cumulated one."""
+    rows = views.pairs(spark, sf_dir)
+    sums = F.transform("v", lambda x, i: F.aggregate(F.slice("v", F.lit(1), i + 1), F.lit(0.0), lambda a, y: a + y))
+    cells = [rows.select("text_id", "v"), rows.select("text_id", sums.alias("v"))]
+    return mx.confusion_long(heads.concat_head(cells, rows), "grade", "pred")
+
+
+def head_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heads.compared(views.pairs(spark, sf_dir), ("MU", "PU", "ET"))
+
+
 _UNIT = "[x / sqrt(list_dot_product(m, m)) for x in m]"
 _EXTREME = f"SELECT axis, {_UNIT} AS w FROM (SELECT axis, list(d ORDER BY i) AS m FROM (SELECT axis, i, avg(v[i]) FILTER (grade = 2) - avg(v[i]) FILTER (grade = 0) AS d FROM v_pairs, range(1, 65) r(i) WHERE split = 'train' GROUP BY ALL) GROUP BY ALL)"
 _OVR = f"SELECT axis, g AS grade, {_UNIT} AS w FROM (SELECT axis, g, list(d ORDER BY i) AS m FROM (SELECT axis, CAST(g AS INTEGER) AS g, i, avg(v[i]) FILTER (grade = g) - avg(v[i]) FILTER (grade <> g) AS d FROM v_pairs, range(1, 65) r(i), range(3) s(g) WHERE split = 'train' GROUP BY ALL) GROUP BY ALL)"
@@ -168,6 +203,42 @@ _CHANCE = " + ".join(
     f"{(i - j) ** 2} * (c{i}0 + c{i}1 + c{i}2) * (c0{j} + c1{j} + c2{j})" for i in range(3) for j in range(3) if i != j
 )
 
+#: For each topic the cosine of its direction with the probe's.
+_ALONG = """
+        SELECT t.axis, abs(list_dot_product(d, w) / (sqrt(list_dot_product(d, d)) * sqrt(list_dot_product(w, w)))) AS c FROM (
+          SELECT t.axis, cluster, list(t.m - g.m ORDER BY t.i) AS d FROM (
+            SELECT axis, cluster, i, avg(v[i]) AS m FROM (SELECT *, count(*) FILTER (grade = 0) OVER (PARTITION BY axis, cluster) AS n0, count(*) OVER (PARTITION BY axis, cluster) AS n FROM v_pairs WHERE split = 'train'), range(1, 65) r(i)
+            WHERE (n0 >= 3 AND grade = 0) OR (n0 < 3 AND n >= 5) GROUP BY ALL) t
+          JOIN (SELECT axis, i, avg(v[i]) AS m FROM v_pairs, range(1, 65) r(i) WHERE split = 'train' GROUP BY ALL) g ON g.axis = t.axis AND g.i = t.i GROUP BY t.axis, cluster) t JOIN paired USING (axis)"""
+
+
+def _selectivity_sql() -> str:
+    """The probe's chain of views over every permutation of the training grades, as cells of their own."""
+    renamed = {n: f"s_{n}" for n in ("scored", "cuts", "tuned", "classified")}
+
+    def over(body: str) -> str:
+        body = re.sub(r"\bv_pairs\b", "s_pairs", body)
+        for old, new in {**renamed, "paired": "s_direction"}.items():
+            body = re.sub(rf"\b{old}\b", new, body)
+        return body
+
+    views_ = {
+        "s_pairs": """
+            SELECT axis || '#0' AS axis, text_id, v, grade, cluster, split FROM v_pairs UNION ALL
+            SELECT p.axis || '#' || p.s, p.text_id, p.v, coalesce(g.grade, p.grade), p.cluster, p.split
+            FROM (SELECT *, row_number() OVER (PARTITION BY axis, s, split ORDER BY text_id) AS k FROM v_pairs, range(1, 6) r(s)) p
+            LEFT JOIN (SELECT axis, s, grade, row_number() OVER (PARTITION BY axis, s ORDER BY sha256(s || ':' || text_id), text_id) AS k FROM v_pairs, range(1, 6) r(s) WHERE split = 'train') g
+            ON g.axis = p.axis AND g.s = p.s AND g.k = p.k AND p.split = 'train'""",
+        "s_direction": over(_EXTREME),
+        **{new: over(views.SQL[old][0]) for old, new in renamed.items()},
+    }
+    chain = "".join(f",\n{name} AS MATERIALIZED ({body})" for name, body in views_.items())
+    query = f"""SELECT axis, round(real_f1, 6) AS real_f1, round(mean_f1, 6) AS mean_f1, round(std_f1, 6) AS std_f1, round(real_f1 - mean_f1, 6) AS gap
+        FROM (SELECT split_part(axis, '#', 1) AS axis, max(f1) FILTER (axis LIKE '%#0') AS real_f1, avg(f1) FILTER (axis NOT LIKE '%#0') AS mean_f1, stddev_pop(f1) FILTER (axis NOT LIKE '%#0') AS std_f1
+          FROM (SELECT axis, ({_F1}) / 3 AS f1 FROM (SELECT axis, {_C} FROM s_classified GROUP BY axis)) GROUP BY 1)"""
+    return with_views("", "v_pairs").rstrip("\n") + chain + "\n" + query
+
+
 ORACLE = {
     "pair_paths": with_views("SELECT axis, path, count(*) AS n FROM matched GROUP BY ALL", "matched"),
     "paired_dom": with_views(f"SELECT axis, {_ROWS} FROM paired, range(1, 65) r(i)", "paired"),
@@ -208,16 +279,29 @@ ORACLE = {
         "SELECT axis, split, CASE WHEN split = 'dev' THEN -n ELSE n END AS n FROM (SELECT axis, split, count(*) AS n FROM v_pairs GROUP BY ALL)",
         "v_pairs",
     ),
-    "topic_orthogonality": with_views("""SELECT axis, count(*) AS n_topics, round(avg(c), 6) AS mean_abs, round(quantile_cont(c, 0.95), 6) AS p95_abs, round(max(c), 6) AS max_abs FROM (
-        SELECT t.axis, abs(list_dot_product(d, w) / (sqrt(list_dot_product(d, d)) * sqrt(list_dot_product(w, w)))) AS c FROM (
-          SELECT t.axis, cluster, list(t.m - g.m ORDER BY t.i) AS d FROM (
-            SELECT axis, cluster, i, avg(v[i]) AS m FROM (SELECT *, count(*) FILTER (grade = 0) OVER (PARTITION BY axis, cluster) AS n0, count(*) OVER (PARTITION BY axis, cluster) AS n FROM v_pairs WHERE split = 'train'), range(1, 65) r(i)
-            WHERE (n0 >= 3 AND grade = 0) OR (n0 < 3 AND n >= 5) GROUP BY ALL) t
-          JOIN (SELECT axis, i, avg(v[i]) AS m FROM v_pairs, range(1, 65) r(i) WHERE split = 'train' GROUP BY ALL) g ON g.axis = t.axis AND g.i = t.i GROUP BY t.axis, cluster) t JOIN paired USING (axis)) GROUP BY axis""", "v_pairs", "paired"),
+    "topic_orthogonality": with_views(f"SELECT axis, count(*) AS n_topics, round(avg(c), 6) AS mean_abs, round(quantile_cont(c, 0.95), 6) AS p95_abs, round(max(c), 6) AS max_abs FROM ({_ALONG}) GROUP BY axis", "v_pairs", "paired"),
     "ordinality": with_views(
         "SELECT axis, round(m0, 6) AS mean_0, round(m1, 6) AS mean_1, round(m2, 6) AS mean_2, m0 < m1 AND m1 < m2 AS monotone FROM (SELECT axis, avg(score) FILTER (grade = 0) AS m0, avg(score) FILTER (grade = 1) AS m1, avg(score) FILTER (grade = 2) AS m2 FROM scored WHERE split = 'test' GROUP BY axis)",
         "scored",
     ),
+    "ordinal_gap": with_views(
+        f"""SELECT axis, round(f1_ordinal, 6) AS f1_ordinal, round(f1_nominal, 6) AS f1_nominal, round(f1_nominal - f1_ordinal, 6) AS gap
+        FROM (SELECT axis, ({_F1}) / 3 AS f1_ordinal FROM (SELECT axis, {_C} FROM classified GROUP BY axis))
+        JOIN (SELECT axis, ({_F1}) / 3 AS f1_nominal FROM (SELECT axis, {_C} FROM (SELECT text_id, p.axis, p.grade, o.grade AS pred, row_number() OVER (PARTITION BY text_id ORDER BY round(list_dot_product(v, w), 9) DESC, o.grade) AS k
+          FROM v_pairs p JOIN ({_OVR}) o ON o.axis = p.axis WHERE split = 'test') WHERE k = 1 GROUP BY axis)) USING (axis)""",
+        "v_pairs",
+        "classified",
+    ),
+    "topic_verdict": with_views(
+        f"""SELECT axis, round(mean_abs, 6) AS mean_abs, round(eta, 6) AS eta_squared, CASE WHEN eta > 0.5 OR mean_abs > 0.3 THEN 'entangled' WHEN mean_abs > 0.15 THEN 'mixed' ELSE 'separate' END AS verdict
+        FROM (SELECT axis, avg(c) AS mean_abs FROM ({_ALONG}) GROUP BY axis)
+        JOIN (SELECT axis, sum(n * (m - g) * (m - g)) / (any_value(tot) + 1e-12) AS eta FROM (SELECT axis, cluster, count(*) AS n, avg(score) AS m FROM scored WHERE split = 'train' GROUP BY ALL)
+          JOIN (SELECT axis, avg(score) AS g, var_pop(score) * count(*) AS tot FROM scored WHERE split = 'train' GROUP BY axis) USING (axis) GROUP BY axis) USING (axis)""",
+        "v_pairs",
+        "paired",
+        "scored",
+    ),
+    "selectivity": _selectivity_sql(),
     "counterfactual": with_views("""SELECT axis, count(*) AS n, round(avg(p), 6) AS invariance, round((coalesce(sum(abs(u)), 0) + coalesce(sum(abs(d)), 0)) / nullif(count(u) + count(d), 0), 6) AS sensitivity,
           round(CAST(count(*) FILTER (u > 0) + count(*) FILTER (d > 0) AS DOUBLE) / nullif(count(u) + count(d), 0), 6) AS direction_correct,
           round((coalesce(sum(abs(u)), 0) + coalesce(sum(abs(d)), 0)) / nullif(count(u) + count(d), 0) / avg(p), 6) AS ratio
@@ -227,5 +311,5 @@ ORACLE = {
 }
 QUERIES = {f.__name__: f for f in (
     pair_paths, paired_dom, extreme_dom, ovr_dom, ovr_predictions, projection, threshold_tune, probe_eval, grade1_landing, direction_cosines, residualize, coverage, concatenated_vectors, results_upsert, topic_orthogonality, ordinality, selectivity, counterfactual,
-    linear_head, ordinal_head, mlp_head, whitened_head,
+    ordinal_gap, topic_verdict, linear_head, ordinal_head, mlp_head, whitened_head, score_head, concat_head, head_gaps,
 )}
