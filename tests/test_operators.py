@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 from sievelight.functions import hashing as hx
 from sievelight.functions import text as tx
 from sievelight.functions import vectors as vx
-from sievelight.operators import clusters, filters, golden, graph, heads, logs, pairs, probes, ranking, sets
+from sievelight.operators import clusters, filters, golden, graph, heads, logs, pairs, probes, ranking, reports, sets
 from sievelight.operators import metrics as mx
-from sievelight.sources import providers, readers, writers
+from sievelight.sources import providers, readers, storage, writers
 
 
 def column(spark, values, kind="string"):
@@ -382,8 +383,297 @@ def test_vectors(spark):
 def test_heads_learn(spark):
     rows, _ = planted(spark, noise=0.2)
     train, test = rows.filter("split <> 'test'"), rows.filter("split = 'test'")
-    for fit in (heads.linear_head, heads.ordinal_head, heads.whitened_head):
-        assert fit(train, test).select(F.avg((F.col("pred") == F.col("grade")).cast("double"))).first()[0] > 0.8
+    right = lambda found: found.select(F.avg((F.col("pred") == F.col("grade")).cast("double"))).first()[0]
+    for fit in (heads.linear_head, heads.ordinal_head, heads.whitened_head, heads.mlp_head):
+        assert right(fit(train, test)) > 0.8
+    scored = rows.withColumn("score", F.col("grade") + 0.1 * F.rand(4))
+    assert right(heads.score_head(scored.filter("split <> 'test'"), scored.filter("split = 'test'"))) > 0.8
+
+
+def test_concatenated_head_uses_every_embedder(spark):
+    """The grade lies in the second embedder's vectors alone, and texts that one of them lacks take no part."""
+    rng = np.random.default_rng(12)
+    rows = [(k, k % 3, "test" if k % 4 == 0 else "train", rng.normal(size=4).tolist()) for k in range(240)]
+    labels = spark.createDataFrame(rows, "text_id long, grade int, split string, v array<double>")
+    second = labels.filter("text_id < 200").select(
+        "text_id", F.array(*((F.col("grade") == g).cast("double") + 0.1 * F.rand(g) for g in range(3))).alias("v")
+    )
+    found = heads.concat_head([labels.select("text_id", "v"), second], labels).collect()
+    assert {r.text_id for r in found} == set(range(0, 200, 4))
+    assert sum(r.pred == r.grade for r in found) > 0.9 * len(found)
+    alone = heads.linear_head(labels.filter("split <> 'test'"), labels.filter("split = 'test'")).collect()
+    assert sum(r.pred == r.grade for r in alone) < 0.7 * len(alone)
+
+
+def test_heads_beside_each_other(spark):
+    rows, _ = planted(spark, noise=0.2)
+    axes = tuple(r.axis for r in rows.select("axis").distinct().collect())
+    got = heads.compared(rows, axes, hidden=16, iterations=60).collect()
+    dom = {r.axis: r.macro_f1 for r in probes.evaluate(rows).collect()}
+    assert {r.axis for r in got} == set(axes)
+    for r in got:
+        assert r.f1_dom == pytest.approx(dom[r.axis]) and min(r.f1_linear, r.f1_mlp) > 0.7
+        own = rows.filter(F.col("axis") == r.axis)
+        linear = heads.linear_head(own.filter("split = 'train'"), own.filter("split = 'test'"), balanced=False)
+        want = mx.confusion(linear, "grade", "pred").select(mx.macro_f1_of()).first()[0]
+        assert r.f1_linear == pytest.approx(want)
+        assert (r.mlp_minus_dom, r.mlp_minus_linear, r.linear_minus_dom) == pytest.approx(
+            (r.f1_mlp - r.f1_dom, r.f1_mlp - r.f1_linear, r.f1_linear - r.f1_dom)
+        )
+
+
+def test_quantiles_over_ranges(spark):
+    rng = random.Random(9)
+    at = [0.02 + 0.96 * k / 59 for k in range(60)] + [0.0, 0.5, 1.0]
+    values = {c: [rng.choice([rng.random(), rng.randint(0, 3)]) for _ in range(n)] for c, n in (("a", 1), ("b", 2), ("c", 500))}
+    rows = [(c, float(x)) for c, xs in values.items() for x in xs] + [("c", None), ("d", None)]
+    got = {r.c: r.q for r in mx.quantiles(spark.createDataFrame(rows, "c string, x double"), "x", at, ["c"]).collect()}
+    assert set(got) == set(values)
+    for c, xs in values.items():
+        assert got[c] == pytest.approx(np.quantile(xs, at).tolist(), abs=1e-12)
+
+
+def test_points_on_the_front(spark):
+    rng = random.Random(3)
+    points = [(k, rng.randint(0, 9) / 2, rng.randint(0, 9)) for k in range(60)]
+    got = {r.k: r.on_front for r in reports.pareto(spark.createDataFrame(points, "k int, cost double, score int"), "cost", "score").collect()}
+    for k, c, s in points:
+        beaten = any(c2 <= c and s2 >= s and (c2 < c or s2 > s) for _, c2, s2 in points)
+        assert got[k] == (not beaten)
+
+
+def test_two_levels_of_merges(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, "x" if k < 25 else "y", rng.normal(size=6).tolist()) for k in range(40)]
+    centres = spark.createDataFrame(rows, "cluster_id int, category string, centroid array<double>")
+    cut = {h: clusters.merge_at(centres, "category", h) for h in (0.6, 1.0)}
+    got = {r.level: r for r in reports.two_levels(cut[0.6], cut[1.0]).collect()}
+    for level, h in ((1, 0.6), (2, 1.0)):
+        sizes = []
+        for kind in ("x", "y"):
+            own = np.array([v for _, c, v in rows if c == kind])
+            labels = clusters.cut_tree(len(own), clusters.upgma(own), h)
+            sizes += [labels.count(k) for k in set(labels)]
+        several = [n for n in sizes if n > 1]
+        r = got[level]
+        assert (r.n_clusters, r.n_groups, r.n_absorbed, r.n_single, r.n_after) == (
+            40, len(several), sum(several), len(sizes) - len(several), len(sizes)
+        )
+    assert got[1].n_after >= got[2].n_after
+
+
+def test_greedy_sample_against_plain_loops(spark):
+    """The same choices, made one after another with nothing but dictionaries."""
+    rng = random.Random(7)
+    kinds = list(golden.CATEGORY_WEIGHT)
+    rows = [
+        (f"q{k:03d}", f"t{k}", f"s{rng.randint(0, 12)}", rng.choice(kinds), f"MU{rng.choice([0, 0, 0, 1, 2])}", f"PU{rng.choice([0, 0, 1, 2])}",
+         f"ET{rng.randint(0, 2)}", rng.randint(1, 5), rng.randint(1, 5), rng.randint(1, 5))
+        for k in range(160)
+    ]
+    picks = spark.createDataFrame(
+        rows,
+        "query_key string, query_text string, supercluster_id string, clinical_relevance string, mu_grade string, pu_grade string, et_grade string, mu_confidence int, pu_confidence int, et_confidence int",
+    )
+    targets = {"MU0": 20, "MU1": 20, "MU2": 60, "PU0": 20, "PU1": 15, "PU2": 10, "ET0": 9, "ET1": 12, "ET2": 14}
+    total, buffer, cap = 60, 12, 4
+    items = []
+    for key, _, cluster, kind, *cells, a, b, c in rows:
+        weight, sure = golden.CATEGORY_WEIGHT[kind], min(a, b, c)
+        quality = weight * (1.0 if sure >= 3 else golden.LOW_CONFIDENCE)
+        items.append({"key": key, "cluster": cluster, "weight": weight, "sure": sure, "quality": quality, "cells": cells})
+    items.sort(key=lambda i: (-i["weight"], -i["sure"], i["key"]))
+    have = {c: sum(c in i["cells"] for i in items) for c in targets}
+    left, used, chosen = dict(targets), {}, []
+
+    def take(item, phase):
+        chosen.append((item["key"], phase))
+        used[item["cluster"]] = used.get(item["cluster"], 0) + 1
+        for c in item["cells"]:
+            left[c] -= 1
+        items.remove(item)
+
+    for item in list(items):
+        if len(chosen) < total and any(have[c] < targets[c] and left[c] > 0 for c in item["cells"]):
+            take(item, "scarce")
+    for phase, n in (("greedy", total - len(chosen)), ("buffer", buffer)):
+        for _ in range(n):
+            free = [i for i in items if used.get(i["cluster"], 0) < cap]
+            if not free:
+                break
+
+            def worth(i):
+                need = sum(left[c] / targets[c] if left[c] > 0 else -golden.OVERFILL / targets[c] for c in i["cells"])
+                return need * i["quality"] + 0.01 * i["quality"]
+
+            take(max(free, key=worth), phase)
+    got = sorted(golden.greedy_sample(picks, total, buffer, targets, cap).collect(), key=lambda r: r.order)
+    assert [(r.query_key, r.phase) for r in got] == chosen and {p for _, p in chosen} >= {"scarce", "greedy"}
+
+
+def test_reduced_vectors_are_principal_components(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 3)) @ rng.normal(size=(3, 10)) + 0.01 * rng.normal(size=(80, 10))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = clusters.reduce_dimensions(df, "vec_id").orderBy("vec_id").collect()
+    name = next(c for c in found[0].asDict() if c != "vec_id")
+    y = np.array([r[name] for r in found])
+    y = y[:, : min(3, y.shape[1])]
+    # Distances survive, as three components hold nearly all of these vectors.
+    own, kept = (np.linalg.norm(a[:, None] - a[None], axis=2) for a in (x, y))
+    assert np.corrcoef(own.ravel(), kept.ravel())[0, 1] > 0.95
+
+
+def test_calls_that_hang_give_null_rows(spark):
+    prompts = spark.createDataFrame([(1, "fast"), (2, "slow"), (3, "fails")], "id int, prompt string")
+
+    def answer(prompt):
+        if prompt == "slow":
+            time.sleep(20)
+        if prompt == "fails":
+            raise RuntimeError("refused")
+        return '{"grade": 1, "confidence": 2}', 1, 1
+
+    began = time.time()
+    got = providers.call_model(prompts, answer, "m", "axis_judge", "id", attempts=1, seconds=0.5).collect()
+    found = {r.id: (r.response is None, r.error) for r in got}
+    assert found[1] == (False, None) and found[2] == (True, "no answer in 0.5 s") and found[3] == (True, "refused")
+    assert time.time() - began < 15
+    assert providers.within(lambda: 5, None) == providers.within(lambda: 5, 1.0) == 5
+
+
+def test_tasks_keep_to_their_rules(spark):
+    from sievelight.operators import tasks
+
+    said = lambda d: lambda prompt: (json.dumps(d), 1, 1)
+    groups = spark.createDataFrame([("c1", 3, "w"), ("c2", 4, "x")], "cluster_id string, size int, words string")
+    card = tasks.cluster_cards(groups, said({"label": "l", "size": 99, "cluster_id": "zz"}), "m").collect()
+    assert {(r.cluster_id, r.size, r.label) for r in card} == {("c1", 3, "l"), ("c2", 4, "l")}
+    many = said({"picks": [{"query": f"q{k}", "mu_grade": "MU1"} for k in range(30)]})
+    picks, dead = tasks.cluster_picks(groups, many, "m")
+    assert picks.count() == 2 * tasks.MOST_PICKS and dead.count() == 0
+    picks, dead = tasks.cluster_picks(groups, said({"picks": [], "skip_reason": "dull"}), "m")
+    assert picks.count() == 0 and {(r.cluster_id, r.skip_reason) for r in dead.collect()} == {("c1", "dull"), ("c2", "dull")}
+
+    def refuses(prompt):
+        raise RuntimeError("no")
+
+    picks, dead = tasks.cluster_picks(groups, refuses, "m", attempts=1)
+    assert picks.count() == 0 and dead.count() == 2
+    anchors = spark.createDataFrame([("MU", "k", "text", 1), ("MU", "j", "text", 2)], "axis string, query_key string, query_text string, grade int")
+    all_ = said({"variants": [{"text": f"v{g}", "target_grade": g} for g in range(5)]})
+    made = tasks.variants(anchors, (0, 1, 2), all_, "m")
+    assert sorted((r.query_key, r.anchor_grade, r.target_grade) for r in made.collect()) == [("j", 2, 0), ("j", 2, 1), ("k", 1, 0), ("k", 1, 2)]
+    judged = tasks.confirmed(made, said({"grade": 0, "confidence": 4}), "m").collect()
+    assert sorted((r.target_grade, r.confirmed) for r in judged) == [(0, True), (0, True), (1, False), (2, False)]
+    assert all(r.confirmed is False for r in tasks.confirmed(made, refuses, "m", attempts=1).collect())
+    flips = tasks.edits(anchors.limit(1), said({"paraphrase": "p", "up": " ", "down": "d"}), "m").first()
+    assert (flips.paraphrase, flips.up, flips.down) == ("p", None, "d")
+    two = tasks.compared_generators(anchors, (0, 1, 2), {"a": all_, "b": said({"variants": [{"text": "w", "target_grade": 0}]})}).collect()
+    assert {(r.query_key, r.target_grade, r.a, r.b, r.n_models) for r in two} == {
+        ("k", 0, "v0", "w", 2), ("k", 2, "v2", None, 1), ("j", 0, "v0", "w", 2), ("j", 1, "v1", None, 1)
+    }
+    grades = tasks.grades(anchors, said({"mu_grade": "MU2", "mu_applicable": True, "confidence": 3}), "m", "reference").first()
+    assert (grades.mu_grade, grades.mu_applicable, grades.pu_grade, grades.confidence) == ("MU2", True, None, 3)
+
+
+def test_spreadsheets(spark, tmp_path):
+    import zipfile
+
+    from sievelight.sources import readers
+
+    shared = "<sst><si><t>Dotaz</t></si><si><r><t>boles</t></r><r><t>t hlavy</t></r></si></sst>"
+    sheet = """<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>
+        <row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>Jazyk</t></is></c><c r="D1" t="inlineStr"><is><t>Kliky</t></is></c></row>
+        <row r="2"><c r="A2" t="s"><v>1</v></c><c r="D2"><v>12</v></c></row>
+        <row r="3"><c r="B3" t="inlineStr"><is><t>cs</t></is></c></row></sheetData></worksheet>"""
+    path = tmp_path / "site_search_log.xlsx"
+    with zipfile.ZipFile(path, "w") as out:
+        out.writestr("xl/sharedStrings.xml", shared)
+        out.writestr("xl/worksheets/sheet1.xml", sheet)
+    assert readers.sheet_rows(path.read_bytes()) == [["Dotaz", "Jazyk", None, "Kliky"], ["bolest hlavy", None, None, "12"], [None, "cs"]]
+    (tmp_path / "a_search_log.csv").write_text("query,lang\nx,y\n")
+    (tmp_path / "other.xlsx").write_text("")
+    found = readers.discover(spark, str(tmp_path)).collect()
+    assert sorted((r.kind, r.path.rsplit("/", 1)[1]) for r in found) == [("internal", "a_search_log.csv"), ("internal", "site_search_log.xlsx")]
+    names = {"Dotaz": "query", "Jazyk": "lang", "Kliky": "clicks"}
+    rows = readers.read_internal_xls(spark, str(path), names).collect()
+    assert [(r.query, r.lang, r.clicks, r.source_file) for r in rows] == [("bolest hlavy", None, 12, "site_search_log.xlsx")]
+
+
+def test_exports_and_packages(spark, tmp_path):
+    from sievelight.sources import readers
+
+    (tmp_path / "export.csv").write_text('id,title,note\n1,Golden A,"two\nlines, ""quoted"""\n2,Other,\n')
+    rows = readers.read_export(spark, str(tmp_path / "export.csv"))
+    assert [tuple(r) for r in rows.collect()] == [("1", "Golden A", 'two\nlines, "quoted"'), ("2", "Other", None)]
+    assert [r.id for r in readers.packages_titled(rows, "gOLDEN").collect()] == ["1"]
+
+
+def test_timings(spark):
+    took = mx.projection_latency(64, 100)
+    assert took["dim"] == 64 and took["us_per_query"] > 0
+    runs = spark.createDataFrame([("a", 10, 2.0), ("a", 30, 2.0), ("b", 0, 0.0)], "e string, n long, s double")
+    got = {r.e: (r.per_second, r.ms_each) for r in mx.per_second(runs, "n", "s", ["e"]).collect()}
+    assert got == {"a": (10.0, 100.0), "b": (None, None)}
+
+
+def test_recogniser_behind_the_filter(spark):
+    df = column(spark, ["Anna Nováková", "nothing", None, ""])
+
+    def load():
+        known = {"Anna Nováková"}
+        return lambda texts: [t in known for t in texts]
+
+    assert values(df, filters.recognised(F.col("x"), load)) == [True, False, False, False]
+
+
+def test_servers(spark):
+    """Embeddings and answers over HTTP, from a server in this process; failures give null rows."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if "input" in body:
+                rows = [{"index": k, "embedding": [float(len(t)), 1.0]} for k, t in enumerate(body["input"])]
+                said = {"data": rows[::-1]}
+            elif "fail" in body["messages"][0]["content"]:
+                self.send_error(500)
+                return
+            else:
+                said = {"choices": [{"message": {"content": '{"grade": 2, "confidence": 5}'}}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}}
+            data = json.dumps(said).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    texts = spark.createDataFrame([("a", "one"), ("b", "three")], "text_id string, text string")
+    got = providers.embed(texts, providers.HttpEmbedder(url, "m", 2), attempts=1).collect()
+    assert {(r.text_id, r.embedding[0], r.error) for r in got} == {("a", 3.0, None), ("b", 5.0, None)}
+    told = providers.HttpEmbedder(url, "m", 2, instruction="do").embed(["one"])
+    assert told[0][0] == len("Instruct: do\nQuery: one")
+    wrong = providers.embed(texts, providers.HttpEmbedder(url, "m", 3), attempts=1).collect()
+    assert all(r.embedding is None and r.error for r in wrong)
+    prompts = spark.createDataFrame([(1, "good"), (2, "fail")], "id int, prompt string")
+    answers = providers.call_model(prompts, providers.HttpModel(url, "m"), "m", "axis_judge", "id", attempts=1)
+    rows = {r.id: r for r in answers.collect()}
+    assert (rows[1].prompt_tokens, rows[1].completion_tokens) == (3, 4) and rows[2].response is None and rows[2].error
+    server.shutdown()
+
+
+def test_settled_frames_prune_columns(spark):
+    df = storage.settled(spark.range(100).selectExpr("id", "id * 2 AS twice", "array(id) AS a"))
+    plan = df.filter("id > 5").select("twice")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,twice:bigint>" in plan and df.count() == 100
 
 
 def test_average_linkage(spark):

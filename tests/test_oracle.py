@@ -10,7 +10,7 @@ from sievelight import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"mlp_head", "whitened_head", "fuzzy_filter"}
+SLOW = {"mlp_head", "whitened_head", "fuzzy_filter", "head_gaps"}
 
 
 @pytest.fixture(scope="module")
