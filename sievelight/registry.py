@@ -13,11 +13,12 @@ from sievelight.plans import (
     metric_queries,
     probe_queries,
     report_queries,
+    source_queries,
     task_queries,
 )
 
 FLAGSHIP = "probe_eval"
-_MODULES = (log_queries, cluster_queries, probe_queries, metric_queries, golden_queries, report_queries, task_queries)
+_MODULES = (log_queries, cluster_queries, probe_queries, metric_queries, golden_queries, report_queries, source_queries, task_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
