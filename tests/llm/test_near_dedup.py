@@ -10,6 +10,7 @@ from sievelight.llm import near_dedup as nd
 from sievelight.llm.common import Scratch
 from sievelight.llm.components import components
 
+import exact_join
 from made_up import words
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -112,14 +113,22 @@ def test_bound_never_rules_out_a_link():
     assert nd._counts_of([nd.bin_counts(many)]).sum() == 80_000
 
 
-def test_query_against_brute_force(spark):
-    """All documents of the query against all others, on their sets of words."""
+def test_exact_join_is_exact():
+    rng = random.Random(14)
+    rows = [(k, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 9)))) for k in range(250)]
+    for k in (1, 2, 4):
+        assert exact_join.components(rows, k) == {d: (n, c) for d, n, c in truth(rows, k)}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_query_against_an_exact_join(spark, sf):
+    """All documents of the query, on their sets of words."""
     from sievelight.llm import queries
 
-    sf = "/root/testdata/sf0.01"
+    sf = f"/root/testdata/{sf}"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op6_near_dedup(spark, sf).collect()}
-    assert got == {d: (n, c, c == d) for d, n, c in truth(rows, 4)}
+    assert got == {d: (n, c, c == d) for d, (n, c) in exact_join.components(rows, 4).items()}
 
 
 def test_a_hot_bucket_moves_no_sets(spark, monkeypatch):
