@@ -302,7 +302,7 @@ def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, scrat
     )
 
 
-def dealt_in_blocks(going: DataFrame, percent: int) -> DataFrame:
+def dealt_in_blocks(going: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """A row for each node of ``going`` and pair of blocks in which it meets others of its bucket.
 
     Sets that can be similar enough differ in size by a factor of at most 100 / ``percent``,
@@ -316,6 +316,8 @@ def dealt_in_blocks(going: DataFrame, percent: int) -> DataFrame:
     blocks = blocks.groupBy("bucket").agg(
         F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks")  # a few classes a bucket
     )
+    # Written, so that both sides of the join have an exchange of their own and a hot bucket can be split.
+    blocks = scratch.keep(blocks, "blocks")
     of = lambda k: F.coalesce(F.try_element_at("blocks", k), F.lit(0))
     dealt = placed.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), of(F.col("class"))).cast("int"))
     numbers = lambda n: F.filter(F.sequence(F.lit(0), n), lambda k: k < n)
@@ -350,7 +352,7 @@ def _further_links(
     # Dealt by the pair of blocks: by the bucket alone, as the join before leaves them, a hot one would be one task.
     key = ["bucket", "low", "i", "high", "j"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = dealt_in_blocks(going, percent).repartition(parts, *key).groupBy(*key).applyInPandas(
+    met = dealt_in_blocks(going, percent, scratch).repartition(parts, *key).groupBy(*key).applyInPandas(
         _meet(percent), "u long, v long"
     )
     return confirmed(scratch.keep(met.distinct(), "maybe"), nodes, docs, words, percent, scratch)

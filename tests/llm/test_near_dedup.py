@@ -137,7 +137,7 @@ def test_a_hot_bucket_moves_no_sets(spark, monkeypatch):
     going = spark.range(4000).selectExpr(
         "7L bucket", "3 band", "id node", "id component", "10 + (id % 2000) n_shingles", "cast('x' as binary) counts", "array(id) bands"
     )
-    dealt = nd.dealt_in_blocks(going, 80)
+    dealt = nd.dealt_in_blocks(going, 80, Scratch(spark, "test"))
     assert "shingles" not in dealt.columns
     copies = dealt.groupBy("node").count().agg({"count": "max"}).first()[0]
     assert copies < 4000 / 100 and dealt.count() < 4000 * 4000 / 100 * 0.75
