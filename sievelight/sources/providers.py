@@ -41,10 +41,13 @@ class HashedEmbedder:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for k, text in enumerate(texts):
-            padded = f" {text} "
-            for i in range(max(1, len(padded) - 2)):
-                h = int.from_bytes(hashlib.blake2b(padded[i : i + 3].encode(), digest_size=8).digest(), "big")
-                out[k, h % self.dim] += 1 if h >> 63 else -1
+            codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            codes = np.pad(codes, (0, max(0, 3 - len(codes))))
+            h = (codes[:-2] << np.uint64(42)) ^ (codes[1:-1] << np.uint64(21)) ^ codes[2:]
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+            out[k] = np.bincount((h % np.uint64(self.dim)).astype(np.int64), weights=sign, minlength=self.dim)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
