@@ -413,7 +413,7 @@ def test_damaged_payload_is_refused():
         )
 
 
-@pytest.mark.parametrize("name", ["op1_secrets", "op8_warc"])
+@pytest.mark.parametrize("name", ["op1_secrets", "op6_near_dedup", "op8_warc"])
 def test_query_agrees_with_sql(spark, name):
     import duckdb
 
