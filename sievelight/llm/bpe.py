@@ -34,6 +34,8 @@ END_OF_TEXT_ID = 50256
 PART = 1024
 #: Texts of more characters than this are dealt out over the cluster, in pieces of at most this many.
 LONG_TEXT = 1 << 15
+#: Bytes of texts, or tokens, that are looked at together.
+SLICE = 1 << 18
 #: Tokens on each side of a join that are encoded anew at first.
 WINDOW = 8
 #: Beyond these characters the fast encoder's character classes are not proved equal.
@@ -153,9 +155,11 @@ def tree(sides: list[Side], encode: Callable[[str], list[int]], lengths: list[in
 @lru_cache(maxsize=4)
 def token_lengths(name: str) -> list[int]:
     """Bytes of each token, by its id; a byte-level token has one character for each byte."""
-    own = codec(name).slow
-    size = own.get_vocab_size(with_added_tokens=True)
-    return [len(own.id_to_token(k) or "") for k in range(size)]
+    own = codec(name)
+    if own.fast is not None:
+        return [len(own.fast.decode_single_token_bytes(k)) for k in range(own.fast.n_vocab)]
+    size = own.slow.get_vocab_size(with_added_tokens=True)
+    return [len(own.slow.id_to_token(k) or "") for k in range(size)]
 
 
 def encode_text(text: str, vocabulary: str, limit: int = PART) -> list[int]:
@@ -167,6 +171,24 @@ def encode_text(text: str, vocabulary: str, limit: int = PART) -> list[int]:
     return tree(sides, own.encode, token_lengths(vocabulary))
 
 
+def slices(sizes: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes come to about ``most``, one row at least."""
+    total = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(total):
+        before = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + most, side="right")))
+        yield start, end
+        start = end
+
+
+def encoded(texts: pa.Array, vocabulary: str, part: int) -> pa.ListArray:
+    """The ids of texts; only one text's are held as Python numbers at a time."""
+    ids = [np.asarray(encode_text(t.as_py(), vocabulary, part), np.int32) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
 def id_lists(column: pa.ListArray) -> Iterator[list[int]]:
     """The lists of an Arrow column; a conversion of the column as a whole takes several times as long."""
     offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
@@ -175,7 +197,9 @@ def id_lists(column: pa.ListArray) -> Iterator[list[int]]:
 
 def digests(column: pa.ListArray) -> list[str]:
     """SHA-256 of each list's decimal numbers, joined by commas."""
-    numbers = pa.ListArray.from_arrays(column.offsets, pc.cast(column.values, pa.string()))
+    numbers = pa.ListArray.from_arrays(
+        pc.subtract(column.offsets, column.offsets[0]), pc.cast(column.flatten(), pa.string())
+    )
     return [hashlib.sha256(joined.as_buffer()).hexdigest() for joined in pc.binary_join(numbers, ",")]
 
 
@@ -184,11 +208,10 @@ def _encode_rows(vocabulary: str, part: int, name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest, texts = batch.columns[:-1], batch.columns[-1]
-            for lo in range(0, batch.num_rows, 256):
-                ids = [encode_text(t, vocabulary, part) for t in texts.slice(lo, 256).to_pylist()]
+            for lo, hi in slices(pc.binary_length(batch.columns[-1])):
+                rows = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(lo, 256) for c in rest), pa.array(ids, pa.list_(pa.int32()))],
+                    [*rows.columns[:-1], encoded(rows.columns[-1], vocabulary, part)],
                     names=[*batch.schema.names[:-1], name],
                 )
 
@@ -199,8 +222,10 @@ def _decode_rows(vocabulary: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:
-            texts = pa.array(map(own.decode, id_lists(batch.columns[-1])), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], name])
+            for lo, hi in slices(pc.list_value_length(batch.columns[-1])):
+                rows = batch.slice(lo, hi - lo)
+                texts = pa.array(map(own.decode, id_lists(rows.columns[-1])), pa.string())
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], texts], names=[*batch.schema.names[:-1], name])
 
     return run
 
@@ -212,7 +237,8 @@ _ENCODED = T.StructType([*_PIECE.fields, T.StructField("ids", T.ArrayType(T.Inte
 def _cut_rows(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sha, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for sha, text in zip(*batch.columns, strict=True):
+                sha, text = sha.as_py(), text.as_py()
                 pieces = halves(text, limit)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -229,8 +255,10 @@ def _cut_rows(limit: int):
 def _encode_pieces(vocabulary: str, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [encode_text(t, vocabulary, part) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=_ENCODED.names)
+            for lo, hi in slices(pc.binary_length(batch.column("text"))):
+                rows = batch.slice(lo, hi - lo)
+                ids = encoded(rows.column("text"), vocabulary, part)
+                yield pa.RecordBatch.from_arrays([*rows.columns, ids], names=_ENCODED.names)
 
     return run
 
@@ -272,10 +300,10 @@ def encode(
     # Written, so that the texts are cut once and each piece is dealt to a task of its own.
     texts = long.groupBy(F.col(sha).alias("sha")).agg(F.first(text).alias("text"))
     scratch = Scratch(docs.sparkSession, "bpe")
-    pieces = scratch.keep(texts.mapInArrow(_cut_rows(long_text), _PIECE), "pieces")
-    encoded = pieces.repartition("sha", "piece").mapInArrow(_encode_pieces(vocabulary, part), _ENCODED)
+    pieces = scratch.keep(texts.mapInArrow(trimmed(_cut_rows(long_text)), _PIECE), "pieces")
+    tokens = pieces.repartition("sha", "piece").mapInArrow(trimmed(_encode_pieces(vocabulary, part)), _ENCODED)
     joined = scratch.keep(
-        encoded.groupBy("sha").applyInPandas(_join_pieces(vocabulary), "sha binary, ids array<int>"), "joined"
+        tokens.groupBy("sha").applyInPandas(_join_pieces(vocabulary), "sha binary, ids array<int>"), "joined"
     ).withColumnsRenamed({"sha": sha, "ids": name})
     scratch.drop_all_but("joined")
     return short.unionByName(long.drop(text).join(joined, sha).select(*columns, name))
@@ -295,8 +323,8 @@ def _digest_rows(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in slices(pc.list_value_length(batch.column(1))):
+                part = batch.slice(lo, hi - lo)
                 ids = part.column(1)
                 texts = map(own.decode, id_lists(ids))
                 yield pa.RecordBatch.from_arrays(

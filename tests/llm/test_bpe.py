@@ -137,6 +137,19 @@ def test_decoding_of_any_ids(reference):
     assert own.decode([15496, 60000]) == reference.decode([15496, 60000], skip_special_tokens=False)
 
 
+def test_slices():
+    import pyarrow as pa
+
+    assert list(bpe.slices(pa.array([], pa.int32()))) == []
+    assert list(bpe.slices(pa.array([5, 5, 5, 100, 1, 1], pa.int32()), 10)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    texts = pa.array(["one two", "", "é" * 3000, "x"]).slice(1)
+    assert encoded_lists(texts) == [bpe.codec(NAME).encode(t) for t in texts.to_pylist()]
+
+
+def encoded_lists(texts):
+    return list(bpe.id_lists(bpe.encoded(texts, NAME, 100)))
+
+
 def test_decode(odd, odd_texts):
     rows = bpe.decode(bpe.encode(odd, NAME, ["doc_id"]), NAME, ["doc_id"]).collect()
     assert sorted((str(r.doc_id), r.text) for r in rows) == sorted((str(d), t or "") for d, t in odd_texts)
