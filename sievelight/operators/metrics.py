@@ -87,6 +87,15 @@ def agreement_of(grades=GRADES) -> Column:
     return _sum(c(i, i) for i in grades) / F.nullif(_sum(c(i, j) for i in grades for j in grades), F.lit(0))
 
 
+def _beside(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Rows of ``a`` with those of ``b`` that have the same keys, null ones too; without keys ``b`` has one row."""
+    if not by:
+        return a.crossJoin(b)
+    named = b.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by))
+    return a.join(named, same, how).drop(*(f"_of_{c}" for c in by))
+
+
 def ranked_values(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """by, the distinct values, _n, the rows of each, and _before, the rows of lesser ones.
 
@@ -101,7 +110,7 @@ def ranked_values(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     ranges = ranges.select(*by, "_range", F.coalesce(F.sum("_in_range").over(earlier), F.lit(0)).alias("_before_range"))
     within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_before_range") + F.coalesce(F.sum("_n").over(within), F.lit(0))
-    placed = counts.join(ranges, [*by, "_range"]) if by else counts.join(ranges, "_range")
+    placed = _beside(counts, ranges, [*by, "_range"])
     return placed.select(*by, value, "_n", before.alias("_before"))
 
 
@@ -111,21 +120,21 @@ def midranks(df: DataFrame, value: str, by: list[str] = (), out: str = "r") -> D
     return df.join(ranks.select(*by, value, out), [*by, value])
 
 
-def quantiles(df: DataFrame, value: str, at: list[float], by: list[str]) -> DataFrame:
+def quantiles(df: DataFrame, value: str, at: list[float], by: list[str] = ()) -> DataFrame:
     """by and q, the interpolated quantiles at each of ``at``: those of ``percentile``.
 
     Values are ranked over ranges, so no task and no buffer holds the values of a cell; of
     each cell only those at the wanted places come together.
     """
     ranked = ranked_values(df.filter(F.col(value).isNotNull()), value, by)
-    sizes = F.broadcast(ranked.groupBy(*by).agg(F.sum("_n").alias("_all")))  # a row a cell
+    sizes = F.broadcast(group(ranked, list(by), F.sum("_n").alias("_all")))  # a row a cell
     place = lambda q: (F.col("_all") - 1) * F.lit(q)
     held = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
     marks = [
         F.when(held(F.floor(place(q))) | held(F.ceil(place(q))), F.struct(F.lit(k).alias("k"), place(q).alias("p")))
         for k, q in enumerate(at)
     ]
-    hits = ranked.join(sizes, list(by)).select(
+    hits = _beside(ranked, sizes, by).select(
         *by, value, "_before", "_n", F.explode(F.array_compact(F.array(*marks))).alias("m")
     )
     low, high = held(F.floor("m.p")), held(F.ceil("m.p"))
@@ -134,9 +143,8 @@ def quantiles(df: DataFrame, value: str, at: list[float], by: list[str]) -> Data
     )
     between = (F.ceil("p") - F.col("p")) * F.col("lo") + (F.col("p") - F.floor("p")) * F.col("hi")
     own = ends.select(*by, "k", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(between).alias("x"))
-    return own.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("q")  # one for each of ``at``
-    )
+    held = F.array_sort(F.collect_list(F.struct("k", "x")))  # one for each of ``at``
+    return group(own, list(by), F.transform(held, lambda s: s["x"]).alias("q"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
@@ -249,16 +257,18 @@ def eta_squared(df: DataFrame, value: str, factor: str, by: list[str] = ()) -> D
 
 def latency(calls: DataFrame, seconds: str = "latency_s", by: list[str] = ()) -> DataFrame:
     """n, mean, median, p95, least and most of the calls that came back."""
-    at = lambda q: F.percentile(seconds, F.lit(q))
-    return group(
-        calls.filter(F.col(seconds).isNotNull()),
+    own = calls.filter(F.col(seconds).isNotNull()).select(*by, F.col(seconds).cast("double").alias("_s"))
+    sums = group(
+        own,
         list(by),
         F.count(F.lit(1)).alias("n"),
-        F.avg(seconds).alias("mean"),
-        at(0.5).alias("median"),
-        at(0.95).alias("p95"),
-        F.min(seconds).alias("least"),
-        F.max(seconds).alias("most"),
+        F.avg("_s").alias("mean"),
+        F.min("_s").alias("least"),
+        F.max("_s").alias("most"),
+    )
+    q = lambda k, name: F.get("q", F.lit(k)).alias(name)
+    return _beside(sums, quantiles(own, "_s", [0.5, 0.95], by), by).select(
+        *by, "n", "mean", q(0, "median"), q(1, "p95"), "least", "most"
     )
 
 
@@ -298,14 +308,12 @@ def histogram(df: DataFrame, value: str, bins: int = 31) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    at = lambda q: F.percentile(value, F.lit(q))
-    return df.groupBy(*by).agg(
-        F.min(value).alias("least"),
-        at(0.25).alias("q1"),
-        at(0.5).alias("median"),
-        at(0.75).alias("q3"),
-        F.max(value).alias("most"),
-        F.count(F.lit(1)).alias("n"),
+    """least, q1, median, q3, most and n of each group; nulls count in n alone."""
+    sums = df.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.count(F.lit(1)).alias("n"))
+    parts = quantiles(df.withColumn("_x", F.col(value).cast("double")), "_x", [0.25, 0.5, 0.75], by)
+    q = lambda k, name: F.get("q", F.lit(k)).alias(name)
+    return _beside(sums, parts, by, "left").select(
+        *by, "least", q(0, "q1"), q(1, "median"), q(2, "q3"), "most", "n"
     )
 
 

@@ -426,9 +426,12 @@ def test_quantiles_over_ranges(spark):
     rng = random.Random(9)
     at = [0.02 + 0.96 * k / 59 for k in range(60)] + [0.0, 0.5, 1.0]
     values = {c: [rng.choice([rng.random(), rng.randint(0, 3)]) for _ in range(n)] for c, n in (("a", 1), ("b", 2), ("c", 500))}
+    values[None] = [3.0, 1.0]
     rows = [(c, float(x)) for c, xs in values.items() for x in xs] + [("c", None), ("d", None)]
     got = {r.c: r.q for r in mx.quantiles(spark.createDataFrame(rows, "c string, x double"), "x", at, ["c"]).collect()}
     assert set(got) == set(values)
+    alone = mx.quantiles(spark.createDataFrame([(float(x),) for x in values["c"]], "x double"), "x", at).collect()
+    assert len(alone) == 1 and alone[0].q == got["c"]
     for c, xs in values.items():
         assert got[c] == pytest.approx(np.quantile(xs, at).tolist(), abs=1e-12)
 
