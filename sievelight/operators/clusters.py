@@ -151,17 +151,17 @@ def pairwise_distances(
 
 def terms(docs: DataFrame, group: str, text: str, stopwords: list[str] = (), bigrams: bool = True) -> DataFrame:
     """Counts of the words of two letters or more, and pairs of them, in each group: group, term, n."""
-    words = F.filter(
-        F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)),
-        lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True),
-    )
-    held = docs.select(group, words.alias("w"))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w{2,}"), F.lit(0))
+    if not bigrams:
+        single = docs.select(group, F.explode(words).alias("term"))
+        kept = single.filter(~F.col("term").isin(*stopwords)) if stopwords else single
+        return kept.groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
+    held = docs.select(group, F.filter(words, lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True)).alias("w"))
     pairs = F.when(
         F.size("w") > 1,
         F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b)),
     ).otherwise(F.array().cast("array<string>"))
-    every = F.concat("w", pairs) if bigrams else F.col("w")
-    return held.select(group, F.explode(every).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
+    return held.select(group, F.explode(F.concat("w", pairs)).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ctfidf(counts: DataFrame, group: str, n: int = 20, min_groups: int = 1) -> DataFrame:

@@ -193,6 +193,8 @@ def bootstrap_qwk(
     sized = placed.select(
         *by, F.col("_i").alias("_draw")
     ).join(sizes, list(by)) if by else placed.select(F.col("_i").alias("_draw")).crossJoin(F.broadcast(sizes))
+    # The numbering leaves all rows in one task; their draws are dealt out again.
+    sized = sized.repartition(df.sparkSession.sparkContext.defaultParallelism)
     draws = sized.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     drawn = draws.withColumn("_i", (uniform_long(F.md5(F.concat_ws(":", "_b", "_draw"))) % F.col("_n")).cast("int"))
     labelled = drawn.select(*by, "_b", "_i").join(placed.select(*by, "_i", true, pred), [*by, "_i"])
