@@ -16,7 +16,7 @@ from sievelight.functions import text as tx
 
 LOG = "query_key string, query string, source string, site string, source_file string, device string, clicks long, impressions long, ctr double, position double, found long, lang string, date_start string, date_end string, last_searched string, last_year long"
 #: File name patterns of both kinds of logs.
-PATTERNS = {"ga4": "*ga4*.csv", "internal": "*search_log*.{csv,xlsx}"}
+PATTERNS = {"ga4": "*ga4*.csv", "internal": "*search_log*.{csv,xls,xlsx}"}
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,10 +113,11 @@ def internal_log(rows: DataFrame, source: str, site: str) -> DataFrame:
 def read_internal_xls(
     spark: SparkSession, path: str, names: dict[str, str], source: str = "site1_internal", site: str = "site1"
 ) -> DataFrame:
-    """An internal log in spreadsheets (.xlsx) with localised headers, which ``names`` maps to the log's columns.
+    """An internal log in spreadsheets with localised headers, which ``names`` maps to the log's columns.
 
     The first sheet of each file is read, in the task that reads the file, and cells as they
-    are written.
+    are written.  Files of the older binary kind (.xls) need a spreadsheet engine of pandas
+    on the executors.
     """
     wanted = ["query", "lang", "clicks", "found", "last_searched_raw"]
 
@@ -125,7 +126,12 @@ def read_internal_xls(
 
         for frame in frames:
             for name, content in zip(frame["source_file"], frame["content"], strict=True):
-                header, *body = sheet_rows(bytes(content)) or [[]]
+                content = bytes(content)
+                if zipfile.is_zipfile(io.BytesIO(content)):
+                    header, *body = sheet_rows(content) or [[]]
+                else:
+                    sheet = pd.read_excel(io.BytesIO(content), header=None, dtype="string")
+                    header, *body = sheet.astype(object).where(sheet.notna(), None).values.tolist() or [[]]
                 places = {names.get(title, title): k for k, title in enumerate(header)}
                 at = [places.get(c) for c in wanted]
                 cells = [[row[k] if k is not None and k < len(row) else None for k in at] for row in body]

@@ -597,8 +597,11 @@ def test_spreadsheets(spark, tmp_path):
     assert readers.sheet_rows(path.read_bytes()) == [["Dotaz", "Jazyk", None, "Kliky"], ["bolest hlavy", None, None, "12"], [None, "cs"]]
     (tmp_path / "a_search_log.csv").write_text("query,lang\nx,y\n")
     (tmp_path / "other.xlsx").write_text("")
+    (tmp_path / "old_search_log.xls").write_text("")
     found = readers.discover(spark, str(tmp_path)).collect()
-    assert sorted((r.kind, r.path.rsplit("/", 1)[1]) for r in found) == [("internal", "a_search_log.csv"), ("internal", "site_search_log.xlsx")]
+    assert sorted((r.kind, r.path.rsplit("/", 1)[1]) for r in found) == [
+        ("internal", "a_search_log.csv"), ("internal", "old_search_log.xls"), ("internal", "site_search_log.xlsx")
+    ]
     names = {"Dotaz": "query", "Jazyk": "lang", "Kliky": "clicks"}
     rows = readers.read_internal_xls(spark, str(path), names).collect()
     assert [(r.query, r.lang, r.clicks, r.source_file) for r in rows] == [("bolest hlavy", None, 12, "site_search_log.xlsx")]
