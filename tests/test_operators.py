@@ -597,7 +597,7 @@ def test_spreadsheets(spark, tmp_path):
     assert readers.sheet_rows(path.read_bytes()) == [["Dotaz", "Jazyk", None, "Kliky"], ["bolest hlavy", None, None, "12"], [None, "cs"]]
     (tmp_path / "a_search_log.csv").write_text("query,lang\nx,y\n")
     (tmp_path / "other.xlsx").write_text("")
-    (tmp_path / "old_search_log.xls").write_text("")
+    (tmp_path / "old_search_log.xls").write_text("binary")
     found = readers.discover(spark, str(tmp_path)).collect()
     assert sorted((r.kind, r.path.rsplit("/", 1)[1]) for r in found) == [
         ("internal", "a_search_log.csv"), ("internal", "old_search_log.xls"), ("internal", "site_search_log.xlsx")
