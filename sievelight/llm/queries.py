@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import bpe, exact_dedup, language_id, licences, near_dedup, nearest, packing, quality, secrets, warc
+from sievelight.llm import bpe, decontamination, exact_dedup, language_id, licences, near_dedup, nearest, packing, quality, secrets, warc
 from sievelight.llm.common import held_out, read_table, spread
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -64,6 +64,12 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(documents(spark, sf_dir), ["doc_id"])
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_secrets,
@@ -76,6 +82,7 @@ QUERIES = {
         op8_warc,
         op9_exact_dedup,
         op10_licences,
+        op11_decontamination,
     )
 }
 
@@ -88,7 +95,7 @@ def _either_case(word: str) -> str:
 _SECRET_PATTERNS = (
     (
         "assign",
-        """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
         2,
         6,
     ),
@@ -146,4 +153,14 @@ ORACLE_SQL = {
                      row_number() OVER w AS k
               FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id))
         SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM r""",
+    "op11_decontamination": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        i AS MATERIALIZED (SELECT DISTINCT item_id, k, array_to_string(w[j:j + k - 1], ' ') AS g FROM (SELECT *, least(10, len(w)) AS k FROM b WHERE len(w) > 0), unnest(range(1, len(w) - k + 2)) u(j)),
+        g AS MATERIALIZED (SELECT r, k, CAST(j AS BIGINT) AS j, array_to_string(w[j:j + k - 1], ' ') AS g FROM t, (SELECT DISTINCT k FROM i), unnest(range(1, len(w) - k + 2)) u(j)),
+        h AS MATERIALIZED (SELECT r, k, j, item_id FROM g JOIN i USING (k, g)),
+        n AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT DISTINCT r, k, j FROM h), unnest(range(j, j + k)) u(p) GROUP BY r),
+        s AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+        FROM t LEFT JOIN n USING (r) LEFT JOIN s USING (r)""",
 }
