@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import bpe, decontamination, exact_dedup, language_id, licences, near_dedup, nearest, packing, quality, secrets, warc
+from sievelight.llm import bpe, decontamination, exact_dedup, filter_audit, language_id, licences, near_dedup, nearest, packing, quality, secrets, warc
 from sievelight.llm.common import held_out, read_table, spread
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -70,6 +70,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_secrets,
@@ -83,6 +87,7 @@ QUERIES = {
         op9_exact_dedup,
         op10_licences,
         op11_decontamination,
+        op12_filter_audit,
     )
 }
 
@@ -163,4 +168,21 @@ ORACLE_SQL = {
         s AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
         FROM t LEFT JOIN n USING (r) LEFT JOIN s USING (r)""",
+    "op12_filter_audit": r"""
+        WITH l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        f AS (SELECT doc_id, part, concat(
+            CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+            CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' END,
+            CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' END) AS m FROM t),
+        g AS MATERIALIZED (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, m),
+        c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT concat(a.x, b.x, d.x, e.x, f.x) AS o FROM c a, c b, c d, c e, c f WHERE len(list_distinct([a.x, b.x, d.x, e.x, f.x])) = 5),
+        s AS (SELECT part, o, s, m, n, good, toxic, o[s:s] AS x, contains(m, o[s:s]) AS fails, translate(m, o[1:s - 1], '') = m AS there FROM g, o, range(1, 6) r(s))
+        SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step,
+            CAST(coalesce(sum(n) FILTER (there AND NOT fails), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (there AND fails), 0) AS BIGINT) AS removed,
+            CAST(coalesce(sum(n) FILTER (NOT there AND fails), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (m = x), 0) AS BIGINT) AS unique_fails,
+            CAST(coalesce(sum(good) FILTER (there AND fails), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (there AND fails), 0) AS BIGINT) AS toxic_lost,
+            CAST(coalesce(sum(n * (120 // greatest(len(m), 1))) FILTER (fails), 0) AS BIGINT) AS shapley
+        FROM s GROUP BY part, o, s""",
 }
