@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.common import Scratch, clear_names, materialise, small_batches, trimmed, unused_names, whole_text
-from sievelight.llm.terms import word_lists, words_of
+from sievelight.llm.terms import cut_between_words, word_lists, words_of
 
 WINDOW = 10
 #: Bytes of text in a shard, about; a longer text is cut into pieces that overlap by a window less one word.
@@ -171,7 +171,6 @@ _INDEX = (
     "pieces array<struct<row_key: long, doc_id: long, first: long, fresh: long, size: long>>, vocabulary array<string>, "
     "before binary, levels binary, marks binary, samples binary"
 )
-_CUT = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
 
 
 def _long_pieces(text: str, overlap: int) -> Iterator[tuple[str, int, int]]:
@@ -179,14 +178,11 @@ def _long_pieces(text: str, overlap: int) -> Iterator[tuple[str, int, int]]:
 
     With each part go the number of the first word and how many of its words are new.
     """
-    data, start, done, tail = text.encode("utf-8", "surrogatepass"), 0, 0, []
-    while start < len(data):
-        stop = _CUT.search(data, start + SHARD)
-        end = stop.start() if stop else len(data)
-        part = data[start:end].decode("utf-8", "surrogatepass")
+    done, tail = 0, []
+    for part in cut_between_words(text, SHARD):
         words, _ = words_of(pa.array([part]))
         yield " ".join([*tail, part]), done - len(tail), len(words)
-        done, start = done + len(words), end
+        done += len(words)
         tail = [*tail, *words[max(0, len(words) - overlap) :].to_pylist()][-overlap:] if overlap else []
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import bpe, decontamination, exact_dedup, filter_audit, language_id, licences, near_dedup, nearest, packing, quality, secrets, warc
+from sievelight.llm import bpe, decontamination, exact_dedup, filter_audit, language_id, lexical_search, licences, near_dedup, nearest, packing, quality, secrets, warc
 from sievelight.llm.common import held_out, read_table, spread
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -74,6 +74,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_secrets,
@@ -88,6 +92,7 @@ QUERIES = {
         op10_licences,
         op11_decontamination,
         op12_filter_audit,
+        op13_lexical_search,
     )
 }
 
@@ -185,4 +190,13 @@ ORACLE_SQL = {
             CAST(coalesce(sum(good) FILTER (there AND fails), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (there AND fails), 0) AS BIGINT) AS toxic_lost,
             CAST(coalesce(sum(n * (120 // greatest(len(m), 1))) FILTER (fails), 0) AS BIGINT) AS shapley
         FROM s GROUP BY part, o, s""",
+    "op13_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+        c AS (SELECT count(*) FILTER (len(w) > 0) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d),
+        p AS MATERIALIZED (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+        f AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS wt FROM p, c GROUP BY t, nn),
+        s AS (SELECT item_id, r, doc_id, CAST(sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nn) // ll))))) AS BIGINT) AS score FROM p JOIN f USING (t) JOIN i USING (t), c GROUP BY item_id, r, doc_id),
+        k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM k WHERE rank <= 50""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,3 +51,32 @@ def word_lists(rows: DataFrame, id_column: str, text_column: str = "text") -> Da
     kind = rows.schema[id_column].dataType.simpleString()
     picked = small_batches(rows).select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
     return picked.mapInArrow(run, f"id {kind}, words array<string>")
+
+
+_BETWEEN = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
+
+
+def cut_between_words(text: str, size: int) -> Iterator[str]:
+    """The text in parts of about ``size`` bytes that no word crosses."""
+    data, start = text.encode("utf-8", "surrogatepass"), 0
+    while start < len(data):
+        stop = _BETWEEN.search(data, start + size)
+        end = stop.start() if stop else len(data)
+        yield data[start:end].decode("utf-8", "surrogatepass")
+        start = end
+
+
+def parts(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """All texts in lists of about ``size`` bytes at most, each with its row; a longer text comes in parts between words."""
+    rows, held, n = [], [], 0
+    for row, text in enumerate(texts.to_pylist()):
+        text = text or ""
+        for part in [text] if len(text) <= size else cut_between_words(text, size):
+            if held and n + len(part) > size:
+                yield np.array(rows), pa.array(held, pa.large_string())
+                rows, held, n = [], [], 0
+            rows.append(row)
+            held.append(part)
+            n += len(part)
+    if held:
+        yield np.array(rows), pa.array(held, pa.large_string())
