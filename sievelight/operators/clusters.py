@@ -398,75 +398,6 @@ def reduce_dimensions(points: DataFrame, key: str, k: int = 5, vector: str = "em
     return model.transform(rows).select(key, vector_to_array("y").alias("reduced"))
 
 
-def density_clusters(
-    points: DataFrame,
-    key: str,
-    vector: str = "embedding",
-    neighbours: int = 5,
-    least_size: int = 10,
-    share: float = 0.8,
-    block: int = 4096,
-) -> DataFrame:
-    """Clusters of dense points: key, cluster_id (-1 for noise).
-
-    A point's core distance is that to its ``neighbours``-th neighbour; two points are
-    linked if their mutual reachability, the largest of their distance and both core
-    distances, is at most the ``share`` quantile of core distances.  Components of fewer
-    than ``least_size`` points are noise.  Points meet block by block, so a task's memory
-    doesn't grow with the table; all pairs are looked at, as the method asks.
-    """
-    from sievelight.operators.graph import components
-
-    n = points.count()
-    blocks = max(1, -(-n // block))
-    rows = points.select(
-        F.col(key).cast("long").alias("id"), vx.unit(vx.doubles(F.col(vector))).alias("v")
-    ).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("own", every.alias("other"), "id", "v")
-    right = rows.select(
-        F.col("own").alias("other"), F.col("id").alias("id"), F.col("v").alias("v")
-    ).select(every.alias("own"), "other", "id", "v")
-
-    def distances(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        d = np.maximum(1 - np.array(a["v"].tolist()) @ np.array(b["v"].tolist()).T, 0)
-        d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
-        return d
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "d": []})
-        few = np.sort(distances(a, b), axis=1)[:, :neighbours]
-        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), few.shape[1]), "d": few.ravel()})
-
-    met = left.groupBy("own", "other").cogroup(right.groupBy("own", "other"))
-    core = met.applyInPandas(nearest, "id long, d double").groupBy("id").agg(
-        F.get(F.array_sort(F.collect_list("d")), F.lit(neighbours - 1)).alias("core")
-    )
-    core = settled(core.filter("core is not null"))
-    limit = core.agg(F.percentile("core", F.lit(share))).first()[0]
-    if limit is None:
-        return points.select(key, F.lit(NOISE).alias("cluster_id"))
-    dense = core.filter(F.col("core") <= limit).select("id")
-
-    def linked(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"u": [], "v": []})
-        i, j = np.nonzero(distances(a, b) <= limit)
-        x, y = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-        return pd.DataFrame({"u": x[x > y], "v": y[x > y]})
-
-    edges = left.join(dense, "id", "left_semi").groupBy("own", "other").cogroup(
-        right.join(dense, "id", "left_semi").groupBy("own", "other")
-    ).applyInPandas(linked, "u long, v long")
-    found = components(edges)
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least_size)
-    placed = found.join(sizes, "component").select(F.col("node").alias("_id"), "component")
-    return points.select(F.col(key), F.col(key).cast("long").alias("_id")).join(placed, "_id", "left").select(
-        key, F.coalesce("component", F.lit(NOISE).cast("long")).alias("cluster_id")
-    )
-
-
 def overview(members: DataFrame, cluster: str = "cluster_id", limit: int = 20) -> DataFrame:
     """size, total clicks and the most clicked keys of each cluster, noise excepted."""
     kept = members.filter(F.col(cluster) != NOISE)

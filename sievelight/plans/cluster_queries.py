@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import vectors as vx
 from sievelight.operators import clusters as cl
-from sievelight.operators import reports
+from sievelight.operators import density, reports
 from sievelight.plans import views
 from sievelight.plans.views import with_views
 from sievelight.sources.storage import settled, table
@@ -163,7 +163,7 @@ def reduced_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def density_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cl.density_clusters(views.clusters(spark, sf_dir), "vec_id")
+    return density.density_clusters(views.clusters(spark, sf_dir), "vec_id")
 
 
 _RECORDS = """labelled AS (SELECT cluster_id, count(*) AS n_queries, 'label' || CAST(cluster_id AS VARCHAR) AS label, CASE WHEN cluster_id < 5 THEN 'low' ELSE 'high' END AS category, cluster_id % 3 AS merged FROM v_clusters WHERE cluster_id <> -1 GROUP BY cluster_id),

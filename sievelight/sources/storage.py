@@ -31,3 +31,31 @@ def settled(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Scratch:
+    """The written tables of one run, in a folder of its own, of which those that no result reads can be dropped."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """As :func:`settled`."""
+        self.tables += 1
+        path = f"{self.path}/{name}.{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Deletes the tables of all other names."""
+        self._drop(lambda name: name not in names)
+
+    def drop(self, *names: str) -> None:
+        self._drop(lambda name: name in names)
+
+    def _drop(self, goes) -> None:
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for found in files.listStatus(root) if files.exists(root) else []:
+            if goes(found.getPath().getName().rpartition(".")[0]):
+                files.delete(found.getPath(), True)

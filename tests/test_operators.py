@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import hashing as hx
 from sievelight.functions import text as tx
 from sievelight.functions import vectors as vx
-from sievelight.operators import clusters, filters, golden, graph, heads, logs, pairs, probes, ranking, reports, sets
+from sievelight.operators import clusters, density, filters, golden, graph, heads, logs, pairs, probes, ranking, reports, sets
 from sievelight.operators import metrics as mx
 from sievelight.sources import providers, readers, storage, writers
 
@@ -726,7 +726,7 @@ def test_density_clusters(spark):
         (k, (np.eye(6)[k % 3] + rng.normal(0, 0.03, 6)).tolist()) for k in range(90)
     ] + [(100 + k, rng.normal(size=6).tolist()) for k in range(6)]
     df = spark.createDataFrame(rows, "id long, embedding array<double>")
-    got = {r.id: r.cluster_id for r in clusters.density_clusters(df, "id", block=40).collect()}
+    got = {r.id: r.cluster_id for r in density.density_clusters(df, "id", block=40).collect()}
     found = {got[k] for k in range(90)} - {-1}
     assert len(found) == 3 and all(len({got[k] for k in range(90) if k % 3 == g} - {-1}) == 1 for g in range(3))
     sizes = [sum(v == c for v in got.values()) for c in found]

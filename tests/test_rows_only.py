@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import test_density
 from sievelight import registry
 from sievelight.plans import cluster_queries, views
 
@@ -91,26 +92,14 @@ def test_knee_of_merges(spark, kinds):
 
 
 def test_density_clusters(spark):
-    points = [(r.vec_id, np.array(r.embedding)) for r in views.clusters(spark, SF).collect()]
-    u = np.array([v / np.linalg.norm(v) for _, v in points])
-    d = 1 - u @ u.T
-    core = np.sort(d + np.diag(np.full(len(u), np.inf)), axis=1)[:, 4]
-    limit = np.quantile(core, 0.8)
-    near = np.maximum(np.maximum(core[:, None], core[None, :]), d) <= limit + 1e-12
-    label = list(range(len(u)))
-    for i, j in zip(*np.nonzero(near), strict=True):
-        if i != j:
-            a, b = sorted((label[i], label[j]))
-            label = [a if x == b else x for x in label]
-    sizes = Counter(label)
-    want = defaultdict(set)
-    for (vec, _), x in zip(points, label, strict=True):
-        want[x if sizes[x] >= 10 else -1].add(vec)
+    points = sorted((r.vec_id, r.embedding) for r in views.clusters(spark, SF).collect())
+    u = np.array([np.array(v) / np.linalg.norm(v) for _, v in points])
+    want = {frozenset(points[k][0] for k in leaf) for leaf in test_density.brute(u, 5, 10)}
     got = defaultdict(set)
     for r in rows_of(spark, "density_cluster"):
         got[r.cluster_id].add(r.vec_id)
-    assert got[-1] == want[-1]
-    assert {frozenset(v) for k, v in got.items() if k != -1} == {frozenset(v) for k, v in want.items() if k != -1}
+    noise = got.pop(-1, set())
+    assert {frozenset(v) for v in got.values()} == want and len(noise) + sum(map(len, want)) == len(points)
 
 
 def test_bootstrap_by_counts_is_near_that_by_rows(spark):
