@@ -183,14 +183,15 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     ).view(np.int64)
 
 
-_SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, counts binary"
+_SKETCH = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, counts binary"
 
 
 def _sketch_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                ids, texts = batch.column(0).slice(lo, 512), batch.column(1).slice(lo, 512).to_pylist()
+                ids, keyed, texts = (batch.column(c).slice(lo, 512) for c in range(3))
+                texts = texts.to_pylist()
                 sets = list(shingle_sets(texts, k))
                 some = [j for j, s in enumerate(sets) if len(s)]
                 sketch = sketches([sets[j] for j in some])
@@ -201,6 +202,7 @@ def _sketch_rows(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids,
+                        keyed,
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(
                             [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
@@ -209,7 +211,7 @@ def _sketch_rows(k: int):
                         pa.array(keys, pa.list_(pa.int64())),
                         pa.array(counts, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "bands", "counts"],
+                    names=["doc_id", "text_key", "n_shingles", "set_key", "bands", "counts"],
                 )
 
     return run
@@ -293,10 +295,15 @@ def _meet(percent: int):
 
 
 def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """node and shingles of the wanted nodes; only their texts are read into sets, one a node."""
-    keyed = scratch.keep(wanted.distinct().join(nodes.select("node", "doc_id", "set_key"), "node"), "wanted")
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    texts = _pick(rows, keyed, rows["id"].eqNullSafe(keyed["doc_id"])).select("node", "set_key", "text")
+    """node and shingles of the wanted nodes; only their texts are read into sets, one a node.
+
+    A node's text is found by an id and the text's hash together, so that rows without an id,
+    or with one that others have, meet no more rows than have their own text.
+    """
+    keyed = scratch.keep(wanted.distinct().join(nodes.select("node", "first.*", "set_key"), "node"), "wanted")
+    rows = docs.select(F.col("doc_id").alias("id"), "text", "text_key")
+    same = rows["id"].eqNullSafe(keyed["doc_id"]) & (rows["text_key"] == keyed["text_key"])
+    texts = _pick(rows, keyed, same).select("node", "set_key", "text")
     return scratch.keep(
         texts.mapInArrow(trimmed(_set_rows(k)), "node long, shingles array<long>").dropDuplicates(["node"]), "sets"
     )
@@ -373,9 +380,11 @@ def near_duplicates(
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     rows = small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     sketched = scratch.keep(rows.mapInArrow(trimmed(_sketch_rows(words)), _SKETCH), "sketches")
     first = sketched.filter("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("doc_id"),
+        F.min(F.struct("doc_id", "text_key")).alias("first"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"),
         F.first("counts").alias("counts"),

@@ -217,3 +217,28 @@ def test_drop_tells_rows_apart_by_more_than_ids(spark):
     want = [rows[k] for k in (1, 2, 3, 4, 8, 10, 11, 12)]
     key = lambda r: (r[0] or 0, r[1] or "", r[1] is None)
     assert sorted((r for r in got if r not in pair), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("ids", ["none", "one", "two"])
+def test_rows_with_no_id_or_the_same(spark, monkeypatch, ids):
+    """Each text that is looked for meets its own copies alone, whatever the ids are."""
+    rng = random.Random(3)
+    rows = []
+    for base in range(30):
+        text = [f"w{rng.randint(0, 5000)}" for _ in range(60)]
+        for k in range(8):
+            own = list(text)
+            own[rng.randrange(60)] = f"x{k}"
+            rows.append(({"none": None, "one": 7, "two": base % 2}[ids], " ".join(own)))
+    met, pick = [], nd._pick
+
+    def counted(*args):
+        out = pick(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(nd, "_pick", counted)
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(truth(rows, 4), key=key)
+    assert met and max(met) <= len(rows)
