@@ -10,20 +10,22 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import queue
-import threading
-import time
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions.hashing import cache_key
+from sievelight.sources.calls import Log, as_completed
+from sievelight.sources.storage import settled
 
 
 class Embedder(Protocol):
@@ -98,39 +100,6 @@ class HttpModel:
         return answer["choices"][0]["message"]["content"], used.get("prompt_tokens", 0), used.get("completion_tokens", 0)
 
 
-def with_retries(call: Callable, attempts: int = 5, wait: float = 0.5, most: float = 30.0):
-    """The call's result; it is made again after growing waits while it raises."""
-    for k in range(attempts):
-        try:
-            return call()
-        except Exception:
-            if k == attempts - 1:
-                raise
-            time.sleep(min(most, wait * 2**k))
-
-
-def within(call: Callable, seconds: float | None):
-    """The call's result, if it comes in time; else TimeoutError.  A call that hangs is left to a thread of its own."""
-    if seconds is None:
-        return call()
-    done: queue.Queue = queue.Queue(1)
-
-    def run() -> None:
-        try:
-            done.put((call(), None))
-        except Exception as e:
-            done.put((None, e))
-
-    threading.Thread(target=run, daemon=True).start()
-    try:
-        value, error = done.get(timeout=seconds)
-    except queue.Empty:
-        raise TimeoutError(f"no answer in {seconds} s") from None
-    if error is not None:
-        raise error
-    return value
-
-
 def embed(
     texts: DataFrame,
     embedder: Embedder,
@@ -139,27 +108,34 @@ def embed(
     batch: int = 128,
     attempts: int = 5,
     concurrency: int | None = None,
+    in_flight: int = 1,
+    seconds: float | None = None,
 ) -> DataFrame:
     """key, embedding and error of each text; a batch that fails is tried again row by row.
 
-    ``concurrency`` bounds the tasks, and so the calls, that run at a time.
+    ``concurrency`` bounds the tasks that run at a time, ``in_flight`` the calls of each.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for lo in range(0, len(frame), batch):
-                part = frame.iloc[lo : lo + batch]
-                vectors, errors = [None] * len(part), [None] * len(part)
-                values = part[text].fillna("").tolist()
-                try:
-                    vectors = list(with_retries(lambda v=values: embedder.embed(v), attempts))
-                except Exception:
-                    for k, value in enumerate(values):
-                        try:
-                            vectors[k] = embedder.embed([value])[0]
-                        except Exception as e:
-                            errors[k] = str(e)[:500]
-                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": vectors, "error": errors})
+        def of(keys: list, vectors: list, errors: list) -> pd.DataFrame:
+            return pd.DataFrame({key: keys, "embedding": vectors, "error": errors})
+
+        def batches() -> Iterator[tuple]:
+            for frame in frames:
+                for lo in range(0, len(frame), batch):
+                    part = frame.iloc[lo : lo + batch]
+                    values = part[text].fillna("").tolist()
+                    yield (part[key].tolist(), values), lambda v=values: list(embedder.embed(v))
+
+        for (keys, values), vectors, error in as_completed(batches(), in_flight, attempts, seconds):
+            if error is None:
+                yield of(keys, vectors, [None] * len(keys))
+                continue
+            single = iter([(k, lambda v=v: embedder.embed([v])[0]) for k, v in enumerate(values)])
+            vectors, errors = [None] * len(keys), [None] * len(keys)
+            for k, vector, failed in as_completed(single, in_flight, 1, seconds):
+                vectors[k], errors[k] = vector, None if failed is None else str(failed)[:500]
+            yield of(keys, vectors, errors)
 
     rows = texts.select(key, text)
     rows = rows.repartition(concurrency) if concurrency else rows
@@ -178,6 +154,8 @@ def embed_missing(
     return embed(todo, embedder, key, **options)
 
 
+#: Answers that a task hands on together.
+ROWS = 1000
 #: Fixed value: seconds after which a call counts as failed.
 CALL_SECONDS = 90.0
 #: A task's answer to a rendered prompt: JSON, tokens in and out.
@@ -205,6 +183,22 @@ TASKS = {
 }
 
 
+#: Session setting that names the folder of the log, where a call doesn't.
+LOG_SETTING = "spark.sievelight.calls.log"
+_LOGGED = [("cache_key", pa.string()), ("response", pa.string()), ("prompt_tokens", pa.int64()), ("completion_tokens", pa.int64())]
+_ANSWER = ["cache_key", "response", "prompt_tokens", "completion_tokens"]
+
+
+def logged(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The answers in a log, each key once; None if there are none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/run=*/part=*/*.parquet")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    if not found:
+        return None
+    schema = "cache_key string, response string, prompt_tokens long, completion_tokens long"
+    return spark.read.schema(schema).parquet(folder).select(*_ANSWER).dropDuplicates(["cache_key"])
+
+
 def call_model(
     prompts: DataFrame,
     answer: Answer,
@@ -216,44 +210,75 @@ def call_model(
     attempts: int = 3,
     concurrency: int | None = None,
     seconds: float | None = CALL_SECONDS,
+    in_flight: int = 8,
+    log: str | None = None,
+    log_every: int = 100,
 ) -> DataFrame:
     """key, cache_key, response, prompt_tokens, completion_tokens, cached and error of each prompt.
 
-    A call that takes longer than ``seconds`` counts as failed and is made again, too.
-
     The cache (cache_key, response, tokens) is joined first; what it lacks is sent once
-    for each distinct prompt.
+    for each distinct prompt.  ``concurrency`` bounds the tasks that run at a time,
+    ``in_flight`` the calls of each; a call that takes longer than ``seconds`` counts as failed and is made
+    again, too.
+
+    ``log`` is a folder that all executors reach (unset: the one that LOG_SETTING names, if any).  Answers
+    are written there, ``log_every`` at a time and the rest as a task ends well; a task that takes
+    another's place, and a later run, ask only for those that aren't there.
     """
+    spark = prompts.sparkSession
+    log = log or spark.conf.get(LOG_SETTING, None)
     rows = prompts.select(key, F.col(prompt).alias("_p")).withColumn(
         "cache_key", cache_key(model=F.lit(model), task=F.lit(task), prompt=F.col("_p"))
     )
+    earlier = logged(spark, log) if log else None
+    if earlier is not None:
+        earlier = settled(earlier)
+        own = earlier if cache is None else earlier.join(cache.select("cache_key"), "cache_key", "left_anti")
+        cache = own if cache is None else cache.select(*_ANSWER).unionByName(own)
     todo = rows.select("cache_key", "_p").dropDuplicates(["cache_key"])
     if cache is not None:
         todo = todo.join(cache.select("cache_key"), "cache_key", "left_anti")
+    run_name = uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, text in zip(frame["cache_key"], frame["_p"], strict=True):
-                try:
-                    out.append((k, *with_retries(lambda t=text: within(lambda: answer(t), seconds), attempts), None))
-                except Exception as e:
-                    out.append((k, None, 0, 0, str(e)[:500]))
-            yield pd.DataFrame(out, columns=["cache_key", "response", "prompt_tokens", "completion_tokens", "error"])
-
-    todo = todo.repartition(concurrency) if concurrency else todo
+        held, kept = None, {}
+        if log:
+            held = Log(log, run_name, TaskContext.get().partitionId(), pa.schema(_LOGGED), log_every)
+            kept = {r["cache_key"]: r for r in held.held()}
+        out: list[tuple] = []
+
+        def jobs() -> Iterator[tuple[str, Callable]]:
+            for frame in frames:
+                for k, text in zip(frame["cache_key"], frame["_p"], strict=True):
+                    if k in kept:
+                        yield (k, True), lambda r=kept[k]: tuple(r[c] for c in _ANSWER[1:])
+                    else:
+                        yield (k, False), lambda t=text: answer(t)
+
+        def full() -> Iterator[pd.DataFrame]:
+            if out:
+                yield pd.DataFrame(out, columns=[*_ANSWER, "error"])
+                out.clear()
+
+        for (k, known), found, error in as_completed(jobs(), in_flight, attempts, seconds):
+            if error is not None:
+                out.append((k, None, 0, 0, str(error)[:500]))
+            else:
+                out.append((k, *found, None))
+                if held and not known:
+                    held.add(dict(zip(_ANSWER, (k, *found), strict=True)))
+            if len(out) >= ROWS:
+                yield from full()
+        if held:
+            held.write()
+        yield from full()
+
+    todo = todo.repartition(concurrency, "cache_key") if concurrency else todo
     schema = "cache_key string, response string, prompt_tokens long, completion_tokens long, error string"
     new = todo.mapInPandas(run, schema).withColumn("cached", F.lit(False))
     if cache is not None:
         new = new.unionByName(
-            cache.select(
-                "cache_key",
-                "response",
-                "prompt_tokens",
-                "completion_tokens",
-                F.lit(None).cast("string").alias("error"),
-                F.lit(True).alias("cached"),
-            )
+            cache.select(*_ANSWER, F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
         )
     return rows.drop("_p").join(new, "cache_key")
 

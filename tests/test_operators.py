@@ -542,7 +542,6 @@ def test_calls_that_hang_give_null_rows(spark):
     found = {r.id: (r.response is None, r.error) for r in got}
     assert found[1] == (False, None) and found[2] == (True, "no answer in 0.5 s") and found[3] == (True, "refused")
     assert time.time() - began < 15
-    assert providers.within(lambda: 5, None) == providers.within(lambda: 5, 1.0) == 5
 
 
 def test_tasks_keep_to_their_rules(spark):
