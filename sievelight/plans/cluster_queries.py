@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import vectors as vx
 from sievelight.operators import clusters as cl
-from sievelight.operators import density, reports
+from sievelight.operators import density, layout, reports
 from sievelight.plans import views
 from sievelight.plans.views import with_views
 from sievelight.sources.storage import settled, table
@@ -159,9 +159,24 @@ def merge_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reduced_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.neighbour_layout(views.clusters(spark, sf_dir), "vec_id")
+
+
+def plane_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout of five dimensions laid out anew in two."""
+    five = settled(reduced_vectors(spark, sf_dir))
+    return layout.neighbour_layout(five, "vec_id", 2, "reduced", min_dist=0.1, metric="euclidean")
+
+
+def component_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.reduce_dimensions(views.clusters(spark, sf_dir), "vec_id")
 
 
+def layout_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of the layout; its noise is left as it is."""
+    return density.density_clusters(reduced_vectors(spark, sf_dir), "vec_id", "reduced", metric="euclidean")
+
+
 def density_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.density_clusters(views.clusters(spark, sf_dir), "vec_id")
 
@@ -221,5 +236,5 @@ ORACLE = {
 }
 QUERIES = {f.__name__: f for f in (
     centroids, nearest_centroid, noise_reassigned, exemplars, pairwise_cosine, group_max_distance, embedding_sanity, term_counts, ctfidf_top, bigram_counts, cluster_overview, cluster_sizes, supercluster_records, supercluster_flat, upgma_merge, knee_table,
-    knee_of_merges, merge_breakdown, merge_levels, reduced_vectors, density_cluster,
+    knee_of_merges, merge_breakdown, merge_levels, reduced_vectors, plane_vectors, component_vectors, density_cluster, layout_clusters,
 )}

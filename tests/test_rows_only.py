@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 import test_density
+import test_layout
 from sievelight import registry
 from sievelight.plans import cluster_queries, views
 
@@ -102,6 +103,28 @@ def test_density_clusters(spark):
     assert {frozenset(v) for v in got.values()} == want and len(noise) + sum(map(len, want)) == len(points)
 
 
+def test_layouts_keep_neighbours(spark):
+    points = sorted((r.vec_id, r.embedding) for r in views.clusters(spark, SF).collect())
+    u = np.array([np.array(v) / np.linalg.norm(v) for _, v in points])
+    found = {}
+    for name, dims in (("reduced_vectors", 5), ("plane_vectors", 2), ("component_vectors", 5)):
+        rows = sorted((r.vec_id, r.reduced) for r in rows_of(spark, name))
+        assert [k for k, _ in rows] == [k for k, _ in points] and {len(y) for _, y in rows} == {dims}
+        found[name] = test_layout.kept(u, np.array([y for _, y in rows]))
+    assert found["reduced_vectors"] > found["component_vectors"] > 10 / len(points) and found["plane_vectors"] > 20 / len(points)
+
+
+def test_layout_clusters(spark):
+    """The leaves of the layout's points, whatever the layout is."""
+    rows = sorted((r.vec_id, r.reduced) for r in rows_of(spark, "reduced_vectors"))
+    leaves = test_density.brute(np.array([y for _, y in rows]), 5, 10)
+    got = defaultdict(set)
+    for r in rows_of(spark, "layout_clusters"):
+        got[r.cluster_id].add(r.vec_id)
+    got.pop(-1, None)
+    assert {frozenset(v) for v in got.values()} == {frozenset(rows[k][0] for k in leaf) for leaf in leaves} and leaves
+
+
 def test_bootstrap_by_counts_is_near_that_by_rows(spark):
     got = {r.part: r for r in rows_of(spark, "bootstrap_qwk_counts")}
     rated = views.raters(spark, SF).collect()
