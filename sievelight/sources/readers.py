@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelight.functions import text as tx
+from sievelight.sources import xls
 
 LOG = "query_key string, query string, source string, site string, source_file string, device string, clicks long, impressions long, ctr double, position double, found long, lang string, date_start string, date_end string, last_searched string, last_year long"
 #: File name patterns of both kinds of logs.
@@ -116,8 +117,7 @@ def read_internal_xls(
     """An internal log in spreadsheets with localised headers, which ``names`` maps to the log's columns.
 
     The first sheet of each file is read, in the task that reads the file, and cells as they
-    are written.  Files of the older binary kind (.xls) need a spreadsheet engine of pandas
-    on the executors.
+    are written, of either kind (.xlsx and the older .xls).
     """
     wanted = ["query", "lang", "clicks", "found", "last_searched_raw"]
 
@@ -127,11 +127,7 @@ def read_internal_xls(
         for frame in frames:
             for name, content in zip(frame["source_file"], frame["content"], strict=True):
                 content = bytes(content)
-                if zipfile.is_zipfile(io.BytesIO(content)):
-                    header, *body = sheet_rows(content) or [[]]
-                else:
-                    sheet = pd.read_excel(io.BytesIO(content), header=None, dtype="string")
-                    header, *body = sheet.astype(object).where(sheet.notna(), None).values.tolist() or [[]]
+                header, *body = (xls.first_sheet if xls.is_compound(content) else sheet_rows)(content) or [[]]
                 places = {names.get(title, title): k for k, title in enumerate(header)}
                 at = [places.get(c) for c in wanted]
                 cells = [[row[k] if k is not None and k < len(row) else None for k in at] for row in body]
