@@ -182,127 +182,6 @@ def ctfidf(counts: DataFrame, group: str, n: int = 20, min_groups: int = 1) -> D
     )
 
 
-def upgma(vectors: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """Average linkage on cosine distances: merges (a, b, height, size) by rising height.
-
-    Clusters are numbered as in a dendrogram: the points first, then the merges.  A chain
-    of nearest neighbours finds each merge in time that is quadratic in all.
-    """
-    n = len(vectors)
-    u = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    d = 1 - u @ u.T
-    np.fill_diagonal(d, np.inf)
-    size, alive = np.ones(n), np.ones(n, bool)
-    merges, chain = [], []
-    while len(merges) < n - 1:
-        if not chain:
-            chain.append(int(np.flatnonzero(alive)[0]))
-        at = chain[-1]
-        row = np.where(alive, d[at], np.inf)
-        near = int(row.argmin())
-        if len(chain) > 1 and row[chain[-2]] <= row[near]:
-            near = chain[-2]
-            chain = chain[:-2]
-            a, b = sorted((at, near))
-            merges.append((a, b, float(d[at, near])))
-            mixed = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-            d[a], d[:, a] = mixed, mixed
-            d[a, a] = np.inf
-            size[a] += size[b]
-            alive[b] = False
-        else:
-            chain.append(near)
-    merges.sort(key=lambda m: m[2])
-    name, parent, count, out = list(range(n)), list(range(n)), [1] * n, []
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    for k, (a, b, h) in enumerate(merges):
-        a, b = root(a), root(b)
-        parent[b] = a
-        count[a] += count[b]
-        out.append((*sorted((name[a], name[b])), h, count[a]))
-        name[a] = n + k
-    return out
-
-
-def cut_tree(n: int, merges: list[tuple[int, int, float, int]], height: float) -> list[int]:
-    """A label for each point: merges up to ``height`` hold; labels follow the first members."""
-    group = [{k} for k in range(n)]
-    for a, b, h, _ in merges:
-        group.append(group[a] | group[b] if h <= height else set())
-    label = [-1] * n
-    tops = sorted((g for g in group if g), key=len)
-    for g in tops:
-        for k in g:
-            label[k] = min(g)
-    order = {v: k for k, v in enumerate(sorted(set(label)))}
-    return [order[v] for v in label]
-
-
-def merge_within(
-    centres: DataFrame, category: str, share: float = 0.25, cluster: str = "cluster_id", vector: str = "centroid"
-) -> DataFrame:
-    """Clusters merged by average linkage, never across categories: category, cluster, group, cut and heights.
-
-    The cut lies at ``share`` of the way from the lowest to the highest merge of the
-    category.  A task holds the distances of one category's clusters.
-    """
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(cluster)
-        merges = upgma(np.array(group[vector].tolist(), float))
-        heights = [h for _, _, h, _ in merges]
-        at = min(heights) + share * (max(heights) - min(heights)) if heights else 0.0
-        return pd.DataFrame(
-            {category: group[category], cluster: group[cluster], "merged": cut_tree(len(group), merges, at), "cut": at}
-        )
-
-    kinds = centres.schema
-    schema = f"{category} {kinds[category].dataType.simpleString()}, {cluster} {kinds[cluster].dataType.simpleString()}, merged int, cut double"
-    return centres.select(category, cluster, vector).groupBy(category).applyInPandas(merge, schema)
-
-
-def merge_at(
-    centres: DataFrame, category: str, height: float, cluster: str = "cluster_id", vector: str = "centroid"
-) -> DataFrame:
-    """Clusters merged by average linkage up to a height, never across categories: category, cluster, merged."""
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(cluster)
-        merges = upgma(np.array(group[vector].tolist(), float))
-        labels = cut_tree(len(group), merges, height)
-        return pd.DataFrame({category: group[category], cluster: group[cluster], "merged": labels})
-
-    kinds = centres.schema
-    schema = f"{category} {kinds[category].dataType.simpleString()}, {cluster} {kinds[cluster].dataType.simpleString()}, merged int"
-    return centres.select(category, cluster, vector).groupBy(category).applyInPandas(merge, schema)
-
-
-def merge_heights(
-    centres: DataFrame, category: str, cluster: str = "cluster_id", vector: str = "centroid"
-) -> DataFrame:
-    """The heights of all merges in each category."""
-
-    def heights(group: pd.DataFrame) -> pd.DataFrame:
-        merges = upgma(np.array(group.sort_values(cluster)[vector].tolist(), float))
-        return pd.DataFrame(
-            {
-                category: [group[category].iloc[0]] * len(merges),
-                "height": [h for _, _, h, _ in merges],
-                "size": [s for *_, s in merges],
-            }
-        )
-
-    return centres.select(category, cluster, vector).groupBy(category).applyInPandas(
-        heights, f"{category} {centres.schema[category].dataType.simpleString()}, height double, size int"
-    )
-
-
 def knee_table(heights: DataFrame, n_clusters: DataFrame, thresholds: list[float], height: str = "height") -> DataFrame:
     """threshold, n_merges, n_clusters and reduction (percent) at each threshold."""
     grid = heights.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")

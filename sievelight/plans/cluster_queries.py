@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import vectors as vx
 from sievelight.operators import clusters as cl
-from sievelight.operators import density, layout, reports
+from sievelight.operators import density, layout, linkage, reports
 from sievelight.plans import views
 from sievelight.plans.views import with_views
 from sievelight.sources.storage import settled, table
@@ -125,7 +125,7 @@ def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upgma_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cl.merge_within(_categories(spark, sf_dir), "category").withColumn("cut", F.round("cut", 6))
+    return linkage.merge_within(_categories(spark, sf_dir), "category").withColumn("cut", F.round("cut", 6))
 
 
 def knee_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,11 +137,11 @@ def knee_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knee_of_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres = _categories(spark, sf_dir)
-    return cl.knee_table(cl.merge_heights(centres, "category"), centres, THRESHOLDS)
+    return cl.knee_table(linkage.merge_heights(centres, "category"), centres, THRESHOLDS)
 
 
 def merge_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = cl.merge_within(
+    merged = linkage.merge_within(
         _categories(spark, sf_dir), "category"
     ).groupBy("category", "merged").agg(F.count(F.lit(1)).alias("n"))
     return merged.groupBy("category").agg(
@@ -155,7 +155,8 @@ def merge_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What two cutoffs make of the clusters, the second on the way from the first to the last merge."""
     centres = settled(_categories(spark, sf_dir))
-    return reports.two_levels(cl.merge_at(centres, "category", 0.2), cl.merge_at(centres, "category", 0.6))
+    merges = linkage.linkage(centres, "category")
+    return reports.two_levels(*(linkage.merge_at(centres, "category", h, merges=merges) for h in (0.2, 0.6)))
 
 
 def reduced_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

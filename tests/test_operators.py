@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import hashing as hx
 from sievelight.functions import text as tx
 from sievelight.functions import vectors as vx
-from sievelight.operators import clusters, density, filters, golden, graph, heads, logs, pairs, probes, ranking, reports, sets
+from sievelight.operators import clusters, density, filters, golden, graph, heads, linkage, logs, pairs, probes, ranking, reports, sets
 from sievelight.operators import metrics as mx
 from sievelight.sources import providers, readers, storage, writers
 
@@ -449,13 +449,13 @@ def test_two_levels_of_merges(spark):
     rng = np.random.default_rng(4)
     rows = [(k, "x" if k < 25 else "y", rng.normal(size=6).tolist()) for k in range(40)]
     centres = spark.createDataFrame(rows, "cluster_id int, category string, centroid array<double>")
-    cut = {h: clusters.merge_at(centres, "category", h) for h in (0.6, 1.0)}
+    cut = {h: linkage.merge_at(centres, "category", h) for h in (0.6, 1.0)}
     got = {r.level: r for r in reports.two_levels(cut[0.6], cut[1.0]).collect()}
     for level, h in ((1, 0.6), (2, 1.0)):
         sizes = []
         for kind in ("x", "y"):
             own = np.array([v for _, c, v in rows if c == kind])
-            labels = clusters.cut_tree(len(own), clusters.upgma(own), h)
+            labels = linkage.cut_tree(len(own), linkage.upgma(own), h)
             sizes += [labels.count(k) for k in set(labels)]
         several = [n for n in sizes if n > 1]
         r = got[level]
@@ -684,7 +684,7 @@ def test_settled_frames_prune_columns(spark):
 def test_average_linkage(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(14, 5))
-    merges = clusters.upgma(x)
+    merges = linkage.upgma(x)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     d, group, heights = 1 - u @ u.T, {k: [k] for k in range(14)}, []
     while len(group) > 1:
@@ -695,12 +695,12 @@ def test_average_linkage(spark):
         new = max(group) + 1
         group[new] = group.pop(a) + group.pop(b)
     assert [h for _, _, h, _ in merges] == pytest.approx(heights)
-    assert len(set(clusters.cut_tree(14, merges, merges[4][2]))) == 9
+    assert len(set(linkage.cut_tree(14, merges, merges[4][2]))) == 9
     centres = spark.createDataFrame(
         [(k, "even" if k % 2 else "odd", v.tolist()) for k, v in enumerate(x)] + [(99, "alone", [1.0] * 5)],
         "cluster_id int, category string, centroid array<double>",
     )
-    merged = clusters.merge_within(centres, "category").collect()
+    merged = linkage.merge_within(centres, "category").collect()
     assert len(merged) == 15 and {r.merged for r in merged if r.category == "alone"} == {0}
 
 
