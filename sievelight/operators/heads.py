@@ -1,18 +1,16 @@
-"""Classifier heads over embeddings, by Spark ML.
-
-Deviations: the perceptron's hidden units are logistic and it doesn't stop early.
-"""
+"""Classifier heads over embeddings, by Spark ML; the perceptron is this library's own."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.operators import perceptron
 from sievelight.operators.metrics import confusion, macro_f1_of
 from sievelight.operators.probes import class_weights, concatenated, evaluate
 from sievelight.sources.storage import settled
@@ -43,15 +41,10 @@ def linear_head(train: DataFrame, rows: DataFrame, balanced: bool = True) -> Dat
     )
 
 
-def mlp_head(train: DataFrame, rows: DataFrame, hidden: int = 256, iterations: int = 100, seed: int = 0) -> DataFrame:
-    """Rows with pred of a perceptron with one hidden layer."""
-    size = len(train.select("v").first()["v"])
-    model = MultilayerPerceptronClassifier(
-        layers=[size, hidden, 3], labelCol="grade", maxIter=iterations, seed=seed
-    ).fit(_features(train))
-    return model.transform(_features(rows)).withColumn("pred", F.col("prediction").cast("int")).drop(
-        "features", "rawPrediction", "probability", "prediction"
-    )
+def mlp_head(train: DataFrame, rows: DataFrame, hidden: int = 256, iterations: int = 400, seed: int = 0) -> DataFrame:
+    """Rows with pred of a perceptron with one hidden layer, which stops early; ``iterations`` are passes at most."""
+    weights, _, _ = perceptron.fit(train, hidden, iterations, seed)
+    return perceptron.predicted(weights, rows)
 
 
 def ordinal_head(train: DataFrame, rows: DataFrame) -> DataFrame:
@@ -93,7 +86,7 @@ def concat_head(cells: list[DataFrame], labels: DataFrame, key: str = "text_id")
     return linear_head(rows.filter("split <> 'test'"), rows.filter("split = 'test'"))
 
 
-def compared(rows: DataFrame, axes: tuple[str, ...], hidden: int = 256, iterations: int = 100) -> DataFrame:
+def compared(rows: DataFrame, axes: tuple[str, ...], hidden: int = 256, iterations: int = 400) -> DataFrame:
     """Macro-F1 on test of the direction, a linear head and a perceptron, and the gaps between them, for each axis.
 
     All three are fitted on train; a head is fitted for one axis at a time, and axes are few.
