@@ -11,6 +11,7 @@ from sievelight.functions import text as tx
 from sievelight.operators import golden
 from sievelight.operators.ranking import head_per_group
 from sievelight.operators.sets import new_texts
+from sievelight.operators.tasks import ask
 from sievelight.sources import providers
 from sievelight.sources.storage import settled
 
@@ -27,7 +28,7 @@ def short_cells(picks: DataFrame, targets: dict[str, int] = golden.TARGETS) -> d
 
 
 def generate(
-    picks: DataFrame, cells: list[str], answer: providers.Answer, model: str, most_clusters: int = 20
+    picks: DataFrame, cells: list[str], answer: providers.Answer, model: str, most_clusters: int = 20, template: str = ASK
 ) -> DataFrame:
     """Generated queries of the cells: cell, supercluster_id, clinical_relevance, query_text and query_key."""
     jobs = []
@@ -35,9 +36,9 @@ def generate(
         axis, anchor = CELLS[cell]
         jobs.append(golden.relevant_clusters(picks, axis, anchor, most_clusters).withColumn("cell", F.lit(cell)))
     rows = reduce(lambda a, b: a.unionByName(b), jobs).withColumn("job", F.concat_ws("/", "cell", "supercluster_id"))
-    prompts = rows.withColumn("prompt", tx.render(ASK, cell=F.col("cell"), label=F.col("supercluster_id")))
-    answers = providers.call_model(prompts, answer, model, "backfill", "job")
-    made = providers.parsed(answers, "backfill", ["job"]).select("job", F.explode("generated").alias("g"))
+    fields = {"cell": F.col("cell"), "label": F.col("supercluster_id")}
+    said = ask(rows, "backfill", "job", answer, model, fields, template)
+    made = said.select("job", F.explode("generated").alias("g"))
     named = made.join(rows.select("job", "cell", "supercluster_id", "clinical_relevance"), "job")
     query = F.col("g.query").alias("query_text")
     return named.select(
@@ -45,11 +46,10 @@ def generate(
     )
 
 
-def verified(candidates: DataFrame, answer: providers.Answer, model: str) -> DataFrame:
+def verified(candidates: DataFrame, answer: providers.Answer, model: str, template: str = CHECK) -> DataFrame:
     """Candidates whose blind grade is the cell they were written for, with all grades and the confidence."""
-    prompts = candidates.withColumn("prompt", tx.render(CHECK, query=F.col("query_text")))
-    answers = providers.call_model(prompts, answer, model, "blind_verifier", "query_key")
-    graded = candidates.join(providers.parsed(answers, "blind_verifier", ["query_key"]), "query_key")
+    said = ask(candidates, "blind_verifier", "query_key", answer, model, {"query": F.col("query_text")}, template)
+    graded = candidates.join(said, "query_key")
     axis = F.substring("cell", 1, 2)
     own = F.when(axis == "MU", F.col("mu_grade")).when(axis == "PU", F.col("pu_grade")).otherwise(F.col("et_grade"))
     return graded.filter(own == F.col("cell"))
@@ -62,6 +62,7 @@ def backfill(
     model: str,
     targets: dict[str, int] = golden.TARGETS,
     most_clusters: int = 20,
+    templates: tuple[str, str] = (ASK, CHECK),
 ) -> DataFrame:
     """The set in which generated queries of short cells replace its most dispensable picks.
 
@@ -73,10 +74,10 @@ def backfill(
     base = picks.withColumn("category_weight", golden.lookup(F.col("clinical_relevance"), golden.CATEGORY_WEIGHT, 0.0))
     if not short:
         return base.withColumn("origin", F.lit("picked"))
-    candidates = settled(generate(picks, sorted(short), write, model, most_clusters))
+    candidates = settled(generate(picks, sorted(short), write, model, most_clusters, templates[0]))
     fresh = new_texts(candidates, picks, "query_key", F.col("cell"), F.col("supercluster_id"))
     kept = head_per_group(
-        verified(fresh, judge, model), ["cell"], max(short.values()), F.desc("confidence"), F.asc("query_key")
+        verified(fresh, judge, model, templates[1]), ["cell"], max(short.values()), F.desc("confidence"), F.asc("query_key")
     )
     lacking = golden.lookup(F.col("cell"), short, 0)
     kept = settled(kept.filter(F.col("rank") <= lacking))

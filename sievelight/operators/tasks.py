@@ -7,7 +7,6 @@ an answer is a list, no row.
 
 from __future__ import annotations
 
-import hashlib
 import json
 from functools import reduce
 
@@ -30,20 +29,74 @@ PROMPTS = {
     "triage": "Grade {query} on all axes at once.",
     "counterfactual": "Paraphrase {query}, and raise and lower its grade of {axis}.",
 }
-#: Picks of a cluster and confidences at most.
+#: Picks of a cluster at most, and what fields of answers may hold.
 MOST_PICKS = 20
 AXES = ("MU", "PU", "ET")
+LEVELS = ("low", "medium", "high")
+KINDS = ("oncology-core", "oncology-adjacent", "navigational", "non-clinical")
+ALLOWED = {
+    **{f"{a.lower()}_grade": tuple(f"{a}{g}" for g in range(3)) for a in AXES},
+    **{name: (0, 1, 2) for name in ("grade", "mu", "pu", "et")},
+    "confidence": (1, 2, 3, 4, 5),
+    "clinical_relevance": KINDS,
+    "urgency_potential": LEVELS,
+    "emotional_potential": LEVELS,
+}
+LONGEST = {"label": 200, "text": 2000, "query": 2000, "paraphrase": 2000, "up": 2000, "down": 2000}
+
+
+def check(value, name: str = "") -> None:
+    """Raises ValueError where a field of an answer, however deep, holds what it may not; null and absent fields are fine."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            check(v, k)
+    elif isinstance(value, list):
+        for v in value:
+            check(v, name)
+    elif value is not None:
+        if name in ALLOWED and (isinstance(value, bool) or value not in ALLOWED[name]):
+            raise ValueError(f"{name} can't be {value!r}")
+        if name in LONGEST and (not isinstance(value, str) or len(value) > LONGEST[name]):
+            raise ValueError(f"{name} is no text of up to {LONGEST[name]} characters")
+
+
+def checked(answer: providers.Answer) -> providers.Answer:
+    """The model, whose answers that are no JSON object, or that :func:`check` refuses, count as failed calls and are asked for again."""
+
+    def run(*prompt: str) -> tuple[str, int, int]:
+        said, *tokens = answer(*prompt)
+        found = json.loads(said)
+        if not isinstance(found, dict):
+            raise ValueError("the answer is no object")
+        check(found)
+        return said, *tokens
+
+    return run
 
 
 def ask(
-    rows: DataFrame, task: str, key: str, answer: providers.Answer, model: str, fields: dict[str, Column], **options
+    rows: DataFrame,
+    task: str,
+    key: str,
+    answer: providers.Answer,
+    model: str,
+    fields: dict[str, Column],
+    template: str | None = None,
+    more: dict[str, Column] | None = None,
+    **options,
 ) -> DataFrame:
-    """key and the fields of each row's answer; ``fields`` fill the task's prompt.
+    """key and the fields of each row's answer, by a prompt that ``fields`` fill.
 
-    The answers are written, so a model is asked once however often they are used.
+    ``template`` takes the place of the task's own prompt.  It may have a part for the system, marked
+    [SYSTEM], before one for the user, marked [USER]; the model then gets both, user first.  ``more`` are columns of
+    ``rows`` for further names in it.  The answers are checked, and written, so a model is asked once however often they are used.
     """
-    prompts = rows.select(key, tx.render(PROMPTS[task], **fields).alias("prompt"))
-    answers = providers.call_model(prompts, answer, model, task, key, **options)
+    system, user = tx.sections(template) if template and "[USER]" in template else ("", template or PROMPTS[task])
+    filled = {**fields, **(more or {})}
+    prompts = rows.select(key, tx.render(user, **filled).alias("prompt"), *([tx.render(system, **filled).alias("system")] if system else []))
+    answers = providers.call_model(
+        prompts, checked(answer), model, task, key, system="system" if system else None, **options
+    )
     return providers.parsed(settled(answers), task, [key])
 
 
@@ -146,56 +199,6 @@ def compared_generators(
     return by_model(reduce(lambda a, b: a.unionByName(b), every), keys, "model", list(answers), "text")
 
 
-def prompt_number(prompt: str, salt: str = "") -> int:
-    """From 0 to 14: the sum of the digits of the prompt's hash, so SQL can repeat it."""
-    return sum(int(c, 16) for c in hashlib.sha256((salt + prompt).encode()).hexdigest()) % 15
-
-
-_LEVELS = ("low", "medium", "high")
-_KINDS = ("oncology-core", "oncology-adjacent", "navigational", "non-clinical")
-
-
-def _graded(d: int) -> dict:
-    return {"mu_grade": f"MU{d % 3}", "pu_grade": f"PU{(d + 1) % 3}", "et_grade": f"ET{(d + 2) % 3}"}
-
-
-def _judged(d: int) -> dict:
-    return {**_graded(d), **{f"{a.lower()}_applicable": d % (k + 2) > 0 for k, a in enumerate(AXES)}, "confidence": 1 + d % 5}
-
-
-_MADE = {
-    "cluster_card": lambda d: {
-        "label": f"topic {d}", "clinical_relevance": _KINDS[d % 4], "urgency_potential": _LEVELS[d % 3], "emotional_potential": _LEVELS[(d + 1) % 3]
-    },
-    "cluster_picker": lambda d: {
-        "picks": [{"query": f"pick {d} {k}", **_graded(d + k)} for k in range(d % 4)], "skip_reason": None if d % 4 else "nothing fits"
-    },
-    "blind_verifier": _judged,
-    "reference": _judged,
-    "backfill": lambda d: {"generated": [{"query": f"made {d} {k}"} for k in range(5)]},
-    "variants": lambda d: {"variants": [{"text": f"variant {d} {g}", "target_grade": g} for g in range(1 + d % 4)]},
-    "axis_judge": lambda d: {"grade": d % 3, "confidence": 1 + d // 3},
-    "triage": lambda d: {"mu": d % 3, "pu": (d + 1) % 3, "et": (d + 2) % 3},
-    "counterfactual": lambda d: {"paraphrase": f"like {d}", "up": "" if d % 5 == 0 else f"up {d}", "down": " " if d % 3 == 0 else f"down {d}"},
-}
-
-
-def stand_in(task: str, salt: str = "") -> providers.Answer:
-    """A deterministic answer to every prompt of a task, for tests and where no model can be reached."""
-
-    def answer(prompt: str) -> tuple[str, int, int]:
-        return json.dumps(_MADE[task](prompt_number(prompt, salt)), sort_keys=True), len(prompt.split()), 8
-
-    return answer
-
-
-def judged_backfill(prompt: str) -> tuple[str, int, int]:
-    """Stand-in judge of generated queries, whose grade is the one that their number gives."""
-    d = prompt_number(prompt)
-    said = {"mu_grade": f"MU{2 if d % 2 else 0}", "pu_grade": f"PU{2 if d % 3 else 0}", "et_grade": "ET1", "confidence": 1 + d % 5}
-    return json.dumps(said, sort_keys=True), len(prompt.split()), 8
-
-
 def grade_numbers(graded: DataFrame) -> DataFrame:
     """Grade tokens as numbers: mu, pu and et."""
     return graded.withColumns({a.lower(): grade_of(F.col(f"{a.lower()}_grade")) for a in AXES})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.operators import golden, pairs, ranking, sets
-from sievelight.plans import views
+from sievelight.plans import stand_ins, views
 from sievelight.plans.views import with_views
 from sievelight.sources import providers, writers
 from sievelight.sources.storage import table
@@ -209,7 +209,7 @@ def provider_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.lit("Judge: "), F.coalesce("text", F.lit(""))).alias("prompt")
     )
-    answers = providers.call_model(docs, providers.grade_by_words, "stand-in", "axis_judge", "doc_id")
+    answers = providers.call_model(docs, stand_ins.grade_by_words, "stand-in", "axis_judge", "doc_id")
     return providers.parsed(answers, "axis_judge", ["doc_id"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.operators import clusters as cl
-from sievelight.plans import views
+from sievelight.plans import stand_ins, views
 from sievelight.plans.views import with_views
 from sievelight.sources import providers, readers, writers
 from sievelight.sources.storage import table, work_dir
@@ -117,10 +117,10 @@ def call_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("doc_id is not null").select(
         "doc_id", F.concat(F.lit("Judge document "), F.col("doc_id").cast("string")).alias("prompt")
     )
-    first = providers.call_model(docs.filter("doc_id % 2 = 0"), providers.grade_by_words, "stand-in", "axis_judge", "doc_id")
+    first = providers.call_model(docs.filter("doc_id % 2 = 0"), stand_ins.grade_by_words, "stand-in", "axis_judge", "doc_id")
     cache = first.select("cache_key", "response", "prompt_tokens", "completion_tokens")
     return providers.usage(
-        providers.call_model(docs, providers.grade_by_words, "stand-in", "axis_judge", "doc_id", cache=cache)
+        providers.call_model(docs, stand_ins.grade_by_words, "stand-in", "axis_judge", "doc_id", cache=cache)
     )
 
 

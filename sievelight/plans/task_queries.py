@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.operators import backfill, tasks
-from sievelight.plans import views
+from sievelight.plans import stand_ins, views
 from sievelight.plans.golden_queries import _POOL, _WEIGHT, _anchors
 from sievelight.plans.views import with_views
 from sievelight.sources.storage import table
@@ -28,52 +28,52 @@ def _anchored(spark: SparkSession, sf_dir: str, axis: str) -> DataFrame:
 
 
 def cluster_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.cluster_cards(_clusters(spark, sf_dir), tasks.stand_in("cluster_card"), MODEL)
+    return tasks.cluster_cards(_clusters(spark, sf_dir), stand_ins.stand_in("cluster_card"), MODEL)
 
 
 def cluster_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.cluster_picks(_clusters(spark, sf_dir), tasks.stand_in("cluster_picker"), MODEL)[0]
+    return tasks.cluster_picks(_clusters(spark, sf_dir), stand_ins.stand_in("cluster_picker"), MODEL)[0]
 
 
 def dead_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.cluster_picks(_clusters(spark, sf_dir), tasks.stand_in("cluster_picker"), MODEL)[1]
+    return tasks.cluster_picks(_clusters(spark, sf_dir), stand_ins.stand_in("cluster_picker"), MODEL)[1]
 
 
 def blind_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.grades(views.picks(spark, sf_dir), tasks.stand_in("blind_verifier"), MODEL)
+    return tasks.grades(views.picks(spark, sf_dir), stand_ins.stand_in("blind_verifier"), MODEL)
 
 
 def reference_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.grades(views.picks(spark, sf_dir), tasks.stand_in("reference"), MODEL, "reference")
+    return tasks.grades(views.picks(spark, sf_dir), stand_ins.stand_in("reference"), MODEL, "reference")
 
 
 def confirmed_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = tasks.variants(_anchored(spark, sf_dir, "MU"), TARGET_GRADES, tasks.stand_in("variants"), MODEL)
-    return tasks.confirmed(made, tasks.stand_in("axis_judge"), MODEL)
+    made = tasks.variants(_anchored(spark, sf_dir, "MU"), TARGET_GRADES, stand_ins.stand_in("variants"), MODEL)
+    return tasks.confirmed(made, stand_ins.stand_in("axis_judge"), MODEL)
 
 
 def axis_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("query_key"), F.lit("MU").alias("axis"))
-    return tasks.axis_grades(views.picks(spark, sf_dir), tasks.stand_in("axis_judge"), MODEL, done=done)
+    return tasks.axis_grades(views.picks(spark, sf_dir), stand_ins.stand_in("axis_judge"), MODEL, done=done)
 
 
 def triage_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.triage(views.picks(spark, sf_dir), tasks.stand_in("triage"), MODEL)
+    return tasks.triage(views.picks(spark, sf_dir), stand_ins.stand_in("triage"), MODEL)
 
 
 def counterfactual_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.edits(_anchored(spark, sf_dir, "PU"), tasks.stand_in("counterfactual"), MODEL)
+    return tasks.edits(_anchored(spark, sf_dir, "PU"), stand_ins.stand_in("counterfactual"), MODEL)
 
 
 def generated_by_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = {"one": tasks.stand_in("variants"), "two": tasks.stand_in("variants", "two:")}
+    answers = {"one": stand_ins.stand_in("variants"), "two": stand_ins.stand_in("variants", "two:")}
     return tasks.compared_generators(_anchored(spark, sf_dir, "ET"), TARGET_GRADES, answers)
 
 
 def backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short cells filled with generated and verified queries that replace the most dispensable picks."""
     out = backfill.backfill(
-        views.picks(spark, sf_dir), tasks.stand_in("backfill"), tasks.judged_backfill, MODEL, QUOTAS
+        views.picks(spark, sf_dir), stand_ins.stand_in("backfill"), stand_ins.judged_backfill, MODEL, QUOTAS
     )
     return out.select("query_key", "origin", "mu_grade", "pu_grade", "et_grade")
 

@@ -7,7 +7,6 @@ are sent.  The stand-ins here are deterministic and need no network.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import urllib.request
@@ -93,8 +92,10 @@ class HttpModel:
     key_variable: str | None = None
     seconds: float = 90.0
 
-    def __call__(self, prompt: str) -> tuple[str, int, int]:
-        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "response_format": {"type": "json_object"}}
+    def __call__(self, prompt: str, system: str | None = None) -> tuple[str, int, int]:
+        messages = [{"role": "system", "content": system}] if system else []
+        messages.append({"role": "user", "content": prompt})
+        body = {"model": self.model, "messages": messages, "response_format": {"type": "json_object"}}
         answer = post(self.url, body, self.key_variable, self.seconds)
         used = answer.get("usage", {})
         return answer["choices"][0]["message"]["content"], used.get("prompt_tokens", 0), used.get("completion_tokens", 0)
@@ -158,15 +159,8 @@ def embed_missing(
 ROWS = 1000
 #: Fixed value: seconds after which a call counts as failed.
 CALL_SECONDS = 90.0
-#: A task's answer to a rendered prompt: JSON, tokens in and out.
-Answer = Callable[[str], tuple[str, int, int]]
-
-
-def grade_by_words(prompt: str) -> tuple[str, int, int]:
-    """Stand-in for an axis judge: a grade and a confidence that the prompt's hash gives."""
-    h = int(hashlib.sha256(prompt.encode()).hexdigest(), 16)
-    answer = {"grade": h % 3, "confidence": 1 + h // 3 % 5}
-    return json.dumps(answer, sort_keys=True), len(prompt.split()), 8
+#: A task's answer to a rendered prompt, and to a system's part if there is one: JSON, tokens in and out.
+Answer = Callable[..., tuple[str, int, int]]
 
 
 #: The catalogue of model tasks: name and the fields of the answer.
@@ -213,6 +207,7 @@ def call_model(
     in_flight: int = 8,
     log: str | None = None,
     log_every: int = 100,
+    system: str | None = None,
 ) -> DataFrame:
     """key, cache_key, response, prompt_tokens, completion_tokens, cached and error of each prompt.
 
@@ -221,21 +216,24 @@ def call_model(
     ``in_flight`` the calls of each; a call that takes longer than ``seconds`` counts as failed and is made
     again, too.
 
+    ``system`` names a column that the model gets beside the prompt, as its second argument.
+
     ``log`` is a folder that all executors reach (unset: the one that LOG_SETTING names, if any).  Answers
     are written there, ``log_every`` at a time and the rest as a task ends well; a task that takes
     another's place, and a later run, ask only for those that aren't there.
     """
     spark = prompts.sparkSession
     log = log or spark.conf.get(LOG_SETTING, None)
-    rows = prompts.select(key, F.col(prompt).alias("_p")).withColumn(
-        "cache_key", cache_key(model=F.lit(model), task=F.lit(task), prompt=F.col("_p"))
-    )
+    told = F.col(system) if system else F.lit(None).cast("string")
+    rows = prompts.select(key, F.col(prompt).alias("_p"), told.alias("_s"))
+    parts = {"prompt": F.col("_p")} | ({"system": F.col("_s")} if system else {})
+    rows = rows.withColumn("cache_key", cache_key(model=F.lit(model), task=F.lit(task), **parts))
     earlier = logged(spark, log) if log else None
     if earlier is not None:
         earlier = settled(earlier)
         own = earlier if cache is None else earlier.join(cache.select("cache_key"), "cache_key", "left_anti")
         cache = own if cache is None else cache.select(*_ANSWER).unionByName(own)
-    todo = rows.select("cache_key", "_p").dropDuplicates(["cache_key"])
+    todo = rows.select("cache_key", "_p", "_s").dropDuplicates(["cache_key"])
     if cache is not None:
         todo = todo.join(cache.select("cache_key"), "cache_key", "left_anti")
     run_name = uuid.uuid4().hex
@@ -249,11 +247,11 @@ def call_model(
 
         def jobs() -> Iterator[tuple[str, Callable]]:
             for frame in frames:
-                for k, text in zip(frame["cache_key"], frame["_p"], strict=True):
+                for k, text, part in zip(frame["cache_key"], frame["_p"], frame["_s"], strict=True):
                     if k in kept:
                         yield (k, True), lambda r=kept[k]: tuple(r[c] for c in _ANSWER[1:])
                     else:
-                        yield (k, False), lambda t=text: answer(t)
+                        yield (k, False), lambda said=(text, part) if system else (text,): answer(*said)
 
         def full() -> Iterator[pd.DataFrame]:
             if out:
@@ -280,7 +278,7 @@ def call_model(
         new = new.unionByName(
             cache.select(*_ANSWER, F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
         )
-    return rows.drop("_p").join(new, "cache_key")
+    return rows.drop("_p", "_s").join(new, "cache_key")
 
 
 def parsed(answers: DataFrame, task: str, keep: list[str]) -> DataFrame:

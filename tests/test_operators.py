@@ -17,6 +17,7 @@ from sievelight.functions import text as tx
 from sievelight.functions import vectors as vx
 from sievelight.operators import clusters, density, filters, golden, graph, heads, linkage, logs, pairs, probes, ranking, reports, sets
 from sievelight.operators import metrics as mx
+from sievelight.plans import stand_ins
 from sievelight.sources import providers, readers, storage, writers
 
 
@@ -863,7 +864,7 @@ def test_providers(spark):
     got = {r.text_id: (r.embedding is None, r.error) for r in providers.embed(texts, Failing(16), attempts=1).collect()}
     assert got == {"a": (False, None), "b": (True, "refused"), "c": (False, None)}
     prompts = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q")], "id int, prompt string")
-    answers = providers.call_model(prompts, providers.grade_by_words, "m", "axis_judge", "id").cache()
+    answers = providers.call_model(prompts, stand_ins.grade_by_words, "m", "axis_judge", "id").cache()
     assert answers.count() == 3 and answers.select("response").distinct().count() == 2
     again = providers.call_model(prompts, None, "m", "axis_judge", "id", cache=answers.dropDuplicates(["cache_key"]))
     assert providers.usage(again).first().n_cached == 3
