@@ -123,7 +123,13 @@ def matrix(vectors, kind=np.float64) -> np.ndarray:
     return np.stack([np.asarray(v, kind) for v in vectors]) if len(vectors) else np.zeros((0, 0), kind)
 
 
+def level(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to between 1/2 and 1, so that squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1]) if x.size else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = level(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -225,6 +231,7 @@ def _meet(k: int, second: int):
         _, same = np.unique(raw, axis=0, return_inverse=True)
         keep = pd.Series(same.reshape(-1)).groupby(same.reshape(-1)).cumcount().to_numpy() <= k
         raw, ids = raw[keep], entries["id"].to_numpy()[keep]
+        raw = level(raw)
         x, sizes = unit(raw), np.linalg.norm(raw, axis=1)
         cells = entries["cell"].to_numpy()[keep] - int(entries["start"].iloc[0]) * second
         there, place = np.unique(cells, return_inverse=True)
@@ -232,7 +239,7 @@ def _meet(k: int, second: int):
         out = []
         for lo in range(0, len(queries), SLICE):
             part = queries.iloc[lo : lo + SLICE]
-            asked, own = matrix(part["v"].tolist()), part["id"].to_numpy()
+            asked, own = level(matrix(part["v"].tolist())), part["id"].to_numpy()
             directions = unit(asked)
             bits = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in part["cells"]]), axis=1)[:, there] > 0
             if bits[:, place].mean() < SPARSE:
@@ -290,7 +297,8 @@ def search(
     ``share`` of all vectors, or with the budget that :func:`measured_budget` gives.  Rows
     that repeat an id and a vector count once each as entries, and a query is never its own
     entry.  Vectors that are null or zero or hold null or non-finite components take no
-    part, nor do null ids and vectors of another length than most have.
+    part, nor do null ids and vectors of another length than most have.  Very small and very
+    large vectors are levelled by powers of two, which leaves the cosine as it is.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_column, vector_column)

@@ -324,3 +324,20 @@ def test_traversal_visits_by_rising_distance():
     sums = [one[c // 7] + two[c % 7] for c in cells]
     assert len(set(cells)) == 42 and sums == sorted(sums)
     assert len(nearest.traverse(one, two, np.ones(42, np.int64), 5)) == 5
+
+
+def test_vectors_at_the_ends_of_double(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 4))
+    scale = [1e-170, 1e200, 1.0, 1e-308, 1e-320][:5]
+    rows = [(k, (v * scale[k % 5] if k % 5 != 4 else v).tolist()) for k, v in enumerate(x)]
+    rows.append((100, [5e-324, 0.0, 0.0, 0.0]))
+    found = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 10 == 0, share=1.0).collect()
+    u = {k: np.array(v) / np.abs(v).max() for k, v in rows}
+    u = {k: v / np.linalg.norm(v) for k, v in u.items()}
+    asked = [k for k, _ in rows if k % 10 == 0]
+    assert len(found) == 5 * len(asked)
+    for q in asked:
+        want = sorted((-float(u[q] @ v), k) for k, v in u.items() if k != q)[:5]
+        own = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
+        assert [s for _, _, s in own] == pytest.approx([-w for w, _ in want], abs=1e-6)
