@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 
 import numpy as np
@@ -99,44 +100,75 @@ def histogram_of_counts(picks: DataFrame, cluster: str = "supercluster_id") -> D
 
 
 def _greedy(rows: pd.DataFrame, total: int, buffer: int, targets: dict[str, int], cap: int) -> pd.DataFrame:
-    """Scarce cells first, then the row of the largest need times quality, again and again."""
+    """Scarce cells first, then the row of the largest need times quality, again and again; the first of equal ones.
+
+    Rows of the same cells and quality are a kind, whose rows are chosen in order, those of full
+    clusters passed over.  What a kind is worth never rises and its next row's place never falls, so a heap of
+    kinds by what both were last shows the best one: it is the first for which both are still the same.
+    """
     names = list(targets)
     place = {c: k for k, c in enumerate(names)}
-    want = np.array([targets[c] for c in names], float)
-    cells = np.array(
-        [[place.get(c, -1) for c in row] for row in rows[[f"{a}_grade" for a in AXES]].to_numpy()]
-    ).reshape(len(rows), len(AXES))
-    known = cells >= 0
-    left = want.copy()
-    weight, conf, clusters = rows[
-        "category_weight"
-    ].to_numpy(float), rows["min_conf"].to_numpy(float), rows["supercluster_id"].to_numpy()
-    quality = weight * rows["conf_factor"].to_numpy(float)
-    have = np.bincount(cells[known], minlength=len(names))
-    scarce = have < want
-    taken, used, chosen = np.zeros(len(rows), bool), Counter(), []
-
-    def take(k: int, phase: str) -> None:
-        taken[k] = True
-        used[clusters[k]] += 1
-        left[cells[k][known[k]]] -= 1
+    want = [float(targets[c]) for c in names]
+    left = list(want)
+    graded = zip(*(rows[f"{a}_grade"].tolist() for a in AXES), strict=True)
+    worths = zip(rows["category_weight"].astype(float).tolist(), rows["conf_factor"].astype(float).tolist(), strict=True)
+    members: dict[tuple, list[int]] = {}
+    for k, (grades, (weight, factor)) in enumerate(zip(graded, worths, strict=True)):
+        members.setdefault((tuple(place.get(c, -1) for c in grades), weight * factor), []).append(k)
+    kinds, lists = list(members), list(members.values())
+    cluster = rows["supercluster_id"].tolist()
+    have = [0] * len(names)
+    for (cells, _), own in members.items():
+        for c in cells:
+            if c >= 0:
+                have[c] += len(own)
+    nth, used, chosen = [0] * len(lists), Counter(), []
+
+    def take(j: int, phase: str) -> None:
+        k = lists[j][nth[j]]
         chosen.append((k, phase))
-
-    for k in sorted(range(len(rows)), key=lambda k: (-weight[k], -conf[k], k)):
-        if len(chosen) >= total:
-            break
-        own = cells[k][known[k]]
-        if (scarce[own] & (left[own] > 0)).any():
-            take(k, "scarce")
+        nth[j] += 1
+        used[cluster[k]] += 1
+        for c in kinds[j][0]:
+            if c >= 0:
+                left[c] -= 1
+
+    def rated(j: int) -> tuple[float, int, int] | None:
+        """What the kind's next free row is worth, and its place."""
+        while nth[j] < len(lists[j]) and used[cluster[lists[j][nth[j]]]] >= cap:
+            nth[j] += 1
+        if nth[j] == len(lists[j]):
+            return None
+        cells, quality = kinds[j]
+        need = 0.0
+        for c in cells:
+            need += 0.0 if c < 0 else left[c] / want[c] if left[c] > 0 else -OVERFILL / want[c]
+        return -(need * quality + 0.01 * quality), lists[j][nth[j]], j
+
+    heap = [(own[0], j) for j, own in enumerate(lists)]
+    heapq.heapify(heap)
+    while heap and len(chosen) < total:
+        j = heap[0][1]
+        if any(c >= 0 and have[c] < want[c] and left[c] > 0 for c in kinds[j][0]):
+            take(j, "scarce")
+            if nth[j] < len(lists[j]):
+                heapq.heapreplace(heap, (lists[j][nth[j]], j))
+                continue
+        heapq.heappop(heap)  # its cells are no longer short, or it has no more rows
+    heap = [r for j in range(len(lists)) if (r := rated(j))]
+    heapq.heapify(heap)
     for phase, n in (("greedy", total - len(chosen)), ("buffer", buffer)):
-        for _ in range(n):
-            need = np.where(left > 0, left / want, -OVERFILL / want)
-            score = np.where(known, need[np.maximum(cells, 0)], 0).sum(axis=1) * quality + 0.01 * quality
-            full = np.array([used[c] >= cap for c in clusters], bool)
-            score[taken | full] = -np.inf
-            if not len(score) or not np.isfinite(score.max()):
-                break
-            take(int(score.argmax()), phase)
+        while n > 0 and heap:
+            j = heap[0][2]
+            now = rated(j)
+            if now == heap[0]:
+                take(j, phase)
+                n -= 1
+                now = rated(j)
+            if now is None:
+                heapq.heappop(heap)
+            else:
+                heapq.heapreplace(heap, now)
     out = rows.iloc[[k for k, _ in chosen]].copy()
     out["phase"] = [p for _, p in chosen]
     out["order"] = np.arange(len(out))

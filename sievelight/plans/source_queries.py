@@ -11,6 +11,7 @@ from sievelight.operators import clusters as cl
 from sievelight.plans import stand_ins, views
 from sievelight.plans.views import with_views
 from sievelight.sources import providers, readers, writers
+from sievelight.sources.snapshots import SnapshotTable
 from sievelight.sources.storage import table, work_dir
 from sievelight.streaming.incremental import embed_stream
 
@@ -39,6 +40,17 @@ def appended_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(orders.schema).parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+def updated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders after the open ones were added to the others and every seventh was put in another state."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    held = SnapshotTable(spark, _new_folder(spark, "states"))
+    held.replace(orders.filter("o_orderstatus <> 'O'"))
+    held.append(orders.filter("o_orderstatus = 'O'"))
+    held.upsert(orders.filter("o_orderkey % 7 = 0").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
+    held.clean()
+    return held.read()
+
+
 def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as JSON lines, in two goes."""
     path = _new_folder(spark, "turns")
@@ -137,6 +149,7 @@ def streamed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = {
     "csv_columns": "SELECT c_custkey, c_mktsegment FROM customer",
     "appended_table": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
+    "updated_table": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders",
     "json_records": "SELECT conv_id, turn, role, text FROM conversations",
     "employee_names": "SELECT n_name AS firstname, r_name AS lastname FROM nation JOIN region ON r_regionkey = n_regionkey",
     "latest_responses": "SELECT CAST(n_regionkey AS INTEGER) AS query, arg_max(n_name, n_nationkey) AS response, CAST(max(n_nationkey) AS INTEGER) AS at FROM nation GROUP BY 1",
@@ -160,5 +173,5 @@ ORACLE = {
     "streamed_vectors": "SELECT DISTINCT sha1(text) AS text_id, 64 AS dim, CAST(NULL AS VARCHAR) AS error FROM benchmark",
 }
 QUERIES = {f.__name__: f for f in (
-    csv_columns, appended_table, json_records, employee_names, latest_responses, ga4_log, internal_log, merged_words, call_usage, streamed_vectors,
+    csv_columns, appended_table, updated_table, json_records, employee_names, latest_responses, ga4_log, internal_log, merged_words, call_usage, streamed_vectors,
 )}
