@@ -128,15 +128,11 @@ def quantiles(df: DataFrame, value: str, at: list[float], by: list[str] = ()) ->
     """
     ranked = ranked_values(df.filter(F.col(value).isNotNull()), value, by)
     sizes = F.broadcast(group(ranked, list(by), F.sum("_n").alias("_all")))  # a row a cell
-    place = lambda q: (F.col("_all") - 1) * F.lit(q)
     held = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
-    marks = [
-        F.when(held(F.floor(place(q))) | held(F.ceil(place(q))), F.struct(F.lit(k).alias("k"), place(q).alias("p")))
-        for k, q in enumerate(at)
-    ]
-    hits = _beside(ranked, sizes, by).select(
-        *by, value, "_before", "_n", F.explode(F.array_compact(F.array(*marks))).alias("m")
-    )
+    # One small expression over an array of the wanted places: one for each place would take longer to compile than to run.
+    places = F.transform(F.lit([float(q) for q in at]), lambda q, k: F.struct(k.alias("k"), ((F.col("_all") - 1) * q).alias("p")))
+    marks = F.filter(places, lambda m: held(F.floor(m["p"])) | held(F.ceil(m["p"])))
+    hits = _beside(ranked, sizes, by).select(*by, value, "_before", "_n", F.explode(marks).alias("m"))
     low, high = held(F.floor("m.p")), held(F.ceil("m.p"))
     ends = hits.groupBy(*by, F.col("m.k").alias("k"), F.col("m.p").alias("p")).agg(
         F.max(F.when(low, F.col(value))).alias("lo"), F.max(F.when(high, F.col(value))).alias("hi")
@@ -352,17 +348,17 @@ def caught_by_other(a: DataFrame, b: DataFrame, key: str, true: str, pred: str,
     return miss(b).join(miss(a), key, "left_anti")
 
 
-def cost_curves(spark, prices: dict[str, tuple[float, float]], most: int = 15) -> DataFrame:
-    """Cost for 1 to ``most`` axes of models with a fixed price and one for each axis."""
-    axes = spark.range(1, most + 1).select(F.col("id").cast("int").alias("n_axes"))
-    each = F.explode(
-        F.array(
-            *(
-                F.struct(F.lit(k).alias("model"), F.lit(float(a)).alias("fixed"), F.lit(float(b)).alias("each"))
-                for k, (a, b) in prices.items()
-            )
-        )
+def cost_curves(calls: DataFrame, prices: dict[str, tuple[float, float]], by: list[str], most: int = 15) -> DataFrame:
+    """by, n_axes, model and cost: what judging the rows of ``calls`` costs for 1 to ``most`` axes.
+
+    A model has a price for each row and one for each row and axis.  Rows are counted
+    first, so what is multiplied is a row for each group.
+    """
+    each = F.array(
+        *(F.struct(F.lit(k).alias("model"), F.lit(float(a)).alias("fixed"), F.lit(float(b)).alias("each")) for k, (a, b) in prices.items())
     )
-    return axes.select("n_axes", each.alias("m")).select(
-        "n_axes", "m.model", (F.col("m.fixed") + F.col("m.each") * F.col("n_axes")).alias("cost")
+    counted = calls.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    every = counted.select(*by, "_n", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n_axes"))
+    return every.select(*by, "_n", "n_axes", F.explode(each).alias("m")).select(
+        *by, "n_axes", "m.model", (F.col("_n") * (F.col("m.fixed") + F.col("m.each") * F.col("n_axes"))).alias("cost")
     )

@@ -188,7 +188,8 @@ def evaluate(rows: DataFrame, cell: list[str] = CELL) -> DataFrame:
     a cell, are broadcast.
     """
     direction = settled(paired_direction(rows.filter("split = 'train'"), cell))
-    scored = project(rows, direction, cell)
+    # Written once: the quantiles alone go over the scores several times.
+    scored = settled(project(rows.filter("split <> 'train'"), direction, cell).select(*cell, "split", "grade", "score"))
     cuts = settled(tune_thresholds(scored.filter("split = 'dev'").select(*cell, "score", "grade"), cell))
     table = mx.confusion(classify(scored.filter("split = 'test'"), cuts, cell), "grade", "pred", list(cell))
     sizes = rows.groupBy(*cell).agg(

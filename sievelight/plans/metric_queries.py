@@ -182,7 +182,8 @@ def error_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mx.cost_curves(spark, MODELS).withColumn("cost", F.round("cost", 6))
+    """What judging each source's documents costs."""
+    return mx.cost_curves(table(spark, sf_dir, "documents"), MODELS, ["source"]).withColumn("cost", F.round("cost", 6))
 
 
 def gold_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +283,7 @@ ORACLE = {
     "error_difference": _sql(
         "SELECT doc_id FROM rated WHERE rater_a = 2 AND (doc_id % 3 = 0 OR rater_b = 0) AND rater_b <> 0"
     ),
-    "cost_curves": "SELECT CAST(n AS INTEGER) AS n_axes, model, round(fixed + each * n, 6)::DOUBLE AS cost FROM range(1, 16) r(n), (VALUES ('probe', 0.001, 0.0), ('judge', 0.0, 0.02), ('triage', 0.03, 0.001)) m(model, fixed, each)",
+    "cost_curves": "SELECT source, CAST(n AS INTEGER) AS n_axes, model, round(rows * (fixed + each * n), 6)::DOUBLE AS cost FROM (SELECT source, count(*) AS rows FROM documents GROUP BY 1), range(1, 16) r(n), (VALUES ('probe', 0.001, 0.0), ('judge', 0.0, 0.02), ('triage', 0.03, 0.001)) m(model, fixed, each)",
     "gold_resolve": with_views(
         "SELECT doc_id, coalesce(gold_adj, CASE WHEN rater_a = rater_b THEN rater_a END) AS gold, CASE WHEN gold_adj IS NOT NULL THEN 'adjudicated' WHEN rater_a = rater_b THEN 'agreement' ELSE 'unresolved' END AS provenance FROM v_raters",
         "v_raters",

@@ -30,7 +30,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tuned(scored: DataFrame) -> DataFrame:
-    return settled(pr.tune_thresholds(scored.filter("split = 'dev'").select("axis", "score", "grade")))
+    return settled(pr.tune_thresholds(settled(scored.filter("split = 'dev'").select("axis", "score", "grade"))))
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
