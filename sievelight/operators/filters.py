@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelight.functions import text as tx
+from sievelight.sources.storage import settled
 
 
 def any_flag(flags: list[str]) -> Column:
@@ -89,22 +90,77 @@ def indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
-def fuzzy_matches(left: DataFrame, right: DataFrame, key: str, name: str, cutoff: float = 88.0) -> DataFrame:
-    """For each key of ``left`` the most similar name of ``right`` at ``cutoff`` or above: key, name, ratio.
+#: Letters that a text loses at most, and forms that it then has at most; lengths that need more meet by parts.
+DELETIONS, FORMS = 3, 1200
+
+
+def _reached(common: Column, n: Column, m: Column, cutoff: float) -> Column:
+    """Whether texts of these lengths with a common subsequence of this one reach the cutoff, as indel_ratio says."""
+    return (n + m == 0) | (200.0 * common / F.greatest(n + m, F.lit(1)) >= cutoff)
+
+
+def _length_classes(keys: DataFrame, names: DataFrame, key: str, name: str, cutoff: float) -> DataFrame:
+    """Lengths m of keys and n of names that can reach the cutoff, the least common subsequence that does, and by_form."""
+    n, m = F.col("n"), F.col("m")
+    guess = F.ceil(cutoff * (n + m) / 200).cast("int")
+    least = F.when(_reached(guess - 1, n, m, cutoff), guess - 1).when(
+        _reached(guess, n, m, cutoff), guess
+    ).otherwise(guess + 1)
+
+    def forms(a: Column, lost: Column) -> Column:
+        """Ways to delete so many letters; null beyond DELETIONS."""
+        a, ways, out = a.cast("double"), F.lit(1.0), F.when(lost == 0, 1.0)
+        for k in range(1, DELETIONS + 1):
+            ways = ways * (a - (k - 1)) / k
+            out = out.when(lost == k, ways)
+        return out
+
+    fits = lambda a: F.coalesce(forms(a, a - F.col("least")) <= FORMS, F.lit(False))
+    lengths = lambda df, c, to: df.select(F.length(c).alias(to)).distinct()
+    return lengths(names, name, "n").crossJoin(lengths(keys, key, "m")).withColumn(
+        "least", F.greatest(least, F.lit(0))
+    ).filter(F.col("least") <= F.least(n, m)).withColumn("by_form", fits(n) & fits(m))
+
+
+def _forms(texts: DataFrame, text: str, size: str, classes: DataFrame) -> DataFrame:
+    """Every subsequence (form) of a text that has a length ``least`` of its class, once.
+
+    Letters go from left to right, of equal neighbours the first ones, so no form comes twice.
+    """
+    wanted = classes.filter("by_form").select(size, "least").distinct()
+    # A text becomes hundreds of rows, so tasks get few texts.
+    tasks = max(4 * texts.sparkSession.sparkContext.defaultParallelism, 16 * texts.rdd.getNumPartitions())
+    df = texts.repartition(tasks, text).withColumn(size, F.length(text)).join(F.broadcast(wanted), size)
+    df = df.select(text, size, "least", F.col(text).alias("form"), F.lit(1).alias("at"))
+    letter = lambda k: F.substring(F.col("form"), k, F.lit(1))
+    at = F.col("at")
+    for _ in range(DELETIONS):
+        places = F.when(F.length("form") > F.col("least"), F.sequence("at", F.col("least") + 1))
+        df = df.select(text, size, "least", "form", F.explode(F.coalesce(places, F.array(F.lit(0)))).alias("at")).filter(
+            (at <= 1) | (letter(at) != letter(at - 1))
+        )
+        shorter = F.concat(
+            F.substring(F.col("form"), F.lit(1), at - 1), F.substring(F.col("form"), at + 1, F.length("form"))
+        )
+        df = df.withColumns({"form": F.when(at > 0, shorter).otherwise(F.col("form")), "at": F.greatest(at, F.lit(1))})
+    return df.select(text, size, "form")
+
+
+def _pairs_by_parts(keys: DataFrame, names: DataFrame, classes: DataFrame, key: str, name: str, cutoff: float) -> DataFrame:
+    """Candidates among lengths that are not compared by form.
 
-    Similar texts have similar lengths, and what is at or above the cutoff shares one
-    of a few aligned parts: an edit script of d insertions and deletions leaves one of
-    d + 1 parts whole.  Keys meet names on such a part and on its shift, so it is an
-    equi-join; nothing that reaches the cutoff is missed.
+    An edit script of d insertions and deletions leaves one of d + 1 parts of a name whole;
+    keys meet names on such a part and on its shift.
     """
     share = 1 - cutoff / 100
+    reach = classes.filter("not by_form").select("n", "m")
 
     def edits(a: Column) -> Column:
         """Insertions and deletions at most between a text of this length and any that reaches the cutoff."""
-        return F.floor(a * (2 * share) / (1 - share)).cast("int")
+        return F.floor(a * (2 * share) / (1 - share) + 1e-9).cast("int")
 
-    names = right.select(F.col(name)).filter(F.col(name).isNotNull()).distinct()
-    n = F.length(name)
+    names = names.withColumn("n", F.length(name)).join(F.broadcast(reach.select("n").distinct()), "n", "left_semi")
+    n = F.col("n")
     parts = edits(n) + 1
     width = F.floor(n / parts)
     cut = F.transform(
@@ -117,19 +173,11 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, key: str, name: str, cutoff
         ),
     )
     indexed = names.select(
-        name, n.alias("n"), edits(n).alias("d"), F.explode(cut).alias("p")
+        name, "n", edits(n).alias("d"), F.explode(cut).alias("p")
     ).select(name, "n", "d", "p.*", F.length("p.part").alias("w"))
-    shapes = indexed.select("n", "d", "at", "w").distinct()
-    keys = left.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("m", F.length(key))
     # Every shape of a name meets the key lengths it can reach.
-    reach = shapes.select(
-        "n",
-        "d",
-        "at",
-        "w",
-        F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - F.col("d")), F.col("n") + F.col("d"))).alias("m"),
-    )
-    windows = keys.join(reach, "m").select(
+    shapes = indexed.select("n", "d", "at", "w").distinct().join(reach, "n")
+    windows = keys.withColumn("m", F.length(key)).join(F.broadcast(shapes), "m").select(
         key,
         "n",
         "at",
@@ -139,13 +187,46 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, key: str, name: str, cutoff
     windows = windows.select(
         key, "n", "at", F.substring(F.col(key), F.col("from") + 1, F.col("w")).alias("part")
     ).distinct()
-    pairs = windows.join(indexed, ["n", "at", "part"]).select(key, name).distinct()
+    return windows.join(indexed, ["n", "at", "part"]).select(key, name).distinct()
+
+
+def _sides(left: DataFrame, right: DataFrame, key: str, name: str, cutoff: float) -> tuple[DataFrame, ...]:
+    """Distinct keys and names as written tables, and the classes of their lengths."""
+    keys, names = (settled(df.select(c).filter(F.col(c).isNotNull()).distinct()) for df, c in ((left, key), (right, name)))
+    return keys, names, settled(_length_classes(keys, names, key, name, cutoff))
+
+
+def fuzzy_matches(left: DataFrame, right: DataFrame, key: str, name: str, cutoff: float = 88.0) -> DataFrame:
+    """For each key of ``left`` the most similar name of ``right`` at ``cutoff`` or above: key, name, ratio.
+
+    Texts at or above the cutoff have a common subsequence of a length that theirs tell, and
+    short ones have few of that length: keys meet names on it, so what all names have in
+    common forms no pairs.  Longer texts meet on aligned parts.  Nothing that reaches the
+    cutoff is missed.
+    """
+    keys, names, classes = _sides(left, right, key, name, cutoff)
+    same = _forms(keys, key, "m", classes).join(_forms(names, name, "n", classes), "form").filter(
+        _reached(F.length("form"), F.col("n"), F.col("m"), cutoff)
+    )
+    pairs = same.select(key, name).union(_pairs_by_parts(keys, names, classes, key, name, cutoff)).distinct()
     rated = pairs.withColumn("ratio", indel_ratio_udf(key, name)).filter(F.col("ratio") >= cutoff)
     return rated.groupBy(key).agg(
         F.min_by(F.struct(name, "ratio"), F.struct((-F.col("ratio")).alias("r"), F.col(name).alias("s"))).alias("b")
     ).select(key, "b.*")
 
 
+def fuzzy_keys(left: DataFrame, right: DataFrame, key: str, name: str, cutoff: float = 88.0) -> DataFrame:
+    """The keys of :func:`fuzzy_matches`, without a search for the most similar of their names."""
+    keys, names, classes = _sides(left, right, key, name, cutoff)
+    known = _forms(names, name, "n", classes).select(F.col("form").alias("known"), "n").distinct()
+    same = F.col("form") == F.col("known")
+    short = _forms(keys, key, "m", classes).join(
+        known, same & _reached(F.length("form"), F.col("n"), F.col("m"), cutoff), "left_semi"
+    )
+    longer = _pairs_by_parts(keys, names, classes, key, name, cutoff).filter(indel_ratio_udf(key, name) >= cutoff)
+    return short.select(key).union(longer.select(key)).distinct()
+
+
 def person_flags(log: DataFrame, people: DataFrame, text: str = "query", cutoff: float = 88.0) -> DataFrame:
     """Keys of the log that name a person of ``people`` (firstname, lastname), with match: full, token or fuzzy.
 
@@ -169,7 +250,7 @@ def person_flags(log: DataFrame, people: DataFrame, text: str = "query", cutoff:
         "key", F.explode(tx.tokens(F.col("key"))).alias("token")
     ).join(last, "token", "left_semi").select("key").distinct().withColumn("match", F.lit("token"))
     few = keys.filter(F.size(tx.tokens(F.col("key"))) <= 3)
-    fuzzy = fuzzy_matches(few, whole, "key", "name", cutoff).select("key", F.lit("fuzzy").alias("match"))
+    fuzzy = fuzzy_keys(few, whole, "key", "name", cutoff).withColumn("match", F.lit("fuzzy"))
     order = F.when(F.col("match") == "full", 0).when(F.col("match") == "token", 1).otherwise(2)
     return full.union(token).union(fuzzy).groupBy("key").agg(F.min_by("match", order).alias("match"))
 
