@@ -287,9 +287,13 @@ def resolved(ratings: DataFrame, item: str, value: str, adjudicated: str) -> Dat
 
 
 def raters_of(
-    wide: DataFrame, axes=("MU", "PU", "ET"), least: int = 150, excluded=("gold", "llm_reference", "admin")
+    wide: DataFrame,
+    axes=("MU", "PU", "ET"),
+    least: int = 150,
+    excluded=("gold", "llm_reference", "admin"),
+    share: float = 0.0,
 ) -> list[str]:
-    """Names of the raters whose columns hold at least ``least`` values on every axis."""
+    """Names of the raters whose columns hold at least ``least`` values, and that ``share`` of all rows, on every axis."""
     names = sorted(
         {
             c.rsplit("_", 1)[0]
@@ -303,9 +307,10 @@ def raters_of(
         *(
             F.least(*(F.count(f"{n}_{a}") for a in axes if f"{n}_{a}" in wide.columns), F.lit(1 << 60)).alias(n)
             for n in names
-        )
+        ),
+        F.count(F.lit(1)).alias("_rows"),
     ).first()
-    return [n for n in names if row[n] >= least]
+    return [n for n in names if row[n] >= max(least, share * row[-1])]
 
 
 def ratings_long(wide: DataFrame, key: str, raters: list[str], axes=("MU", "PU", "ET")) -> DataFrame:
