@@ -177,7 +177,7 @@ def _pairs_by_parts(keys: DataFrame, names: DataFrame, classes: DataFrame, key:
     ).select(name, "n", "d", "p.*", F.length("p.part").alias("w"))
     # Every shape of a name meets the key lengths it can reach.
     shapes = indexed.select("n", "d", "at", "w").distinct().join(reach, "n")
-    windows = keys.withColumn("m", F.length(key)).join(F.broadcast(shapes), "m").select(
+    windows = keys.withColumn("m", F.length(key)).join(shapes, "m").select(
         key,
         "n",
         "at",
